@@ -11,8 +11,8 @@ every text is `und`. Texts of any length are read whole."""
 from __future__ import annotations
 
 import re
-import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,20 +23,42 @@ from pyspark.sql.window import Window
 from lumenbase.llm.common import batch_of, keyed, pairs
 
 LETTER = re.compile(r"[^\W\d_]")
-NOT_LETTERS = re.compile(r"[\W\d_]+")
 UND = "und"
 
 
-def subwords(word: str, buckets: int) -> list[int]:
-    """Buckets of the 1- to 4-grams of each run of letters in the word, with its ends marked, and of the run itself."""
-    out = []
-    for run in NOT_LETTERS.split(word.lower()):
-        if run:
-            marked = f"<{run}>"
-            out += [zlib.crc32(marked[i : i + n].encode()) % buckets for n in (2, 3, 4) for i in range(len(marked) - n + 1)]
-            out += [zlib.crc32(c.encode()) % buckets for c in run]
-            out.append(zlib.crc32(f"={run}".encode()) % buckets)
-    return out
+@lru_cache(1)
+def letters() -> np.ndarray:
+    """Of each code point below 65536, whether it is a letter."""
+    return np.array([bool(LETTER.match(chr(c))) for c in range(1 << 16)])
+
+
+def subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, places in `words`) of all 1- to 4-grams of the words' letters. Whatever is no letter, and each end of a
+    word, is a gap; a gram may begin or end with a gap, which marks the ends of a run of letters, but not hold one within."""
+    flat = np.frombuffer(("\n" + "\n\n".join(words).lower() + "\n").encode("utf-32-le"), "<u4").astype(np.uint64)
+    ends = flat == 10
+    owner = np.cumsum(ends) // 2
+    owner[ends] = np.repeat(np.arange(len(words)), 2)
+    high = np.flatnonzero(flat >= 1 << 16)
+    real = letters()[np.minimum(flat, (1 << 16) - 1).astype(np.int64)]
+    real[high] = [bool(LETTER.match(chr(int(c)))) for c in flat[high]]
+    flat = np.where(real, flat, np.uint64(0))
+    grams, owners = [], []
+    for n in range(1, 5):
+        k = len(flat) - n + 1
+        if k < 1:
+            break
+        h, inner, some = np.full(k, np.uint64(n)), np.ones(k, bool), np.zeros(k, bool)
+        for j in range(n):
+            h = (h ^ flat[j : j + k]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(31)
+            some |= real[j : j + k]
+            if 0 < j < n - 1:
+                inner &= real[j : j + k]
+        good = np.flatnonzero(inner & some & (owner[:k] == owner[n - 1 : n - 1 + k]))
+        grams.append((h[good] % np.uint64(buckets)).astype(np.int64))
+        owners.append(owner[good])
+    return np.concatenate(grams), np.concatenate(owners)
 
 
 @dataclass(frozen=True)
@@ -51,7 +73,7 @@ class LanguageModel:
 
 
 class Scorer:
-    """Logits of words, each distinct word once; forgets after `keep` words."""
+    """Logits of texts from those of their words, each distinct word looked at once; forgets after `keep` words."""
 
     def __init__(self, model: LanguageModel, keep: int = 200_000):
         self.model, self.keep = model, keep
@@ -64,20 +86,35 @@ class Scorer:
     def learn(self, words: set) -> None:
         if len(self.row) > self.keep:
             self.reset()
-        for w in words:
-            if w not in self.row:
-                ids = subwords(w, self.model.buckets)
-                k = self.row[w] = len(self.row)
-                if k >= len(self.sums):
-                    self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-                self.sums[k, :-1] = self.model.logits[ids].sum(0) if ids else 0
-                self.sums[k, -1] = len(ids)
-
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        words = (text or "").split()
+        new = [w for w in words if w not in self.row]
+        for k in range(0, len(new), 20_000):
+            part = new[k : k + 20_000]
+            grams, owner = subwords(part, self.model.buckets)
+            first = len(self.row)
+            while first + len(part) > len(self.sums):
+                self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
+            for lang in range(len(self.model.languages)):
+                self.sums[first : first + len(part), lang] = np.bincount(owner, self.model.logits[:, lang][grams], len(part))
+            self.sums[first : first + len(part), -1] = np.bincount(owner, minlength=len(part))
+            self.row.update(zip(part, range(first, first + len(part)), strict=True))
+
+    def score(self, texts: list) -> list[tuple[str, float]]:
+        """Texts together, a few megabytes at a time: new words are then looked at in large groups."""
+        out, k = [], 0
+        while k < len(texts):
+            size, part = 0, []
+            while k < len(texts) and size < 4_000_000:
+                part.append((texts[k] or "").split())
+                size += len(texts[k] or "")
+                k += 1
+            if self.model.languages:
+                self.learn(set().union(*part))
+            out += [self.said(words, texts[k - len(part) + i]) for i, words in enumerate(part)]
+        return out
+
+    def said(self, words: list[str], text: str | None) -> tuple[str, float]:
         if not self.model.languages or not words or not LETTER.search(text):
             return UND, 0.0
-        self.learn(set(words))
         total = self.sums[np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))].sum(0)
         z = total[:-1] / total[-1]
         p = np.exp(z - z.max())
@@ -94,16 +131,12 @@ def train(rows: list[tuple[str, str]], buckets: int = 1 << 15, dim: int = 16, ep
     if len(languages) < 2:
         return LanguageModel(languages, np.zeros((1, len(languages))), 0.0)
     rng = np.random.default_rng(seed)
-    cache: dict[str, np.ndarray] = {}
-    data = []
-    for text, lang in rows:
-        words = []
-        for w in text.split():
-            if w not in cache:
-                cache[w] = np.array(subwords(w, buckets), dtype=np.int64)
-            if len(cache[w]):
-                words.append(cache[w])
-        data.append((words, languages.index(lang)))
+    words = sorted({w for text, _ in rows for w in text.split()})
+    grams, owner = subwords(words, buckets)
+    order = np.argsort(owner, kind="stable")
+    parts = np.split(grams[order], np.searchsorted(owner[order], np.arange(1, len(words))))
+    ids_of = dict(zip(words, parts, strict=True))
+    data = [([ids_of[w] for w in text.split() if len(ids_of[w])], languages.index(lang)) for text, lang in rows]
     held, fit = data[::5], [d for k, d in enumerate(data) if k % 5] or data
     emb = rng.uniform(-1 / dim, 1 / dim, (buckets, dim))
     out = np.zeros((dim, len(languages)))
@@ -178,7 +211,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     def predict(batches):
         scorer = Scorer(shared.value)
         for b in batches:
-            ids, said = b.column(0), [scorer(t) for _, t in pairs(b)]
+            ids, said = b.column(0), scorer.score([t for _, t in pairs(b)])
             yield batch_of(schema, [ids.cast(pa.int64()), [x for x, _ in said], [s for _, s in said], [x == UND or s < shared.value.bound for x, s in said]])
 
     return keyed(docs, id_col, text_col).mapInArrow(predict, "doc_id long, lang_pred string, score double, rejected boolean")
