@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_BYTES = rb"[^\x20\x09-\x0D]+"
@@ -46,11 +46,11 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
 
 
-def keyed(df: DataFrame, id_col: str, value_col: str, id_name: str = "doc_id", value_name: str = "text") -> DataFrame:
+def keyed(df: DataFrame, id_col: str, value_col: str | Column, id_name: str = "doc_id", value_name: str = "text") -> DataFrame:
     """(id, value) with one row per non-null id. Rows whose id is null have no identity and are left out; of repeated ids
     the smallest non-null value counts. Values are moved only if an id does repeat, which a scan of the ids tells."""
     bound_batches(df.sparkSession)
-    base = df.select(F.col(id_col).cast("long").alias(id_name), F.col(value_col).alias(value_name)).where(F.col(id_name).isNotNull())
+    base = df.select(F.col(id_col).cast("long").alias(id_name), (F.col(value_col) if isinstance(value_col, str) else value_col).alias(value_name)).where(F.col(id_name).isNotNull())
     repeated = base.groupBy(id_name).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
     return base.groupBy(id_name).agg(F.min(value_name).alias(value_name)) if repeated else base
 

@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenbase.llm.html import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenbase.llm.topk import exact_top
 
@@ -56,6 +62,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op2_exact_topk": op2_exact_topk,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_ivf_pq": op4_ivf_pq,
