@@ -12,8 +12,12 @@ splitting pattern, and encoding it alone gives the ids that it has within its te
 Rows of both kinds are packed: a block's pieces of one bucket are one row, and about `chunk` positions are one row.
 
 Defined results: null text counts as empty and has no ids; rows with a null id are left out and repeated ids count once
-(see common.keyed); an empty table gives no rows; texts of any length are encoded whole. A block's number is the smallest
-doc_id in it; blocks are written to the shared folder, so a lost executor can't change what belongs to which block."""
+(see common.keyed); an empty table gives no rows; texts of any length are encoded whole.
+
+Blocks are made twice, once to ask for ids and once to put them in place; nothing but packed pieces and positions is
+shuffled or stored. So blocks must come out the same each time, also after an executor is lost: they are cut from a scan of
+files, and any other input is first written to the shared folder. A block's number is a hash of the ids, sizes and number
+of pieces of what is in it; were a block made differently, its answers would be missing and the query would end."""
 
 from __future__ import annotations
 
@@ -29,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenbase.llm.common import batch_of, cut_spaced, fresh_path, keyed, pairs, tokenizer_file
+from lumenbase.llm.common import batch_of, cut_spaced, is_scan, keyed, materialize, pairs, tokenizer_file
 
 PART = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
 PART_DDL = "block long, bucket int, kind int, data binary"
@@ -74,19 +78,30 @@ def taken(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray
     return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - length), length)]
 
 
-def close_block(docs: list[int], places: list[np.ndarray], known: dict[str, int], buckets: int, chunk: int) -> Iterator[tuple]:
+def close_block(docs: list[int], places: list[np.ndarray], known: dict[str, int], kind: int, buckets: int, chunk: int) -> Iterator[tuple]:
     """Rows of one block. Pieces are numbered by falling frequency, which keeps the upper bytes of positions zero."""
-    block, flat = min(docs), np.concatenate(places)
+    flat = np.concatenate(places)
+    made_of = np.array([*docs, *map(len, places), len(known)], dtype="<i8")
+    block = int(np.array(xxhash.xxh3_64_intdigest(made_of.tobytes()), np.uint64).view(np.int64))
     order = np.argsort(-np.bincount(flat, minlength=len(known)), kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    words = [w.encode() for w in known]
+    if kind == ASKED:
+        yield from asked_rows(block, [w.encode() for w in known], rank, buckets)
+    else:
+        yield from place_rows(block, docs, places, rank, chunk)
+
+
+def asked_rows(block: int, words: list[bytes], rank: np.ndarray, buckets: int) -> Iterator[tuple]:
     bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int64, len(words))
     for b in np.unique(bucket).tolist():
         at = np.flatnonzero(bucket == b)
         at = at[np.argsort(rank[at])]
         own = [words[i] for i in at]
         yield block, b, ASKED, pack(planes(np.diff(rank[at], prepend=0)), planes(np.array([len(w) for w in own])), b"".join(own))
+
+
+def place_rows(block: int, docs: list[int], places: list[np.ndarray], rank: np.ndarray, chunk: int) -> Iterator[tuple]:
     k = 0
     while k < len(docs):
         first, size = k, 0
@@ -97,14 +112,14 @@ def close_block(docs: list[int], places: list[np.ndarray], known: dict[str, int]
         yield block, 0, PLACES, pack(np.array(docs[first:k], dtype="<i8").tobytes(), planes(np.array([len(p) for p in places[first:k]])), planes(rank[part]))
 
 
-def blocks_of(docs: DataFrame, block_chars: int, buckets: int, chunk: int) -> DataFrame:
+def blocks_of(docs: DataFrame, kind: int, block_chars: int, buckets: int, chunk: int) -> DataFrame:
     def explode(batches) -> Iterator[pa.RecordBatch]:
         ids, places, size = [], [], 0
         known: defaultdict = defaultdict()
         known.default_factory = known.__len__
 
         def out() -> Iterator[pa.RecordBatch]:
-            for row in close_block(ids, places, dict(known), buckets, chunk):
+            for row in close_block(ids, places, dict(known), kind, buckets, chunk):
                 yield batch_of(PART, [[x] for x in row])
 
         for b in batches:
@@ -195,11 +210,10 @@ def encoded(docs: DataFrame, finish, schema: pa.Schema, ddl: str, path: str | No
     spark = docs.sparkSession
     path, pattern = path or tokenizer_file("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    at = fresh_path(spark, "pieces")
-    blocks_of(keyed(docs, id_col, text_col), block_chars, parts, chunk).write.partitionBy("kind").option("compression", "none").parquet(at)
-    read = spark.read.schema(PART_DDL).parquet(at).select("block", "bucket", "kind", "data")
-    asked = read.where(F.col("kind") == ASKED).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    both = encode_pieces(asked, path, pattern).unionByName(read.where(F.col("kind") == PLACES))
+    texts = keyed(docs, id_col, text_col)
+    texts = texts if is_scan(texts) else materialize(texts, "texts")
+    asked = blocks_of(texts, ASKED, block_chars, parts, chunk).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    both = encode_pieces(asked, path, pattern).unionByName(blocks_of(texts, PLACES, block_chars, parts, chunk))
     return assemble(both.repartition(parts, "block").sortWithinPartitions("block", "kind"), finish, schema, ddl)
 
 

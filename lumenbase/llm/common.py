@@ -40,6 +40,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def is_scan(df: DataFrame) -> bool:
+    """Whether df only reads files, filters and projects: then each of its partitions comes out the same every time."""
+    nodes = [df._jdf.queryExecution().optimizedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName().split()[0] not in ("Project", "Filter", "LogicalRelation", "Relation"):
+            return False
+        below = node.children()
+        nodes += [below.apply(k) for k in range(below.length())]
+    return True
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Arrow batches of a few megabytes, however long the texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
