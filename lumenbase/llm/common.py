@@ -11,11 +11,14 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD_BYTES = rb"[^\x20\x09-\x0D]+"
+MIX = tuple(np.uint64(x) for x in (30, 0xBF58476D1CE4E5B9, 27, 0x94D049BB133111EB, 31))
+GRAM = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,14 +35,44 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: later plans start from the files, not from df's lineage."""
+    """Write df to the shared folder and read it back: later plans start from the files, not from df's lineage. The
+    shuffle files of the write go as soon as it ends."""
     spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
+    path, before = fresh_path(spark, name), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mixed(h):
+    """64-bit numbers of a numpy array, well mixed."""
+    h = (h ^ (h >> MIX[0])) * MIX[1]
+    h = (h ^ (h >> MIX[2])) * MIX[3]
+    return h ^ (h >> MIX[4])
+
+
+def word_hashes(text: bytes | None, seed: int = 0):
+    """A 64-bit hash of each word, words being what stands between ASCII white space."""
+    words = (text or b"").split()
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(w, seed) for w in words) if seed else map(digest, words), np.uint64, len(words))
+
+
+def gram_hashes(h, n: int):
+    """Of each n consecutive numbers, a hash."""
+    out = np.zeros(len(h) - n + 1, np.uint64)
+    for j in range(n):
+        out = mixed(out * GRAM + h[j : j + len(out)])
+    return out
+
+
 def is_scan(df: DataFrame) -> bool:
     """Whether df only reads files, filters and projects: then each of its partitions comes out the same every time."""
     nodes = [df._jdf.queryExecution().optimizedPlan()]
@@ -106,8 +139,6 @@ class WordEncoder:
         return cut_words(text) if self.drops_space else cut_spaced(text)
 
     def learn(self, pieces: set) -> None:
-        import numpy as np
-
         if len(self.known) > self.keep:
             self.known = {}
         todo = [p for p in pieces if p not in self.known]

@@ -61,6 +61,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenbase.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2, share=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_exact_topk": op2_exact_topk,
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
     "op7_warc": op7_warc,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_minhash_forest": op9_minhash_forest,
     "op10_token_files": op10_token_files,
 }
 
@@ -93,4 +100,25 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id <> first_page THEN first_page END AS refers_to
         FROM f
     """,
+    "op9_minhash_forest": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws
+            FROM documents WHERE doc_id IS NOT NULL
+        ), g AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(ws) < 2 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS gs FROM w
+        ), n AS (
+            SELECT doc_id, CAST(len(gs) AS BIGINT) AS n_shingles FROM g
+        ), e AS (
+            SELECT doc_id, unnest(gs) AS s FROM g
+        ), c AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM e AS a JOIN e AS b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+        ), l AS (
+            SELECT x, y FROM c JOIN n AS p ON p.doc_id = x JOIN n AS q ON q.doc_id = y
+            WHERE 100 * common >= 80 * (p.n_shingles + q.n_shingles - common)
+        ), r(a, b) AS (
+            SELECT doc_id, doc_id FROM n UNION SELECT r.a, l.y FROM r JOIN l ON r.b = l.x
+        )
+        SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept
+        FROM n JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) AS m USING (doc_id)
+    """,
 }
