@@ -55,6 +55,12 @@ def op4_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenbase.llm.substrings import removal_digests
+
+    return removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenbase.llm.langid import identify_documents
 
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_topk": op2_exact_topk,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_ivf_pq": op4_ivf_pq,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_language_id": op6_language_id,
     "op7_warc": op7_warc,
     "op8_byte_bpe": op8_byte_bpe,
@@ -92,6 +99,24 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10
     """,
+    "op5_substring_dedup": """
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents WHERE doc_id IS NOT NULL
+        ), p AS (
+            SELECT doc_id, unnest(range(1, len(ws) - 18)) AS start, unnest(list_transform(range(1, len(ws) - 18), lambda i: array_to_string(ws[i : i + 19], ' '))) AS win FROM w WHERE len(ws) >= 20
+        ), l AS (
+            SELECT doc_id, start, row_number() OVER (PARTITION BY win ORDER BY doc_id, start) > 1 AS later FROM p
+        ), x AS (
+            SELECT DISTINCT doc_id, start + j AS i FROM l, range(0, 20) AS r(j) WHERE later
+        ), k AS (
+            SELECT w.doc_id, i, ws[i] AS word, x.i IS NULL AS stays
+            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w) AS w LEFT JOIN x USING (doc_id, i)
+        ), s AS (
+            SELECT doc_id, count(*) FILTER (NOT stays) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (stays) AS kept FROM k GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN s USING (doc_id)
+    """,
     "op7_warc": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages WHERE page_id IS NOT NULL),
              f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_page FROM p)
