@@ -1,10 +1,9 @@
 """What the training-data operators share: the shared folder, tables that cut lineage, row identity, readers of Arrow
-batches and the word-level token encoder."""
+batches, word hashes and where texts are cut."""
 
 from __future__ import annotations
 
 import atexit
-import os
 import re
 import shutil
 import tempfile
@@ -48,7 +47,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete tables of materialize() that no later plan reads."""
+    for df in stored:
+        jvm, at = df.sparkSession._jvm, df.stored_at
+        path = jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def mixed(h):
@@ -120,59 +129,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class WordEncoder:
-    """Token ids of whole texts as little-endian unsigned 32-bit bytes, each distinct piece of text encoded once.
-
-    Texts are cut only where the tokenizer cuts too: at ASCII white space if it drops white space, else before a space
-    that follows a non-space. Pieces are remembered up to `keep` and then forgotten, so memory is bounded; what is
-    forgotten is encoded again."""
-
-    def __init__(self, path: str, drops_space: bool, keep: int = 300_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.drops_space, self.keep, self.known = drops_space, keep, {}
-
-    def cut(self, text: str) -> list[str]:
-        return cut_words(text) if self.drops_space else cut_spaced(text)
-
-    def learn(self, pieces: set) -> None:
-        if len(self.known) > self.keep:
-            self.known = {}
-        todo = [p for p in pieces if p not in self.known]
-        for k in range(0, len(todo), 20_000):
-            part = todo[k : k + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """In order; a few megabytes of text at a time."""
-        k = 0
-        while k < len(texts):
-            size, cuts = 0, []
-            while k < len(texts) and size < 4_000_000:
-                cuts.append(self.cut(texts[k]))
-                size += len(texts[k])
-                k += 1
-            self.learn(set().union(*cuts))
-            get = self.known.__getitem__
-            for c in cuts:
-                yield b"".join(map(get, c))
-
-
 ASCII_SPACE = re.compile(r"[\x20\x09-\x0D]+")
 OTHER_SPACE = re.compile(r"[^\S\x20\x09-\x0D]")
 SPACE_BEFORE = re.compile(r"\s ")
 SPACED = re.compile(r"(?<=\S) ")
 
 
-def cut_words(text: str) -> list[str]:
-    """Pieces between runs of ASCII white space; other white space stays inside a piece, for the tokenizer to judge."""
-    return [w for w in ASCII_SPACE.split(text) if w] if OTHER_SPACE.search(text) else text.split()
-
-
 def cut_spaced(text: str) -> list[str]:
     """Pieces that begin at a space after a non-space; they join to the text again. No token of a pattern that takes a
     leading space, or white space alone, reaches over such a place."""

@@ -21,17 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenbase.llm.common import WordEncoder, batch_of, keyed, materialize, pairs, tokenizer_file
+from lumenbase.llm.common import batch_of, keyed, materialize, pairs, tokenizer_file
+from lumenbase.llm.encoders import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-ENCODERS: dict = {}
-
-
-def encoder(path: str, drops_space: bool) -> WordEncoder:
-    """One per Python worker and file."""
-    if (path, drops_space) not in ENCODERS:
-        ENCODERS[path, drops_space] = WordEncoder(path, drops_space)
-    return ENCODERS[path, drops_space]
 
 
 class CapacityTree:
@@ -107,10 +100,10 @@ def token_pieces(docs: DataFrame, path: str, size: int, id_col: str, text_col: s
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches):
-        enc = encoder(path, True)
+        enc = encoder(path)
         for b in batches:
             rows = []
-            for doc, ids in zip(b.column(0).to_pylist(), enc.encode([t or "" for _, t in pairs(b)]), strict=True):
+            for doc, ids in zip(b.column(0).to_pylist(), enc.encode_all(t for _, t in pairs(b)), strict=True):
                 ids += end
                 rows += [(doc, k, k * size, min(size, len(ids) // 4 - k * size), zlib.crc32(ids[4 * k * size : 4 * (k + 1) * size])) for k in range(-(-len(ids) // (4 * size)))]
             yield batch_of(schema, [list(c) for c in zip(*rows, strict=True)] or [[]] * 5)

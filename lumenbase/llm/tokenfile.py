@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenbase.llm.common import batch_of, fresh_path, keyed, pairs, tokenizer_file
-from lumenbase.llm.packing import encoder
+from lumenbase.llm.encoders import encoder
 
 MAGIC = b"LBIDS\x00\x00\x01"
 SAMPLE = 64
@@ -129,9 +129,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def shards(batches) -> Iterator[pa.RecordBatch]:
-        enc, docs_in, ids_in, held = encoder(name, False), [], [], 0
+        enc, docs_in, ids_in, held = encoder(name), [], [], 0
         for b in batches:
-            for doc, ids in zip(b.column(0).to_pylist(), enc.encode([t or "" for _, t in pairs(b)]), strict=True):
+            for doc, ids in zip(b.column(0).to_pylist(), enc.encode_all(t for _, t in pairs(b)), strict=True):
                 docs_in.append(doc)
                 ids_in.append(ids + end)
                 held += len(ids_in[-1])
