@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenbase.llm.common import materialize
+from lumenbase.llm.common import discard, materialize
 
 
 def least_neighbour(directed: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = materialize(edges, "edges")
     before = summary(edges)
     for _ in range(most_rounds):
-        edges = materialize(small_star(large_star(edges)), "edges")
+        edges, old = materialize(small_star(large_star(edges)), "edges"), edges
+        discard(old)
         after = summary(edges)
         if after == before:
             return edges

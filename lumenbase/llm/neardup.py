@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenbase.llm.common import batch_of, gram_hashes, keyed, materialize, pairs, utf8, word_hashes
+from lumenbase.llm.common import batch_of, discard, gram_hashes, keyed, materialize, pairs, utf8, word_hashes
 from lumenbase.llm.graph import components
 
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sig", pa.binary())])
@@ -173,15 +173,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80, id_col: st
     met = materialize(candidates(planted(reps, trees, depth), share, reach), "candidates")
     ends = met.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
     sets = materialize(full_sets(texts, ends, words), "sets")
-    labels, done = None, None
+    labels, done, tests = None, None, []
     for last in (False, False, True):
         cross = between(met, labels)
         if done is not None:
             cross = cross.join(done, ["x", "y"], "left_anti")
         test = materialize(cross.select("x", "y") if last else best_of_each(cross), "pairs")
         found = linked(test, sets, share)
-        labels = components(found if labels is None else found.unionByName(labels))
+        labels, old = components(found if labels is None else found.unionByName(labels)), labels
+        tests += [test] if old is None else [test, old]
         done = test if done is None else done.unionByName(test)
+    discard(met, sets, *tests)
     whole = classes.join(labels.select(F.col("u").alias("rep"), "v"), "rep", "left").select("n_shingles", "k1", "k2", F.coalesce("v", "rep").alias("component_id"))
     rows = told.join(whole, ["n_shingles", "k1", "k2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return rows.withColumn("kept", F.col("doc_id") == F.col("component_id"))

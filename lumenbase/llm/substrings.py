@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenbase.llm.common import batch_of, gram_hashes, keyed, materialize, mixed, pairs, utf8, word_hashes
+from lumenbase.llm.common import batch_of, discard, gram_hashes, keyed, materialize, mixed, pairs, utf8, word_hashes
 
 PIECES = pa.schema([("a", pa.int64()), ("v", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("folded", pa.bool_())])
 PIECES_DDL = "a long, v long, doc_id long, start int, n int, folded boolean"
@@ -96,7 +96,9 @@ def settled(texts: DataFrame, size: int, k: int) -> DataFrame:
     first = kept.groupBy("a", "v").agg(F.min(F.struct("doc_id", "start")).alias("first"))
     firsts = first.join(variants, "a").select("a", "v", "first", (F.col("branches") | F.col("any_folded")).alias("open"))
     whole = F.struct("doc_id", "start") != F.col("first")
-    return materialize(kept.join(firsts, ["a", "v"]).where(whole | F.col("open")).select("doc_id", "start", "n", whole.alias("whole")), "settled")
+    out = materialize(kept.join(firsts, ["a", "v"]).where(whole | F.col("open")).select("doc_id", "start", "n", whole.alias("whole")), "settled")
+    discard(kept)
+    return out
 
 
 def by_document(marks: DataFrame) -> DataFrame:
@@ -141,7 +143,9 @@ def repeated_windows(texts: DataFrame, size: int, k: int) -> DataFrame:
     windows = materialize(open_windows(texts, found.where("not whole"), size), "windows")
     first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
     later = windows.join(first, ["h1", "h2"]).where(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", F.lit(1).alias("n"))
-    return materialize(found.where("whole").select("doc_id", "start", "n").unionByName(later), "repeats")
+    out = materialize(found.where("whole").select("doc_id", "start", "n").unionByName(later), "repeats")
+    discard(found, windows)
+    return out
 
 
 def kept_words(text: bytes | None, start: np.ndarray, n: np.ndarray, size: int) -> tuple[list[bytes], int]:
@@ -179,10 +183,23 @@ def removal_digests(docs: DataFrame, size: int = 20, k: int = 6, id_col: str = "
 
 
 def remove_repeats(docs: DataFrame, size: int = 20, k: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, n_removed: the kept words joined by one space; a text that loses nothing stays as it is."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_removed", pa.int64())])
+    """The rows and columns of docs, each text with its kept words joined by one space; a text that loses nothing stays as
+    it is. Of rows with a repeated id the one with the smallest non-null text stays."""
+    marks = by_document(repeated_windows(utf8(keyed(docs, id_col, text_col)), size, k))
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    names = [f"c{i}" for i in range(len(others))]
+    row = F.struct(F.col(text_col).isNull().alias("none"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(n) for c, n in zip(others, names, strict=True)])
+    rows = keyed(docs, id_col, row, "doc_id", "row").select("doc_id", F.col("row.text").cast("binary").alias("text"), *[f"row.{n}" for n in names])
+    both = rows.join(marks, "doc_id", "left").select("doc_id", "text", "marks", *names)
+    kinds = ", ".join(["doc_id long", "text string", *[f"{n} {both.schema[n].dataType.simpleString()}" for n in names]])
 
-    def join(text: bytes | None, words: list[bytes], n: int) -> tuple:
-        return (None if text is None else text.decode()) if len(words) == n else b" ".join(words).decode(), n - len(words)
-
-    return cleaned(docs, join, schema, "doc_id long, text string, n_removed long", size, k, id_col, text_col)
+    def clean(batches):
+        for b in batches:
+            texts = []
+            for (_, text), (start, n) in zip(pairs(b), marked_places(b.column(2)), strict=True):
+                words, total = kept_words(text, start, n, size)
+                texts.append(text if len(words) == total else b" ".join(words))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary()).cast(pa.string()), *b.columns[3:]], names=["doc_id", "text", *names])
+
+    said = dict(zip(others, names, strict=True)) | {id_col: "doc_id", text_col: "text"}
+    return both.mapInArrow(clean, kinds).select(*[F.col(said[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
