@@ -53,7 +53,7 @@ class Pieces(dict):
 class TextEncoder:
     """Remembers up to `keep` pieces and then forgets them, so memory is bounded; what is forgotten is encoded again."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
