@@ -3,14 +3,15 @@
 Texts are lower-cased (A-Z only) and split at ASCII white space; a document's set holds its distinct shingles of `words`
 words. Equal sets make one class, of which the smallest doc_id stands for all. Each class has one MinHash signature. A tree
 of the forest is an order of the signature's numbers; classes that share the first `depth` numbers in a tree's order form a
-region, sorted by the numbers that follow. Each class's candidates are the `reach` next ones in that order: in a small
-region all of it, in a crowded one those with the longest common prefix, so the depth adapts to how crowded it is. Trees
+region, sorted by the numbers that follow. Each class's candidates are the next ones in that order: in a small region all of it, in a
+crowded one those with the longest common prefix, so the depth adapts to how crowded it is. Trees
 start at different numbers: with 32 trees of depth 4, two sets of similarity 0.8 share a region in some tree with
 probability 1 - 5e-8.
 
-Candidates whose sizes alone exclude the similarity go. Links are then confirmed by intersecting full sets, in three
-rounds: the best candidate of each class, then of each component found so far, then every candidate between different
-components. So large groups don't confirm all their pairs, and no candidate that could join two components is left out.
+Candidates that by size alone can't even be linked to a common third go. Links are then confirmed by intersecting full
+sets, in four rounds: the best candidate of each class, then of each component found so far, then every candidate between
+different components, and last, in crowded clusters of several components, the most similar classes of other components by
+whole signatures. So large groups don't confirm all their pairs.
 
 Defined results: null text or text without words has the empty set, is linked with nothing and is its own component; fewer
 words than a shingle needs are one shingle; rows with a null id are left out and repeated ids count once (see
@@ -89,26 +90,31 @@ def planted(classes: DataFrame, trees: int, depth: int, deeper: int = 8) -> Data
     return classes.select("doc_id", "n_shingles", "sig").mapInArrow(plant, "region long, t1 long, t2 long, doc_id long, n_shingles long")
 
 
-def candidates(forest: DataFrame, share: int, reach: int) -> DataFrame:
-    """x < y, trees: pairs at most `reach` apart in a region's order whose sizes allow the similarity (share per cent), and
-    in how many trees they were met."""
+def candidates(forest: DataFrame, share: int, reach: int, crowded: int) -> DataFrame:
+    """x < y, trees: neighbours in a region's order whose sizes allow a similarity of `share` per cent, and in how many trees
+    they were met. The first `reach` rows of a region meet the `reach` next ones, so a region of up to reach + 1 rows meets
+    whole; further rows meet the `crowded` next ones, with which they share the longest prefixes."""
     schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
     parts = int(forest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def neighbours(batches):
         last = None
         for b in batches:
-            now = [b.column(k).to_numpy() for k in (0, 3, 4)]
-            region, doc, n = [np.concatenate(c) for c in zip(last, now, strict=True)] if last else now
-            new = len(doc) - len(now[0])  # rows before this one were paired with each other already
+            region, doc, n = (b.column(k).to_numpy() for k in (0, 3, 4))
+            place = np.arange(len(region))
+            place = place - np.maximum.accumulate(np.where(np.r_[True, region[1:] != region[:-1]], place, 0))
+            if last and len(region) and last[0][-1] == region[0]:  # the first region began in an earlier batch
+                place[: np.argmax(np.r_[region != region[0], True])] += last[3][-1] + 1
+            new, now = len(last[0]) if last else 0, (region, doc, n, place)
+            region, doc, n, place = [np.concatenate(c) for c in zip(last, now, strict=True)] if last else now
             xs, ys = [], []
             for d in range(1, min(reach, len(doc) - 1) + 1):
-                i = np.arange(max(0, new - d), len(doc) - d)
+                i = np.arange(max(0, new - d), len(doc) - d)  # rows before `new` were paired with each other already
                 j = i + d
-                ok = (region[i] == region[j]) & (100 * np.minimum(n[i], n[j]) >= share * np.maximum(n[i], n[j])) & (doc[i] != doc[j])
+                ok = (region[i] == region[j]) & ((d <= crowded) | (place[i] < reach)) & (100 * np.minimum(n[i], n[j]) >= share * np.maximum(n[i], n[j])) & (doc[i] != doc[j])
                 xs.append(np.minimum(doc[i][ok], doc[j][ok]))
                 ys.append(np.maximum(doc[i][ok], doc[j][ok]))
-            last = [c[-reach:] for c in (region, doc, n)]
+            last = [c[-reach:] for c in (region, doc, n, place)]
             if xs:
                 yield batch_of(schema, [np.concatenate(xs), np.concatenate(ys)])
 
@@ -124,26 +130,27 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         for b in batches:
             yield batch_of(schema, [b.column(0), [shingle_set(t, words).tobytes() for _, t in pairs(b)]])
 
-    return docs.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles binary")
+    return docs.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles binary")
 
 
-def linked(edges: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Those of the pairs x, y whose full sets are similar enough."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+def measured(edges: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """x, y, linked, close: whether the pair's full sets are similar enough, and whether as similar as two sets must be that
+    are both linked to a third (distances, one less similarity, obey the triangle inequality)."""
+    schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("linked", pa.bool_()), ("close", pa.bool_())])
     one, two = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "xy")
     both = edges.select("x", "y").join(one, "x").join(two, "y").select("x", "y", "sx", "sy")
 
-    def confirm(batches):
+    def measure(batches):
         for b in batches:
-            good = []
-            for k, (p, q) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+            linked, close = [], []
+            for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
                 common = len(np.intersect1d(p, q, assume_unique=True))
-                if 100 * common >= share * (len(p) + len(q) - common):
-                    good.append(k)
-            yield batch_of(schema, [b.column(0).to_numpy()[good], b.column(1).to_numpy()[good]])
+                linked.append(100 * common >= share * (len(p) + len(q) - common))
+                close.append(100 * common >= (2 * share - 100) * (len(p) + len(q) - common))
+            yield batch_of(schema, [b.column(0), b.column(1), linked, close])
 
-    return both.mapInArrow(confirm, "u long, v long")
+    return both.mapInArrow(measure, "x long, y long, linked boolean, close boolean")
 
 
 def between(pairs_of: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -162,7 +169,49 @@ def best_of_each(cross: DataFrame) -> DataFrame:
     return ends.groupBy("c").agg(best).select((-F.col("b.x")).alias("x"), (-F.col("b.y")).alias("y")).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text", trees: int = 32, depth: int = 4, reach: int = 6) -> DataFrame:
+def packed_nodes(nodes: DataFrame, size: int, name: str) -> DataFrame:
+    """k and rows (array of node, component, signature): nodes of a cluster, about `size` to a row."""
+    sizes = nodes.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / size).alias("parts"))
+    dealt = nodes.join(sizes, "k").withColumn("part", F.pmod(F.xxhash64("n"), F.col("parts")))
+    return dealt.groupBy("k", "part").agg(F.collect_list(F.struct("n", "comp", "sig")).alias(name)).drop("part")
+
+
+def bordering(tested: DataFrame, labels: DataFrame, signatures: DataFrame, least: int, best: int = 16, floor: float = 0.7) -> DataFrame:
+    """Pairs x, y for a last test. Clusters are the connected components over all close pairs; two classes that are linked
+    to a common one are close. In a cluster of more than `least` classes and several components, regions are crowded, and
+    neighbours there may have hidden a link. So each class outside the cluster's largest component is compared by
+    signature with every class of the other components, block by block, and the `best` most similar ones of at least
+    `floor` are tested."""
+    clusters = components(tested.where("close").select(F.col("x").alias("u"), F.col("y").alias("v")))
+    nodes = clusters.select(F.col("u").alias("n"), F.col("v").alias("k")).unionByName(clusters.select(F.col("v").alias("n"), F.col("v").alias("k")).distinct())
+    nodes = nodes.join(labels.select(F.col("u").alias("n"), "v"), "n", "left").select("n", "k", F.coalesce("v", "n").alias("comp"))
+    held = nodes.groupBy("k", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("k").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("comps"))
+    mixed_ones = held.where((F.col("comps") > 1) & (F.col("c") > least)).select("k", "main")
+    nodes = materialize(nodes.join(mixed_ones, "k").join(signatures.select(F.col("doc_id").alias("n"), "sig"), "n"), "nodes")
+    outside = packed_nodes(nodes.where("comp <> main"), 256, "outside")
+    both = outside.join(packed_nodes(nodes, 2048, "inside"), "k").select("outside", "inside")
+    schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+
+    def arrays(rows: list) -> tuple[np.ndarray, ...]:
+        return np.array([r["n"] for r in rows]), np.array([r["comp"] for r in rows]), np.frombuffer(b"".join(r["sig"] for r in rows), np.uint32).reshape(-1, NUMBERS)
+
+    def compare(batches):
+        for b in batches:
+            for one, many in pairs(b):
+                (o, oc, osig), (m, mc, msig) = arrays(one), arrays(many)
+                xs, ys = [], []
+                for k in range(len(o)):
+                    alike = np.where(mc == oc[k], 0, (msig == osig[k]).sum(1))
+                    top = np.argsort(-alike, kind="stable")[:best]
+                    top = top[alike[top] >= floor * NUMBERS]
+                    xs.append(np.minimum(o[k], m[top]))
+                    ys.append(np.maximum(o[k], m[top]))
+                yield batch_of(schema, [np.concatenate(xs), np.concatenate(ys)])
+
+    return both.mapInArrow(compare, "x long, y long").distinct().join(tested.select("x", "y"), ["x", "y"], "left_anti")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text", trees: int = 32, depth: int = 4, reach: int = 6, crowded: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept: one row per document. `share`: the
     least similarity, in per cent."""
     texts = utf8(keyed(docs, id_col, text_col))
@@ -170,20 +219,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80, id_col: st
     told = all_signed.select("doc_id", "n_shingles", "k1", "k2")
     classes = materialize(told.where("n_shingles > 0").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = all_signed.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    met = materialize(candidates(planted(reps, trees, depth), share, reach), "candidates")
+    met = materialize(candidates(planted(reps, trees, depth), max(0, 2 * share - 100), reach, crowded), "candidates")
     ends = met.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
     sets = materialize(full_sets(texts, ends, words), "sets")
-    labels, done, tests = None, None, []
-    for last in (False, False, True):
-        cross = between(met, labels)
-        if done is not None:
-            cross = cross.join(done, ["x", "y"], "left_anti")
-        test = materialize(cross.select("x", "y") if last else best_of_each(cross), "pairs")
-        found = linked(test, sets, share)
-        labels, old = components(found if labels is None else found.unionByName(labels)), labels
-        tests += [test] if old is None else [test, old]
-        done = test if done is None else done.unionByName(test)
-    discard(met, sets, *tests)
+    labels, tested, old = None, None, []
+    for step in ("best of each class", "best of each component", "all between components", "borders in crowded clusters"):
+        if step.startswith("borders"):
+            pairs_now = bordering(tested, labels, reps, reach + 1)
+        else:
+            cross = between(met, labels)
+            cross = cross if tested is None else cross.join(tested.select("x", "y"), ["x", "y"], "left_anti")
+            pairs_now = cross.select("x", "y") if step.startswith("all") else best_of_each(cross)
+        told_now = materialize(measured(pairs_now, sets, share), "measured")
+        links = told_now.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
+        old += [told_now] if labels is None else [told_now, labels]
+        labels = components(links if labels is None else links.unionByName(labels))
+        tested = told_now if tested is None else tested.unionByName(told_now)
+    discard(met, sets, *old)
     whole = classes.join(labels.select(F.col("u").alias("rep"), "v"), "rep", "left").select("n_shingles", "k1", "k2", F.coalesce("v", "rep").alias("component_id"))
     rows = told.join(whole, ["n_shingles", "k1", "k2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return rows.withColumn("kept", F.col("doc_id") == F.col("component_id"))
