@@ -1,0 +1 @@
+"""Sessions of questions, as batches and as streams."""
