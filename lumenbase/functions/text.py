@@ -167,11 +167,11 @@ def header_value(document: Column, field: str) -> Column:
 
 def names_class(document: Column, class_name: Column) -> Column:
     """Whether a line begins with the class and a colon."""
-    return document.rlike(F.concat(F.lit(r"(?imU)^\s*\Q"), class_name, F.lit(r"\E\s*:")))
+    return F.regexp_like(document, F.concat(F.lit(r"(?imU)^\s*\Q"), class_name, F.lit(r"\E\s*:")))
 
 
 def names_grade(document: Column, grade: Column) -> Column:
-    return document.rlike(F.concat(F.lit(r"(?imU)^\s*\Q"), grade, F.lit(r"\Ea[0-9]+\s*:")))
+    return F.regexp_like(document, F.concat(F.lit(r"(?imU)^\s*\Q"), grade, F.lit(r"\Ea[0-9]+\s*:")))
 
 
 def period_lines(document: Column) -> Column:
@@ -189,7 +189,7 @@ def file_id(relative_path: Column) -> Column:
 
 
 def catalogue_id(relative_path: Column) -> Column:
-    return F.substring(F.sha2(F.lower(F.trim(F.lit("/"), F.replace(relative_path, F.lit("\\"), F.lit("/")))).cast("binary"), 256), 1, 16)
+    return F.substring(F.sha2(F.lower(F.trim(F.replace(relative_path, F.lit("\\"), F.lit("/")), F.lit("/"))).cast("binary"), 256), 1, 16)
 
 
 def numbered_id(file: Column, kind: str, index: Column) -> Column:
