@@ -35,13 +35,18 @@ class Pieces(dict):
 
     def __init__(self, owner: TextEncoder, ahead: str, mark: str):
         super().__init__()
-        self.tokenize, self.ahead, self.mark, self.lower, self.slow = owner.model.tokenize, ahead, mark, owner.kind == "words", owner.piece_ids
+        self.tokenize, self.ahead, self.mark, self.lower, self.slow, self.letters = owner.model.tokenize, ahead, mark, owner.kind == "words", owner.piece_ids, owner.letters
+        self.tails = {t: array("I", owner.piece_ids(t)) for t in (".", ",")} if owner.kind != "other" else {}
 
     def __missing__(self, piece: str) -> bytes:
-        if piece.isascii() and piece.isalpha():  # one pre-token, written as it stands
-            ids = array("I", [t.id for t in self.tokenize(self.mark + (piece.lower() if self.lower else piece))])
-        elif piece[-1:] in (".", ",") and piece.isascii() and piece[:-1].isalpha():  # two
-            ids = array("I", [t.id for t in self.tokenize(self.mark + (piece[:-1].lower() if self.lower else piece[:-1]))] + [t.id for t in self.tokenize(piece[-1])])
+        tail = self.tails.get(piece[-1:])
+        body = piece if tail is None else piece[:-1]
+        plain = body.isascii()
+        if body.isalpha() and (plain or max(body) < "\u0300"):  # one pre-token, or two
+            body = body.lower() if self.lower else body
+            ids = array("I", [t.id for t in self.tokenize(self.mark + (body if plain else body.encode().decode("latin-1").translate(self.letters)))])
+            if tail is not None:
+                ids += tail
         else:
             ids = array("I", self.slow(self.ahead + piece))
         if sys.byteorder == "big":
@@ -81,7 +86,7 @@ class TextEncoder:
 
     def piece_ids(self, piece: str) -> list[int]:
         """Characters below U+0300 are their own NFC form and lower-case by themselves, without regard to what follows."""
-        if not piece or max(piece) >= "̀":
+        if not piece or max(piece) >= "\u0300":
             return self.whole(piece)
         if self.kind == "words":
             piece = piece.lower()
