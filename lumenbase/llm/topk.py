@@ -8,7 +8,7 @@ reach it, with cutoff / groups for each other one, can sum to the cutoff. Phase
 the entries left, exactly, and keeps those at or above the cutoff.
 
 Components are floor(1024 * x); scores are integers. Local sums are computed in doubles while they are certain to be exact,
-else in Python integers; a score beyond 64 bits ends the query.
+else in Python integers; a score beyond 64 bits becomes the nearest one within.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part; a shorter vector counts as
 padded with zeros; a query is never its own candidate; fewer candidates than k are all returned; rows with a null id are
@@ -43,6 +43,10 @@ def local_scores(x: np.ndarray, q: np.ndarray, groups: int) -> list[np.ndarray]:
     return [x[:, a].dot(q[:, a].T) for a in np.array_split(np.arange(dim), groups)]
 
 
+def longs(scores: np.ndarray) -> np.ndarray:
+    return scores.astype(np.int64) if scores.dtype != object else np.array([max(-(2**63), min(2**63 - 1, s)) for s in scores], np.int64)
+
+
 def scanned(batch: pa.RecordBatch, ids: np.ndarray, queries: np.ndarray, groups: int, scale: int, rows: int = 1024, width: int = 512):
     """Tiles of local scores: (ids of rows, ids of queries, first query, local scores, which pairs are a query and itself)."""
     at, x = matrix(batch.column(1))
@@ -74,7 +78,7 @@ def exact_top(vectors: DataFrame, chosen: Column, k: int = 10, groups: int = 4,
                         column, row = candidates_of(np.where(own, -np.inf, s), k)
                         listed[row, column] = True
                     row, column = np.nonzero(listed & ~own)
-                    new = q[column], total[row, column].astype(np.int64), vec[row]
+                    new = q[column], longs(total[row, column]), vec[row]
                     held = [np.concatenate(x) for x in zip(held, new, strict=True)]
                     keep = best(*held, k)
                     held = [x[keep] for x in held]
@@ -98,7 +102,7 @@ def exact_top(vectors: DataFrame, chosen: Column, k: int = 10, groups: int = 4,
                         reach |= known_here
                         upper = upper + np.where(known_here, s, share)
                     row, column = np.nonzero(reach & (upper >= cutoff) & ~own)
-                    score = sum(s[row, column] for s in local).astype(np.int64)
+                    score = longs(sum(s[row, column] for s in local))
                     good = score >= cutoff[column]
                     new = q[column[good]], score[good], vec[row[good]]
                     held = [np.concatenate(x) for x in zip(held, new, strict=True)]
