@@ -94,14 +94,15 @@ def test_shingles_shorter_than_asked():
     assert len(shingle_set(None, 2)) == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components(spark, one_task):
     rng = random.Random(1)
     chain = [(i, i + 1) for i in range(60)]
     star = [(100, i) for i in range(101, 140)]
     other = [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
     edges = chain + star + other + [(5, 5), (1, 0)]
     rng.shuffle(edges)
-    got = {r["u"]: r["v"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r["u"]: r["v"] for r in components(spark.createDataFrame(edges, "u long, v long"), one_task=one_task).collect()}
     want = classes(edges, {n for e in edges for n in e})
     assert got == {n: c for n, c in want.items() if n != c}
-    assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+    assert components(spark.createDataFrame([], "u long, v long"), one_task=one_task).collect() == []
