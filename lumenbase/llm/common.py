@@ -82,6 +82,17 @@ def gram_hashes(h, n: int):
     return out
 
 
+WORKER: dict[str, object] = {}
+
+
+def worker_cache(name: str, make):
+    """What a Python worker keeps from task to task, one thing at a time: asking for another drops it."""
+    if name not in WORKER:
+        WORKER.clear()
+        WORKER[name] = make()
+    return WORKER[name]
+
+
 def is_scan(df: DataFrame) -> bool:
     """Whether df only reads files, filters and projects: then each of its partitions comes out the same every time."""
     nodes = [df._jdf.queryExecution().optimizedPlan()]

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import regex
 
-from lumenbase.llm.common import ASCII_SPACE, OTHER_SPACE, SPACE_BEFORE, SPACED
+from lumenbase.llm.common import ASCII_SPACE, OTHER_SPACE, SPACE_BEFORE, SPACED, worker_cache
 
 #: The pattern that byte-level pre-tokenizers split by. A fixed value of the format.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -58,7 +58,7 @@ class Pieces(dict):
 class TextEncoder:
     """Remembers up to `keep` pieces and then forgets them, so memory is bounded; what is forgotten is encoded again."""
 
-    def __init__(self, path: str, keep: int = 900_000):
+    def __init__(self, path: str, keep: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -111,11 +111,6 @@ class TextEncoder:
         return (self.encode(t or "") for t in texts)
 
 
-ENCODERS: dict[str, TextEncoder] = {}
-
-
 def encoder(path: str) -> TextEncoder:
     """One per Python worker and file."""
-    if path not in ENCODERS:
-        ENCODERS[path] = TextEncoder(path)
-    return ENCODERS[path]
+    return worker_cache(path, lambda: TextEncoder(path))
