@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -248,9 +251,6 @@ def numeric_only(text: Column) -> Column:
 
 def nfc(c: Column) -> Column:
     """Unicode composition; Spark has none, so this is an Arrow function, meant for ingestion alone."""
-    import unicodedata
-
-    import pandas as pd
 
     @F.pandas_udf("string")
     def compose(texts: pd.Series) -> pd.Series:

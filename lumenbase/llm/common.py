@@ -93,6 +93,11 @@ def worker_cache(name: str, make):
     return WORKER[name]
 
 
+def forget_caches() -> None:
+    """For tasks of operators that keep nothing."""
+    WORKER.clear()
+
+
 def is_scan(df: DataFrame) -> bool:
     """Whether df only reads files, filters and projects: then each of its partitions comes out the same every time."""
     nodes = [df._jdf.queryExecution().optimizedPlan()]

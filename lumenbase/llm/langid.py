@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenbase.llm.common import WORKER, batch_of, keyed, pairs
+from lumenbase.llm.common import batch_of, forget_caches, keyed, pairs
 
 LETTER = re.compile(r"[^\W\d_]")
 UND = "und"
@@ -209,7 +209,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches):
-        WORKER.clear()
+        forget_caches()
         scorer = Scorer(shared.value)
         for b in batches:
             ids, said = b.column(0), scorer.score([t for _, t in pairs(b)])

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenbase.llm.common import WORKER, batch_of, discard, gram_hashes, keyed, materialize, pairs, utf8, word_hashes
+from lumenbase.llm.common import batch_of, discard, forget_caches, gram_hashes, keyed, materialize, pairs, utf8, word_hashes
 from lumenbase.llm.graph import components
 
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sig", pa.binary())])
@@ -56,7 +56,7 @@ def min_hashes(shingles: np.ndarray) -> np.ndarray:
 
 def signed(docs: DataFrame, words: int) -> DataFrame:
     def sign(batches):
-        WORKER.clear()
+        forget_caches()
         for b in batches:
             rows = []
             for doc, text in pairs(b):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenbase.llm.common import WORKER, batch_of, discard, gram_hashes, keyed, materialize, mixed, pairs, utf8, word_hashes
+from lumenbase.llm.common import batch_of, discard, forget_caches, gram_hashes, keyed, materialize, mixed, pairs, utf8, word_hashes
 
 PIECES = pa.schema([("a", pa.int64()), ("v", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("folded", pa.bool_())])
 PIECES_DDL = "a long, v long, doc_id long, start int, n int, folded boolean"
@@ -74,7 +74,7 @@ def path_pieces(h: np.ndarray, size: int, k: int) -> tuple[np.ndarray, ...]:
 
 def pieces_of(texts: DataFrame, size: int, k: int) -> DataFrame:
     def cut(batches):
-        WORKER.clear()
+        forget_caches()
         for b in batches:
             out = []
             for doc, text in pairs(b):

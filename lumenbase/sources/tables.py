@@ -55,7 +55,12 @@ def hashed_embedding(texts: pd.Series, dim: int = 64) -> pd.Series:
 
 def embedded(rows: DataFrame, encode: Callable[[pd.Series], pd.Series] = hashed_embedding) -> DataFrame:
     """With `embedding`; encode takes and gives a pandas series, an Arrow batch at a time."""
-    return rows.withColumn("embedding", F.pandas_udf(encode, "array<float>")("document"))
+
+    @F.pandas_udf("array<float>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        return encode(texts)
+
+    return rows.withColumn("embedding", vectors("document"))
 
 
 def write_vectors(rows: DataFrame, path: str) -> None:
