@@ -58,20 +58,19 @@ class Pieces(dict):
 class TextEncoder:
     """Remembers up to `keep` pieces and then forgets them, so memory is bounded; what is forgotten is encoded again."""
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
         self.tokenizer.encode_special_tokens = True
         self.model, self.letters = self.tokenizer.model, byte_letters()
-        with open(path, encoding="utf-8") as f:
-            made = json.load(f)
-        norm, pre = made.get("normalizer"), made.get("pre_tokenizer") or {}
+        norm, pre = (json.loads(x.__getstate__()) if x is not None else None for x in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer))
+        pre = pre or {}
         steps = [s.get("type") for s in (norm or {}).get("normalizers", [])]
         splits = [s.get("type") for s in pre.get("pretokenizers", [])]
         self.kind = "other"
-        if made.get("model", {}).get("type") != "BPE":
+        if type(self.model).__name__ != "BPE":
             pass
         elif norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
             self.kind, pattern = "spaced", BYTE_LEVEL_PATTERN
@@ -111,6 +110,6 @@ class TextEncoder:
         return (self.encode(t or "") for t in texts)
 
 
-def encoder(path: str) -> TextEncoder:
+def encoder(path: str, keep: int = 250_000) -> TextEncoder:
     """One per Python worker and file."""
-    return worker_cache(path, lambda: TextEncoder(path))
+    return worker_cache(path, lambda: TextEncoder(path, keep))

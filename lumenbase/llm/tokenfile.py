@@ -129,7 +129,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def shards(batches) -> Iterator[pa.RecordBatch]:
-        enc, docs_in, ids_in, held = encoder(name), [], [], 0
+        enc, docs_in, ids_in, held = encoder(name, 700_000), [], [], 0
         for b in batches:
             for doc, ids in zip(b.column(0).to_pylist(), enc.encode_all(t for _, t in pairs(b)), strict=True):
                 docs_in.append(doc)
