@@ -112,9 +112,10 @@ def fold_sessions(turns: DataFrame, lessons: DataFrame, most_slots: int = 200_00
     return turns.groupBy("session_id").applyInPandas(run, FOLDED)
 
 
-def stream_history(messages: DataFrame, most: int = HISTORY, idle_ms: int = 3_600_000) -> DataFrame:
+def stream_history(messages: DataFrame, most: int = HISTORY, idle_ms: int | None = None) -> DataFrame:
     """A stream of (session_id, pos, role, content) to (session_id, history): after each trigger the last `most` messages
-    of each session that got one. Sessions idle for `idle_ms` are forgotten."""
+    of each session that got one. With `idle_ms`, sessions idle for so long are forgotten; such a stream runs on by itself,
+    for it must look at the clock."""
     state = "history array<struct<pos:int,role:string,content:string>>"
 
     def keep(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
@@ -125,7 +126,8 @@ def stream_history(messages: DataFrame, most: int = HISTORY, idle_ms: int = 3_60
         new = [(int(r.pos), r.role, r.content) for b in batches for r in b.itertuples()]
         rows = sorted(old + new)[-most:]
         held.update((rows,))
-        held.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            held.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"session_id": [key[0]], "history": [[{"pos": p, "role": r, "content": c} for p, r, c in rows]]})
 
-    return messages.groupBy("session_id").applyInPandasWithState(keep, f"session_id string, {state}", state, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return messages.groupBy("session_id").applyInPandasWithState(keep, f"session_id string, {state}", state, "update", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
