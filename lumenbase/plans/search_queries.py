@@ -41,7 +41,7 @@ def both_lists(spark, sf_dir):
     kept, for every later step reads them."""
     vectors, asked = vector_view(spark, sf_dir), questions(spark, sf_dir)
     index = X.lexical_index(prose(spark, sf_dir))
-    return vectors.where(F.col("file_type").isin(*X.PROSE)), index, asked, X.semantic_hits(vectors, asked), X.lexical_hits(index, asked)
+    return vectors.where(F.col("file_type").isin(*X.PROSE)), index, asked, X.semantic_hits(vectors, asked).cache(), X.lexical_hits(index, asked).cache()
 
 
 @query(f"WITH {CHUNKS}, {VECTORS}, {ASKED}, {STATED}, {SEMANTIC} SELECT question_id, file_id, chunk_index, semantic_score, CAST(rank AS INTEGER) AS rank, round(1 - semantic_score, 6) AS distance FROM semantic")
