@@ -77,8 +77,7 @@ def normalize_search(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Words of the normalised text, longer than one character and no stop words."""
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.filter(F.split(normalize_search(c), " "), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    return F.filter(F.split(normalize_search(c), " "), lambda t: (F.length(t) > 1) & ~t.isin(*STOPWORDS))
 
 
 def format_subject(c: Column) -> Column:
