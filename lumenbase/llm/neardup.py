@@ -8,10 +8,11 @@ crowded one those with the longest common prefix, so the depth adapts to how cro
 start at different numbers: with 32 trees of depth 4, two sets of similarity 0.8 share a region in some tree with
 probability 1 - 5e-8.
 
-Candidates that by size alone can't even be linked to a common third go. Links are then confirmed by intersecting full
-sets, in four rounds: the best candidate of each class, then of each component found so far, then every candidate between
-different components, and last, in crowded clusters of several components, the most similar classes of other components by
-whole signatures. So large groups don't confirm all their pairs.
+Candidates that by size alone can't be linked go. Links are then confirmed by intersecting full sets, in three rounds: the
+best candidate of each class, then of each component found so far, then every candidate between different components. So
+large groups don't confirm all their pairs. What a crowded region may have hidden is looked for last and exactly: classes
+that crowded regions bring together form a crowd, and in crowds of several components the full sets of each class outside
+the largest one are intersected with those of all classes of other components whose size allows a link.
 
 Defined results: null text or text without words has the empty set, is linked with nothing and is its own component; fewer
 words than a shingle needs are one shingle; rows with a null id are left out and repeated ids count once (see
@@ -92,10 +93,12 @@ def planted(classes: DataFrame, trees: int, depth: int, deeper: int = 8) -> Data
 
 
 def candidates(forest: DataFrame, share: int, reach: int, crowded: int) -> DataFrame:
-    """x < y, trees: neighbours in a region's order whose sizes allow a similarity of `share` per cent, and in how many trees
-    they were met. The first `reach` rows of a region meet the `reach` next ones, so a region of up to reach + 1 rows meets
-    whole; further rows meet the `crowded` next ones, with which they share the longest prefixes."""
-    schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+    """x < y, trees, crowd. trees: in how many trees the two were met as neighbours in a region's order whose sizes allow a
+    similarity of `share` per cent. The first `reach` rows of a region meet the `reach` next ones, so a region of up to
+    reach + 1 rows meets whole; further rows meet the `crowded` next ones, with which they share the longest prefixes.
+    crowd: whether the two are next to each other, of whatever sizes, in a region of more than reach + 1 rows; so each such
+    region is a chain of these pairs."""
+    schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("crowd", pa.bool_())])
     parts = int(forest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def neighbours(batches):
@@ -115,12 +118,18 @@ def candidates(forest: DataFrame, share: int, reach: int, crowded: int) -> DataF
                 ok = (region[i] == region[j]) & ((d <= crowded) | (place[i] < reach)) & (100 * np.minimum(n[i], n[j]) >= share * np.maximum(n[i], n[j])) & (doc[i] != doc[j])
                 xs.append(np.minimum(doc[i][ok], doc[j][ok]))
                 ys.append(np.maximum(doc[i][ok], doc[j][ok]))
-            last = [c[-reach:] for c in (region, doc, n, place)]
-            if xs:
-                yield batch_of(schema, [np.concatenate(xs), np.concatenate(ys)])
+            met = sum(map(len, xs))
+            over, first = (new + np.flatnonzero(c) for c in (place[new:] > reach, place[new:] == reach + 1))
+            for j in [over, *[first - d for d in range(1, reach + 1)]]:  # a region's first rows once it proves crowded
+                xs.append(np.minimum(doc[j - 1], doc[j]))
+                ys.append(np.maximum(doc[j - 1], doc[j]))
+            last = [c[-reach - 1 :] for c in (region, doc, n, place)]
+            x, y = np.concatenate(xs), np.concatenate(ys)
+            yield batch_of(schema, [x, y, np.arange(len(x)) >= met])
 
     ordered = forest.repartition(parts, "region").sortWithinPartitions("region", "t1", "t2", "doc_id")
-    return ordered.mapInArrow(neighbours, "x long, y long").groupBy("x", "y").agg(F.count(F.lit(1)).alias("trees"))
+    both = ordered.mapInArrow(neighbours, "x long, y long, crowd boolean")
+    return both.groupBy("x", "y").agg(F.count_if(~F.col("crowd")).alias("trees"), F.max("crowd").alias("crowd"))
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -135,23 +144,21 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def measured(edges: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """x, y, linked, close: whether the pair's full sets are similar enough, and whether as similar as two sets must be that
-    are both linked to a third (distances, one less similarity, obey the triangle inequality)."""
-    schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("linked", pa.bool_()), ("close", pa.bool_())])
+    """x, y, linked: whether the pair's full sets are similar enough."""
+    schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("linked", pa.bool_())])
     one, two = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "xy")
     both = edges.select("x", "y").join(one, "x").join(two, "y").select("x", "y", "sx", "sy")
 
     def measure(batches):
         for b in batches:
-            linked, close = [], []
+            linked = []
             for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
                 common = len(np.intersect1d(p, q, assume_unique=True))
                 linked.append(100 * common >= share * (len(p) + len(q) - common))
-                close.append(100 * common >= (2 * share - 100) * (len(p) + len(q) - common))
-            yield batch_of(schema, [b.column(0), b.column(1), linked, close])
+            yield batch_of(schema, [b.column(0), b.column(1), linked])
 
-    return both.mapInArrow(measure, "x long, y long, linked boolean, close boolean")
+    return both.mapInArrow(measure, "x long, y long, linked boolean")
 
 
 def between(pairs_of: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -170,46 +177,82 @@ def best_of_each(cross: DataFrame) -> DataFrame:
     return ends.groupBy("c").agg(best).select((-F.col("b.x")).alias("x"), (-F.col("b.y")).alias("y")).distinct()
 
 
-def packed_nodes(nodes: DataFrame, size: int, name: str) -> DataFrame:
-    """k and rows (array of node, component, signature): nodes of a cluster, about `size` to a row."""
-    sizes = nodes.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / size).alias("parts"))
-    dealt = nodes.join(sizes, "k").withColumn("part", F.pmod(F.xxhash64("n"), F.col("parts")))
-    return dealt.groupBy("k", "part").agg(F.collect_list(F.struct("n", "comp", "sig")).alias(name)).drop("part")
-
-
-def bordering(tested: DataFrame, labels: DataFrame, signatures: DataFrame, least: int, best: int = 16, floor: float = 0.7) -> DataFrame:
-    """Pairs x, y for a last test. Clusters are the connected components over all close pairs; two classes that are linked
-    to a common one are close. In a cluster of more than `least` classes and several components, regions are crowded, and
-    neighbours there may have hidden a link. So each class outside the cluster's largest component is compared by
-    signature with every class of the other components, block by block, and the `best` most similar ones of at least
-    `floor` are tested."""
-    clusters = components(tested.where("close").select(F.col("x").alias("u"), F.col("y").alias("v")))
-    nodes = clusters.select(F.col("u").alias("n"), F.col("v").alias("k")).unionByName(clusters.select(F.col("v").alias("n"), F.col("v").alias("k")).distinct())
+def packed_nodes(nodes: DataFrame, name: str, rows: int = 1024, shingles: int = 1 << 17) -> DataFrame:
+    """k, size, part and an array of node, component, set: nodes of a crowd and a size class, in blocks of about so many
+    rows and shingles."""
+    held = nodes.groupBy("k", "size").agg(F.ceil(F.greatest(F.count(F.lit(1)) / rows, F.sum("n_shingles") / shingles)).alias("parts"))
+    dealt = nodes.join(held, ["k", "size"]).withColumn("part", F.pmod(F.xxhash64("n"), F.col("parts")))
+    dealt = dealt.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k", "size", "part")
+    return dealt.groupBy("k", "size", "part").agg(F.collect_list(F.struct("n", "comp", "shingles")).alias(name))
+
+
+def common_counts(one: list[np.ndarray], two: list[np.ndarray], columns: int = 2048, rare: int = 64) -> np.ndarray:
+    """How many elements each set of the first list has in common with each of the second. Elements of few pairs are
+    counted pair by pair, the others by products of 0/1 matrices, whose sums are exact below 2^24."""
+    ends = [(np.concatenate(c), np.repeat(np.arange(len(c)), [len(x) for x in c])) for c in (one, two)]
+    both = np.intersect1d(ends[0][0], ends[1][0])
+    sides = []
+    for h, row in ends:
+        at = np.minimum(np.searchsorted(both, h), max(len(both) - 1, 0))
+        held = both[at] == h if len(both) else np.zeros(len(h), bool)
+        at, row = at[held], row[held]
+        order = np.argsort(at, kind="stable")
+        sides.append((at[order], row[order], np.bincount(at, minlength=len(both))))
+    (at1, row1, n1), (at2, row2, n2) = sides
+    few = n1 * n2 <= rare
+    start = np.cumsum(n2) - n2
+    at, row = at1[few[at1]], row1[few[at1]]
+    times = n2[at]
+    partner = np.repeat(start[at] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+    out = np.bincount(np.repeat(row, times) * len(two) + row2[partner], minlength=len(one) * len(two)).reshape(len(one), len(two)).astype(np.float32)
+    column = np.cumsum(~few) - 1  # the others, numbered
+    at1, row1, at2, row2 = column[at1[~few[at1]]], row1[~few[at1]], column[at2[~few[at2]]], row2[~few[at2]]
+    for c in range(0, int((~few).sum()), columns):
+        a, b = np.zeros((len(one), columns), np.float32), np.zeros((len(two), columns), np.float32)
+        for m, k, row in ((a, at1, row1), (b, at2, row2)):
+            lo, hi = np.searchsorted(k, [c, c + columns])
+            m[row[lo:hi], k[lo:hi] - c] = 1
+        out += a @ b.T
+    return out.astype(np.int64)
+
+
+def hidden_links(chains: DataFrame, labels: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Pairs u, v that are linked and join different components, enough to join all components that links within crowds
+    do. Crowds are the connected components over `chains`; two classes that share a region of some tree without having been
+    met there are in one crowd. In a crowd of several components, each class outside the largest one is compared by full
+    sets with every class of the other components, block by block; blocks whose sizes allow no link are not."""
+    crowds = components(chains.select(F.col("x").alias("u"), F.col("y").alias("v")))
+    nodes = crowds.select(F.col("u").alias("n"), F.col("v").alias("k")).unionByName(crowds.select(F.col("v").alias("n"), F.col("v").alias("k")).distinct())
     nodes = nodes.join(labels.select(F.col("u").alias("n"), "v"), "n", "left").select("n", "k", F.coalesce("v", "n").alias("comp"))
-    held = nodes.groupBy("k", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("k").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("comps"))
-    mixed_ones = held.where((F.col("comps") > 1) & (F.col("c") > least)).select("k", "main")
-    nodes = materialize(nodes.join(mixed_ones, "k").join(signatures.select(F.col("doc_id").alias("n"), "sig"), "n"), "nodes")
-    outside = packed_nodes(nodes.where("comp <> main"), 256, "outside")
-    both = outside.join(packed_nodes(nodes, 2048, "inside"), "k").select("outside", "inside")
-    schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
-
-    def arrays(rows: list) -> tuple[np.ndarray, ...]:
-        return np.array([r["n"] for r in rows]), np.array([r["comp"] for r in rows]), np.frombuffer(b"".join(r["sig"] for r in rows), np.uint32).reshape(-1, NUMBERS)
+    held = nodes.groupBy("k", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("k").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
+    nodes = nodes.join(held.where("comps > 1").select("k", "main"), "k").join(sets.select(F.col("doc_id").alias("n"), "shingles"), "n")
+    step = np.log(100 / share) + 1e-6  # linked sets are of the same size class or of neighbouring ones
+    nodes = nodes.withColumn("n_shingles", F.length("shingles") / 8).withColumn("size", F.floor(F.log("n_shingles") / float(step)))
+    nodes = materialize(nodes, "nodes")
+    outside = materialize(packed_nodes(nodes.where("comp <> main"), "outside"), "outside")
+    inside = materialize(packed_nodes(nodes, "inside"), "inside")
+    ids = [c.select("k", F.col("size").alias(f"{n}_size"), F.col("part").alias(f"{n}_part")) for c, n in ((outside, "o"), (inside, "i"))]
+    blocks = ids[0].withColumn("i_size", F.explode(F.array(*[F.col("o_size") + d for d in (-1, 0, 1)]))).join(ids[1], ["k", "i_size"])
+    for c, n in ((outside, "o"), (inside, "i")):
+        blocks = blocks.join(c.withColumnsRenamed({"size": f"{n}_size", "part": f"{n}_part"}), ["k", f"{n}_size", f"{n}_part"])
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def arrays(rows: list) -> tuple:
+        return np.array([r["n"] for r in rows]), np.array([r["comp"] for r in rows]), [np.frombuffer(r["shingles"], np.uint64) for r in rows]
 
     def compare(batches):
         for b in batches:
             for one, many in pairs(b):
-                (o, oc, osig), (m, mc, msig) = arrays(one), arrays(many)
-                xs, ys = [], []
-                for k in range(len(o)):
-                    alike = np.where(mc == oc[k], 0, (msig == osig[k]).sum(1))
-                    top = np.argsort(-alike, kind="stable")[:best]
-                    top = top[alike[top] >= floor * NUMBERS]
-                    xs.append(np.minimum(o[k], m[top]))
-                    ys.append(np.maximum(o[k], m[top]))
-                yield batch_of(schema, [np.concatenate(xs), np.concatenate(ys)])
+                (o, oc, osets), (m, mc, msets) = arrays(one), arrays(many)
+                common = common_counts(osets, msets)
+                total = np.array([len(x) for x in osets])[:, None] + np.array([len(x) for x in msets])
+                i, j = np.nonzero((100 * common >= share * (total - common)) & (oc[:, None] != mc))
+                _, first = np.unique(np.stack([oc[i], mc[j]]), axis=1, return_index=True)  # one link between two components
+                yield batch_of(schema, [o[i[first]], m[j[first]]])
 
-    return both.mapInArrow(compare, "x long, y long").distinct().join(tested.select("x", "y"), ["x", "y"], "left_anti")
+    links = materialize(blocks.select("outside", "inside").mapInArrow(compare, "u long, v long"), "hidden")
+    discard(crowds, nodes, outside, inside)
+    return links
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text", trees: int = 32, depth: int = 4, reach: int = 6, crowded: int = 2) -> DataFrame:
@@ -220,23 +263,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80, id_col: st
     told = all_signed.select("doc_id", "n_shingles", "k1", "k2")
     classes = materialize(told.where("n_shingles > 0").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = all_signed.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    met = materialize(candidates(planted(reps, trees, depth), max(0, 2 * share - 100), reach, crowded), "candidates")
-    ends = met.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
+    near = materialize(candidates(planted(reps, trees, depth), share, reach, crowded), "candidates")
+    met = near.where("trees > 0").select("x", "y", "trees")
+    ends = near.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
     sets = materialize(full_sets(texts, ends, words), "sets")
     labels, tested, old = None, None, []
-    for step in ("best of each class", "best of each component", "all between components", "borders in crowded clusters"):
-        if step.startswith("borders"):
-            pairs_now = bordering(tested, labels, reps, reach + 1)
-        else:
-            cross = between(met, labels)
-            cross = cross if tested is None else cross.join(tested.select("x", "y"), ["x", "y"], "left_anti")
-            pairs_now = cross.select("x", "y") if step.startswith("all") else best_of_each(cross)
+    for step in ("best of each class", "best of each component", "all between components"):
+        cross = between(met, labels)
+        cross = cross if tested is None else cross.join(tested.select("x", "y"), ["x", "y"], "left_anti")
+        pairs_now = cross.select("x", "y") if step.startswith("all") else best_of_each(cross)
         told_now = materialize(measured(pairs_now, sets, share), "measured")
         links = told_now.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
         old += [told_now] if labels is None else [told_now, labels]
         labels = components(links if labels is None else links.unionByName(labels))
         tested = told_now if tested is None else tested.unionByName(told_now)
-    discard(met, sets, *old)
+    hidden = hidden_links(near.where("crowd"), labels, sets, share)
+    old += [labels, hidden]
+    labels = components(hidden.unionByName(labels))
+    discard(near, sets, *old)
     whole = classes.join(labels.select(F.col("u").alias("rep"), "v"), "rep", "left").select("n_shingles", "k1", "k2", F.coalesce("v", "rep").alias("component_id"))
     rows = told.join(whole, ["n_shingles", "k1", "k2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return rows.withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from lumenbase.llm.graph import components
-from lumenbase.llm.neardup import min_hashes, near_duplicates, shingle_set
+from lumenbase.llm.neardup import common_counts, min_hashes, near_duplicates, shingle_set
 
 
 def sets_of(rows, words):
@@ -106,3 +106,20 @@ def test_components(spark, one_task):
     want = classes(edges, {n for e in edges for n in e})
     assert got == {n: c for n, c in want.items() if n != c}
     assert components(spark.createDataFrame([], "u long, v long"), one_task=one_task).collect() == []
+
+
+def test_links_inside_a_crowded_group(docs):
+    # Texts of a template are at 150/188, just below the bound; planted pairs share one word more, 151/187, and look no
+    # more similar than the rest by signature.
+    rows = [(i, " ".join([f"t{k}" for k in range(150)] + [f"u{i}x{k}" for k in range(19)])) for i in range(2000)]
+    for i in range(0, 60, 3):
+        rows[i + 1000] = (i + 1000, rows[i + 1000][1].replace(f"u{i + 1000}x0", f"u{i}x0"))
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs(rows), words=1, share=80).collect()}
+    assert got == {i: i - 1000 if i in range(1000, 1060, 3) else i for i in range(2000)}
+
+
+@pytest.mark.parametrize("rare", [0, 4, 1 << 40])
+def test_common_counts(rare):
+    rng = np.random.default_rng(3)
+    one, two = ([np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint64)) for _ in range(n)] for n in (17, 23))
+    assert common_counts(one, two, columns=16, rare=rare).tolist() == [[len(np.intersect1d(a, b)) for b in two] for a in one]
