@@ -88,15 +88,28 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record: length and digest are taken from the
-    stored bytes before the join, so the join moves no payload. Type and original are parsed from the header block."""
-    stored = checked_payloads(spark, path).select("digest", "length")
-    head = F.col("header")
-    return read_headers(spark, path).join(stored, "digest").select(
-        F.regexp_extract(head, "\r\nWARC-Record-ID: <urn:page:(-?[0-9]+)>", 1).cast("long").alias("page_id"),
-        F.col("length").alias("payload_bytes"),
-        F.regexp_extract(head, "\r\nWARC-Payload-Digest: sha256:([0-9a-f]{64})", 1).alias("payload_digest"),
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record, all taken from the rebuilt record:
+    its header lines, and the body behind them or, of a revisit, the payload that its digest names. A record whose body
+    isn't of its Content-Length or whose payload doesn't give its header's digest ends the query."""
+    parts = read_records(spark, path).select("payload", "record", F.substring_index(F.col("record").cast("string"), CRLF + CRLF, 1).alias("head"))
+    head, before = F.col("head"), F.octet_length("head") + 4
+    parts = parts.select(
+        "head", "payload",
         F.regexp_extract(head, "^WARC/1.1\r\nWARC-Type: ([a-z]+)\r\n", 1).alias("record_type"),
+        F.regexp_extract(head, "\r\nContent-Length: ([0-9]+)$", 1).try_cast("long").alias("stated"),
+        F.regexp_extract(head, "\r\nWARC-Payload-Digest: sha256:([0-9a-f]{64})", 1).alias("named"),
+        F.substring("record", before + 1, F.octet_length("record") - before - 4).alias("body"),
+        F.substring("record", F.octet_length("record") - 3, F.lit(4)).alias("end"),
+    )
+    whole = (F.octet_length("body") == F.col("stated")) & (F.col("end") == F.lit(CRLF + CRLF).cast("binary"))
+    content = F.when(F.col("record_type") == "revisit", F.col("payload")).otherwise(F.col("body"))
+    parts = parts.withColumn("content", F.when(F.coalesce(whole, F.lit(False)), content).otherwise(F.raise_error(F.concat(F.lit("a record isn't of its Content-Length: "), "head"))))
+    parts = parts.select("head", "record_type", "named", F.octet_length("content").cast("long").alias("payload_bytes"), digest(F.col("content")).alias("found"))
+    return parts.select(
+        F.regexp_extract(head, "\r\nWARC-Record-ID: <urn:page:(-?[0-9]+)>", 1).cast("long").alias("page_id"),
+        "payload_bytes",
+        F.when(F.col("found") == F.col("named"), F.col("found")).otherwise(F.raise_error(F.concat(F.lit("a record doesn't give its digest: "), "head"))).alias("payload_digest"),
+        "record_type",
         F.regexp_extract(head, "\r\nWARC-Refers-To: <urn:page:(-?[0-9]+)>\r\n", 1).try_cast("long").alias("refers_to"),
     )
 

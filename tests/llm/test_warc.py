@@ -53,5 +53,16 @@ def test_a_changed_payload_is_noticed(spark):
         read_back(spark, path).collect()
 
 
+@pytest.mark.parametrize(("old", "new", "error"), [("(Content-Length: )", "$19", "isn't of its Content-Length"), ("sha256:[0-9a-f]{4}", "sha256:0000", "doesn't give its digest")])
+def test_a_changed_header_is_noticed(spark, old, new, error):
+    path = fresh_path(spark, "archive")
+    write_archive(pages(spark, ROWS), f"{path}/good")
+    for name, column in (("payloads", "payload"), ("headers", f"regexp_replace(header, '{old}', '{new}') as header")):
+        rows = spark.read.parquet(f"{path}/good/{name}")
+        rows.selectExpr(*[c for c in rows.columns if c not in ("payload", "header")], column).write.parquet(f"{path}/{name}")
+    with pytest.raises(Exception, match=error):
+        read_back(spark, path).collect()
+
+
 def test_empty(spark):
     assert archive(pages(spark, [])).collect() == []
