@@ -82,6 +82,26 @@ class EliasFano:
             value |= (int(self.low[i // 64]) >> (i % 64) & 1) << b
         return value
 
+    def select_each(self, k: np.ndarray) -> np.ndarray:
+        """The k-th numbers, each from the nearest select sample on."""
+        at, todo, one = self.samples[k // SAMPLE], k % SAMPLE, np.uint64(1)
+        word = (at // np.uint64(64)).astype(np.int64)
+        bit = at % np.uint64(64)
+        if not (self.high[word] >> bit & one).all():
+            raise ValueError("a select sample isn't at a boundary")
+        rest = self.high[word] >> bit << bit
+        while len(behind := np.flatnonzero((ones := np.bitwise_count(rest).astype(np.int64)) <= todo)):
+            todo[behind] -= ones[behind]
+            word[behind] += 1
+            rest[behind] = self.high[word[behind]]
+        for b in range(int(todo.max(initial=0))):
+            rest = np.where(todo > b, rest & (rest - one), rest)
+        value = word * 64 + np.bitwise_count((rest & (~rest + one)) - one).astype(np.int64) - k << self.low_bits
+        for b in range(self.low_bits):
+            i = k * self.low_bits + b
+            value |= (self.low[i // 64] >> (i % 64).astype(np.uint64) & one).astype(np.int64) << b
+        return value
+
     def all(self) -> np.ndarray:
         high = np.flatnonzero(bits_of(self.high))[: self.n] - np.arange(self.n)
         low = bits_of(self.low)[: self.n * self.low_bits].reshape(self.n, self.low_bits).astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64)) if self.low_bits else 0
@@ -163,7 +183,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for first, data in pairs(b):
                 shard = Shard.read(data)
-                ends = shard.ends.all()
+                ends = shard.ends.select_each(np.arange(shard.ends.n))
                 ids = shard.ids.astype("<u4")
                 crc = [zlib.crc32(ids[a:z]) for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 yield batch_of(schema, [shard.doc_ids, ends[:-1] + shared.value[first], np.diff(ends), crc])

@@ -1,11 +1,12 @@
 import zlib
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lumenbase.llm.common import tokenizer_file
-from lumenbase.llm.tokenfile import EliasFano, Shard, token_files, write_shard
+from lumenbase.llm.common import fresh_path, tokenizer_file
+from lumenbase.llm.tokenfile import EliasFano, Shard, read_token_files, token_files, write_shard
 
 
 @settings(deadline=None, max_examples=200)
@@ -17,6 +18,33 @@ def test_select_gives_every_number(steps):
     assert [ef.select(k) for k in range(len(values))] == values.tolist()
 
 
+@settings(deadline=None, max_examples=200)
+@given(st.lists(st.integers(0, 5000), max_size=300), st.randoms())
+def test_select_gives_any_numbers_at_once(steps, rng):
+    values = np.cumsum([0, *steps])
+    k = np.array([rng.randrange(len(values)) for _ in range(50)])
+    assert EliasFano.of(values).select_each(k).tolist() == values[k].tolist()
+
+
+def test_the_query_reads_the_select_samples(spark):
+    ids = [np.arange(k % 5, dtype="<u4").tobytes() for k in range(200)]
+    data = write_shard(list(range(200)), ids)
+    ef = Shard.read(data).ends
+    wrong = (ef.samples[1] + np.arange(1, 9, dtype=np.uint64))[[not int(ef.high[a // 64]) >> (a % 64) & 1 for a in map(int, ef.samples[1] + np.arange(1, 9, dtype=np.uint64))]][0]
+    samples = ef.samples.copy()
+    samples[1] = wrong
+    assert data.count(ef.samples.tobytes()) == 1
+    for name, shard in (("good", data), ("bad", data.replace(ef.samples.tobytes(), samples.tobytes()))):
+        path = fresh_path(spark, name)
+        spark.createDataFrame([(0, 200, sum(map(len, ids)) // 4, shard)], "first_doc long, n_docs long, n_ids long, data binary").write.parquet(path)
+        rows = read_token_files(spark, path)
+        if name == "good":
+            assert [r["n_tokens"] for r in rows.orderBy("doc_id").collect()] == [k % 5 for k in range(200)]
+        else:
+            with pytest.raises(Exception, match="a select sample isn't at a boundary"):
+                rows.collect()
+
+
 def test_space_is_near_the_bound():
     values = np.arange(0, 1_000_000, 100)
     ef = EliasFano.of(values)
