@@ -2,8 +2,8 @@
 
 Each window of `size` words is an edge of the De Bruijn graph over words. Windows are never shuffled one by one: those that
 follow each other in a text and have the same least `k`-word hash (their minimizer) form one path piece without a branch
-(a super-k-mer), and only the pieces travel, each as the hashes of its minimizer and of its whole word sequence and its
-source coordinates. Equal windows have equal minimizers, so they can only meet within a minimizer. Spark joins then settle
+(a super-k-mer), and only the pieces travel, each as the hash of its minimizer, two hashes of its whole word sequence and
+its source coordinates. Equal windows have equal minimizers, so they can only meet within a minimizer. Spark joins then settle
 each piece:
 
 * a minimizer that stands in one piece of the corpus only: nothing in it repeats (most pieces end here);
@@ -16,8 +16,8 @@ Earlier means: smaller doc_id, or in the same document an earlier start. Windows
 hashes that any number of documents may share; what is needed of such a group is its count or its minimum, which combine
 before the shuffle, and joins with its other rows can be split.
 
-Two pieces count as equal if the 64-bit hashes of minimizer and sequence are both equal; two windows, if both of their
-64-bit hashes are.
+Two pieces count as equal if their minimizers are and two independent 64-bit hashes of the whole word sequence are: one from
+the words' hashes, one of the words' bytes as the source has them. Two windows are equal if both of their 64-bit hashes are.
 
 Defined results: null text has no words; documents with fewer words than a window lose nothing; of a passage that repeats
 within one document the first stays; rows with a null id are left out and repeated ids count once (see common.keyed); an
@@ -29,13 +29,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenbase.llm.common import batch_of, discard, forget_caches, gram_hashes, keyed, materialize, mixed, pairs, utf8, word_hashes
 
-PIECES = pa.schema([("a", pa.int64()), ("v", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("folded", pa.bool_())])
-PIECES_DDL = "a long, v long, doc_id long, start int, n int, folded boolean"
+PIECES = pa.schema([("a", pa.int64()), ("v", pa.int64()), ("w", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("folded", pa.bool_())])
+PIECES_DDL = "a long, v long, w long, doc_id long, start int, n int, folded boolean"
 BASE = np.uint64(0x9FB21C651E98DF25)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -58,6 +59,12 @@ def span_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return mixed((sums[end] - sums[start]) * down[start] + mixed((end - start).astype(np.uint64)))
 
 
+def bytes_hashes(words: list[bytes], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each word sequence words[start:end]."""
+    digest, join = xxhash.xxh3_64_intdigest, b" ".join
+    return np.fromiter((digest(join(words[a:z])) for a, z in zip(start.tolist(), end.tolist(), strict=True)), np.uint64, len(start))
+
+
 def path_pieces(h: np.ndarray, size: int, k: int) -> tuple[np.ndarray, ...]:
     """minimizer, sequence hash, first window, number of windows, whether the minimizer stands twice in it: of each piece."""
     grams = gram_hashes(h, k)
@@ -81,7 +88,8 @@ def pieces_of(texts: DataFrame, size: int, k: int) -> DataFrame:
                 h = word_hashes(text)
                 if len(h) >= size:
                     a, v, first, n, folded = path_pieces(h, size, k)
-                    out.append((a.view(np.int64), v.view(np.int64), np.full(len(a), doc), first.astype(np.int32), n.astype(np.int32), folded))
+                    w = bytes_hashes(text.split(), first, first + n + size - 1)
+                    out.append((a.view(np.int64), v.view(np.int64), w.view(np.int64), np.full(len(a), doc), first.astype(np.int32), n.astype(np.int32), folded))
             if out:
                 yield batch_of(PIECES, [np.concatenate(c) for c in zip(*out, strict=True)])
 
@@ -93,11 +101,11 @@ def settled(texts: DataFrame, size: int, k: int) -> DataFrame:
     pieces = pieces_of(texts, size, k)
     counts = pieces.select("a", F.when(F.col("folded"), 2).otherwise(1).alias("c")).groupBy("a").agg(F.sum("c").alias("c"))
     kept = materialize(pieces.join(counts.where("c > 1").select("a"), "a"), "pieces")
-    variants = kept.groupBy("a").agg((F.min("v") < F.max("v")).alias("branches"), F.max("folded").alias("any_folded"))
-    first = kept.groupBy("a", "v").agg(F.min(F.struct("doc_id", "start")).alias("first"))
-    firsts = first.join(variants, "a").select("a", "v", "first", (F.col("branches") | F.col("any_folded")).alias("open"))
+    variants = kept.groupBy("a").agg(((F.min("v") < F.max("v")) | (F.min("w") < F.max("w"))).alias("branches"), F.max("folded").alias("any_folded"))
+    first = kept.groupBy("a", "v", "w").agg(F.min(F.struct("doc_id", "start")).alias("first"))
+    firsts = first.join(variants, "a").select("a", "v", "w", "first", (F.col("branches") | F.col("any_folded")).alias("open"))
     whole = F.struct("doc_id", "start") != F.col("first")
-    out = materialize(kept.join(firsts, ["a", "v"]).where(whole | F.col("open")).select("doc_id", "start", "n", whole.alias("whole")), "settled")
+    out = materialize(kept.join(firsts, ["a", "v", "w"]).where(whole | F.col("open")).select("doc_id", "start", "n", whole.alias("whole")), "settled")
     discard(kept)
     return out
 

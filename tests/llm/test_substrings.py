@@ -69,6 +69,12 @@ def test_repeats_within_one_document(docs):
     check(docs, rows)
 
 
+def test_pieces_whose_sums_collide(docs):
+    # The Thue-Morse word and its complement have equal polynomial hashes modulo 2^64, whatever the base.
+    signs = [bin(i).count("1") % 2 for i in range(2048)]
+    check(docs, [(1, " ".join("ab"[s] for s in signs)), (2, " ".join("ba"[s] for s in signs))], size=1500)
+
+
 def test_odd_rows(docs):
     rows = [(5, None), (1, ""), (2, " \n "), (None, "a " * 50), (7, "b " * 30), (7, "a c " * 30), (7, None), (8, "a c " * 30), (9, "é\x1c\xa0z " * 25), (-3, "é\x1c\xa0z " * 25)]
     check(docs, rows)
