@@ -2,12 +2,19 @@
 
 The standard library's parser streams events; they become lines (one block of text each) with the number of tags since the
 last one. The ratio of text to tags per line is smoothed with a Gaussian, and the lines above a threshold (the standard
-deviation of the smoothed ratios) are the cluster of content. The region that holds most of that cluster's text is the
-article, and all of its lines are returned, short ones too.
+deviation of the smoothed ratios) are the cluster of content. The innermost element that holds seven tenths of the cluster's
+text is the region of the article, and all of its lines are returned, short and linked ones too.
 
-What is no article by its markup is never a line: scripts, styles, comments, menus, page headers, footers, sidebars,
-notices, adverts, forms, hidden elements and reader comments, told by element, role, or a word of class or id. Of a header
-inside the article only headings stay.
+Markup is evidence beside the ratios:
+
+* what can't be an article's text by its element, role or state is never a line: scripts, styles, menus, page headers,
+  footers, asides, forms, hidden elements; of a header inside the article only headings stay;
+* a word of class or id, such as `sidebar` or `share`, divides the ratios of what is inside by ten, so that it must stand out
+  all the more to be in the cluster; what isn't is left out of the region too. The word says nothing if it is negated
+  (`has-sidebar`, `no-comments`) or the element holds the page's first heading or half of the cluster by ratio alone.
+  Readers' comments, adverts and notices on cookies go however large they are;
+* an <article> or <main> around the region, or an <article> within it that holds most of the cluster, completes the region;
+  without one, headings right beside the region do.
 
 Defined results: null, empty or textless html gives the empty text; unclosed and crossed elements are closed as far as the
 next end tag demands; character references are decoded, unknown ones stay as they are; white space (also a line break
@@ -31,9 +38,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 DROPPED = frozenset("head script style noscript template svg math iframe object canvas audio video nav footer aside form button select textarea fieldset dialog menu map".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-DROPPED_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside widget cookie cookies consent gdpr banner notice notices notification popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus reply replies respond toolbar pagination pager copyright masthead topbar skip".split()
+LAYOUT_WORDS = frozenset(
+    "promo promotion nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside widget banner notice notices notification popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations toolbar pagination pager copyright masthead topbar skip".split()
 )
+STRICT_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr comment comments disqus reply replies respond".split())
+NEGATED, FREE = frozenset("has no with without not non".split()), "free"
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 REGIONS = ("article", "main")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -47,6 +56,7 @@ class Element:
     number: int
     dropped: bool
     heading_only: bool
+    said: str  # "", "layout" or "strict": what a word of class or id says
 
 
 @dataclass
@@ -54,7 +64,22 @@ class Line:
     text: str
     tags: int
     linked: int
-    inside: tuple[int, ...]
+    inside: tuple[int, ...]  # the regions around it, from the outermost
+    said: tuple[tuple[int, str], ...]  # the elements around it of which a word says something
+    heading: bool
+
+
+def what_words_say(names: str) -> str:
+    """Of class names and ids in lower case: 'strict' before 'layout' before ''. A name may negate its words."""
+    found = ""
+    for name in names.split():
+        words = SPLIT.split(name)
+        if NEGATED.isdisjoint(words) and FREE not in words:
+            if not STRICT_WORDS.isdisjoint(words):
+                return "strict"
+            if not LAYOUT_WORDS.isdisjoint(words):
+                found = "layout"
+    return found
 
 
 @dataclass
@@ -74,18 +99,15 @@ class Reader(HTMLParser):
         text = " ".join("".join(self.said).split())
         if text:
             inside = tuple(e.number for e in self.open if e.number in self.regions)
-            self.lines.append(Line(text, max(1, self.tags), min(self.linked, len(text)), inside))
+            said = tuple((e.number, e.said) for e in self.open if e.said)
+            self.lines.append(Line(text, max(1, self.tags), min(self.linked, len(text)), inside, said, any(e.tag in HEADINGS for e in self.open)))
             self.tags = 0
         self.said, self.linked = [], 0
 
     def dropped(self, tag: str, attrs: dict) -> bool:
         if tag in DROPPED or tag == "header" and not any(e.tag in REGIONS for e in self.open):
             return True
-        if (attrs.get("role") or "").lower() in DROPPED_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or HIDDEN.search(attrs.get("style") or ""):
-            return True
-        if tag in ("html", "body", *REGIONS) and not {"comment", "comments"} & set(SPLIT.split((attrs.get("class") or "").lower())):
-            return False
-        return not DROPPED_WORDS.isdisjoint(SPLIT.split(f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()))
+        return (attrs.get("role") or "").lower() in DROPPED_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(HIDDEN.search(attrs.get("style") or ""))
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
@@ -101,12 +123,14 @@ class Reader(HTMLParser):
                 self.close_to("p")
         up = self.open[-1] if self.open else None
         kept_heading = up is not None and up.heading_only and tag in HEADINGS
-        dropped = (up is not None and up.dropped and not kept_heading) or self.dropped(tag, dict(attrs))
+        named = dict(attrs)
+        dropped = (up is not None and up.dropped and not kept_heading) or self.dropped(tag, named)
+        said = "" if dropped or tag in ("html", "body") else what_words_say(f"{named.get('class') or ''} {named.get('id') or ''}".lower())
         inner_header = tag == "header" and not dropped
         self.count += 1
         if tag not in INLINE and tag != "p" and tag not in HEADINGS and not dropped:
             self.regions[self.count] = tag
-        self.open.append(Element(tag, self.count, dropped or inner_header, inner_header or (up is not None and up.heading_only and not kept_heading)))
+        self.open.append(Element(tag, self.count, dropped or inner_header, inner_header or (up is not None and up.heading_only and not kept_heading), said))
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -153,34 +177,70 @@ def smoothed(ratios: list[float]) -> list[float]:
     return [sum(w * x for w, x in zip(weights, wide[k : k + len(weights)], strict=True)) / total for k in range(len(ratios))]
 
 
-def content_cluster(lines: list[Line]) -> list[bool]:
-    """Of each line, whether its smoothed ratio of text to tags is above the threshold; linked text doesn't count."""
+def content_cluster(lines: list[Line], factors: list[float]) -> list[bool]:
+    """Of each line, whether its smoothed ratio of text to tags, times its factor, is above the threshold: the deviation of
+    the ratios of lines with factor 1. Linked text doesn't count."""
     ratios = smoothed([(len(x.text) - x.linked) / x.tags for x in lines])
-    mean = sum(ratios) / len(ratios)
-    bound = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
-    above = [r > bound for r in ratios]
-    return above if any(above) else [True] * len(lines)
+    plain = [r for r, f in zip(ratios, factors, strict=True) if f == 1] or ratios
+    mean = sum(plain) / len(plain)
+    bound = math.sqrt(sum((r - mean) ** 2 for r in plain) / len(plain))
+    above = [r * f > bound for r, f in zip(ratios, factors, strict=True)]
+    return above if any(above) else [f == 1 for f in factors]
+
+
+def total(lines: list[Line]) -> int:
+    return sum(len(x.text) for x in lines)
+
+
+def believed(lines: list[Line]) -> dict[int, str]:
+    """The elements of which a word of class or id is to be believed."""
+    said = dict(s for x in lines for s in x.said)
+    if not said:
+        return said
+    top = next((x for x in lines if x.heading), None)
+    strict = [any(kind == "strict" for _, kind in x.said) for x in lines]
+    large = [x for x, good, no in zip(lines, content_cluster(lines, [1.0] * len(lines)), strict, strict=True) if good and not no]
+    held: dict[int, int] = {}
+    for x in large:
+        for number, _ in x.said:
+            held[number] = held.get(number, 0) + len(x.text)
+    whole = {n for n, _ in top.said} if top is not None else set()
+    return {n: kind for n, kind in said.items() if n not in whole and (kind == "strict" or 2 * held.get(n, 0) < total(large) or not large)}
+
+
+def region_of(lines: list[Line], cluster: list[Line], regions: dict[int, str]) -> int | None:
+    """The element whose lines are the article; None for the whole page."""
+    weight: dict[int, int] = {}
+    around: dict[int, tuple[int, ...]] = {}
+    for x in cluster:
+        for depth, r in enumerate(x.inside):
+            weight[r] = weight.get(r, 0) + len(x.text)
+            around[r] = x.inside[: depth + 1]
+    whole = total(cluster)
+    region = max((r for r in weight if 10 * weight[r] >= 7 * whole), default=None)  # the innermost
+    chain = around.get(region, ())
+    for tag in REGIONS:
+        if near := [r for r in chain if regions[r] == tag]:
+            return near[-1]
+        if inner := [r for r in weight if regions[r] == tag and 2 * weight[r] > whole and around[r][: len(chain)] == chain]:
+            return max(inner, key=lambda r: (weight[r], -r))
+    for up in reversed(chain[:-1]):
+        beside = [x for x in lines if up in x.inside and region not in x.inside]
+        if not beside or not all(x.heading for x in beside):
+            break
+        region = up
+    return region
 
 
 def main_text(page: str | None) -> str:
     lines, regions = read_lines(page or "")
-    if not lines:
-        return ""
-    weight: dict[int, int] = {}
-    total = 0
-    for line, good in zip(lines, content_cluster(lines), strict=True):
-        if good:
-            total += len(line.text)
-            for r in line.inside:
-                weight[r] = weight.get(r, 0) + len(line.text)
-    named = [r for r in weight if regions[r] in REGIONS]
-    if named:
-        most = max(weight[r] for r in named)
-        region = max((r for r in named if 2 * weight[r] > most), key=lambda r: (regions[r] == "article", weight[r], -r))
-        return "\n".join(x.text for x in lines if region in x.inside)
-    holding = [r for r in weight if 10 * weight[r] >= 7 * total]
-    region = max(holding, default=None)  # the innermost that holds most of the cluster
-    return "\n".join(x.text for x in lines if (region is None or region in x.inside) and 2 * x.linked <= len(x.text))
+    trusted = believed(lines)
+    factors = [0.1 if any(n in trusted for n, _ in x.said) else 1.0 for x in lines]
+    strict = [any(trusted.get(n) == "strict" for n, _ in x.said) for x in lines]
+    good = content_cluster(lines, factors) if lines else []
+    kept = [x for x, inside, f, no in zip(lines, good, factors, strict, strict=True) if not no and (inside or f == 1)]
+    region = region_of(kept, [x for x, inside, no in zip(lines, good, strict, strict=True) if inside and not no], regions)
+    return "\n".join(x.text for x in kept if region is None or region in x.inside)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
