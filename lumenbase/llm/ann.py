@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenbase.llm.common import batch_of, materialize
+from lumenbase.llm.common import batch_of, lasting
 from lumenbase.llm.vectors import best, candidates_of, matrix, query_blocks, top, vectors_of, widened
 
 CODED = pa.schema([("cell", pa.int32()), ("vec_id", pa.int64()), ("codes", pa.binary())])
@@ -103,7 +103,7 @@ def build_index(rows: DataFrame, model: Quantiser) -> DataFrame:
             cell, codes = shared.value.code(x) if len(x) else (np.zeros(0, np.int64), np.zeros((0, 1), np.uint8))
             yield batch_of(CODED, [pa.array(cell.astype(np.int32)), b.column(0).to_numpy()[at[some]], [c.tobytes() for c in codes]])
 
-    return materialize(rows.mapInArrow(code, "cell int, vec_id long, codes binary"), "ivf")
+    return lasting(rows.mapInArrow(code, "cell int, vec_id long, codes binary"), "ivf")
 
 
 def cosine(x: np.ndarray, q: np.ndarray) -> np.ndarray:

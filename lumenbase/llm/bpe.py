@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenbase.llm.common import batch_of, cut_spaced, is_scan, keyed, materialize, pairs, tokenizer_file
+from lumenbase.llm.common import batch_of, cut_spaced, is_scan, keyed, lasting, pairs, partitions_for, tokenizer_file
 
 PART = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
 PART_DDL = "block long, bucket int, kind int, data binary"
@@ -207,11 +207,10 @@ def joined(answers: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def encoded(docs: DataFrame, finish, schema: pa.Schema, ddl: str, path: str | None, pattern: str | None, id_col: str, text_col: str, block_chars: int, chunk: int) -> DataFrame:
     import public_tokenizers
 
-    spark = docs.sparkSession
     path, pattern = path or tokenizer_file("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = keyed(docs, id_col, text_col)
-    texts = texts if is_scan(texts) else materialize(texts, "texts")
+    texts = texts if is_scan(texts) else lasting(texts, "texts")
+    parts = partitions_for(texts)
     asked = blocks_of(texts, ASKED, block_chars, parts, chunk).repartition(parts, "bucket").sortWithinPartitions("bucket")
     both = encode_pieces(asked, path, pattern).unionByName(blocks_of(texts, PLACES, block_chars, parts, chunk))
     return assemble(both.repartition(parts, "block").sortWithinPartitions("block", "kind"), finish, schema, ddl)

@@ -21,9 +21,12 @@ GRAM = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session, whose driver and executors are
+    one process, gets a folder of its own where that is unset; a cluster without it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="lumenbase-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(named)
@@ -52,6 +55,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return stored
 
 
+LEFT: dict[str, list[str]] = {}
+
+
+def release_later(spark: SparkSession, path: str) -> None:
+    """Note a path that a returned, lazy plan still reads; release() deletes it."""
+    LEFT.setdefault(spark.sparkContext.applicationId, []).append(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that results of this application's operators read, once those results have been used; how many."""
+    paths = LEFT.pop(spark.sparkContext.applicationId, [])
+    for at in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
+
+
+def lasting(df: DataFrame, name: str) -> DataFrame:
+    """materialize() for a table that the returned result reads."""
+    stored = materialize(df, name)
+    release_later(df.sparkSession, stored.stored_at)
+    return stored
+
+
 def discard(*stored: DataFrame) -> None:
     """Delete tables of materialize() that no later plan reads."""
     for df in stored:
@@ -110,6 +137,16 @@ def is_scan(df: DataFrame) -> bool:
     return True
 
 
+def partitions_for(df: DataFrame, each: int = 128 << 20) -> int:
+    """How many partitions a shuffle of df should have: spark.sql.shuffle.partitions, or more where df is a scan of files and
+    its estimated size asks for it, so that tasks stay alike as tables grow."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not is_scan(df):
+        return least
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, min(-(-size // each), 200_000))
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Arrow batches of a few megabytes, however long the texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))

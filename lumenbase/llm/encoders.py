@@ -2,13 +2,15 @@
 
 A text is cut only where its tokenizer cuts too: at ASCII white space if the tokenizer drops white space, else before a
 space that follows a non-space. A new piece of plain letters, or of what the tokenizer's own splitting pattern makes of it,
-goes straight to the library's BPE model; anything unusual goes through the library's whole chain. Files of other kinds
-than the two known here are encoded text by text."""
+goes straight to the library's BPE model; anything unusual goes through the library's whole chain, and so does a piece that
+spells a special token, which gets that token's id, as the library does by default. Files of other kinds than the two known
+here, or with added tokens that hold white space, look beyond themselves or are plain letters, are encoded text by text."""
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import sys
 from array import array
 from collections.abc import Iterator
@@ -63,14 +65,15 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
-        self.tokenizer.encode_special_tokens = True
         self.model, self.letters = self.tokenizer.model, byte_letters()
         norm, pre = (json.loads(x.__getstate__()) if x is not None else None for x in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer))
         pre = pre or {}
         steps = [s.get("type") for s in (norm or {}).get("normalizers", [])]
         splits = [s.get("type") for s in pre.get("pretokenizers", [])]
         self.kind = "other"
-        if type(self.model).__name__ != "BPE":
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = re.compile("|".join(re.escape(t.content) for t in added)).search if added else (lambda text: None)
+        if type(self.model).__name__ != "BPE" or any(t.lstrip or t.rstrip or t.single_word or t.content.isalpha() or re.search(r"\s", t.content) for t in added):
             pass
         elif norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
             self.kind, pattern = "spaced", BYTE_LEVEL_PATTERN
@@ -85,7 +88,7 @@ class TextEncoder:
 
     def piece_ids(self, piece: str) -> list[int]:
         """Characters below U+0300 are their own NFC form and lower-case by themselves, without regard to what follows."""
-        if not piece or max(piece) >= "\u0300":
+        if not piece or max(piece) >= "\u0300" or self.special(piece):
             return self.whole(piece)
         if self.kind == "words":
             piece = piece.lower()

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenbase.llm.common import batch_of, keyed, materialize, pairs, tokenizer_file
+from lumenbase.llm.common import batch_of, keyed, lasting, pairs, tokenizer_file
 from lumenbase.llm.encoders import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -118,7 +118,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, size: int = 20
     The rank among equal lengths is dealt in groups of about `rows_a_group` rows, so that no common length meets in one
     task; the groups' counts are the only thing summed in one place (lengths x groups numbers)."""
     spark = docs.sparkSession
-    pieces = materialize(token_pieces(docs, tokenizer or tokenizer_file("word_bpe_49k.json"), size, id_col, text_col, end_id), "pieces")
+    pieces = lasting(token_pieces(docs, tokenizer or tokenizer_file("word_bpe_49k.json"), size, id_col, text_col, end_id), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs, _ = plan_bins(counts, size)
     plan = spark.sparkContext.broadcast({k: tuple(np.array(c, dtype=np.int64) for c in zip(*v, strict=True)) for k, v in runs.items()})

@@ -5,7 +5,7 @@ document, and the total) never fall, so they are Elias-Fano coded: of each, the
 rest in unary in a bit vector with about two bits a document. A select structure (the bit position of every 64th one) gives
 any document's offset in constant time. That takes about 2 + log2(ids / documents) bits a document rather than 64.
 
-Shards are rows (base name, bytes) of a Parquet table in the shared folder, so any store that Spark reaches can hold them;
+Shards are rows of a Parquet table in the shared folder, so any store that Spark reaches can hold them;
 each `data` value is a whole file in the format below. Shards follow each other in ascending doc_id order.
 
 Format, little-endian: 8 bytes magic; unsigned 64-bit n documents, total ids, l, bytes an id (2 or 4), words of low bits,
@@ -23,12 +23,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lumenbase.llm.common import batch_of, fresh_path, keyed, pairs, tokenizer_file
+from lumenbase.llm.common import batch_of, forget_caches, fresh_path, keyed, pairs, partitions_for, release_later, tokenizer_file
 from lumenbase.llm.encoders import encoder
 
+SHARDS = "part int, first_doc long, n_docs long, n_ids long, data binary"
 MAGIC = b"LBIDS\x00\x00\x01"
 SAMPLE = 64
 
@@ -142,57 +145,64 @@ class Shard:
         return self.ids[self.ends.select(k) : self.ends.select(k + 1)].astype("<u4")
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shard_bytes: int = 16_000_000) -> None:
-    """Sort by doc_id over ranges, encode and write shards of about `shard_bytes`. A task holds one shard at a time."""
+def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shard_bytes: int = 16_000_000, keep: int = 400_000) -> None:
+    """Sort by doc_id over ranges, encode and write shards of about `shard_bytes`. A task holds one shard at a time, and a
+    worker remembers `keep` pieces."""
     name = tokenizer or tokenizer_file("byte_bpe_50k.json")
-    schema = pa.schema([("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def shards(batches) -> Iterator[pa.RecordBatch]:
-        enc, docs_in, ids_in, held = encoder(name, 700_000), [], [], 0
+        enc, docs_in, ids_in, held = encoder(name, keep), [], [], 0
+        part = TaskContext.get().partitionId()
+
+        def shard() -> pa.RecordBatch:
+            return batch_of(schema, [[part], [docs_in[0]], [len(docs_in)], [held // 4], [write_shard(docs_in, ids_in)]])
+
         for b in batches:
             for doc, ids in zip(b.column(0).to_pylist(), enc.encode_all(t for _, t in pairs(b)), strict=True):
                 docs_in.append(doc)
                 ids_in.append(ids + end)
                 held += len(ids_in[-1])
                 if held >= 2 * shard_bytes:
-                    yield batch_of(schema, [[docs_in[0]], [len(docs_in)], [held // 4], [write_shard(docs_in, ids_in)]])
+                    yield shard()
                     docs_in, ids_in, held = [], [], 0
         if docs_in:
-            yield batch_of(schema, [[docs_in[0]], [len(docs_in)], [held // 4], [write_shard(docs_in, ids_in)]])
+            yield shard()
 
     base = keyed(docs, id_col, text_col)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = base.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(shards, "first_doc long, n_docs long, n_ids long, data binary").write.option("compression", "none").parquet(path)
+    ordered = base.repartitionByRange(partitions_for(base), "doc_id").sortWithinPartitions("doc_id")
+    ordered.mapInArrow(shards, SHARDS).write.option("compression", "none").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the shards alone. The number of ids before a shard comes
-    from the shards' own counts (one small row a shard)."""
-    files = spark.read.schema("first_doc long, n_docs long, n_ids long, data binary").parquet(path)
-    heads = sorted(files.select("first_doc", "n_ids").collect())
-    before, total = {}, 0
-    for h in heads:
-        before[h["first_doc"]] = total
-        total += h["n_ids"]
-    shared = spark.sparkContext.broadcast(before)
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+    from the shards' own counts: running sums within what one task wrote, and over those tasks' totals; documents get it by a
+    join. Ranges of documents are written by tasks in ascending order."""
+    files = spark.read.schema(SHARDS).parquet(path)
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row a task that wrote
+    parts = parts.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("of_parts"))
+    upto = F.sum("n_ids").over(Window.partitionBy("part").orderBy("first_doc").rowsBetween(Window.unboundedPreceding, 0))
+    before = files.select("part", "first_doc", (upto - F.col("n_ids")).alias("own")).join(parts, "part").select("first_doc", (F.col("own") + F.col("of_parts")).alias("before"))
+    schema = pa.schema([("first_doc", pa.int64()), ("doc_id", pa.int64()), ("own", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def documents(batches):
+        forget_caches()
         for b in batches:
             for first, data in pairs(b):
                 shard = Shard.read(data)
                 ends = shard.ends.select_each(np.arange(shard.ends.n))
                 ids = shard.ids.astype("<u4")
                 crc = [zlib.crc32(ids[a:z]) for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                yield batch_of(schema, [shard.doc_ids, ends[:-1] + shared.value[first], np.diff(ends), crc])
+                yield batch_of(schema, [np.full(len(crc), first), shard.doc_ids, ends[:-1], np.diff(ends), crc])
 
-    return files.select("first_doc", "data").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = files.select("first_doc", "data").mapInArrow(documents, "first_doc long, doc_id long, own long, n_tokens long, ids_crc32 long")
+    return rows.join(before, "first_doc").select("doc_id", (F.col("own") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_files(docs: DataFrame, **options) -> DataFrame:
     """Write the documents' token files to the shared folder and read them back."""
     path = fresh_path(docs.sparkSession, "token-files")
+    release_later(docs.sparkSession, path)
     write_token_files(docs, path, **options)
     return read_token_files(docs.sparkSession, path)

@@ -16,9 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenbase.llm.common import fresh_path
+from lumenbase.llm.common import fresh_path, release_later
 
 CRLF = "\r\n"
+#: Fixed value: the standard's profile of a revisit with an identical payload.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def digest(payload: Column) -> Column:
@@ -32,23 +34,25 @@ def one_row_per_page(pages: DataFrame, id_col: str, url_col: str, html_col: str)
     return rows
 
 
-def header_block(page_id: Column, url: Column, kind: Column, refers_to: Column, payload_digest: Column, length: Column) -> Column:
+def header_block(page_id: Column, url: Column, kind: Column, refers_to: Column, payload_digest: Column, length: Column, date: str) -> Column:
     """The record's header lines, exact to the byte."""
     record = F.concat(F.lit("<urn:page:"), page_id, F.lit(">"))
     original = F.concat(F.lit(f"{CRLF}WARC-Refers-To: <urn:page:"), refers_to, F.lit(">"))
     return F.concat(
         F.lit(f"WARC/1.1{CRLF}WARC-Type: "), kind,
         F.lit(f"{CRLF}WARC-Record-ID: "), record,
+        F.lit(f"{CRLF}WARC-Date: {date}"),
         F.lit(f"{CRLF}WARC-Target-URI: "), F.regexp_replace(F.coalesce(url, F.lit("")), "[\r\n]", " "),
         F.lit(f"{CRLF}WARC-Payload-Digest: sha256:"), payload_digest,
         F.coalesce(original, F.lit("")),
+        F.when(kind == "revisit", F.lit(f"{CRLF}WARC-Profile: {PROFILE}")).otherwise(F.lit("")),
         F.lit(f"{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.when(kind == "revisit", F.lit(0)).otherwise(length),
         F.lit(CRLF),
     )
 
 
-def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100) -> None:
-    """Write `path`/payloads and `path`/headers. A payload moves once, for its first page; headers never carry it."""
+def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100, date: str = "1970-01-01T00:00:00Z") -> None:
+    """Write `path`/payloads and `path`/headers. `date`: the WARC-Date of all records, for the pages have none of their own. A payload moves once, for its first page; headers never carry it."""
     rows = one_row_per_page(pages, id_col, url_col, html_col)
     heads = rows.select("page_id", "url", digest(F.col("payload")).alias("digest"), F.octet_length("payload").cast("long").alias("length"), F.md5("payload").alias("second"))
     spark = pages.sparkSession
@@ -62,7 +66,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     records = heads.join(first, "digest").select("page_id", "url", kind.alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"), "digest", "length")
     records.select(
         "page_id", "url", "record_type", "refers_to", "digest",
-        header_block(F.col("page_id"), F.col("url"), F.col("record_type"), F.col("refers_to"), F.col("digest"), F.col("length")).alias("header"),
+        header_block(F.col("page_id"), F.col("url"), F.col("record_type"), F.col("refers_to"), F.col("digest"), F.col("length"), date).alias("header"),
     ).write.parquet(f"{path}/headers")
     owners = first.select(F.col("first").alias("page_id"), "digest")
     rows.select("page_id", "payload").join(owners, "page_id").select("digest", F.octet_length("payload").cast("long").alias("length"), "payload").write.parquet(f"{path}/payloads")
@@ -117,5 +121,6 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
 def archive(pages: DataFrame, **options) -> DataFrame:
     """Write the archive of all pages to the shared folder and read it back."""
     path = fresh_path(pages.sparkSession, "archive")
+    release_later(pages.sparkSession, path)
     write_archive(pages, path, **options)
     return read_back(pages.sparkSession, path)

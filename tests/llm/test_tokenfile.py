@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lumenbase.llm.common import fresh_path, tokenizer_file
+from lumenbase.llm.encoders import TextEncoder
 from lumenbase.llm.tokenfile import EliasFano, Shard, read_token_files, token_files, write_shard
 
 
@@ -36,7 +37,7 @@ def test_the_query_reads_the_select_samples(spark):
     assert data.count(ef.samples.tobytes()) == 1
     for name, shard in (("good", data), ("bad", data.replace(ef.samples.tobytes(), samples.tobytes()))):
         path = fresh_path(spark, name)
-        spark.createDataFrame([(0, 200, sum(map(len, ids)) // 4, shard)], "first_doc long, n_docs long, n_ids long, data binary").write.parquet(path)
+        spark.createDataFrame([(0, 0, 200, sum(map(len, ids)) // 4, shard)], "part int, first_doc long, n_docs long, n_ids long, data binary").write.parquet(path)
         rows = read_token_files(spark, path)
         if name == "good":
             assert [r["n_tokens"] for r in rows.orderBy("doc_id").collect()] == [k % 5 for k in range(200)]
@@ -64,7 +65,6 @@ def test_files_hold_the_librarys_ids(docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rows = [(9, "A  b\n c"), (-4, None), (2, ""), (7, "naïve café <|endoftext|> 中文 \x1c x"), (8, "x" * 50_000), (30, "A  b\n c")]
     got = token_files(docs([*rows, (None, "gone"), (2, "")])).collect()
     start, want = 0, []
@@ -80,3 +80,25 @@ def test_small_shards_follow_each_other(docs):
     rows = [(i, "some words here " * (i % 7)) for i in range(200)]
     one = sorted(map(tuple, token_files(docs(rows)).collect()))
     assert sorted(map(tuple, token_files(docs(rows), shard_bytes=100).collect())) == one
+
+
+def test_text_that_spells_a_special_token_gets_its_id(docs):
+    enc = TextEncoder(tokenizer_file("byte_bpe_50k.json"))
+    assert np.frombuffer(enc.encode("a <|endoftext|> b"), "<u4").tolist() == enc.whole("a <|endoftext|> b") == [64, 220, 50256, 275]
+    for text in ("<|endoftext|>", "x<|endoftext|><|endoftext|>.", "a  <|endoftext|>\n b", "<|endoftext|", "A<|ENDOFTEXT|>", " <|endoftext|> ."):
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.whole(text)
+
+
+def test_other_columns_may_have_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "a b", 7, "x", "y"), (2, "c", 8, "x", None)], "doc_id long, text string, start long, data string, part string")
+    assert sorted(r["doc_id"] for r in token_files(rows).collect()) == [1, 2]
+
+
+def test_rows_over_several_tasks_and_shards(spark, docs):
+    rows = [(i, "word " * (i % 11)) for i in range(300)]
+    got = sorted(map(tuple, token_files(docs(rows).repartition(5), shard_bytes=200).collect()))
+    at = 0
+    for doc, start, n, _ in got:
+        assert start == at
+        at += n
+    assert [r[0] for r in got] == list(range(300))
