@@ -4,25 +4,25 @@ descent in numpy, with a temperature and a rejection bound calibrated on rows ke
 Nothing but the text enters a prediction. Since both layers are linear, the trained model is one table of logits per
 subword bucket (buckets x languages), which has a fixed size and is what the executors get.
 
-Defined results: a text that is null, empty or without a letter gets `und`, score 0 and is rejected; rows with a null id
+Defined results: a text that is null, empty or without a letter (Unicode category L; ½, ² and Ⅳ are none) gets `und`, score 0 and is rejected; rows with a null id
 are left out and repeated ids count once (see common.keyed); without a labelled row the model knows no language and
 every text is `und`. Texts of any length are read whole."""
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenbase.llm.common import batch_of, forget_caches, keyed, pairs
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 UND = "und"
 
 

@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -29,9 +30,9 @@ def test_held_out_accuracy_and_fold(docs, rows):
 
 def test_nulls_junk_and_repeats(docs, rows):
     model = train([(t, lang) for _, t, lang in rows])
-    got = {r["doc_id"]: r for r in identify(docs([(1, None), (2, ""), (3, "12 34 -- !!"), (4, "the and that"), (4, None), (None, "the"), (5, "der " * 30_000)]), model).collect()}
-    assert {i: r["lang_pred"] for i, r in got.items()} == {1: UND, 2: UND, 3: UND, 4: "en", 5: "de"}
-    assert all(got[i]["rejected"] and got[i]["score"] == 0 for i in (1, 2, 3))
+    got = {r["doc_id"]: r for r in identify(docs([(1, None), (2, ""), (3, "12 34 -- !!"), (6, "½ ² ① Ⅳ"), (4, "the and that"), (4, None), (None, "the"), (5, "der " * 30_000)]), model).collect()}
+    assert {i: r["lang_pred"] for i, r in got.items()} == {1: UND, 2: UND, 3: UND, 6: UND, 4: "en", 5: "de"}
+    assert all(got[i]["rejected"] and got[i]["score"] == 0 for i in (1, 2, 3, 6))
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
@@ -54,3 +55,15 @@ def test_subwords_stay_within_a_word():
     assert set(owner.tolist()) == {0, 2}
     alone, _ = subwords(["ab"], 1 << 20)
     assert sorted(grams[owner == 0].tolist()) == sorted(alone.tolist())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_held_out_accuracy_on_the_documents(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = identify_documents(rows).where("held_out").join(rows.where("lang is not null").select("doc_id", "lang"), "doc_id").collect()
+    assert len(held) > 150 and sum(r["lang_pred"] == r["lang"] for r in held) >= 0.98 * len(held)
+
+
+def test_other_columns_may_have_clashing_names(docs, rows):
+    frame = docs(rows[:200]).selectExpr("*", "1 as score", "2 as held_out", "'x' as lang_pred", "true as rejected")
+    assert identify_documents(frame).count() == 200
