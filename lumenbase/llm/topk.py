@@ -7,8 +7,9 @@ reaches cutoff / groups, for otherwise its whole score is below the cutoff; and
 reach it, with cutoff / groups for each other one, can sum to the cutoff. Phase 3 resolves the remaining local scores of
 the entries left, exactly, and keeps those at or above the cutoff.
 
-Components are floor(1024 * x); scores are integers. Local sums are computed in doubles while they are certain to be exact,
-else in Python integers; a score beyond 64 bits becomes the nearest one within.
+Components are floor(1024 * x); scores are integers. Local sums are computed in doubles where they are certain to be exact,
+and in Python integers for the vectors that are too large for that, up to the largest double; a score beyond 64 bits becomes
+the nearest one within.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part; a shorter vector counts as
 padded with zeros; a query is never its own candidate; fewer candidates than k are all returned; rows with a null id are
@@ -29,18 +30,42 @@ ENTRIES_DDL = "query_id long, vec_id long, score long"
 
 
 def whole_numbers(x: np.ndarray, scale: int) -> np.ndarray:
-    """floor(scale * x) as doubles, which hold them exactly, or as Python integers where products might not be exact."""
-    y = np.floor(scale * x)
-    return y if not y.size or np.abs(y).max() < 2.0**20 and y.shape[1] < 1 << 12 else np.vectorize(int, otypes=[object])(y)
+    """floor(scale * x): as doubles, which hold them exactly up to 2**53; if one is larger, all as Python integers."""
+    with np.errstate(over="ignore"):
+        y = np.floor(scale * x)
+    if not y.size or np.abs(y).max() < 2.0**53:
+        return y
+    return np.array([int(a) if np.isfinite(a) else int(b) * scale for a, b in zip(y.ravel().tolist(), x.ravel().tolist(), strict=True)], object).reshape(y.shape)
+
+
+def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """x times the transpose of q, exactly: rows and queries so large that a sum might leave 2**53 in Python integers."""
+    bound = 2.0 ** ((53 - max(1, x.shape[1]).bit_length()) / 2)
+    large = [(np.abs(m) >= bound).any(1) for m in (x, q)]
+    if not large[0].any() and not large[1].any():
+        return x.astype(float, copy=False).dot(q.astype(float, copy=False).T)
+    out = np.empty((len(x), len(q)), object)
+    whole = [np.array([[int(a) for a in row] for row in m.tolist()], object).reshape(m.shape) for m in (x, q)]
+    for r in (False, True):
+        for c in (False, True):
+            at, of = np.flatnonzero(large[0] == r), np.flatnonzero(large[1] == c)
+            part = whole[0][at].dot(whole[1][of].T) if r or c else x[at].astype(float).dot(q[of].astype(float).T).astype(np.int64).astype(object)
+            out[np.ix_(at, of)] = part
+    return out
 
 
 def local_scores(x: np.ndarray, q: np.ndarray, groups: int) -> list[np.ndarray]:
     """rows x queries, for each group of components."""
     dim = max(x.shape[1], q.shape[1])
     x, q = widened(x, dim), widened(q, dim)
-    if object in (x.dtype, q.dtype):
-        x, q = x.astype(object), q.astype(object)
-    return [x[:, a].dot(q[:, a].T) for a in np.array_split(np.arange(dim), groups)]
+    local = [products(x[:, a], q[:, a]) for a in np.array_split(np.arange(dim), groups)]
+    mixed = len({s.dtype for s in local}) > 1
+    return [s.astype(np.int64).astype(object) if mixed and s.dtype != object else s for s in local]
+
+
+def lowest(s: np.ndarray):
+    """Below every score that isn't less than all of s."""
+    return -np.inf if s.dtype != object else min(s.ravel(), default=0) - 1
 
 
 def longs(scores: np.ndarray) -> np.ndarray:
@@ -72,13 +97,12 @@ def exact_top(vectors: DataFrame, chosen: Column, k: int = 10, groups: int = 4,
             held = [np.zeros(0, np.int64)] * 3
             for b in batches:
                 for vec, q, _, local, own in scanned(b, ids, queries, groups, scale):
-                    total = sum(local)
-                    listed = np.zeros(total.shape, bool)
+                    listed = np.zeros(own.shape, bool)
                     for s in local:
-                        column, row = candidates_of(np.where(own, -np.inf, s), k)
+                        column, row = candidates_of(np.where(own, lowest(s), s), k)
                         listed[row, column] = True
                     row, column = np.nonzero(listed & ~own)
-                    new = q[column], longs(total[row, column]), vec[row]
+                    new = q[column], longs(sum(s[row, column] for s in local)), vec[row]
                     held = [np.concatenate(x) for x in zip(held, new, strict=True)]
                     keep = best(*held, k)
                     held = [x[keep] for x in held]

@@ -1,4 +1,5 @@
 import math
+import os
 import random
 
 import numpy as np
@@ -88,3 +89,29 @@ def test_nearest_odd_rows(spark):
     assert [round(r[3], 9) for r in got] == [0.6, -1.0, 0.6, -0.6]
     assert nearest(table(spark, []), F.col("vec_id") % 50 == 0).collect() == []
     assert nearest(table(spark, rows[1:5]), F.col("vec_id") % 2 == 0).collect() == []
+
+
+def test_scores_of_the_largest_doubles(spark):
+    rows = [(0, [1e306, 1.0]), (1, [-1e306, 2.0]), (2, [1e306, 1e306]), (3, [0.5, 0.25]), (4, [2.0**52, -1.0]), (5, [1.0, 1.0])]
+    got = exact_top(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") >= 0, 10)
+    ints = {i: [int(x) * 1024 if abs(x) > 1 else math.floor(1024 * x) for x in v] for i, v in rows}
+    want = []
+    for q in ints:
+        best = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(ints[q], v, strict=True)))), i) for i, v in ints.items() if i != q)
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == want
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_recall_on_the_embeddings(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    got = nearest(table, F.col("vec_id") % 50 == 0).collect()
+    rows = [(r["vec_id"], r["embedding"]) for r in table.collect()]
+    want = {q: cosines(rows, q) for q in {r["query_id"] for r in got}}
+    best = {q: set(sorted(w, key=lambda i: (-w[i], i))[:5]) for q, w in want.items()}
+    assert len(got) == 50 and sum(r["vec_id"] in best[r["query_id"]] for r in got) >= 0.9 * len(got)
+
+
+def test_repeated_ids_count_once(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.1]), (1, None), (2, [0.0, 1.0])]
+    assert [r["vec_id"] for r in nearest(table(spark, rows), F.col("vec_id") == 0, 5).orderBy("rank").collect()] == [1, 2]
