@@ -10,9 +10,9 @@ probability 1 - 5e-8.
 
 Candidates that by size alone can't be linked go. Links are then confirmed by intersecting full sets, in three rounds: the
 best candidate of each class, then of each component found so far, then every candidate between different components. So
-large groups don't confirm all their pairs. What a crowded region may have hidden is looked for last and exactly: classes
-that crowded regions bring together form a crowd, and in crowds of several components the full sets of each class outside
-the largest one are intersected with those of all classes of other components whose size allows a link.
+large groups don't confirm all their pairs. What a crowded region may have hidden is looked for last and exactly, on full
+sets written as differences from what most of a crowd holds, by a prefix filter on the rarest differences (hidden_links). So
+the only links that can be lost are those of two classes that share no region of any tree, 5e-8 of them at the bound.
 
 Defined results: null text or text without words has the empty set, is linked with nothing and is its own component; fewer
 words than a shingle needs are one shingle; rows with a null id are left out and repeated ids count once (see
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenbase.llm.common import batch_of, discard, forget_caches, gram_hashes, keyed, materialize, pairs, utf8, word_hashes
+from lumenbase.llm.common import batch_of, discard, forget_caches, gram_hashes, keyed, lasting, materialize, mixed, pairs, partitions_for, release_later, utf8, word_hashes
 from lumenbase.llm.graph import components
 
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sig", pa.binary())])
@@ -92,14 +92,13 @@ def planted(classes: DataFrame, trees: int, depth: int, deeper: int = 8) -> Data
     return classes.select("doc_id", "n_shingles", "sig").mapInArrow(plant, "region long, t1 long, t2 long, doc_id long, n_shingles long")
 
 
-def candidates(forest: DataFrame, share: int, reach: int, crowded: int) -> DataFrame:
+def candidates(forest: DataFrame, share: int, reach: int, crowded: int, parts: int) -> DataFrame:
     """x < y, trees, crowd. trees: in how many trees the two were met as neighbours in a region's order whose sizes allow a
     similarity of `share` per cent. The first `reach` rows of a region meet the `reach` next ones, so a region of up to
     reach + 1 rows meets whole; further rows meet the `crowded` next ones, with which they share the longest prefixes.
     crowd: whether the two are next to each other, of whatever sizes, in a region of more than reach + 1 rows; so each such
     region is a chain of these pairs."""
     schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("crowd", pa.bool_())])
-    parts = int(forest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def neighbours(batches):
         last = None
@@ -171,19 +170,11 @@ def between(pairs_of: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def best_of_each(cross: DataFrame) -> DataFrame:
-    """Of each component, its best pair to another one."""
+    """Of each component, its best pair to another one. Both ends are grouped in one pass and combine before the shuffle."""
     best = F.max(F.struct("trees", (-F.col("x")).alias("x"), (-F.col("y")).alias("y"))).alias("b")
-    ends = cross.select(F.explode(F.array("cx", "cy")).alias("c"), "trees", "x", "y")
-    return ends.groupBy("c").agg(best).select((-F.col("b.x")).alias("x"), (-F.col("b.y")).alias("y")).distinct()
-
-
-def packed_nodes(nodes: DataFrame, name: str, rows: int = 1024, shingles: int = 1 << 17) -> DataFrame:
-    """k, size, part and an array of node, component, set: nodes of a crowd and a size class, in blocks of about so many
-    rows and shingles."""
-    held = nodes.groupBy("k", "size").agg(F.ceil(F.greatest(F.count(F.lit(1)) / rows, F.sum("n_shingles") / shingles)).alias("parts"))
-    dealt = nodes.join(held, ["k", "size"]).withColumn("part", F.pmod(F.xxhash64("n"), F.col("parts")))
-    dealt = dealt.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k", "size", "part")
-    return dealt.groupBy("k", "size", "part").agg(F.collect_list(F.struct("n", "comp", "shingles")).alias(name))
+    ends = cross.groupingSets([["cx"], ["cy"]], "cx", "cy").agg(best)
+    mine = ends.groupBy(F.coalesce("cx", "cy").alias("c")).agg(F.max("b").alias("b"))
+    return mine.select((-F.col("b.x")).alias("x"), (-F.col("b.y")).alias("y")).distinct()
 
 
 def common_counts(one: list[np.ndarray], two: list[np.ndarray], columns: int = 2048, rare: int = 64) -> np.ndarray:
@@ -216,42 +207,186 @@ def common_counts(one: list[np.ndarray], two: list[np.ndarray], columns: int = 2
     return out.astype(np.int64)
 
 
+CROWDED = "k long, n long, comp long, main long, m long, x long, delta binary"
+POSTED = pa.schema([("k", pa.int64()), ("g", pa.int32()), ("n", pa.int64()), ("comp", pa.int64()), ("x", pa.int64()), ("kept", pa.binary())])
+POSTED_DDL = "k long, g int, n long, comp long, x long, kept binary"
+BUCKETS, GROUPED = 1 << 20, 4096
+
+
+def with_crowd(nodes: DataFrame, told: DataFrame, salts: int = 32) -> DataFrame:
+    """nodes with the columns of their crowd's one row; a crowd may hold most nodes, so its row is there `salts` times."""
+    copies = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return nodes.withColumn("salt", F.pmod(F.xxhash64("n"), F.lit(salts)).cast("int")).join(copies, ["k", "salt"]).drop("salt")
+
+
+def bucket_of(k, e: np.ndarray) -> np.ndarray:
+    """Where the elements e of crowd k are counted."""
+    return (mixed(e ^ mixed(np.atleast_1d(np.asarray(k, np.int64)).view(np.uint64))) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def tallied(batches, most: int = 1 << 21):
+    """Sums of ones, before the shuffle: of (k, m, shingles) the numbers of sets of a crowd that hold a shingle."""
+    schema = pa.schema([("k", pa.int64()), ("m", pa.int64()), ("s", pa.int64()), ("c", pa.int64())])
+    held: dict[tuple, list] = {}
+    size = 0
+
+    def out():
+        for (k, m), parts in held.items():
+            s, c = np.unique(np.concatenate(parts), return_counts=True)
+            yield batch_of(schema, [np.full(len(s), k), np.full(len(s), m), s.view(np.int64), c])
+        held.clear()
+
+    for b in batches:
+        for k, m, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            held.setdefault((k, m), []).append(np.frombuffer(s, np.uint64))
+            size += len(s) // 8
+            if size > most:
+                yield from out()
+                size = 0
+    yield from out()
+
+
+def bucket_counts(rows: DataFrame, numbers, least: int) -> np.ndarray:
+    """How often each bucket occurs, 0 where less often than `least`. numbers(batch) gives the buckets of a batch. A task
+    sends each of its buckets once, and the driver gets BUCKETS numbers at most."""
+    schema = pa.schema([("b", pa.int32()), ("c", pa.int64())])
+
+    def count(batches):
+        total = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            total += np.bincount(numbers(b), minlength=BUCKETS)
+        at = np.flatnonzero(total)
+        yield batch_of(schema, [at.astype(np.int32), total[at]])
+
+    got = rows.mapInArrow(count, "b int, c long").groupBy("b").agg(F.sum("c").alias("c")).where(F.col("c") >= least).toArrow()
+    out = np.zeros(BUCKETS, np.int64)
+    out[got.column("b").to_numpy()] = got.column("c").to_numpy()
+    return out
+
+
+def packed_nodes(posted: DataFrame, name: str, rows: int = 1024, shingles: int = 1 << 17) -> DataFrame:
+    """k, g, part and an array of n, comp, x, kept: a group's sets in blocks of about so many rows and elements."""
+    held = posted.groupBy("k", "g").agg(F.ceil(F.greatest(F.count(F.lit(1)) / rows, F.sum(F.length("kept")) / (8 * shingles))).alias("parts"))
+    dealt = posted.join(held, ["k", "g"]).withColumn("part", F.pmod(F.xxhash64("n"), F.greatest("parts", F.lit(1))))
+    return dealt.groupBy("k", "g", "part").agg(F.collect_list(F.struct("n", "comp", "x", "kept")).alias(name))
+
+
 def hidden_links(chains: DataFrame, labels: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """Pairs u, v that are linked and join different components, enough to join all components that links within crowds
     do. Crowds are the connected components over `chains`; two classes that share a region of some tree without having been
-    met there are in one crowd. In a crowd of several components, each class outside the largest one is compared by full
-    sets with every class of the other components, block by block; blocks whose sizes allow no link are not."""
+    met there are in one crowd. Only crowds of several components are looked at.
+
+    Sets of a crowd are much alike, so each is written as its difference `delta` from the crowd's centre, the shingles that
+    more than half of its sets hold. With a = len(delta), n = len(set) and x = (100 + share) * a - (100 - share) * n, two sets
+    are linked if and only if x1 + x2 <= 2 * (100 + share) * (what their deltas have in common). Hence, exactly:
+
+    * let X be the least x of the crowd: a set with x + X <= 0 is linked with the set that has X, and one link does;
+    * any other set must have t = (x + X) / 2 / (100 + share) elements of delta in common with a partner. Elements that no
+      other delta has can't be common, so if fewer than t are left, the set has no link; else a partner holds one of the
+      len - t + 1 rarest of those left (a prefix filter).
+
+    Elements are dealt into a group for each GROUPED sets of the crowd. A set outside the crowd's main component goes to the
+    groups of its prefix, and every set to those of its elements that are in some prefix, once each. Groups are compared in
+    blocks of about 1024 sets, so that one that many share is many tasks' work, and pairs are never rows. How rare an element
+    is and whether it is alone is read off BUCKETS counters; a collision can only make the filter wider."""
+    per = 2 * (100 + share)
     crowds = components(chains.select(F.col("x").alias("u"), F.col("y").alias("v")))
     nodes = crowds.select(F.col("u").alias("n"), F.col("v").alias("k")).unionByName(crowds.select(F.col("v").alias("n"), F.col("v").alias("k")).distinct())
     nodes = nodes.join(labels.select(F.col("u").alias("n"), "v"), "n", "left").select("n", "k", F.coalesce("v", "n").alias("comp"))
-    held = nodes.groupBy("k", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("k").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
-    nodes = nodes.join(held.where("comps > 1").select("k", "main"), "k").join(sets.select(F.col("doc_id").alias("n"), "shingles"), "n")
-    step = np.log(100 / share) + 1e-6  # linked sets are of the same size class or of neighbouring ones
-    nodes = nodes.withColumn("n_shingles", F.length("shingles") / 8).withColumn("size", F.floor(F.log("n_shingles") / float(step)))
-    nodes = materialize(nodes, "nodes")
-    outside = materialize(packed_nodes(nodes.where("comp <> main"), "outside"), "outside")
-    inside = materialize(packed_nodes(nodes, "inside"), "inside")
-    ids = [c.select("k", F.col("size").alias(f"{n}_size"), F.col("part").alias(f"{n}_part")) for c, n in ((outside, "o"), (inside, "i"))]
-    blocks = ids[0].withColumn("i_size", F.explode(F.array(*[F.col("o_size") + d for d in (-1, 0, 1)]))).join(ids[1], ["k", "i_size"])
+    sizes = nodes.groupBy("k", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("k")
+    several = sizes.agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("k", "main", "m")
+    nodes = materialize(with_crowd(nodes, several).join(sets.select(F.col("doc_id").alias("n"), "shingles"), "n"), "nodes")
+    held = nodes.select("k", "m", "shingles").mapInArrow(tallied, "k long, m long, s long, c long").groupBy("k", "m", "s").agg(F.sum("c").alias("c"))
+    # a crowd of several components may have no shingle in common; its centre is then empty
+    centre = held.groupBy("k").agg(F.collect_list(F.when(2 * F.col("c") > F.col("m"), F.col("s"))).alias("centre"))
+    near = pa.schema([*[(c, pa.int64()) for c in ("k", "n", "comp", "main", "m", "x")], ("delta", pa.binary())])
+
+    def differ(batches):
+        for b in batches:
+            x, deltas = [], []
+            for s, c in zip(b.column(5).to_pylist(), b.column(6), strict=True):
+                s = np.frombuffer(s, np.uint64)
+                d = np.setxor1d(s, c.values.to_numpy().view(np.uint64), assume_unique=True)
+                x.append((100 + share) * len(d) - (100 - share) * len(s))
+                deltas.append(d.tobytes())
+            yield batch_of(near, [*b.columns[:5], x, deltas])
+
+    deltas = materialize(with_crowd(nodes, centre).select("k", "n", "comp", "main", "m", "shingles", "centre").mapInArrow(differ, CROWDED), "deltas")
+
+    def numbers(b: pa.RecordBatch) -> np.ndarray:
+        found = [bucket_of(k, np.frombuffer(d, np.uint64)) for k, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+    spark = deltas.sparkSession
+    counts = spark.sparkContext.broadcast(bucket_counts(deltas.select("k", "delta"), numbers, 2))
+    least = deltas.groupBy("k").agg(F.min(F.struct("x", "n", "comp")).alias("least"))
+    placed = with_crowd(deltas, least)
+    direct = placed.where((F.col("x") + F.col("least.x") <= 0) & (F.col("comp") != F.col("least.comp"))).select(F.col("n").alias("u"), F.col("least.n").alias("v"))
+    main = F.when(F.col("least.x") <= 0, F.col("least.comp")).otherwise(F.col("main"))
+    placed = placed.select("k", "n", "comp", "m", "x", "delta", F.col("least.x").alias("low"), (main != F.col("comp")).alias("outside"))
+
+    def left(k: int, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the elements that another delta may hold: their buckets, themselves and their counts."""
+        at = bucket_of(k, d)
+        c = counts.value[at]
+        return at[c > 0], d[c > 0], c[c > 0]
+
+    def posted(probes: bool, wanted=None, most: int = 4 << 20):
+        """Of each set that may have a link, a row for each group of its prefix, or of its elements that are `wanted`."""
+
+        def post(batches):
+            for b in batches:
+                rows, size = [], 0
+                for k, n, comp, m, x, d, low, outside in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    t = -(-(x + low) // per)
+                    if probes and (t <= 0 or not outside):
+                        continue
+                    at, d, c = left(k, np.frombuffer(d, np.uint64))
+                    if len(d) < t:
+                        continue
+                    at = at[np.lexsort((d, c))[: len(d) - t + 1]] if probes else at[wanted.value[at]]
+                    kept = d.tobytes()
+                    rows += [(k, g, n, comp, x, kept) for g in np.unique(at % max(1, m // GROUPED)).tolist()]
+                    size += len(kept) * len(at)
+                    if size > most:
+                        yield batch_of(POSTED, [list(c) for c in zip(*rows, strict=True)] or [[]] * 6)
+                        rows, size = [], 0
+                yield batch_of(POSTED, [list(c) for c in zip(*rows, strict=True)] or [[]] * 6)
+
+        return post
+
+    def prefixes(b: pa.RecordBatch) -> np.ndarray:
+        """The buckets of the elements of prefixes."""
+        out = [np.zeros(0, np.int64)]
+        for k, _, _, _, x, d, low, outside in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            t = -(-(x + low) // per)
+            if t > 0 and outside:
+                at, d, c = left(k, np.frombuffer(d, np.uint64))
+                out += [at[np.lexsort((d, c))[: len(d) - t + 1]]] if len(d) >= t else []
+        return np.concatenate(out)
+
+    asked = spark.sparkContext.broadcast(bucket_counts(placed, prefixes, 1) > 0)
+    outside, inside = (materialize(packed_nodes(placed.mapInArrow(posted(*how), POSTED_DDL), name), name) for how, name in (((True,), "outside"), ((False, asked), "inside")))
+    ids = [c.select("k", "g", F.col("part").alias(f"{n}_part")) for c, n in ((outside, "o"), (inside, "i"))]
+    blocks = ids[0].join(ids[1], ["k", "g"])
     for c, n in ((outside, "o"), (inside, "i")):
-        blocks = blocks.join(c.withColumnsRenamed({"size": f"{n}_size", "part": f"{n}_part"}), ["k", f"{n}_size", f"{n}_part"])
+        blocks = blocks.join(c.withColumnRenamed("part", f"{n}_part"), ["k", "g", f"{n}_part"])
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def arrays(rows: list) -> tuple:
-        return np.array([r["n"] for r in rows]), np.array([r["comp"] for r in rows]), [np.frombuffer(r["shingles"], np.uint64) for r in rows]
+        return *(np.array([r[c] for r in rows]) for c in ("n", "comp", "x")), [np.frombuffer(r["kept"], np.uint64) for r in rows]
 
     def compare(batches):
         for b in batches:
             for one, many in pairs(b):
-                (o, oc, osets), (m, mc, msets) = arrays(one), arrays(many)
-                common = common_counts(osets, msets)
-                total = np.array([len(x) for x in osets])[:, None] + np.array([len(x) for x in msets])
-                i, j = np.nonzero((100 * common >= share * (total - common)) & (oc[:, None] != mc))
+                (o, oc, ox, osets), (m, mc, mx, msets) = arrays(one), arrays(many)
+                i, j = np.nonzero((ox[:, None] + mx <= per * common_counts(osets, msets)) & (oc[:, None] != mc))
                 _, first = np.unique(np.stack([oc[i], mc[j]]), axis=1, return_index=True)  # one link between two components
                 yield batch_of(schema, [o[i[first]], m[j[first]]])
 
-    links = materialize(blocks.select("outside", "inside").mapInArrow(compare, "u long, v long"), "hidden")
-    discard(crowds, nodes, outside, inside)
+    met = blocks.select("outside", "inside").mapInArrow(compare, "u long, v long").distinct()
+    links = materialize(met.unionByName(direct), "hidden")
+    discard(crowds, nodes, deltas, outside, inside)
     return links
 
 
@@ -259,11 +394,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80, id_col: st
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept: one row per document. `share`: the
     least similarity, in per cent."""
     texts = utf8(keyed(docs, id_col, text_col))
-    all_signed = materialize(signed(texts, words), "signatures")
+    all_signed = lasting(signed(texts, words), "signatures")
     told = all_signed.select("doc_id", "n_shingles", "k1", "k2")
-    classes = materialize(told.where("n_shingles > 0").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = lasting(told.where("n_shingles > 0").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = all_signed.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    near = materialize(candidates(planted(reps, trees, depth), share, reach, crowded), "candidates")
+    near = materialize(candidates(planted(reps, trees, depth), share, reach, crowded, partitions_for(texts)), "candidates")
     met = near.where("trees > 0").select("x", "y", "trees")
     ends = near.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
     sets = materialize(full_sets(texts, ends, words), "sets")
@@ -280,6 +415,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80, id_col: st
     hidden = hidden_links(near.where("crowd"), labels, sets, share)
     old += [labels, hidden]
     labels = components(hidden.unionByName(labels))
+    release_later(docs.sparkSession, labels.stored_at)
     discard(near, sets, *old)
     whole = classes.join(labels.select(F.col("u").alias("rep"), "v"), "rep", "left").select("n_shingles", "k1", "k2", F.coalesce("v", "rep").alias("component_id"))
     rows = told.join(whole, ["n_shingles", "k1", "k2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -118,6 +118,32 @@ def test_links_inside_a_crowded_group(docs):
     assert got == {i: i - 1000 if i in range(1000, 1060, 3) else i for i in range(2000)}
 
 
+@pytest.mark.parametrize(("n", "length", "edits", "words"), [(500, 100, 5, 2), (300, 120, 6, 2), (250, 300, 10, 5)])
+def test_crowded_clusters_of_several_components(docs, n, length, edits, words):
+    rng = random.Random(length)
+    base = [f"b{rng.randrange(5000)}" for _ in range(length)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for at in rng.sample(range(length), edits):
+            w[at] = f"e{rng.randrange(60) if i % 3 else rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    check(docs, rows, words)
+
+
+def test_crowds_of_two_centres_and_ties(docs):
+    rng = random.Random(5)
+    one = [f"a{k}" for k in range(60)]
+    two = one[:45] + [f"c{k}" for k in range(15)]
+    rows = []
+    for i in range(160):
+        w = list(one if i % 2 else two)
+        for at in rng.sample(range(60), 3):
+            w[at] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    check(docs, rows + [(1000 + i, t) for i, t in rows[:40]])
+
+
 @pytest.mark.parametrize("rare", [0, 4, 1 << 40])
 def test_common_counts(rare):
     rng = np.random.default_rng(3)
