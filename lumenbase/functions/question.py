@@ -12,7 +12,8 @@ from lumenbase.functions.text import DAY_NAMES, looked_up, normalize_question, n
 
 #: What the single form of a day may be called, by code.
 SINGLE_DAYS = {"2": "hai|2", "3": "ba|3", "4": "tư|4", "5": "năm|5", "6": "sáu|6", "7": "bảy|7"}
-ANY_DAY = "hai|ba|tư|tu|bốn|bon|năm|nam|sáu|sau|bảy|bay|[2-7]"
+ANY_DAY = "|".join([*DAY_NAMES, "[2-7]"])
+#: The patterns that define what a question may say.
 DAY_RANGE = rf"(?U)\bthứ\s*({ANY_DAY})\s*(?:đến|tới|->|-)\s*(?:thứ\s*)?({ANY_DAY})\b"
 CLASS = r"(?iU)\b((?:6|7|8|9|10|11|12)A\d+)\b"
 GRADE = r"(?iU)\bkhối\s*(6|7|8|9|10|11|12)\b"
@@ -71,6 +72,23 @@ def has(c: Column) -> Column:
     return F.size(c) > 0
 
 
+def follow_up(q: Column, said: dict[str, Column]) -> Column:
+    """Whether a normalised question goes on from the one before: it says something about a lesson without naming the
+    timetable, and either has a word for going on or gives periods alone."""
+    about = [said["class_name"], said["grade"], said["periods"], said["sessions"], said["days"] & q.rlike(LESSON_WORD)]
+    alone = [said["periods"], *[~said[f] for f in ("class_name", "grade", "days", "sessions")]]
+    any_of = F.exists(F.array(*about), lambda c: c)
+    return any_of & ~q.rlike(TIMETABLE_WORD) & (q.rlike(FOLLOW_WORD) | F.forall(F.array(*alone), lambda c: c))
+
+
+def wants_table(q: Column, named_class: Column, days: Column, sessions: Column, periods: Column) -> Column:
+    """Whether the answer is a table: the timetable is named, a list has several values, or a class stands alone or with a
+    whole half day."""
+    several = F.exists(F.array(*[F.size(c) for c in (days, sessions, periods)]), lambda n: n > 1)
+    half_days = named_class.isNotNull() & ~has(periods) & (has(days) == has(sessions))
+    return q.rlike(TIMETABLE_WORD) | several | half_days
+
+
 def parse_engine(text: Column, context: Column | None = None) -> Column:
     """struct<class_name, grade, days, sessions, periods, mode, explicit_fields>. `context`: a struct of class_name, grade,
     days and sessions that a follow-up question inherits, field by field; periods are never inherited."""
@@ -81,23 +99,14 @@ def parse_engine(text: Column, context: Column | None = None) -> Column:
     periods = if_empty(engine_periods(q), counted(q, "cả|gồm|có|đủ|trong", 20))
     said = {"class_name": named_class.isNotNull(), "grade": grade.isNotNull(), "days": has(days), "sessions": has(sessions), "periods": has(periods)}
     explicit = strings(*[F.when(c, F.lit(n)) for n, c in said.items()])
-    word = q.rlike(TIMETABLE_WORD)
     if context is not None:
-        signal = said["class_name"] | said["grade"] | said["periods"] | said["sessions"] | (said["days"] & q.rlike(LESSON_WORD))
-        period_only = said["periods"] & ~said["class_name"] & ~said["grade"] & ~said["days"] & ~said["sessions"]
-        follows = signal & ~word & (q.rlike(FOLLOW_WORD) | period_only) & context.isNotNull()
+        follows = context.isNotNull() & follow_up(q, said)
         none = F.array().cast("array<string>")
         named_class = F.coalesce(named_class, F.when(follows, context["class_name"]))
         grade = F.coalesce(grade, F.when(follows, context["grade"]))
         days = F.when(follows, if_empty(days, F.coalesce(context["days"], none))).otherwise(days)
         sessions = F.when(follows, if_empty(sessions, F.coalesce(context["sessions"], none))).otherwise(sessions)
-    table = (
-        word
-        | (F.size(days) > 1) | (F.size(sessions) > 1) | (F.size(periods) > 1)
-        | (named_class.isNotNull() & ~has(days) & ~has(sessions) & ~has(periods))
-        | (named_class.isNotNull() & has(days) & has(sessions) & ~has(periods))
-    )
-    mode = F.when(table, F.lit("timetable")).otherwise(F.lit("lookup"))
+    mode = F.when(wants_table(q, named_class, days, sessions, periods), F.lit("timetable")).otherwise(F.lit("lookup"))
     return F.struct(named_class.alias("class_name"), grade.alias("grade"), days.alias("days"), sessions.alias("sessions"), periods.alias("periods"), mode.alias("mode"), explicit.alias("explicit_fields"))
 
 

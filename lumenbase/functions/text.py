@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,9 +40,17 @@ def one_space(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\s+", " ")
 
 
+def nfc(c: Column) -> Column:
+    """Unicode composition, by the ICU library that Spark's collations use. What stands below U+0300 is composed already, so
+    only texts with something above are looked at. Spark takes the call for one whose result may change: an aggregate must
+    read it from a column of its own."""
+    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False))
+    return F.when(c.rlike("[^\\x00-\\u02ff]"), composed).otherwise(c)
+
+
 def clean_text(c: Column) -> Column:
-    """Lines with runs of blanks as one, stripped, without empty ones; null gives the empty text."""
-    lines = F.split(F.regexp_replace(F.coalesce(c, F.lit("")), "\r\n?", "\n"), "\n")
+    """Composed; lines with runs of blanks as one, stripped, without empty ones; null gives the empty text."""
+    lines = F.split(F.regexp_replace(F.coalesce(nfc(c), F.lit("")), "\r\n?", "\n"), "\n")
     lines = F.transform(lines, lambda x: strip(F.regexp_replace(x, "[ \t]+", " ")))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
@@ -65,19 +70,24 @@ def straight_quotes(c: Column) -> Column:
 
 
 def normalize_question(c: Column) -> Column:
-    """Lower case, straight quotes, single spaces; punctuation stays."""
-    return one_space(straight_quotes(strip(F.lower(F.coalesce(c, F.lit(""))))))
+    """Composed, lower case, straight quotes, single spaces; punctuation stays."""
+    return one_space(straight_quotes(strip(F.lower(nfc(F.coalesce(c, F.lit("")))))))
 
 
 def normalize_search(c: Column) -> Column:
     """As normalize_question, but with a space for whatever is no letter, digit or underscore; one space may be left at
     either end."""
-    return one_space(F.regexp_replace(straight_quotes(strip(F.lower(c))), r"(?U)[^\w\sÀ-ỹđĐ]", " "))
+    return one_space(F.regexp_replace(straight_quotes(strip(F.lower(nfc(c)))), r"(?U)[^\w\sÀ-ỹđĐ]", " "))
 
 
 def tokens(c: Column) -> Column:
     """Words of the normalised text, longer than one character and no stop words."""
-    return F.filter(F.split(normalize_search(c), " "), lambda t: (F.length(t) > 1) & ~t.isin(*STOPWORDS))
+    return tokens_of(normalize_search(c))
+
+
+def tokens_of(norm: Column) -> Column:
+    """tokens() of a text that is normalised already."""
+    return F.filter(F.split(norm, " "), lambda t: (F.length(t) > 1) & ~t.isin(*STOPWORDS))
 
 
 def format_subject(c: Column) -> Column:
@@ -119,8 +129,8 @@ def day_code(c: Column) -> Column:
 def sheet_day(c: Column) -> Column:
     """Day of a sheet's cell: the first name of this order that stands anywhere in the 'thứ ...' match, else a lone digit
     2 to 7, else the text itself."""
-    found = F.regexp_extract(F.lower(c), r"(?U)(?:thứ|thu)\s*(?:hai|ba|tư|bon|năm|nam|sáu|sau|bảy|bay|2|3|4|5|6|7)", 0)
-    order = (("hai", "2"), ("ba", "3"), ("tư", "4"), ("bon", "4"), ("năm", "5"), ("nam", "5"), ("sáu", "6"), ("sau", "6"), ("bảy", "7"), ("bay", "7"))
+    order = [(n, d) for n, d in DAY_NAMES.items() if n not in ("tu", "bốn")]  # those two aren't known here
+    found = F.regexp_extract(F.lower(c), rf"(?U)(?:thứ|thu)\s*(?:{'|'.join(n for n, _ in order)}|[2-7])", 0)
     named = F.coalesce(*[F.when(found.contains(n), F.lit(d)) for n, d in order])
     digit = F.regexp_extract(c, r"(?U)\b([2-7])\b", 1)
     return F.coalesce(named, F.when(digit != "", digit), strip(c))
@@ -234,11 +244,11 @@ def truncated(c: Column, most: int = 1250) -> Column:
 
 
 def byte_size(c: Column) -> Column:
-    """B, whole KB, or MB with one decimal."""
+    """B, whole KB, or MB with one decimal; a half goes to the even digit."""
     return (
         F.when(c < 1024, F.concat(c.cast("string"), F.lit(" B")))
-        .when(c < 1024 * 1024, F.format_string("%.0f KB", c.cast("double") / 1024))
-        .otherwise(F.format_string("%.1f MB", c.cast("double") / (1024 * 1024)))
+        .when(c < 1024 * 1024, F.format_string("%.0f KB", F.bround(c.cast("double") / 1024, 0)))
+        .otherwise(F.format_string("%.1f MB", F.bround(c.cast("double") / (1024 * 1024), 1)))
     )
 
 
@@ -246,13 +256,3 @@ def numeric_only(text: Column) -> Column:
     """Whether, without its header lines, a chunk has lines and all are 'name: number'."""
     lines = F.filter(F.split(text, "\n"), lambda x: ~x.rlike("^(Trang tính:|Tiêu đề:|Thứ:|Buổi:|Tiết:)"))
     return (F.size(lines) > 0) & F.forall(lines, lambda x: x.rlike(r"^[^:]+: ?[0-9]+(\.0)?$"))
-
-
-def nfc(c: Column) -> Column:
-    """Unicode composition; Spark has none, so this is an Arrow function, meant for ingestion alone."""
-
-    @F.pandas_udf("string")
-    def compose(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
-
-    return compose(c)
