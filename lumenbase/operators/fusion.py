@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenbase.operators.search import KEY, PLACES, bm25, cosine, small
+from lumenbase.operators.search import KEY, PLACES, LexicalIndex, bm25, by_batches, cosine
 
 #: The constants of the rank fusion.
 RRF_K, STRUCTURED_K, STRUCTURED_WEIGHT = 60, 20, 2.0
@@ -52,11 +52,11 @@ def document_rank(semantic: DataFrame, lexical: DataFrame, top: int = DOCUMENT_T
     return docs.withColumn("document_rank", F.row_number().over(order)).where(F.col("document_rank") <= top)
 
 
-def document_first_evidence(vectors: DataFrame, index: DataFrame, questions: DataFrame, semantic: DataFrame, lexical: DataFrame, top: int = FINAL_TOP) -> DataFrame:
+def document_first_evidence(vectors: DataFrame, index: LexicalIndex, questions: DataFrame, semantic: DataFrame, lexical: DataFrame, top: int = FINAL_TOP) -> DataFrame:
     """The evidence rows of each question. vectors: KEY, document, embedding of the prose chunks; index: their lexical
     index; questions: question_id, question, vector; semantic, lexical: the corpus-wide hit lists."""
     docs = document_rank(semantic, lexical)
-    chosen = vectors.join(small(docs.select("question_id", "file_id", "document_rank")), "file_id").join(small(questions.select("question_id", "vector")), "question_id")
+    chosen = by_batches(questions, lambda asked: vectors.join(F.broadcast(docs.join(asked.select("question_id", "vector"), "question_id").select("question_id", "file_id", "document_rank", "vector")), "file_id"))
     local = chosen.select("question_id", *KEY, "document", "document_rank", F.round(cosine(F.col("embedding"), F.col("vector")), PLACES).alias("semantic_score_local"))
     local = local.join(bm25(index, questions, local), ["question_id", *KEY], "left").withColumn("bm25_score", F.coalesce("bm25_score", F.lit(0.0)))
     in_doc = Window.partitionBy("question_id", "file_id")
@@ -84,7 +84,7 @@ def gated(kept: DataFrame, top: int) -> DataFrame:
     admitted = per_doc.where((F.col("document_rank") == 1) | (F.col("best") <= SECONDARY_RANK))
     so_far = Window.partitionBy("question_id").orderBy("document_rank").rowsBetween(Window.unboundedPreceding, -1)
     admitted = admitted.withColumn("before", F.coalesce(F.sum("n").over(so_far), F.lit(0))).where(F.col("before") < top).select("question_id", "file_id")
-    rows = kept.join(small(admitted), ["question_id", "file_id"], "left_semi")
+    rows = kept.join(admitted, ["question_id", "file_id"], "left_semi")
     order = Window.partitionBy("question_id").orderBy(F.desc("final_score"), "document_rank", "semantic_rank_local")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 

@@ -1,15 +1,21 @@
 """Vector and lexical search for batches of questions.
 
-A batch of questions is a small frame with a `question_id`; every window and group carries that key. Scores are rounded to
-six places before they order anything, and ties go to the smaller (file_id, chunk_index)."""
+A batch of questions is a small frame with a `question_id`; every window and group carries that key. Questions are counted
+once where they come in; beyond BATCH they are worked off in parts of that size, so what derives from a part (its terms, its
+phrases, its best documents) is bounded and may be broadcast. Scores are rounded to six places before they order anything,
+and ties go to the smaller (file_id, chunk_index)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenbase.functions.text import normalize_search, tokens
+from lumenbase.functions.text import normalize_search, tokens, tokens_of
 
 K1, B = 1.5, 0.75
 PLACES = 6
@@ -18,9 +24,11 @@ PROSE, STRUCTURED = ("pdf", "docx"), ("xlsx",)
 BATCH = 5_000
 
 
-def small(df: DataFrame, rows: int = BATCH) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows; else without, and the join moves both sides."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def by_batches(questions: DataFrame, work: Callable[[DataFrame], DataFrame], most: int = BATCH) -> DataFrame:
+    """work(part) for parts of about `most` questions, each with a broadcast hint, put together."""
+    parts = max(1, -(-questions.count() // most))
+    share = [questions.where(F.pmod(F.xxhash64("question_id"), F.lit(parts)) == k) for k in range(parts)] if parts > 1 else [questions]
+    return reduce(DataFrame.unionByName, [work(F.broadcast(q)) for q in share])
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -42,55 +50,119 @@ def semantic_hits(vectors: DataFrame, questions: DataFrame, top: int = 100, file
     embedding; questions: question_id, vector. The file type is filtered before any arithmetic; exact, in place of an
     approximate index."""
     rows = vectors if file_types is None else vectors.where(F.col("file_type").isin(*file_types))
-    scored = rows.join(small(questions.select("question_id", "vector")), F.size("embedding") == F.size("vector"))
     score = F.round(cosine(F.col("embedding"), F.col("vector")), PLACES)
-    hits = ranked(scored.select("question_id", *KEY, "document", score.alias("semantic_score")), "semantic_score", top)
-    return hits.withColumn("distance", F.round(1 - F.col("semantic_score"), PLACES))
+
+    def hits(asked: DataFrame) -> DataFrame:
+        scored = rows.join(asked.select("question_id", "vector"), F.size("embedding") == F.size("vector"))
+        return ranked(scored.select("question_id", *KEY, "document", score.alias("semantic_score")), "semantic_score", top)
+
+    return by_batches(questions, hits).withColumn("distance", F.round(1 - F.col("semantic_score"), PLACES))
+
+
+def similarities(vectors: DataFrame, questions: DataFrame) -> DataFrame:
+    """question_id, KEY, similarity of every row of vectors with every question."""
+    score = F.round(cosine(F.col("embedding"), F.col("vector")), PLACES)
+    return by_batches(questions, lambda asked: vectors.join(asked.select("question_id", "vector"), F.size("embedding") == F.size("vector")).select("question_id", *KEY, score.alias("similarity")))
+
+
+@dataclass(frozen=True)
+class LexicalIndex:
+    """What BM25 reads. rows: KEY, file_type, document, norm, n_terms; postings: file_type, KEY, n_terms, term, tf; terms:
+    file_type, term, df; stats: file_type, n_chunks, n_terms."""
+
+    rows: DataFrame
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+
+    def of(self, *file_types: str) -> LexicalIndex:
+        """The part of some file types, with statistics of its own."""
+        return LexicalIndex(*(t.where(F.col("file_type").isin(*file_types)) for t in (self.rows, self.postings, self.terms, self.stats)))
 
 
-def lexical_index(chunks: DataFrame, text: Column | None = None) -> DataFrame:
+def indexed_rows(chunks: DataFrame, text: Column | None = None) -> DataFrame:
     """The chunks with norm, terms and n_terms. text: what is searched, by default the document."""
     text = F.col("document") if text is None else text
-    return chunks.withColumn("norm", normalize_search(text)).withColumn("terms", tokens(text)).withColumn("n_terms", F.size("terms"))
+    return chunks.withColumn("norm", normalize_search(text)).withColumn("terms", tokens_of(F.col("norm"))).withColumn("n_terms", F.size("terms"))
+
+
+def tables_of(rows: DataFrame) -> list[DataFrame]:
+    """Postings, document frequencies and statistics of indexed rows."""
+    each = rows.select("file_type", *KEY, "n_terms", F.explode("terms").alias("term"))
+    postings = each.groupBy("file_type", *KEY, "n_terms", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return [postings, postings.groupBy("file_type", "term").agg(F.count(F.lit(1)).alias("df")), rows.groupBy("file_type").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n_terms").alias("n_terms"))]
+
+
+def lexical_index(chunks: DataFrame, text: Column | None = None) -> LexicalIndex:
+    """The index of chunks as plans, for a single use; write_index() for more."""
+    rows = indexed_rows(chunks, text)
+    return LexicalIndex(rows.drop("terms"), *tables_of(rows))
+
+
+def section_text() -> Column:
+    """What the corpus-wide search looks at: source, section and document."""
+    return F.concat_ws("\n", "source", F.nullif(F.coalesce("section", F.lit("")), F.lit("")), "document")
+
+
+def write_index(chunks: DataFrame, path: str, text: Column | None = None) -> None:
+    """Write rows, postings (ordered by term, so that a scan for some terms skips files and row groups), document frequencies
+    and statistics below `path`, by file type. Texts are normalised once, and postings counted once."""
+    spark = chunks.sparkSession
+    indexed_rows(chunks, text).write.partitionBy("file_type").parquet(f"{path}/rows")
+    rows = spark.read.parquet(f"{path}/rows")
+    tables_of(rows)[0].repartitionByRange("term").sortWithinPartitions("term").write.partitionBy("file_type").parquet(f"{path}/postings")
+    postings = spark.read.parquet(f"{path}/postings")
+    postings.groupBy("file_type", "term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{path}/terms")
+    tables_of(rows)[2].write.parquet(f"{path}/stats")
+
+
+def read_index(spark: SparkSession, path: str) -> LexicalIndex:
+    tables = {t: spark.read.parquet(f"{path}/{t}") for t in ("rows", "postings", "terms", "stats")}
+    return LexicalIndex(tables["rows"].drop("terms"), tables["postings"], tables["terms"], tables["stats"])
 
 
-def corpus_stats(index: DataFrame) -> DataFrame:
-    """one, n_chunks, avg_terms: one row. Chunks without a term count."""
-    return index.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("n_terms").alias("avg_terms")).select(F.lit(1).alias("one"), "n_chunks", "avg_terms")
+def corpus_stats(index: LexicalIndex) -> DataFrame:
+    """n_chunks, avg_terms: one row. Chunks without a term count."""
+    return index.stats.agg(F.sum("n_chunks").alias("n_chunks"), (F.sum("n_terms") / F.sum("n_chunks")).alias("avg_terms"))
 
 
 def question_terms(questions: DataFrame) -> DataFrame:
     """question_id, terms (each once), phrase: the terms longer than two characters joined, if there are two at least."""
-    asked = tokens(F.col("question"))
-    long = F.filter(asked, lambda t: F.length(t) > 2)
-    return questions.select("question_id", F.array_distinct(asked).alias("terms"), F.when(F.size(long) >= 2, F.array_join(long, " ")).alias("phrase"))
+    asked = questions.withColumn("asked", tokens(F.col("question")))
+    long = F.filter("asked", lambda t: F.length(t) > 2)
+    return asked.select("question_id", F.array_distinct("asked").alias("terms"), F.when(F.size(long) >= 2, F.array_join(long, " ")).alias("phrase"))
 
 
-def postings(index: DataFrame, wanted: DataFrame) -> DataFrame:
-    """KEY, n_terms, term, tf of the wanted terms: others go before the count, so the shuffle holds matches alone."""
-    each = index.select(*KEY, "n_terms", F.explode("terms").alias("term"))
-    return each.join(small(wanted.select("term").distinct()), "term", "left_semi").groupBy(*KEY, "n_terms", "term").agg(F.count(F.lit(1)).alias("tf"))
+def phrase_hits(index: LexicalIndex, asked: DataFrame) -> DataFrame:
+    """question_id, KEY of the chunks whose text holds a question's phrase, which may begin and end within words."""
+    return index.rows.join(F.broadcast(asked.where("phrase is not null").select("question_id", "phrase")), F.col("norm").contains(F.col("phrase"))).select("question_id", *KEY)
 
 
-def bm25(index: DataFrame, questions: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+def bm25(index: LexicalIndex, questions: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """question_id, KEY, bm25_score over 0. Statistics are the whole index's; `rows` (question_id, KEY) restricts what is
-    scored. A question's phrase in the text adds one, also without a matching term."""
-    asked = question_terms(questions)
-    terms = asked.select("question_id", F.explode("terms").alias("term"))
-    found = postings(index, terms)
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("one", F.lit(1)).join(corpus_stats(index), "one").drop("one")
-    idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / F.col("avg_terms"))
-    parts = found.join(df, "term").join(terms, "term").select("question_id", *KEY, (idf * F.col("tf") * (K1 + 1) / norm).alias("part"))
-    phrases = small(asked.where("phrase is not null").select("question_id", "phrase"))
-    bonus = index.join(phrases, F.col("norm").contains(F.col("phrase"))).select("question_id", *KEY, F.lit(1.0).alias("part"))
-    every = parts.unionByName(bonus)
-    if rows is not None:
-        every = every.join(rows.select("question_id", *KEY).distinct(), ["question_id", *KEY], "left_semi")
-    return every.groupBy("question_id", *KEY).agg(F.round(F.sum("part"), PLACES).alias("bm25_score")).where("bm25_score > 0")
-
-
-def lexical_hits(index: DataFrame, questions: DataFrame, top: int = 100) -> DataFrame:
+    scored, before anything is. A question's phrase in the text adds one, also without a matching term."""
+
+    def scores(batch: DataFrame) -> DataFrame:
+        asked = question_terms(batch)
+        terms = F.broadcast(asked.select("question_id", F.explode("terms").alias("term")))
+        found, texts = index.postings.join(terms, "term"), index
+        if rows is not None:
+            found = found.join(rows.select("question_id", *KEY).distinct(), ["question_id", *KEY], "left_semi")
+            texts = LexicalIndex(index.rows.join(rows.select(*KEY).distinct(), list(KEY), "left_semi"), index.postings, index.terms, index.stats)
+        df = index.terms.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+        df = F.broadcast(df.crossJoin(F.broadcast(corpus_stats(index))))  # a row for each term asked for; the statistics are one row
+        idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        norm = F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / F.col("avg_terms"))
+        parts = found.join(df, "term").select("question_id", *KEY, (idf * F.col("tf") * (K1 + 1) / norm).alias("part"))
+        bonus = phrase_hits(texts, asked).withColumn("part", F.lit(1.0))
+        if rows is not None:
+            bonus = bonus.join(rows.select("question_id", *KEY).distinct(), ["question_id", *KEY], "left_semi")
+        return parts.unionByName(bonus).groupBy("question_id", *KEY).agg(F.round(F.sum("part"), PLACES).alias("bm25_score")).where("bm25_score > 0")
+
+    return by_batches(questions, scores)
+
+
+def lexical_hits(index: LexicalIndex, questions: DataFrame, top: int = 100) -> DataFrame:
     """question_id, file_id, chunk_index, document, bm25_score, rank."""
     best = ranked(bm25(index, questions), "bm25_score", top)
-    return best.join(index.select(*KEY, "document"), list(KEY)).select("question_id", *KEY, "document", "bm25_score", "rank")
+    return best.join(index.rows.select(*KEY, "document"), list(KEY)).select("question_id", *KEY, "document", "bm25_score", "rank")

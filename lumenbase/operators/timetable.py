@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from lumenbase.functions.question import parse_chunk_v1, parse_chunk_v4, parse_engine
 from lumenbase.functions.text import (
+    CLASS_NAME,
     DAY_DISPLAY,
     SESSION_DISPLAY,
     format_subject,
@@ -18,9 +19,10 @@ from lumenbase.functions.text import (
     names_grade,
     period_lines,
 )
-from lumenbase.operators.search import KEY, STRUCTURED, small
+from lumenbase.operators.search import KEY, STRUCTURED, by_batches
 
 DEDUPE = ["source", "sheet", "class_name", "day", "session", "period", "value"]
+CLASS_LINE = rf"(?imU)^\s*({CLASS_NAME})\s*:"
 TABLE_HEAD = "| Lớp | Thứ | Buổi | Tiết | Môn học |\n|---|---|---|---:|---|"
 
 
@@ -39,17 +41,27 @@ def none_or(wanted: Column, condition: Column) -> Column:
     return (F.size(wanted) == 0) | condition
 
 
+def on_class_or_grade(rows: DataFrame, asked: DataFrame, rest: Column, classes: str = "class_name", grades: str = "grade") -> DataFrame:
+    """rows and the predicates q of a batch of questions that admit them: by an equi-join on the class that a question names,
+    else on its grade; questions with neither meet all rows, for `rest` alone decides. classes, grades: the columns of rows."""
+    q = F.col("q")
+    by_class = asked.where(q["class_name"].isNotNull()).withColumn("key", q["class_name"])
+    by_grade = asked.where(q["class_name"].isNull() & q["grade"].isNotNull()).withColumn("key", q["grade"])
+    others = asked.where(q["class_name"].isNull() & q["grade"].isNull())
+    parts = [rows.join(F.broadcast(a), F.col(c) == F.col("key")).drop("key") for a, c in ((by_class, classes), (by_grade, grades))]
+    return parts[0].unionByName(parts[1]).where(rest).unionByName(rows.join(F.broadcast(others), rest))
+
+
 def candidates(lessons: DataFrame, parsed: DataFrame) -> DataFrame:
     """question_id and the lessons that its predicate q admits: the class, or else the grade, and each list that is not
     empty. The batch of questions is the small side."""
     q = F.col("q")
-    fits = (
-        F.when(q["class_name"].isNotNull(), F.col("class_name") == q["class_name"]).when(q["grade"].isNotNull(), F.col("grade") == q["grade"]).otherwise(F.lit(True))
-        & none_or(q["days"], F.array_contains(q["days"], F.col("day")))
+    rest = (
+        none_or(q["days"], F.array_contains(q["days"], F.col("day")))
         & none_or(q["sessions"], F.array_contains(q["sessions"], F.col("session")))
         & none_or(q["periods"], F.array_contains(q["periods"], F.col("period")))
     )
-    return lessons.join(small(parsed.select("question_id", "q")), fits)
+    return by_batches(parsed.select("question_id", "q"), lambda asked: on_class_or_grade(lessons, asked, rest))
 
 
 def single(q: Column) -> Column:
@@ -61,7 +73,7 @@ def lookup(lessons: DataFrame, parsed: DataFrame) -> DataFrame:
     """Lessons of the slots that questions name, by an equi-join on the four keys."""
     q = F.col("q")
     keys = parsed.where(single(q)).select("question_id", q["class_name"].alias("class_name"), q["days"][0].alias("day"), q["sessions"][0].alias("session"), q["periods"][0].alias("period"))
-    return deduped(lessons.join(small(keys), ["class_name", "day", "session", "period"]), "question_id")
+    return deduped(by_batches(keys, lambda asked: lessons.join(asked, ["class_name", "day", "session", "period"])), "question_id")
 
 
 def table_line() -> Column:
@@ -93,7 +105,8 @@ def answer_questions(lessons: DataFrame, parsed: DataFrame) -> DataFrame:
     """question_id, ok, type, n_rows, first_value. In this order: a table without class or grade fails; a single slot is
     looked up; a table mode gives the table; class, day, session and period together give a table; else too little is
     known."""
-    rows = deduped(candidates(lessons, parsed), "question_id").groupBy("question_id").agg(F.count(F.lit(1)).alias("table_rows"))
+    named = parsed.where("q.class_name is not null or q.grade is not null")  # others get no table
+    rows = deduped(candidates(lessons, named), "question_id").groupBy("question_id").agg(F.count(F.lit(1)).alias("table_rows"))
     slots = lookup(lessons, parsed).groupBy("question_id").agg(F.count(F.lit(1)).alias("slot_rows"), F.min_by("value", "pos").alias("slot_value"))
     q = F.col("q")
     joined = parsed.join(rows, "question_id", "left").join(slots, "question_id", "left").withColumn("t", F.coalesce("table_rows", F.lit(0))).withColumn("s", F.coalesce("slot_rows", F.lit(0)))
@@ -119,15 +132,28 @@ def structured_v1(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     said = q["class_name"].isNotNull() | q["grade"].isNotNull() | q["day"].isNotNull() | q["session"].isNotNull() | (F.size(q["periods"]) > 0)
     doc = F.col("document")
     rows = chunks.where(F.col("file_type").isin(*STRUCTURED)).withColumns({"d": header_value(doc, "Thứ"), "s": header_value(doc, "Buổi"), "p": header_value(doc, "Tiết")})
-    fits = (
+    rest = (
         F.coalesce(F.col("d") == q["day"], q["day"].isNull())
         & F.coalesce(F.col("s") == q["session"], q["session"].isNull())
         & none_or(q["periods"], F.coalesce(F.array_contains(q["periods"], F.col("p")), F.lit(False)))
         & F.coalesce(names_class(doc, q["class_name"]), F.lit(True))
         & F.coalesce(names_grade(doc, q["grade"]), F.lit(True))
     )
+    named = F.transform(F.regexp_extract_all(doc, F.lit(CLASS_LINE), F.lit(1)), F.upper)
     score = F.when(q["class_name"].isNotNull(), 4).otherwise(0) + F.when(q["grade"].isNotNull(), 2).otherwise(0) + F.when(q["day"].isNotNull(), 2).otherwise(0) + F.when(q["session"].isNotNull(), 2).otherwise(0) + F.when(F.size(q["periods"]) > 0, 2).otherwise(0)
-    found = rows.join(small(parsed.where(said)), fits).withColumn("structured_score", score)
+
+    def fitting(asked: DataFrame) -> DataFrame:
+        """Each class that has a line, and each grade of one, is a row; a question with neither looks at the chunk once."""
+        plain = rows.select(*KEY, "document", "d", "s", "p", named.alias("names"))
+        grades = F.array_distinct(F.transform("names", grade_of_class))
+        with_class, with_grade = asked.where(q["class_name"].isNotNull()), asked.where(q["class_name"].isNull() & q["grade"].isNotNull())
+        parts = [
+            plain.withColumn("key", F.explode(F.array_distinct("names"))).join(F.broadcast(with_class), F.col("key") == q["class_name"]).drop("key"),
+            plain.withColumn("key", F.explode(grades)).join(F.broadcast(with_grade), F.col("key") == q["grade"]).drop("key"),
+        ]
+        return parts[0].unionByName(parts[1]).where(rest).unionByName(plain.join(F.broadcast(asked.where(q["class_name"].isNull() & q["grade"].isNull())), rest))
+
+    found = by_batches(parsed.where(said), fitting).withColumn("structured_score", score)
     order = Window.partitionBy("question_id").orderBy(F.desc("structured_score"), F.coalesce(F.col("p").try_cast("int"), F.lit(0)), *KEY)
     return found.select("question_id", *KEY, "structured_score", F.row_number().over(order).alias("rank"))
 
@@ -144,9 +170,9 @@ def structured_v4(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     session = F.when(text["ses"].rlike(r"(?iU)sáng|\(s\)"), F.lit("S")).when(text["ses"].rlike(r"(?iU)chiều|\(c\)"), F.lit("C")).otherwise(F.lit(""))
     rows = chunks.where(F.col("file_type").isin(*STRUCTURED)).withColumns({"cls": named, "grd": grade, "d": F.regexp_extract(text["day"], r"\(([2-7])\)", 1), "s": session, "ps": period_lines(doc)})
     meets = F.arrays_overlap(q["periods"], F.col("ps"))
-    fits = F.coalesce(F.col("cls") == q["class_name"], F.lit(True)) & F.coalesce(F.col("grd") == q["grade"], F.lit(True)) & none_or(q["days"], F.array_contains(q["days"], F.col("d"))) & F.coalesce(F.col("s") == q["session"], F.lit(True)) & none_or(q["periods"], meets)
+    rest = F.coalesce(F.col("grd") == q["grade"], F.lit(True)) & none_or(q["days"], F.array_contains(q["days"], F.col("d"))) & F.coalesce(F.col("s") == q["session"], F.lit(True)) & none_or(q["periods"], meets)
     score = F.when(q["class_name"].isNotNull(), 6).otherwise(0) + F.when(q["grade"].isNotNull(), 3).otherwise(0) + F.when(F.size(q["days"]) > 0, 3).otherwise(0) + F.when(q["session"].isNotNull(), 3).otherwise(0) + F.when(F.size(q["periods"]) > 0, 2).otherwise(0)
-    found = rows.join(small(parsed.where(said)), fits).withColumn("structured_score", score)
+    found = by_batches(parsed.where(said), lambda asked: on_class_or_grade(rows, asked, rest, "cls", "grd")).withColumn("structured_score", score)
     order = Window.partitionBy("question_id").orderBy(F.coalesce(F.col("d").try_cast("int"), F.lit(99)), F.when(F.col("s") == "S", 0).otherwise(1), "cls", "chunk_index", "file_id")
     rank = F.row_number().over(order)
     return found.select("question_id", *KEY, "structured_score", rank.alias("rank")).withColumn("rrf_score", F.round(1 / (60 + F.col("rank")), 6))
