@@ -7,13 +7,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenbase.functions.text import clean_text, file_id, is_heading, numbered_id, retrieval_text
+from lumenbase.functions.text import clean_text, is_heading, numbered_id, retrieval_text
 
 MAX_CHARS, MAX_TABLE_CHARS = 1400, 5000
 FIRST_SECTION = "Phần mở đầu"
 
 
-def pack_lines(text: Column, most: int = MAX_CHARS) -> Column:
+def pack_lines(text: Column, most: int | Column = MAX_CHARS) -> Column:
     """array<string>: the cleaned text's lines packed in order into parts of at most `most` characters, line breaks counted;
     a longer line is a part of its own. A fold, for where a part ends depends on where the last one did."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("now"))
@@ -28,10 +28,10 @@ def pack_lines(text: Column, most: int = MAX_CHARS) -> Column:
 
 
 def block_parts(block_type: Column, text: Column, most: int = MAX_CHARS, most_table: int = MAX_TABLE_CHARS) -> Column:
-    """array<string>: a table or a text within its bound whole, else packed; nothing for an empty text."""
+    """array<string>: a table or a text within its bound whole, else packed up to that bound; nothing for an empty text."""
     clean = clean_text(text)
     bound = F.when(block_type == "table", most_table).otherwise(most)
-    return F.when(clean == "", F.array().cast("array<string>")).when(F.length(clean) <= bound, F.array(clean)).otherwise(pack_lines(text, most))
+    return F.when(clean == "", F.array().cast("array<string>")).when(F.length(clean) <= bound, F.array(clean)).otherwise(pack_lines(text, bound))
 
 
 def running_section(blocks: DataFrame, by: str = "file_id", order: str = "block_index") -> DataFrame:
@@ -58,45 +58,102 @@ def paged_chunks(blocks: DataFrame) -> DataFrame:
 
 
 def flowing_chunks(blocks: DataFrame, most: int = MAX_CHARS) -> DataFrame:
-    """file_id, n, block_indexes, text of flowing documents. blocks: file_id, block_index, block_type, section, text.
+    """file_id, n, block_indexes, block_types, text of flowing documents. blocks: file_id, block_index, block_type, section,
+    text.
 
     A table stands alone; a heading and a change of section begin a chunk, and so does a part that would not fit. What fits
     depends on all before it in the file, so each file is folded in order, by one Python call for a batch of files."""
-    parts = blocks.withColumn("parts", block_parts(F.col("block_type"), F.col("text")))
-    parts = parts.select("file_id", "block_index", "section", F.when(F.col("block_type") == "table", "table").when(is_heading(F.col("text")), "heading").otherwise("text").alias("kind"), F.posexplode("parts").alias("part", "text"))
+    clean = blocks.withColumn("clean", clean_text(F.col("text"))).withColumn("kind", F.when(F.col("block_type") == "table", "table").when(is_heading(F.col("clean")), "heading").otherwise("text"))
+    parts = F.when(F.col("kind") == "heading", F.array("clean")).otherwise(block_parts(F.col("block_type"), F.col("text")))
+    parts = clean.select("file_id", "block_index", "block_type", "section", "kind", F.posexplode(parts).alias("part", "text"))
 
     def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out, texts, indexes, section = [], [], [], None
-
-        def flush() -> None:
-            nonlocal texts, indexes, section
-            if texts:
-                out.append((key[0], len(out), indexes, "\n".join(texts)))
-            texts, indexes, section = [], [], None
-
-        for r in rows.sort_values(["block_index", "part"]).itertuples():
-            alone, begins = r.kind == "table", r.kind == "heading"
-            if alone or begins or (texts and (section != r.section or len("\n".join([*texts, r.text])) > most)):
-                flush()
+        out, texts, indexes, types, section, size = [], [], [], set(), None, 0
+        ordered = rows.sort_values(["block_index", "part"])
+        for r in ordered.itertuples():
+            alone = r.kind == "table"
+            if texts and (alone or types == {"table"} or r.kind == "heading" or section != r.section or size + 1 + len(r.text) > most):
+                out.append((key[0], len(out), indexes, sorted(types), "\n".join(texts)))
+                texts, indexes, types, size = [], [], set(), 0
+            section = r.section if not texts else section
+            size += len(r.text) + (1 if texts else 0)
             texts.append(r.text)
             indexes.append(r.block_index)
-            section = r.section if section is None else section
-            if alone:
-                flush()
-        flush()
-        return pd.DataFrame(out, columns=["file_id", "n", "block_indexes", "text"])
+            types.add(r.block_type)
+        if texts:
+            out.append((key[0], len(out), indexes, sorted(types), "\n".join(texts)))
+        return pd.DataFrame(out, columns=["file_id", "n", "block_indexes", "block_types", "text"])
+
+    return parts.groupBy("file_id").applyInPandas(fold, "file_id string, n int, block_indexes array<int>, block_types array<string>, text string")
+
+
+def whole_blocks(blocks: DataFrame) -> DataFrame:
+    """A chunk for each block with text: what a sheet without a readable workbook falls back to, and files of other kinds."""
+    text = clean_text(F.col("text"))
+    return blocks.select("file_id", "block_index", F.lit(0).alias("part"), text.alias("text")).where("text <> ''")
+
+
+def parts_as_chunks(parts: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Chunks that come from one block each, in the blocks' order: file_id, n, block_indexes, block_types, text."""
+    typed = parts.join(blocks.select("file_id", "block_index", "block_type"), ["file_id", "block_index"])
+    n = F.row_number().over(Window.partitionBy("file_id").orderBy("block_index", "part")) - 1
+    return typed.select("file_id", n.alias("n"), F.array("block_index").alias("block_indexes"), F.array("block_type").alias("block_types"), "text")
+
+
+def sheet_chunks(records: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Chunks of timetables: a record of class, day and session (see reshape.class_sessions, with file_id) and the block of
+    its first row, else the file's first one, whose place its own columns extend. blocks: file_id, block_index, block_type
+    and location. Gives file_id, n, block_indexes, block_types, text, extra."""
+    placed = blocks.where("location.sheet is not null and location.row is not null")
+    own = placed.groupBy("file_id", F.col("location.sheet").alias("sheet"), F.col("location.row").alias("row_start")).agg(F.max(F.struct("block_index", "block_type")).alias("own"))
+    first = blocks.groupBy("file_id").agg(F.min(F.struct("block_index", "block_type")).alias("first"))
+    block = F.coalesce("own", "first")
+    extra = F.struct("sheet", "row_start", "row_end", "day", "session", "class_name", "grade", F.array_join("periods", ",").alias("periods"))
+    joined = records.join(own, ["file_id", "sheet", "row_start"], "left").join(first, "file_id")
+    return joined.select("file_id", (F.col("n") - 1).alias("n"), F.array(block["block_index"]).alias("block_indexes"), F.array(block["block_type"]).alias("block_types"), "text", extra.alias("extra"))
+
+
+def make_chunks(pieces: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The chunk table (schemas.CHUNKS) from pieces (file_id, n, block_indexes, block_types, text, and extra if they add to the
+    place): numbered from 0 in each file, with the blocks' ids, and the place of the first block, extended by what is extra."""
+    first = blocks.select("file_id", F.col("block_index").alias("at"), "source", "relative_path", "file_type", "location")
+    joined = renumbered(pieces, "file_id", "n").withColumn("at", F.col("block_indexes")[0]).join(first, ["file_id", "at"])
+    own = {f: F.col(f"location.{f}") for f in ("page", "section", "item_index", "style", "table_number", "sheet", "row")}
+    more = {f: F.col(f"extra.{f}") if "extra" in pieces.columns else F.lit(None) for f in ("row_start", "row_end", "day", "session", "class_name", "grade", "periods")}
+    kinds = {"row_start": "int", "row_end": "int"}
+    if "extra" in pieces.columns:
+        own["sheet"] = F.coalesce("extra.sheet", "location.sheet")
+    location = F.struct(*[c.alias(f) for f, c in own.items()], *[c.cast(kinds.get(f, "string")).alias(f) for f, c in more.items()])
+    named = joined.withColumn("text", clean_text(F.col("text"))).withColumn("place", location)
+    return named.select(
+        numbered_id(F.col("file_id"), "c", F.col("chunk_index")).alias("id"), "file_id", "source", "relative_path", "file_type", "chunk_index",
+        F.transform("block_indexes", lambda i: numbered_id(F.col("file_id"), "b", i)).alias("block_ids"), F.array_sort(F.array_distinct("block_types")).alias("block_types"),
+        F.col("place").alias("location"), "text", retrieval_text(F.col("source"), F.col("place.section"), F.col("text")).alias("retrieval_text"), F.length("text").alias("char_count"),
+    )
 
-    return parts.groupBy("file_id").applyInPandas(fold, "file_id string, n int, block_indexes array<int>, text string")
 
+def build_chunks(blocks: DataFrame, records: DataFrame | None = None) -> DataFrame:
+    """The chunks of all files: flowing for docx, by page for pdf, by class and half day for workbooks whose records are given
+    (file_id and the columns of reshape.class_sessions), one for each block for other workbooks and other kinds. blocks: as
+    schemas.BLOCKS."""
+    docx, pdf = blocks.where("file_type = 'docx'"), blocks.where("file_type = 'pdf'")
+    rest = blocks.where("file_type not in ('docx', 'pdf')")
+    chunks = make_chunks(flowing_chunks(docx.withColumn("section", F.coalesce("location.section", F.lit("")))), docx)
+    chunks = chunks.unionByName(make_chunks(parts_as_chunks(paged_chunks(pdf), pdf), pdf))
+    if records is not None:
+        known = records.select("file_id").distinct()
+        sheets = rest.where("file_type in ('xlsx', 'xlsm')").join(known, "file_id", "left_semi")
+        chunks = chunks.unionByName(make_chunks(sheet_chunks(records, sheets), sheets))
+        rest = rest.join(known, "file_id", "left_anti")
+    return chunks.unionByName(make_chunks(parts_as_chunks(whole_blocks(rest), rest), rest))
 
-def chunk_rows(chunks: DataFrame) -> DataFrame:
-    """Chunks with identity, retrieval text and size. chunks: relative_path, source, file_type, section, block_types, pos,
-    text."""
-    named = renumbered(chunks.withColumn("file_id", file_id(F.col("relative_path"))).withColumn("text", clean_text(F.col("text"))))
-    return named.select(
-        numbered_id(F.col("file_id"), "c", F.col("chunk_index")).alias("id"), "file_id", "source", "relative_path", "file_type", "chunk_index", F.array_sort(F.array_distinct("block_types")).alias("block_types"),
-        "text", retrieval_text(F.col("source"), F.col("section"), F.col("text")).alias("retrieval_text"), F.length("text").alias("char_count"),
-    )
+
+def build_manifest(blocks: DataFrame, chunks: DataFrame) -> DataFrame:
+    """file_id, source, file_type, blocks, chunks: a row for each file, and one of all (file_id null)."""
+    per = blocks.groupBy("file_id").agg(F.min("source").alias("source"), F.min("file_type").alias("file_type"), F.count(F.lit(1)).alias("blocks"))
+    per = per.join(chunks.groupBy("file_id").agg(F.count(F.lit(1)).alias("chunks")), "file_id", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0)))
+    every = per.agg(F.sum("blocks").alias("blocks"), F.sum("chunks").alias("chunks"))
+    return per.unionByName(every.select(F.lit(None).cast("string").alias("file_id"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("file_type"), "blocks", "chunks"))
 
 
 def manifest(chunks: DataFrame) -> DataFrame:
@@ -123,8 +180,8 @@ def column_letters(col: Column) -> Column:
 
 def table_text(cells: DataFrame) -> DataFrame:
     """source, table_number, text: rows of a table as 'Dòng r: Ô c: v | ...'; empty cells go, and empty rows, whose number
-    still counts."""
-    filled = cells.withColumn("v", F.replace(clean_text(F.col("value")), F.lit("\n"), F.lit(" "))).where("v <> ''")
+    still counts. A cell of several lines keeps them."""
+    filled = cells.withColumn("v", clean_text(F.col("value"))).where("v <> ''")
     by = ["source", "table_number"]
     entry = F.concat(F.lit("Ô "), F.col("col").cast("string"), F.lit(": "), F.col("v"))
     lines = filled.groupBy(*by, "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", entry.alias("e")))), lambda x: x["e"]), " | ").alias("line"))

@@ -114,7 +114,8 @@ def lessons_of(cells: DataFrame, merged: DataFrame) -> DataFrame:
 def class_sessions(cells: DataFrame) -> DataFrame:
     """One record for each class, day and session of a sheet: periods (in order), values by period with empty slots filled
     in, first and last row, and text. Merged ranges play no part: a merged cell's text stands in its anchor alone."""
-    text = cell_line(F.col("value"))
+    cells = cells.withColumn("line", cell_line(F.col("value")))
+    text = F.col("line")
     headers = header_rows(cells, "chunk")
     at = {c: F.max(F.when(F.col("col") == c, text)) for c in (1, 2, 3)}
     rows = cells.join(headers, SHEET).where(F.col("row") > F.col("header_row")).groupBy(*SHEET, "row").agg(at[1].alias("c1"), at[2].alias("c2"), at[3].alias("c3"))

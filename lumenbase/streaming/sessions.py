@@ -65,22 +65,21 @@ def inherited(said: dict, context: dict) -> dict:
     return out
 
 
-def answered(asked: dict, slots: set) -> int:
-    """The number of facts that an effective predicate finds; 0 where it can't be answered."""
+def answered(asked: dict, slots: dict[str, list[tuple]]) -> int:
+    """The number of facts that an effective predicate finds; 0 where it can't be answered. slots: those of a class, and of a
+    grade, by its name."""
     days, sessions, periods = (list(asked.get(k) if asked.get(k) is not None else ()) for k in ("days", "sessions", "periods"))
-    named = asked.get("class_name")
-    hits = sum(
-        1
-        for c, g, d, s, p in slots
-        if (c == named if named else not asked.get("grade") or g == asked["grade"]) and (not days or d in days) and (not sessions or s in sessions) and (not periods or p in periods)
-    )
-    table = asked["timetable_word"] or any(len(x) > 1 for x in (days, sessions, periods)) or (named and not periods and bool(days) == bool(sessions))
-    if table:
-        return hits if named or asked.get("grade") else 0
-    return hits if named and days and sessions and periods else 0
-
-
-def fold(rows: pd.DataFrame, context: dict, slots: set) -> Iterator[tuple]:
+    named = asked.get("class_name") or asked.get("grade")
+    if not named:
+        return 0
+    hits = sum((not days or d in days) and (not sessions or s in sessions) and (not periods or p in periods) for d, s, p in slots.get(named, ()))
+    several = any(len(x) > 1 for x in (days, sessions, periods))
+    if asked["timetable_word"] or several or (asked.get("class_name") and not periods and bool(days) == bool(sessions)):
+        return hits
+    return hits if asked.get("class_name") and days and sessions and periods else 0
+
+
+def fold(rows: pd.DataFrame, context: dict, slots: dict[str, list[tuple]]) -> Iterator[tuple]:
     """Turns in order: a reset clears the context; a question inherits, is answered, and on success changes the context."""
     for r in rows.sort_values("pos").to_dict("records"):
         if r["is_reset"]:
@@ -97,19 +96,49 @@ def fold(rows: pd.DataFrame, context: dict, slots: set) -> Iterator[tuple]:
         yield (r["session_id"], int(r["pos"]), found > 0, found, *[context.get(k) for k in CONTEXT])
 
 
-def fold_sessions(turns: DataFrame, lessons: DataFrame, most_slots: int = 200_000) -> DataFrame:
+FOLDED_COLUMNS = [part.split()[0] for part in FOLDED.split(", ")]
+
+
+def slots_of(turns: DataFrame, lessons: DataFrame) -> DataFrame:
+    """session_id, name, day, session, period: the slots of every class and grade that a session names. A context holds only
+    what its session said, so no turn can ask for others."""
+    slots = lessons.select("class_name", "grade", F.col("day").alias("d"), F.col("session").alias("s"), F.col("period").alias("p")).distinct()
+    parts = [turns.where(F.col(c).isNotNull()).select("session_id", F.col(c).alias("name")).distinct().join(slots, F.col("name") == slots[c]).select("session_id", "name", "d", "s", "p") for c in ("class_name", "grade")]
+    return parts[0].unionByName(parts[1])
+
+
+def fold_sessions(turns: DataFrame, lessons: DataFrame) -> DataFrame:
     """One row a turn with the context after it. turns: session_id, pos, is_reset, follows, timetable_word and the parsed
     fields; lessons: class_name, grade, day, session, period. Whether a turn succeeds decides what the next one inherits,
-    so a session is folded in order; the fact keys, of a checked number, go to every worker."""
+    so a session is folded in order, together with the slots that its classes and grades have."""
+
+    def run(key: tuple, rows: pd.DataFrame, slots: pd.DataFrame) -> pd.DataFrame:
+        by_name = {n: list(zip(g["d"], g["s"], g["p"], strict=True)) for n, g in slots.groupby("name")}
+        return pd.DataFrame(list(fold(rows, {}, by_name)), columns=FOLDED_COLUMNS)
+
+    return turns.groupBy("session_id").cogroup(slots_of(turns, lessons).withColumn("of", F.concat("session_id", F.lit(""))).drop("session_id").groupBy("of")).applyInPandas(run, FOLDED)
+
+
+def stream_context(turns: DataFrame, lessons: DataFrame, most_slots: int = 200_000) -> DataFrame:
+    """A stream of turns, as fold_sessions takes them, to a row a turn with the context after it; a reset clears it. A trigger's
+    turns are folded in order of pos onto the session's state. The timetable's slots go to every worker, so their number is
+    checked: a school has some thousands."""
     keys = lessons.select("class_name", "grade", "day", "session", "period").distinct().limit(most_slots + 1).collect()
     if len(keys) > most_slots:
         raise ValueError(f"more than {most_slots} timetable slots")
-    slots = turns.sparkSession.sparkContext.broadcast({tuple(k) for k in keys})
+    by_name: dict[str, list[tuple]] = {}
+    for c, g, *slot in keys:
+        for name in (c, g):
+            by_name.setdefault(name, []).append(tuple(slot))
+    shared = turns.sparkSession.sparkContext.broadcast(by_name)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(fold(rows, {}, slots.value)), columns=["session_id", "pos", "ok", "n_rows", "class_name", "grade", "day", "session", "period"])
+    def keep(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        context = {k: v for k, v in zip(CONTEXT, held.get, strict=True) if v is not None} if held.exists else {}
+        rows = list(fold(pd.concat(list(batches)), context, shared.value))
+        held.update(tuple(context.get(k) for k in CONTEXT))
+        yield pd.DataFrame(rows, columns=FOLDED_COLUMNS).astype({"period": "Int32"})
 
-    return turns.groupBy("session_id").applyInPandas(run, FOLDED)
+    return turns.groupBy("session_id").applyInPandasWithState(keep, FOLDED, CONTEXT_DDL, "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_history(messages: DataFrame, most: int = HISTORY, idle_ms: int | None = None) -> DataFrame:
