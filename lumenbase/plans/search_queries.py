@@ -8,8 +8,10 @@ from lumenbase.operators import evidence as E
 from lumenbase.operators import fusion as R
 from lumenbase.operators import search as X
 from lumenbase.plans import sql as S
+from lumenbase.plans import timetable_queries as H
 from lumenbase.plans.registry import query
-from lumenbase.plans.views import ASKED, CHUNKS, VECTORS, chunk_view, questions, vector_view
+from lumenbase.plans.views import ASKED, CHUNKS, VECTORS, chunk_view, questions, stored_index, table, vector_view
+from lumenbase.sources.shared import built_once, kept
 
 PROSE = "file_type IN ('pdf', 'docx')"
 STATED = "stated AS (SELECT asked.*, CAST(embedding AS DOUBLE[]) AS vector FROM asked JOIN embeddings ON vec_id = question_id)"
@@ -33,15 +35,15 @@ def lexical(name: str, where: str, top: int = 100, phrase: bool = True) -> str:
 
 
 def prose(spark, sf_dir):
-    return chunk_view(spark, sf_dir).where(F.col("file_type").isin(*X.PROSE))
+    """The stored index of the prose chunks."""
+    return stored_index(spark, sf_dir).of(*X.PROSE)
 
 
 def both_lists(spark, sf_dir):
-    """(vectors, index, questions, semantic hits, lexical hits) of the prose chunks. Hits are a few hundred rows; they are
-    kept, for every later step reads them."""
-    vectors, asked = vector_view(spark, sf_dir), questions(spark, sf_dir)
-    index = X.lexical_index(prose(spark, sf_dir))
-    return vectors.where(F.col("file_type").isin(*X.PROSE)), index, asked, X.semantic_hits(vectors, asked).cache(), X.lexical_hits(index, asked).cache()
+    """(vectors, index, questions, semantic hits, lexical hits) of the prose chunks. The two lists, a few hundred rows a
+    question, are written, for every later step reads them."""
+    vectors, asked, index = vector_view(spark, sf_dir), questions(spark, sf_dir), prose(spark, sf_dir)
+    return vectors.where(F.col("file_type").isin(*X.PROSE)), index, asked, kept(X.semantic_hits(vectors, asked), "semantic"), kept(X.lexical_hits(index, asked), "lexical")
 
 
 @query(f"WITH {CHUNKS}, {VECTORS}, {ASKED}, {STATED}, {SEMANTIC} SELECT question_id, file_id, chunk_index, semantic_score, CAST(rank AS INTEGER) AS rank, round(1 - semantic_score, 6) AS distance FROM semantic")
@@ -56,31 +58,43 @@ def cosine_unfiltered(spark, sf_dir):
 
 @query(f"WITH {CHUNKS}, {ASKED}, {lexical('lex', PROSE)} SELECT n AS n_chunks, round(avgdl, 6) AS avg_terms FROM lex_stats")
 def bm25_index_stats(spark, sf_dir):
-    return X.corpus_stats(X.lexical_index(prose(spark, sf_dir))).select("n_chunks", F.round("avg_terms", 6).alias("avg_terms"))
+    return X.corpus_stats(prose(spark, sf_dir)).select("n_chunks", F.round("avg_terms", 6).alias("avg_terms"))
 
 
 @query(f"WITH {CHUNKS}, {ASKED}, {lexical('lex', PROSE)} SELECT question_id, file_id, chunk_index, bm25_score, CAST(rank AS INTEGER) AS rank FROM lex")
 def bm25_topk(spark, sf_dir):
-    return X.lexical_hits(X.lexical_index(prose(spark, sf_dir)), questions(spark, sf_dir)).drop("document")
+    return X.lexical_hits(prose(spark, sf_dir), questions(spark, sf_dir)).drop("document")
 
 
 @query(f"WITH {CHUNKS}, {ASKED}, {lexical('lex', 'true', 30)} SELECT question_id, file_id, chunk_index, bm25_score, CAST(rank AS INTEGER) AS rank FROM lex")
 def bm25_all_types(spark, sf_dir):
-    return X.lexical_hits(X.lexical_index(chunk_view(spark, sf_dir)), questions(spark, sf_dir), 30).drop("document")
+    return X.lexical_hits(stored_index(spark, sf_dir), questions(spark, sf_dir), 30).drop("document")
 
 
-@query(f"WITH {CHUNKS}, {ASKED}, {lexical('lex', PROSE)} SELECT question_id, file_id, chunk_index, bm25_score FROM lex_score WHERE file_id IN ('src1', 'src2') AND question_id < 3")
+@query(f"WITH {CHUNKS}, {ASKED}, {lexical('lex', PROSE)} SELECT question_id, file_id, chunk_index, bm25_score FROM lex_score WHERE contains(file_id, CAST(question_id AS VARCHAR))")
 def bm25_candidates_only(spark, sf_dir):
-    index = X.lexical_index(prose(spark, sf_dir))
-    rows = index.where(F.col("file_id").isin("src1", "src2")).select(*X.KEY).withColumn("question_id", F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)])))
+    """Each question's candidates are the chunks of the files whose name holds its number."""
+    index = prose(spark, sf_dir)
+    numbers = questions(spark, sf_dir).select("question_id")
+    rows = index.rows.select(*X.KEY).join(F.broadcast(numbers), F.col("file_id").contains(F.col("question_id").cast("string")))
     return X.bm25(index, questions(spark, sf_dir), rows)
 
 
+SECTIONED = "chunks AS (SELECT source AS file_id, doc_id AS chunk_index, 'pdf' AS file_type, concat_ws(chr(10), source, CASE WHEN doc_id % 3 = 0 THEN 'II. ' || lang ELSE NULL END, text) AS document FROM documents)"
+
+
+@query(f"WITH {SECTIONED}, {ASKED}, {lexical('lex', 'true')} SELECT question_id, file_id, chunk_index, bm25_score, CAST(rank AS INTEGER) AS rank FROM lex")
+def bm25_source_section(spark, sf_dir):
+    """The index over source, section and document, as the corpus-wide search has it."""
+    section = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("II. "), "lang"))
+    rows = table(spark, sf_dir, "documents").select("source", section.alias("section"), F.col("source").alias("file_id"), F.col("doc_id").alias("chunk_index"), F.lit("pdf").alias("file_type"), F.col("text").alias("document"))
+    index = X.read_index(spark, built_once(spark, f"sectioned {sf_dir}", lambda path: X.write_index(rows, path, X.section_text())))
+    return X.lexical_hits(index, questions(spark, sf_dir)).drop("document")
+
+
 @query(f"WITH {CHUNKS}, {ASKED}, {lexical('lex', PROSE)} SELECT question_id, file_id, chunk_index FROM lex_index JOIN lex_q ON contains(norm, phrase)")
 def bm25_phrase_bonus(spark, sf_dir):
-    index = X.lexical_index(prose(spark, sf_dir))
-    asked = X.question_terms(questions(spark, sf_dir)).where("phrase is not null")
-    return index.join(X.small(asked.select("question_id", "phrase")), F.col("norm").contains(F.col("phrase"))).select("question_id", *X.KEY)
+    return X.phrase_hits(prose(spark, sf_dir), X.question_terms(questions(spark, sf_dir)))
 
 
 BOTH = f"WITH {CHUNKS}, {VECTORS}, {ASKED}, {STATED}, {SEMANTIC}, {lexical('lex', PROSE)}"
@@ -100,17 +114,14 @@ def rrf_topk(spark, sf_dir):
     return R.rrf(semantic, lexical_).withColumn("structured_rank", F.col("structured_rank").cast("int"))
 
 
-STRUCTURED = "structured AS (SELECT question_id, file_id, chunk_index, row_number() OVER (PARTITION BY question_id ORDER BY chunk_index) AS rank FROM chunks, asked WHERE file_type = 'xlsx' AND chunk_index % 50 = 8 QUALIFY rank <= 5)"
+STRUCTURED = f"""{H.V1_FOUND}, structured AS (SELECT question_id, file_id, chunk_index, rank FROM v1_ranked WHERE rank <= 5)"""
 
 
 @query(f"{BOTH}, {STRUCTURED}, {fused('structured')}")
 def rrf_structured(spark, sf_dir):
-    _, _, asked, semantic, lexical_ = both_lists(spark, sf_dir)
-    rows = chunk_view(spark, sf_dir).where("file_type = 'xlsx' and chunk_index % 50 = 8").join(X.small(asked.select("question_id")), F.lit(True))
-    from pyspark.sql.window import Window
-
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("chunk_index"))).where("rank <= 5")
-    return R.rrf(semantic, lexical_, rows)
+    """The structured list is the search over timetable chunks for the school questions of the same numbers."""
+    _, _, _, semantic, lexical_ = both_lists(spark, sf_dir)
+    return R.rrf(semantic, lexical_, H.v1_hits(spark, sf_dir).where("rank <= 5"))
 
 
 DOCS = """docs AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY document_score DESC, coalesce(best_semantic, 1000000000), coalesce(best_lexical, 1000000000), file_id) AS document_rank FROM (
@@ -165,9 +176,9 @@ def shown(spark, sf_dir):
     return evidence(spark, sf_dir).select("question_id", "rank", F.col("file_id").alias("source"), F.col("chunk_index").alias("page"), "document")
 
 
-@query(f"{BOTH}, {EVIDENCE}, {PIECES} SELECT question_id, count(*) AS pieces, CAST(max(upto) AS BIGINT) AS chars, string_agg(piece, chr(10) ORDER BY rank) AS evidence FROM (SELECT *, sum(length(piece)) OVER (PARTITION BY question_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS upto FROM pieces) WHERE upto <= 5000 GROUP BY question_id")
+@query(f"{BOTH}, {EVIDENCE}, {PIECES} SELECT question_id, count(*) AS pieces, CAST(max(upto) AS BIGINT) AS chars, string_agg(piece, chr(10) ORDER BY rank) AS evidence FROM (SELECT *, sum(length(piece)) OVER (PARTITION BY question_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS upto FROM pieces) WHERE upto <= 10000 GROUP BY question_id")
 def evidence_pack(spark, sf_dir):
-    return E.packed(E.evidence_pieces(shown(spark, sf_dir)), 5000)
+    return E.packed(E.evidence_pieces(shown(spark, sf_dir)))
 
 
 @query(f"{BOTH}, {EVIDENCE}, f AS (SELECT question_id, file_id, min(rank) AS r FROM evidence GROUP BY ALL) SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY r) AS INTEGER) AS n, file_id AS source, 'Không rõ' AS location FROM f QUALIFY n <= 4")
@@ -175,21 +186,23 @@ def source_list(spark, sf_dir):
     return E.source_list(shown(spark, sf_dir).drop("page"))
 
 
-@query(f"{BOTH}, {EVIDENCE} SELECT question_id, 'documents' AS mode, 'Chưa có đủ căn cứ để trả lời.' AS answer FROM asked WHERE question_id >= 3 UNION ALL SELECT question_id, 'documents', 'rows: ' || count(*) FILTER (rank <= 6) FROM evidence WHERE question_id < 3 GROUP BY question_id")
+EVERYONE = "everyone AS (SELECT question_id FROM asked UNION ALL SELECT question_id + 100 FROM asked)"
+
+
+@query(f"{BOTH}, {EVIDENCE}, {EVERYONE} SELECT e.question_id, 'documents' AS mode, CASE WHEN count(v.rank) = 0 THEN 'Chưa có đủ căn cứ để trả lời.' ELSE 'rows: ' || count(v.rank) END AS answer FROM everyone AS e LEFT JOIN evidence AS v ON v.question_id = e.question_id AND v.rank <= 6 GROUP BY ALL")
 def refusal(spark, sf_dir):
-    packed = E.packed(E.evidence_pieces(shown(spark, sf_dir)), 10_000).where("question_id < 3")
-    return E.answers(questions(spark, sf_dir), packed, F.concat(F.lit("rows: "), F.col("pieces").cast("string")))
+    """Every question is asked twice; the second has a number that nothing was found for."""
+    asked = questions(spark, sf_dir).select("question_id")
+    asked = asked.unionByName(asked.select((F.col("question_id") + 100).alias("question_id")))
+    return E.answers(asked, E.packed(E.evidence_pieces(shown(spark, sf_dir))), F.concat(F.lit("rows: "), F.col("pieces").cast("string")))
 
 
-@query(f"WITH {CHUNKS}, {VECTORS}, {ASKED}, {STATED} SELECT question_id, file_id, chunk_index, round(list_cosine_similarity(embedding, vector), 6) AS similarity FROM vectors, stated WHERE file_id = 'src3' AND {PROSE}")
+@query(f"WITH {CHUNKS}, {VECTORS}, {ASKED}, {STATED} SELECT question_id, file_id, chunk_index, round(list_cosine_similarity(embedding, vector), 6) AS similarity FROM vectors, stated WHERE {PROSE}")
 def in_document_similarity(spark, sf_dir):
-    rows = vector_view(spark, sf_dir).where(F.col("file_id") == "src3").where(F.col("file_type").isin(*X.PROSE)).join(X.small(questions(spark, sf_dir).select("question_id", "vector")), F.size("embedding") == F.size("vector"))
-    return rows.select("question_id", *X.KEY, F.round(X.cosine(F.col("embedding"), F.col("vector")), 6).alias("similarity"))
+    return X.similarities(vector_view(spark, sf_dir).where(F.col("file_type").isin(*X.PROSE)), questions(spark, sf_dir))
 
 
 @query("SELECT (SELECT count(*) FROM documents) AS chunks, (SELECT count(*) FROM events) AS lessons")
 def health_counts(spark, sf_dir):
-    from lumenbase.plans.views import table
-
     one = lambda name, as_: table(spark, sf_dir, name).agg(F.count(F.lit(1)).alias(as_)).withColumn("one", F.lit(1))
     return one("documents", "chunks").join(one("events", "lessons"), "one").drop("one")

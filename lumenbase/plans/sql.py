@@ -21,11 +21,11 @@ def quotes(x: str) -> str:
 
 
 def question(x: str) -> str:
-    return one_space(quotes(strip(f"lower({x})")))
+    return one_space(quotes(strip(f"lower(nfc_normalize({x}))")))
 
 
 def search(x: str) -> str:
-    inner = rf"regexp_replace({quotes(strip(f'lower({x})'))}, '[^\p{{L}}\p{{M}}\p{{N}}_\sÀ-ỹđĐ]', ' ', 'g')"
+    inner = rf"regexp_replace({quotes(strip(f'lower(nfc_normalize({x}))'))}, '[^\p{{L}}\p{{M}}\p{{N}}_\sÀ-ỹđĐ]', ' ', 'g')"
     return one_space(inner)
 
 
@@ -35,7 +35,7 @@ def terms(norm: str) -> str:
 
 def clean(x: str) -> str:
     inner = strip(r"regexp_replace(x, '[ \t]+', ' ', 'g')")
-    return rf"array_to_string(list_filter(list_transform(string_split(regexp_replace({x}, '\r\n?', chr(10), 'g'), chr(10)), lambda x: {inner}), lambda x: x <> ''), chr(10))"
+    return rf"array_to_string(list_filter(list_transform(string_split(regexp_replace(nfc_normalize({x}), '\r\n?', chr(10), 'g'), chr(10)), lambda x: {inner}), lambda x: x <> ''), chr(10))"
 
 
 def subject(x: str) -> str:
@@ -52,3 +52,14 @@ def packed(lines: str, most: int) -> str:
 
 def joined(x: str) -> str:
     return f"array_to_string({x}, ',')"
+
+
+def header(field: str) -> str:
+    """What follows 'field:' on its line of a document."""
+    return rf"trim(regexp_extract(document, '(?im)^\s*{field}\s*:\s*([^\n]+)', 1))"
+
+
+#: Class and grade, and single days in the order of the week, of a normalised question q.
+CLASS = r"regexp_extract(q, '\b((?:6|7|8|9|10|11|12)a\d+)\b', 1)"
+CLASS_GRADE = rf"upper(nullif({CLASS}, '')) AS class_name, coalesce(nullif(regexp_extract({CLASS}, '^(6|7|8|9|10|11|12)a', 1), ''), nullif(regexp_extract(q, 'khối\s*(6|7|8|9|10|11|12)\b', 1), '')) AS grade"
+DAYS = "list_filter([" + ", ".join(rf"CASE WHEN regexp_matches(q, '\bthứ\s*({n}){END}') THEN '{c}' END" for c, n in (("2", "hai|2"), ("3", "ba|3"), ("4", "tư|4"), ("5", "năm|5"), ("6", "sáu|6"), ("7", "bảy|7"))) + "], lambda d: d IS NOT NULL)"

@@ -10,20 +10,10 @@ from lumenbase.operators import chunking as C
 from lumenbase.operators import quality as Q
 from lumenbase.operators.evidence import in_service, valid_question
 from lumenbase.plans import sql as S
-from lumenbase.plans.registry import Rows, query
-from lumenbase.plans.views import BLOCKS, CHUNKS, MESSAGES, PREDICATES, SCHOOL, block_view, chunk_view, messages_view, table
+from lumenbase.plans.registry import query, sql_literal
+from lumenbase.plans.views import ASKED_OF_LESSONS, BLOCKS, CHUNKS, MESSAGES, SUBJECTS, block_view, chunk_view, messages_view, picked, question_view, subject_view, table
 from lumenbase.streaming import sessions as H
 
-SUBJECTS = Rows("n int, value string", [(1, "A - Thầy B;  C - Cô D[P2]"), (2, "HĐTN-Loan"), (3, " ; ;"), (4, "[TRỐNG]"), (5, "Toán  -  An [P1] ; Văn"), (6, "Ngữ văn-T.Trang;[TRỐNG]"), (7, "")])
-TOKENS = Rows("n int, value string", [(1, "Thứ 2"), (2, "thứ tư"), (3, "thu bay"), (4, "hai"), (5, "7"), (6, "8"), (7, "Thứ Bảy"), (8, "bốn"), (9, "thứ năm"), (10, "sáu")])
-HEADS = Rows("n int, value string", [(1, "II. Mục"), (2, "c) ý"), (3, "d) ý"), (4, "iv. x"), (5, "IV.x"), (6, "x) y"), (7, "1. a")])
-REPLIES = Rows("n int, reply string", [(1, "<think>x</think> ok"), (2, "a<think>b"), (3, '{"answer": "Có"}'), (4, '{"answer": 5}'), (5, "  text "), (6, '{"answer": "  "}'), (7, "</think>a</think> b"), (8, '{"other": "x"}')])
-PLACES = Rows("n int, section string, page string, tbl string, sheet string, line string", [(1, "I. A", "2", None, "", None), (2, None, None, None, None, None), (3, "", "", "", "TKB", "7"), (4, "II", None, "3", None, None)])
-SIZES = Rows("n int, bytes bigint", [(1, 0), (2, 1023), (3, 1024), (4, 10_240), (5, 1_048_576), (6, 5_767_168), (7, 1_048_575)])
-PATHS = Rows("relative_path string, size_bytes bigint", [("a/Tkb 1.xlsx", 10), ("/b/x.PDF", 20), ("b\\y.docx", 30), ("c.txt", 1), ("a/Tkb 1.xlsx", 10), ("~$t.xlsm", 5), ("", 7), ("d/e/Z.docx", 8)])
-RECORDS = Rows("n int, text string", [(1, "Thứ: 2\nBuổi: S\n10A1: 3"), (2, "Thứ: 2\n10A1: Toán"), (3, "Tiết: 1\nThứ: 3"), (4, "10A1: 3.0\n10A2:7"), (5, "x")])
-
-
 @query(f"SELECT doc_id, {S.clean('text')} AS cleaned FROM documents")
 def clean_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.clean_text(F.col("text")).alias("cleaned"))
@@ -40,33 +30,39 @@ def normalize_questions(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.normalize_question(F.col("text")).alias("norm"))
 
 
-@query(f"WITH {SUBJECTS.sql('v')} SELECT n, {S.subject('value')} AS subject FROM v")
+@query(f"WITH {SUBJECTS} SELECT n, {S.subject('value')} AS subject FROM v")
 def format_subject(spark, sf_dir):
-    return SUBJECTS.frame(spark).select("n", T.format_subject(F.col("value")).alias("subject"))
+    return subject_view(spark, sf_dir).select("n", T.format_subject(F.col("value")).alias("subject"))
 
 
 PARTS = rf"list_transform(list_filter(list_transform(string_split_regex({S.one_space('value')}, '\s*;\s*'), lambda p: {S.strip('p')}), lambda p: p <> ''), lambda p: " + S.strip(r"regexp_replace(p, '\s*\[[^\]]*\]\s*$', '')") + ")"
 
 
-@query(rf"""WITH {SUBJECTS.sql('v')}, p AS (SELECT n, unnest({PARTS}) AS p, generate_subscripts({PARTS}, 1) AS i FROM v)
+@query(rf"""WITH {SUBJECTS}, p AS (SELECT n, unnest({PARTS}) AS p, generate_subscripts({PARTS}, 1) AS i FROM v)
     SELECT n, CAST(i AS INTEGER) AS i, CASE WHEN regexp_matches(p, '^.+?\s+-\s+.+?$') THEN regexp_extract(p, '^(.+?)\s+-\s+(.+?)$', 1) ELSE p END AS subject,
            CASE WHEN regexp_matches(p, '^.+?\s+-\s+.+?$') THEN regexp_extract(p, '^(.+?)\s+-\s+(.+?)$', 2) ELSE '' END AS teacher FROM p""")
 def split_assignments(spark, sf_dir):
-    rows = SUBJECTS.frame(spark).select("n", F.posexplode(T.split_assignments(F.col("value"))).alias("i", "p"))
+    rows = subject_view(spark, sf_dir).select("n", F.posexplode(T.split_assignments(F.col("value"))).alias("i", "p"))
     return rows.select("n", (F.col("i") + 1).alias("i"), "p.subject", "p.teacher")
 
 
-@query(rf"WITH {HEADS.sql('v')} SELECT n, regexp_matches(value, '(?i)^[IVXLC]+[.)]\s+') AS heading FROM v")
+@query(rf"WITH {BLOCKS} SELECT file_id, block_index, regexp_matches(text, '(?i)^[IVXLC]+[.)]\s+') AS heading FROM blocks")
 def heading_flags(spark, sf_dir):
-    return HEADS.frame(spark).select("n", T.is_heading(F.col("value")).alias("heading"))
+    return block_view(spark, sf_dir).select("file_id", "block_index", T.is_heading(F.col("text")).alias("heading"))
+
 
+TOKENS = ["Thứ 2", "thứ tư", "thu bay", "hai", "7", "8", "Thứ Bảy", "bốn", "thứ năm", "sáu", "THỨ BA", "Thứ  6 ", "ngày 3", "tu", "thu bon"]
+SHEET_DAYS = (("hai", "2"), ("ba", "3"), ("tư", "4"), ("bon", "4"), ("năm", "5"), ("nam", "5"), ("sáu", "6"), ("sau", "6"), ("bảy", "7"), ("bay", "7"))
 
-@query(f"""WITH {TOKENS.sql('v')}, names(name, code) AS (VALUES ('hai', '2'), ('ba', '3'), ('tư', '4'), ('tu', '4'), ('bốn', '4'), ('bon', '4'), ('năm', '5'), ('nam', '5'), ('sáu', '6'), ('sau', '6'), ('bảy', '7'), ('bay', '7'))
-    SELECT n, CASE WHEN regexp_matches(lower(value), '^[2-7]$') THEN value ELSE code END AS day,
-           CASE n WHEN 1 THEN '2' WHEN 2 THEN '4' WHEN 3 THEN '3' WHEN 4 THEN 'hai' WHEN 5 THEN '7' WHEN 6 THEN '8' WHEN 7 THEN '7' WHEN 8 THEN 'bốn' WHEN 9 THEN '5' ELSE 'sáu' END AS sheet_day
-    FROM v LEFT JOIN names ON name = lower(value)""")
+
+@query(rf"""WITH v AS (SELECT event_id AS n, {sql_literal(TOKENS)}[event_id % {len(TOKENS)} + 1] AS value FROM events), names(name, code) AS (VALUES ('hai', '2'), ('ba', '3'), ('tư', '4'), ('tu', '4'), ('bốn', '4'), ('bon', '4'), ('năm', '5'), ('nam', '5'), ('sáu', '6'), ('sau', '6'), ('bảy', '7'), ('bay', '7')),
+    f AS (SELECT *, regexp_extract(lower(value), '(?:thứ|thu)\s*(?:hai|ba|tư|bon|năm|nam|sáu|sau|bảy|bay|[2-7])') AS found FROM v)
+    SELECT n, CASE WHEN regexp_matches({S.strip('lower(value)')}, '^[2-7]$') THEN {S.strip('value')} ELSE code END AS day,
+           coalesce(CASE {' '.join(f"WHEN contains(found, '{n}') THEN '{d}'" for n, d in SHEET_DAYS)} END, nullif(regexp_extract(value, '\b([2-7])\b', 1), ''), {S.strip('value')}) AS sheet_day
+    FROM f LEFT JOIN names ON name = {S.strip('lower(value)')}""")
 def day_tokens(spark, sf_dir):
-    return TOKENS.frame(spark).select("n", T.day_code(F.col("value")).alias("day"), T.sheet_day(F.col("value")).alias("sheet_day"))
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("n"), picked(TOKENS, F.col("event_id") % len(TOKENS)).alias("value"))
+    return rows.select("n", T.day_code(F.col("value")).alias("day"), T.sheet_day(F.col("value")).alias("sheet_day"))
 
 
 @query("""SELECT doc_id, 'Tên tài liệu: ' || source || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'Phần: I' ELSE '' END || chr(10) || 'Nội dung:' || chr(10) || text AS retrieval, length(text) AS char_count FROM documents""")
@@ -75,10 +71,16 @@ def retrieval_texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.retrieval_text(F.col("source"), section, F.col("text")).alias("retrieval"), F.length("text").cast("long").alias("char_count"))
 
 
-@query(f"""WITH {PLACES.sql('v')} SELECT n, coalesce(nullif(concat_ws(', ', CASE WHEN section <> '' THEN 'section=' || section END, CASE WHEN page <> '' THEN 'page=' || page END, CASE WHEN tbl <> '' THEN 'table=' || tbl END,
-    CASE WHEN sheet <> '' THEN 'sheet=' || sheet END, CASE WHEN line <> '' THEN 'row=' || line END), ''), 'Không rõ') AS label FROM v""")
+@query("""WITH v AS (SELECT doc_id AS n, CASE doc_id % 3 WHEN 0 THEN 'I. ' || source WHEN 1 THEN '' END AS section, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id AS VARCHAR) END AS page, CASE WHEN doc_id % 5 = 0 THEN CAST(doc_id % 7 AS VARCHAR) END AS tbl,
+        CASE doc_id % 4 WHEN 0 THEN 'TKB' WHEN 1 THEN '' END AS sheet, CASE WHEN doc_id % 7 = 0 THEN CAST(n_chars AS VARCHAR) END AS line FROM documents)
+    SELECT n, coalesce(nullif(concat_ws(', ', CASE WHEN section <> '' THEN 'section=' || section END, CASE WHEN page <> '' THEN 'page=' || page END, CASE WHEN tbl <> '' THEN 'table=' || tbl END,
+        CASE WHEN sheet <> '' THEN 'sheet=' || sheet END, CASE WHEN line <> '' THEN 'row=' || line END), ''), 'Không rõ') AS label FROM v""")
 def location_labels(spark, sf_dir):
-    return PLACES.frame(spark).select("n", T.location_label(*[F.col(c) for c in ("section", "page", "tbl", "sheet", "line")]).alias("label"))
+    d = F.col("doc_id")
+    section = F.when(d % 3 == 0, F.concat(F.lit("I. "), "source")).when(d % 3 == 1, "")
+    sheet = F.when(d % 4 == 0, "TKB").when(d % 4 == 1, "")
+    places = [section, F.when(d % 2 == 0, d), F.when(d % 5 == 0, d % 7), sheet, F.when(d % 7 == 0, F.col("n_chars"))]
+    return table(spark, sf_dir, "documents").select(d.alias("n"), T.location_label(*places).alias("label"))
 
 
 @query(r"SELECT doc_id, CASE WHEN length(text) > 1250 THEN regexp_replace(substring(text, 1, 1250), '\s+$', '') || ' ...' ELSE text END AS short FROM documents")
@@ -86,9 +88,12 @@ def truncate_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.truncated(F.col("text")).alias("short"))
 
 
-@query(f"WITH {SIZES.sql('v')} SELECT n, CASE WHEN bytes < 1024 THEN bytes || ' B' WHEN bytes < 1048576 THEN printf('%.0f KB', bytes / 1024.0) ELSE printf('%.1f MB', bytes / 1048576.0) END AS size FROM v")
+SIZE = "CASE WHEN doc_id % 50 < 3 THEN 1023 + doc_id % 50 WHEN doc_id % 50 < 9 THEN 512 * (doc_id % 50) WHEN doc_id % 50 < 15 THEN 262144 * (doc_id % 50) ELSE n_chars * (doc_id % 1000) END"
+
+
+@query(f"WITH v AS (SELECT doc_id AS n, {SIZE} AS bytes FROM documents) SELECT n, CASE WHEN bytes < 1024 THEN bytes || ' B' WHEN bytes < 1048576 THEN printf('%.0f KB', bytes / 1024.0) ELSE printf('%.1f MB', bytes / 1048576.0) END AS size FROM v")
 def byte_sizes(spark, sf_dir):
-    return SIZES.frame(spark).select("n", T.byte_size(F.col("bytes")).alias("size"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("n"), T.byte_size(F.expr(SIZE)).alias("size"))
 
 
 @query("""SELECT doc_id, substring(sha1(lower(source || '/' || doc_id)), 1, 16) AS file_id, substring(sha256(lower(source || '/' || doc_id)), 1, 16) AS catalogue_id,
@@ -99,50 +104,56 @@ def stable_ids(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", fid.alias("file_id"), T.catalogue_id(path).alias("catalogue_id"), T.numbered_id(fid, "b", F.col("doc_id") % 1000).alias("block_id"))
 
 
-@query(f"""WITH {REPLIES.sql('v')} SELECT n, CASE n WHEN 1 THEN 'ok' WHEN 2 THEN 'a' WHEN 3 THEN 'Có' WHEN 4 THEN '{{"answer": 5}}' WHEN 5 THEN 'text' WHEN 6 THEN '{{"answer": "  "}}' WHEN 7 THEN 'a</think> b' ELSE reply END AS answer FROM v""")
+def reply_view(spark, sf_dir):
+    """conv_id, turn, reply: a message as a model might send it, in eight forms."""
+    t, n = F.col("text"), F.col("conv_id") + F.col("turn")
+    forms = [
+        F.concat(F.lit("<think>x</think> "), t), F.concat(t, F.lit("<think>b")), F.to_json(F.struct(t.alias("answer"))), F.concat(F.lit('{"answer": '), F.col("turn").cast("string"), F.lit("}")),
+        F.concat(F.lit("  "), t, F.lit(" \n")), F.lit('{"answer": "  "}'), F.concat(F.lit("</think>a</think> "), t), F.lit('{"other": "x"}'),
+    ]
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(*[F.when(n % 8 == k, f) for k, f in enumerate(forms)]).alias("reply"))
+
+
+@query(f"""SELECT conv_id, turn, CASE (conv_id + turn) % 8 WHEN 3 THEN '{{"answer": ' || turn || '}}' WHEN 5 THEN '{{"answer": "  "}}' WHEN 6 THEN 'a</think> ' || {S.strip('text').replace("'^\\s+|\\s+$'", "'\\s+$'")} WHEN 7 THEN '{{"other": "x"}}' ELSE {S.strip('text')} END AS answer FROM conversations""")
 def llm_reply_parse(spark, sf_dir):
-    return REPLIES.frame(spark).select("n", T.reply_answer(F.col("reply")).alias("answer"))
+    return reply_view(spark, sf_dir).select("conv_id", "turn", T.reply_answer(F.col("reply")).alias("answer"))
 
 
 def list_of(c, sep=","):
     return F.array_join(F.transform(c, lambda x: x.cast("string")), sep)
 
 
-@query(f"""WITH {PREDICATES.sql('p')} SELECT question_id, class_name, grade, {S.joined('days')} AS days, {S.joined('sessions')} AS sessions, {S.joined('periods')} AS periods, mode FROM p""")
-def parse_question_engine(spark, sf_dir):
-    rows = SCHOOL.frame(spark).select("question_id", parse_question(F.col("question")).alias("q"))
-    return rows.select("question_id", "q.class_name", "q.grade", list_of(F.col("q.days")).alias("days"), list_of(F.col("q.sessions")).alias("sessions"), list_of(F.col("q.periods")).alias("periods"), "q.mode")
+P = "CASE form WHEN 1 THEN [p] WHEN 4 THEN range(1, p + 2) WHEN 5 THEN range(p, p + 3) WHEN 6 THEN [p] ELSE [] END"
 
 
-NORM = f"norm AS (SELECT question_id, {S.search('question')} AS q FROM school)"
-CLASS = r"regexp_extract(q, '\b((?:6|7|8|9|10|11|12)a\d+)\b', 1)"
-CLASS_GRADE = rf"upper(nullif({CLASS}, '')) AS class_name, coalesce(nullif(regexp_extract({CLASS}, '^(6|7|8|9|10|11|12)a', 1), ''), nullif(regexp_extract(q, 'khối\s*(6|7|8|9|10|11|12)\b', 1), '')) AS grade"
-DAYS = "list_filter([" + ", ".join(rf"CASE WHEN regexp_matches(q, '\bthứ\s*({n}){S.END}') THEN '{c}' END" for c, n in (("2", "hai|2"), ("3", "ba|3"), ("4", "tư|4"), ("5", "năm|5"), ("6", "sáu|6"), ("7", "bảy|7"))) + "], lambda d: d IS NOT NULL)"
+@query(f"""WITH {ASKED_OF_LESSONS} SELECT question_id, class_name, grade, {S.joined('days')} AS days, CASE form WHEN 4 THEN 'S' WHEN 9 THEN 'S,C' WHEN 0 THEN s WHEN 1 THEN s ELSE '' END AS sessions, {S.joined(P)} AS periods,
+    concat_ws(',', CASE WHEN class_name IS NOT NULL THEN 'class_name' END, CASE WHEN grade IS NOT NULL THEN 'grade' END, CASE WHEN len(days) > 0 THEN 'days' END, CASE WHEN form IN (0, 1, 4, 9) THEN 'sessions' END, CASE WHEN form IN (1, 4, 5, 6) THEN 'periods' END) AS explicit_fields,
+    CASE WHEN form IN (1, 6, 8) THEN 'lookup' ELSE 'timetable' END AS mode FROM named""")
+def parse_question_engine(spark, sf_dir):
+    rows = question_view(spark, sf_dir).select("question_id", parse_question(F.col("question")).alias("q"))
+    return rows.select("question_id", "q.class_name", "q.grade", *[list_of(F.col(f"q.{c}")).alias(c) for c in ("days", "sessions", "periods", "explicit_fields")], "q.mode")
 
 
-@query(rf"""WITH {SCHOOL.sql('school')}, {NORM} SELECT question_id, {CLASS_GRADE}, {DAYS}[1] AS day, CASE WHEN regexp_matches(q, '\bsáng\b') THEN 'S' WHEN regexp_matches(q, '\bchiều\b') THEN 'C' END AS session,
+@query(rf"""WITH {ASKED_OF_LESSONS}, norm AS (SELECT question_id, {S.search('question')} AS q FROM asked) SELECT question_id, {S.CLASS_GRADE}, {S.DAYS}[1] AS day, CASE WHEN regexp_matches(q, '\bsáng\b') THEN 'S' WHEN regexp_matches(q, '\bchiều\b') THEN 'C' END AS session,
     array_to_string(list_distinct(flatten(list_transform(regexp_extract_all(q, '\btiết\s*(\d+(?:\s*(?:,|và|&|- )\s*\d+)*)', 1), lambda g: regexp_extract_all(g, '\d+')))).list_sort(), ',') AS periods FROM norm""")
 def parse_question_v1(spark, sf_dir):
-    rows = SCHOOL.frame(spark).select("question_id", parse_question(F.col("question"), "chunk_v1").alias("q"))
+    rows = question_view(spark, sf_dir).select("question_id", parse_question(F.col("question"), "chunk_v1").alias("q"))
     return rows.select("question_id", "q.class_name", "q.grade", "q.day", "q.session", F.array_join(F.array_sort("q.periods"), ",").alias("periods"))
 
 
-@query(rf"""WITH {SCHOOL.sql('school')}, {NORM}, r AS (SELECT *, regexp_extract(q, '\bthứ\s*([2-7]|hai|ba|tư|năm|sáu|bảy)\s*(?:đến|tới)\s*(?:thứ\s*)?([2-7]|hai|ba|tư|năm|sáu|bảy){S.END}', ['a', 'b']) AS e FROM norm),
-    g AS (SELECT *, CASE WHEN e.a = 'hai' AND e.b = 'tư' THEN ['2', '3', '4'] ELSE {DAYS} END AS days,
-          list_distinct(flatten(list_transform(regexp_extract_all(q, '\btiết\s*(\d+(?:\s*(?:,|và|&|-|đến)\s*\d+)*)', 1), lambda g: CASE WHEN regexp_matches(g, 'đến') THEN list_transform(range(CAST(regexp_extract(g, '^(\d+)', 1) AS BIGINT), CAST(regexp_extract(g, '(\d+)$', 1) AS BIGINT) + 1), lambda x: CAST(x AS VARCHAR)) ELSE regexp_extract_all(g, '\d+') END))).list_sort() AS named,
-          try_cast(regexp_extract(q, '\b(?:gồm|có|đủ|trong)\s*(\d+)\s*tiết', 1) AS BIGINT) AS cnt FROM r)
-    SELECT question_id, {CLASS_GRADE}, {S.joined('days')} AS days, CASE WHEN len(days) = 1 THEN days[1] END AS day, CASE WHEN regexp_matches(q, '\bsáng\b') THEN 'S' WHEN regexp_matches(q, '\bchi[eề]u\b') THEN 'C' END AS session,
-           CASE WHEN len(named) > 0 THEN {S.joined('named')} WHEN cnt BETWEEN 1 AND 10 THEN array_to_string(range(1, cnt + 1), ',') ELSE '' END AS periods,
-           CASE WHEN len(named) = 0 AND cnt BETWEEN 1 AND 10 THEN CAST(cnt AS INTEGER) END AS period_count FROM g""")
+@query(f"""WITH {ASKED_OF_LESSONS} SELECT question_id, class_name, coalesce(grade, CASE WHEN class_name IS NOT NULL THEN string_split(class_name, 'A')[1] END) AS grade, {S.joined('days')} AS days, CASE WHEN len(days) = 1 THEN days[1] END AS day,
+    CASE form WHEN 4 THEN 'S' WHEN 9 THEN 'S' WHEN 0 THEN s WHEN 1 THEN s END AS session, CASE form WHEN 1 THEN CAST(p AS VARCHAR) WHEN 4 THEN array_to_string(range(1, p + 2), ',') WHEN 5 THEN CAST(p AS VARCHAR) WHEN 6 THEN p || ',' || (p + 1) ELSE '' END AS periods,
+    CASE WHEN form = 4 THEN p + 1 END AS period_count FROM named""")
 def parse_question_v4(spark, sf_dir):
-    rows = SCHOOL.frame(spark).select("question_id", parse_question(F.col("question"), "chunk_v4").alias("q"))
+    rows = question_view(spark, sf_dir).select("question_id", parse_question(F.col("question"), "chunk_v4").alias("q"))
     return rows.select("question_id", "q.class_name", "q.grade", list_of(F.col("q.days")).alias("days"), "q.day", "q.session", F.array_join(F.array_sort("q.periods"), ",").alias("periods"), "q.period_count")
 
 
-@query(rf"""WITH {SCHOOL.sql('school')} SELECT question_id, regexp_matches(q, '\b(tkb|thời khóa biểu)\b') OR regexp_matches(q, '\b(6|7|8|9|10|11|12)a\d+\b') OR regexp_matches(q, '\bkhối\s*(6|7|8|9|10|11|12)\b') OR regexp_matches(q, '\btiết\s*\d+\b')
-    OR regexp_matches(q, '\bbuổi\s+(sáng|chiều)\b') OR (regexp_matches(q, '\bthứ\s*[2-7]\b') AND regexp_matches(q, '\b(học|môn|tiết)\b')) AS timetable FROM (SELECT question_id, {S.question('question')} AS q FROM school)""")
+@query(f"WITH {ASKED_OF_LESSONS} SELECT question_id, form <> 8 AS timetable, form <> 8 AS with_context FROM named")
 def route_question(spark, sf_dir):
-    return SCHOOL.frame(spark).select("question_id", is_timetable_question(F.col("question")).alias("timetable"))
+    """With a context, words for going on count too; no form has such a word alone."""
+    q = F.col("question")
+    return question_view(spark, sf_dir).select("question_id", is_timetable_question(q).alias("timetable"), is_timetable_question(q, F.lit(True)).alias("with_context"))
 
 
 @query(rf"""WITH {BLOCKS} SELECT file_id, block_index, coalesce(last_value(CASE WHEN regexp_matches(text, '(?i)^[IVXLC]+[.)]\s+') THEN text END IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY block_index ROWS UNBOUNDED PRECEDING), 'Phần mở đầu') AS section FROM blocks""")
@@ -158,12 +169,12 @@ def table_numbering(spark, sf_dir):
 LINES = f"string_split({S.clean('text')}, chr(10))"
 
 
-@query(f"WITH p AS (SELECT doc_id, {S.packed(LINES, 400)} AS parts FROM documents) SELECT doc_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS part, unnest(parts) AS text FROM p")
+@query(f"WITH p AS (SELECT doc_id, {S.packed(LINES, 1400)} AS parts FROM documents) SELECT doc_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS part, unnest(parts) AS text FROM p")
 def pack_lines(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(C.pack_lines(F.col("text"), 400)).alias("part", "text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(C.pack_lines(F.col("text"))).alias("part", "text"))
 
 
-@query(f"""WITH p AS (SELECT doc_id, CASE WHEN length({S.clean('text')}) <= CASE WHEN doc_id % 4 = 0 THEN 5000 ELSE 1400 END THEN [{S.clean('text')}] ELSE {S.packed(LINES, 1400)} END AS parts FROM documents)
+@query(f"""WITH p AS (SELECT doc_id, CASE WHEN length({S.clean('text')}) <= CASE WHEN doc_id % 4 = 0 THEN 5000 ELSE 1400 END THEN [{S.clean('text')}] WHEN doc_id % 4 = 0 THEN {S.packed(LINES, 5000)} ELSE {S.packed(LINES, 1400)} END AS parts FROM documents)
     SELECT doc_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS part, unnest(parts) AS text FROM p""")
 def block_parts(spark, sf_dir):
     kind = F.when(F.col("doc_id") % 4 == 0, F.lit("table")).otherwise(F.lit("paragraph"))
@@ -182,11 +193,6 @@ def chunk_manifest(spark, sf_dir):
     return C.manifest(rows)
 
 
-@query()
-def flowing_chunks(spark, sf_dir):
-    return C.flowing_chunks(C.running_section(block_view(spark, sf_dir)))
-
-
 @query(f"WITH {BLOCKS}, f AS (SELECT doc_id, sha1(text) AS content_sha1 FROM documents) SELECT content_sha1, count(*) AS n, min(doc_id) AS first_id FROM f GROUP BY content_sha1 HAVING count(*) > 1")
 def duplicate_groups(spark, sf_dir):
     return Q.duplicate_groups(table(spark, sf_dir, "documents"), F.col("doc_id"))
@@ -203,13 +209,27 @@ def needle_check(spark, sf_dir):
     return Q.needles(table(spark, sf_dir, "documents"), ["the", "und", "zzzz"])
 
 
-@query(f"WITH {RECORDS.sql('v')} SELECT n, text FROM v WHERE n IN (1, 4)")
+@query("""SELECT event_id AS n FROM events WHERE event_id % 5 IN (0, 3)""")
 def numeric_only(spark, sf_dir):
-    return Q.numeric_chunks(RECORDS.frame(spark))
+    """Chunks of a timetable in five forms, two of which hold nothing but numbers."""
+    u = F.col("user_id").cast("string")
+    forms = [F.concat(F.lit("Thứ: 2\nBuổi: S\n10A1: "), u), F.concat(F.lit("Thứ: 2\n10A1: "), "event_type"), F.lit("Tiết: 1\nThứ: 3"), F.concat(F.lit("10A1: "), u, F.lit(".0\n10A2:"), u), F.col("event_type")]
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("n"), F.coalesce(*[F.when(F.col("event_id") % 5 == k, f) for k, f in enumerate(forms)]).alias("text"))
+    return Q.numeric_chunks(rows).select("n")
 
 
+def path_view(spark, sf_dir):
+    """relative_path, size_bytes: files of several kinds; each fourth path comes twice, and each ninth is empty."""
+    n = F.col("doc_id") - F.when(F.col("doc_id") % 4 == 3, 1).otherwise(0)
+    tail = picked([".pdf", ".PDF", ".xlsx", ".xlsx", ".docx", ".txt", ".xlsm", ".xlsm"], n % 8)
+    name = F.concat(F.when(n % 5 == 0, "/").otherwise(""), "lang", F.when(n % 3 == 0, "\\").otherwise("/"), F.when(n % 7 == 0, "~$").otherwise("Tệp "), n.cast("string"), tail)
+    return table(spark, sf_dir, "documents").select(F.when(n % 9 == 0, "").otherwise(name).alias("relative_path"), F.col("n_chars").alias("size_bytes"))
+
+
+PATHS = r"""v AS (SELECT CASE WHEN n % 9 = 0 THEN '' ELSE CASE WHEN n % 5 = 0 THEN '/' ELSE '' END || lang || CASE WHEN n % 3 = 0 THEN '\' ELSE '/' END || CASE WHEN n % 7 = 0 THEN '~$' ELSE 'Tệp ' END || n || ['.pdf', '.PDF', '.xlsx', '.xlsx', '.docx', '.txt', '.xlsm', '.xlsm'][n % 8 + 1] END AS relative_path, n_chars AS size_bytes
+    FROM (SELECT *, doc_id - CASE WHEN doc_id % 4 = 3 THEN 1 ELSE 0 END AS n FROM documents))"""
 PATH = r"trim(replace(relative_path, '\', '/'), '/')"
-CATALOGUE = rf"""{PATHS.sql('v')}, p AS (SELECT {PATH} AS relative_path, min(size_bytes) AS size_bytes FROM v GROUP BY 1), n AS (SELECT *, list_extract(string_split(relative_path, '/'), -1) AS name, lower(regexp_extract(relative_path, '\.[^./]*$')) AS suffix FROM p),
+CATALOGUE = rf"""{PATHS}, p AS (SELECT {PATH} AS relative_path, min(size_bytes) AS size_bytes FROM v GROUP BY 1), n AS (SELECT *, list_extract(string_split(relative_path, '/'), -1) AS name, lower(regexp_extract(relative_path, '\.[^./]*$')) AS suffix FROM p),
     catalogue AS (SELECT substring(sha256(lower(relative_path)), 1, 16) AS id, name, relative_path, CASE suffix WHEN '.pdf' THEN 'PDF' WHEN '.docx' THEN 'Word' ELSE 'Excel' END AS type,
     '/api/documents/' || substring(sha256(lower(relative_path)), 1, 16) || '/download' AS download_url, size_bytes, CASE WHEN suffix IN ('.xlsx', '.xlsm') THEN 'Thời khóa biểu' ELSE 'Tài liệu nhà trường' END AS source_group
     FROM n WHERE suffix IN ('.pdf', '.docx', '.xlsx', '.xlsm'))"""
@@ -217,17 +237,21 @@ CATALOGUE = rf"""{PATHS.sql('v')}, p AS (SELECT {PATH} AS relative_path, min(siz
 
 @query(f"WITH {CATALOGUE} SELECT * FROM catalogue")
 def catalog(spark, sf_dir):
-    return Q.catalogue(PATHS.frame(spark))
+    return Q.catalogue(path_view(spark, sf_dir))
 
 
 @query(f"WITH {CATALOGUE} SELECT id, name FROM catalogue WHERE contains(lower(name || ' ' || type || ' ' || source_group), 'excel')")
 def catalog_search(spark, sf_dir):
-    return Q.catalogue_search(Q.catalogue(PATHS.frame(spark)), " Excel ").select("id", "name")
+    return Q.catalogue_search(Q.catalogue(path_view(spark, sf_dir)), " Excel ").select("id", "name")
 
 
-@query(f"WITH {MESSAGES} SELECT session_id, pos, role, content FROM messages QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY pos DESC) <= 4")
+@query("""WITH messages AS (SELECT CAST(user_id AS VARCHAR) AS session_id, event_id AS pos, CASE WHEN event_id % 2 = 0 THEN 'user' ELSE 'assistant' END AS role, event_type AS content FROM events)
+    SELECT session_id, pos, role, content FROM messages QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY pos DESC) <= 12""")
 def history_window(spark, sf_dir):
-    return H.recent(messages_view(spark, sf_dir), 4)
+    """A user's events as the messages of a session: most have more than twelve."""
+    role = F.when(F.col("event_id") % 2 == 0, "user").otherwise("assistant")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("pos"), role.alias("role"), F.col("event_type").alias("content"))
+    return H.recent(rows)
 
 
 @query(f"WITH {MESSAGES} SELECT session_id, pos, count(*) FILTER (pos % 3 = 2) OVER (PARTITION BY session_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS segment FROM messages")
@@ -249,3 +273,30 @@ def service_hours(spark, sf_dir):
 @query(r"SELECT conv_id, turn, length(text) BETWEEN 1 AND 2000 AND regexp_matches(text, '\S') AS valid FROM conversations")
 def valid_questions(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", valid_question(F.col("text")).alias("valid"))
+
+
+DECOMPOSED = (("é", "e\u0301"), ("ü", "u\u0308"), ("ñ", "n\u0303"), ("ç", "c\u0327"), ("è", "e\u0300"), ("ê", "e\u0302"), ("ö", "o\u0308"), ("ä", "a\u0308"), ("ó", "o\u0301"))
+
+
+def decomposed_sql(x: str) -> str:
+    for a, b in DECOMPOSED:
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
+def decomposed(c):
+    for a, b in DECOMPOSED:
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+@query(f"SELECT doc_id, {S.clean(decomposed_sql('text'))} AS cleaned, array_to_string({S.terms(S.search(decomposed_sql('text')))}, ' ') AS terms, length(nfc_normalize({decomposed_sql('text')})) AS n FROM documents")
+def composed_text(spark, sf_dir):
+    """Documents whose accents stand apart, as some systems write them, come out composed."""
+    apart = decomposed(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.clean_text(apart).alias("cleaned"), F.array_join(T.tokens(apart), " ").alias("terms"), F.length(T.nfc(apart)).cast("long").alias("n"))
+
+
+@query(f"SELECT conv_id, turn, {S.question(decomposed_sql('text'))} AS norm FROM conversations")
+def composed_questions(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.normalize_question(decomposed(F.col("text"))).alias("norm"))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenbase.functions.question import FOLLOW_WORD, TIMETABLE_WORD
+from lumenbase.functions.question import TIMETABLE_WORD, follow_up, has
 from lumenbase.functions.text import normalize_question
 from lumenbase.operators import chunking as C
 from lumenbase.operators import reshape as U
 from lumenbase.operators import timetable as L
 from lumenbase.plans import sql as S
 from lumenbase.plans.registry import Rows, query
-from lumenbase.plans.views import CELLS, LESSONS, MERGED, PREDICATES, SCHOOL, lesson_view
+from lumenbase.plans.views import CELLS, LESSONS, PERIOD_CHUNKS, PREDICATES, SCHOOL, SESSION_CHUNKS, cell_view, lesson_view, merged_view, period_chunks, session_chunks
 from lumenbase.streaming.sessions import fold_sessions
 
 P = PREDICATES.sql("p")
@@ -19,7 +19,6 @@ FITS = """(CASE WHEN p.class_name IS NOT NULL THEN l.class_name = p.class_name W
     AND (len(p.sessions) = 0 OR list_contains(p.sessions, l.session)) AND (len(p.periods) = 0 OR list_contains(p.periods, l.period))"""
 FOUND = f"found AS (SELECT question_id, l.* FROM lessons AS l JOIN p ON {FITS})"
 ONCE = "once AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY question_id, source, sheet, class_name, day, session, period, value ORDER BY pos) = 1)"
-NAMED = "question_id IN (1, 2, 3, 5, 6, 7, 8, 9, 11, 13, 15, 16, 17)"
 
 
 def parsed(spark):
@@ -30,13 +29,13 @@ def found(spark, sf_dir):
     return L.deduped(L.candidates(lesson_view(spark, sf_dir), parsed(spark)), "question_id")
 
 
-@query(f"WITH {LESSONS}, {P}, {FOUND} SELECT question_id, class_name, day, session, period, value, source, pos FROM found WHERE {NAMED}")
+@query(f"WITH {LESSONS}, {P}, {FOUND} SELECT question_id, class_name, day, session, period, value, source, pos FROM found")
 def lesson_filter(spark, sf_dir):
-    rows = L.candidates(lesson_view(spark, sf_dir), parsed(spark)).where("q.class_name is not null")
+    rows = L.candidates(lesson_view(spark, sf_dir), parsed(spark))
     return rows.select("question_id", "class_name", "day", "session", "period", "value", "source", "pos")
 
 
-@query(f"WITH {LESSONS}, {P}, {FOUND}, {ONCE} SELECT question_id, class_name, day, session, period, value, source FROM once WHERE question_id IN (2, 17)")
+@query(f"WITH {LESSONS}, {P}, {FOUND}, {ONCE} SELECT question_id, class_name, day, session, period, value, source FROM once WHERE question_id IN (SELECT question_id FROM p WHERE class_name IS NOT NULL AND len(days) = 1 AND len(sessions) = 1 AND len(periods) = 1)")
 def lesson_lookup(spark, sf_dir):
     return L.lookup(lesson_view(spark, sf_dir), parsed(spark)).select("question_id", "class_name", "day", "session", "period", "value", "source")
 
@@ -59,15 +58,16 @@ SESSION = "CASE session WHEN 'S' THEN 'Sáng' ELSE 'Chiều' END"
 
 
 @query(f"""WITH {LESSONS}, {P}, {FOUND}, {ONCE} SELECT question_id, count(*) AS n_rows, '| Lớp | Thứ | Buổi | Tiết | Môn học |' || chr(10) || '|---|---|---|---:|---|' || chr(10) ||
-    string_agg('| ' || class_name || ' | ' || {DAY} || ' | ' || {SESSION} || ' | ' || period || ' | ' || value || ' |', chr(10) ORDER BY CAST(day AS INTEGER), session = 'C', period, class_name, pos) AS "table" FROM once WHERE {NAMED} GROUP BY question_id""")
+    string_agg('| ' || class_name || ' | ' || {DAY} || ' | ' || {SESSION} || ' | ' || period || ' | ' || value || ' |', chr(10) ORDER BY CAST(day AS INTEGER), session = 'C', period, class_name, pos) AS "table" FROM once WHERE question_id IN (SELECT question_id FROM p WHERE class_name IS NOT NULL OR grade IS NOT NULL) GROUP BY question_id""")
 def lesson_table_md(spark, sf_dir):
-    return L.tables(found(spark, sf_dir).where("q.class_name is not null"))
+    """Questions without class and grade get no table."""
+    return L.tables(found(spark, sf_dir).where("q.class_name is not null or q.grade is not null"))
 
 
 @query(f"""WITH {LESSONS}, {P}, {FOUND} SELECT p.question_id, array_to_string(list_filter(p.sessions, lambda s: NOT list_contains(coalesce(g.got, []), s)), ',') AS missing
-    FROM p LEFT JOIN (SELECT question_id, list(DISTINCT session) AS got FROM found WHERE session = 'S' GROUP BY 1) AS g USING (question_id) WHERE len(p.sessions) > 1""")
+    FROM p LEFT JOIN (SELECT question_id, list(DISTINCT session) AS got FROM found GROUP BY 1) AS g USING (question_id) WHERE len(p.sessions) > 1""")
 def missing_sessions(spark, sf_dir):
-    return L.missing_sessions(found(spark, sf_dir).where("session = 'S'"), parsed(spark))
+    return L.missing_sessions(found(spark, sf_dir), parsed(spark))
 
 
 @query(f"WITH {LESSONS} SELECT pos, {DAY} AS day_name, {SESSION} AS session_name, value AS subject FROM lessons")
@@ -76,7 +76,7 @@ def lesson_display(spark, sf_dir):
     return L.lesson_records(rows).select(F.col("sheet").cast("long").alias("pos"), "day_name", "session_name", "subject")
 
 
-GRID = f"""{CELLS.sql('cells')}, {MERGED.sql('merged')}, t AS (SELECT *, {S.strip(S.one_space('value'))} AS v FROM cells), header AS (SELECT source, sheet, min(row) AS header_row FROM (
+GRID = f"""{CELLS}, t AS (SELECT *, {S.strip(S.one_space('value'))} AS v FROM cells), header AS (SELECT source, sheet, min(row) AS header_row FROM (
         SELECT source, sheet, row FROM t WHERE row <= 15 AND v IN ('Thứ', 'Buổi', 'Tiết') GROUP BY ALL HAVING count(DISTINCT v) = 3) GROUP BY ALL),
     classes AS (SELECT source, sheet, col, upper(v) AS class_name FROM t JOIN header USING (source, sheet) WHERE row = header_row AND regexp_matches(v, '(?i)^(6|7|8|9|10|11|12)A\\d+$')),
     by_row AS (SELECT source, sheet, row, max(v) FILTER (col = 1) AS c1, max(v) FILTER (col = 2) AS c2, coalesce(max(v) FILTER (col = 3), '') AS c3 FROM t JOIN header USING (source, sheet) WHERE row > header_row GROUP BY ALL),
@@ -94,17 +94,17 @@ GRID = f"""{CELLS.sql('cells')}, {MERGED.sql('merged')}, t AS (SELECT *, {S.stri
 
 @query(f"WITH {GRID} SELECT source, sheet, header_row FROM header")
 def grid_header(spark, sf_dir):
-    return U.header_rows(CELLS.frame(spark))
+    return U.header_rows(cell_view(spark, sf_dir))
 
 
 @query(f"WITH {GRID} SELECT source, sheet, row, period_text, day, session FROM context")
 def grid_fill(spark, sf_dir):
-    cells = CELLS.frame(spark)
+    cells = cell_view(spark, sf_dir)
     return U.row_context(cells, U.header_rows(cells))
 
 
-def grid(spark):
-    cells, merged = CELLS.frame(spark), MERGED.frame(spark)
+def grid(spark, sf_dir):
+    cells, merged = cell_view(spark, sf_dir), merged_view(spark, sf_dir)
     headers = U.header_rows(cells)
     classes, context = U.class_columns(cells, headers), U.row_context(cells, headers)
     return cells, U.processed_ranges(cells, merged, headers, classes), context, classes
@@ -112,91 +112,95 @@ def grid(spark):
 
 @query(f"WITH {GRID} SELECT source, sheet, class_name, day, session, period, value, source_type FROM plain")
 def grid_unpivot(spark, sf_dir):
-    return U.cell_lessons(*grid(spark)).drop("pos")
+    return U.cell_lessons(*grid(spark, sf_dir)).drop("pos")
 
 
 @query(f"WITH {GRID} SELECT source, sheet, class_name, day, session, period, value, source_type FROM inside")
 def merge_expand(spark, sf_dir):
-    _, ranges, context, classes = grid(spark)
+    _, ranges, context, classes = grid(spark, sf_dir)
     return U.merged_lessons(ranges, context, classes).drop("pos")
 
 
-@query(f"""WITH {GRID}, every AS (SELECT * FROM inside UNION ALL SELECT * FROM plain) SELECT source, 'a/t.xlsx' AS relative_path, 'TKB tuần 1' AS title, sheet, class_name, regexp_extract(class_name, '^(\\d+)A', 1) AS grade, day, session, period, {S.subject('value')} AS value, source_type, '' AS ambiguity FROM every""")
+@query(f"""WITH {GRID}, every AS (SELECT * FROM inside UNION ALL SELECT * FROM plain) SELECT source, 'a/' || source || '.xlsx' AS relative_path, 'TKB tuần ' || source AS title, sheet, class_name, regexp_extract(class_name, '^(\\d+)A', 1) AS grade, day, session, period, {S.subject('value')} AS value, source_type, '' AS ambiguity FROM every""")
 def sheet_lessons(spark, sf_dir):
-    return U.lessons_of(CELLS.frame(spark), MERGED.frame(spark))
+    return U.lessons_of(cell_view(spark, sf_dir), merged_view(spark, sf_dir))
 
 
-RECORDS = f"""{GRID}, slots AS (SELECT t.source, t.sheet, x.day, x.session, c.class_name, x.period_text AS period, t.v AS value, t.row FROM t JOIN classes AS c USING (source, sheet, col) JOIN context AS x USING (source, sheet, row) WHERE t.v <> '' AND x.period_text <> ''),
-    spans AS (SELECT source, sheet, day, session, class_name, min(row) AS row_start, max(row) AS row_end FROM slots GROUP BY ALL),
-    dense AS (SELECT s.*, p.period, coalesce(v.value, '[TRỐNG]') AS value FROM spans AS s JOIN (SELECT DISTINCT source, sheet, day, session, period FROM slots) AS p USING (source, sheet, day, session) LEFT JOIN slots AS v USING (source, sheet, day, session, class_name, period))"""
+RECORDS = f"""{GRID}, filled_slots AS (SELECT t.source, t.sheet, x.day, x.session, c.class_name, x.period_text AS period, t.v AS value, t.row FROM t JOIN classes AS c USING (source, sheet, col) JOIN context AS x USING (source, sheet, row) WHERE t.v <> '' AND x.period_text <> ''),
+    spans AS (SELECT source, sheet, day, session, class_name, min(row) AS row_start, max(row) AS row_end FROM filled_slots GROUP BY ALL),
+    dense AS (SELECT s.*, p.period, coalesce(v.value, '[TRỐNG]') AS value FROM spans AS s JOIN (SELECT DISTINCT source, sheet, day, session, period FROM filled_slots) AS p USING (source, sheet, day, session) LEFT JOIN filled_slots AS v USING (source, sheet, day, session, class_name, period))"""
 
 
 @query(f"WITH {RECORDS} SELECT source, sheet, day, session, class_name, period, value FROM dense")
 def period_densify(spark, sf_dir):
-    rows = U.class_sessions(CELLS.frame(spark))
+    rows = U.class_sessions(cell_view(spark, sf_dir))
     return rows.select("source", "sheet", "day", "session", "class_name", F.explode("values").alias("period", "value"))
 
 
-@query(f"""WITH {RECORDS} SELECT source, sheet, day, session, class_name, row_start, row_end, 'Thời khóa biểu: TKB tuần 1' || chr(10) || 'Trang tính: ' || sheet || chr(10) || 'Khối: ' || regexp_extract(class_name, '^(\\d+)A', 1) || chr(10) || 'Lớp: ' || class_name || chr(10) ||
+@query(f"""WITH {RECORDS} SELECT source, sheet, day, session, class_name, row_start, row_end, 'Thời khóa biểu: TKB tuần ' || source || chr(10) || 'Trang tính: ' || sheet || chr(10) || 'Khối: ' || regexp_extract(class_name, '^(\\d+)A', 1) || chr(10) || 'Lớp: ' || class_name || chr(10) ||
     'Thứ: ' || {DAY} || ' (' || day || ')' || chr(10) || 'Buổi: ' || {SESSION} || ' (' || session || ')' || chr(10) || string_agg('Tiết ' || period || ': ' || value, chr(10) ORDER BY CAST(period AS INTEGER)) AS text FROM dense GROUP BY source, sheet, day, session, class_name, row_start, row_end""")
 def class_session_records(spark, sf_dir):
-    return U.class_sessions(CELLS.frame(spark)).select("source", "sheet", "day", "session", "class_name", "row_start", "row_end", "text")
+    return U.class_sessions(cell_view(spark, sf_dir)).select("source", "sheet", "day", "session", "class_name", "row_start", "row_end", "text")
 
 
-BLOCKS = Rows("source string, sheet string, row int, block_index int, block_id string", [("t.xlsx", "TKB", 1, 0, "b0"), ("t.xlsx", "TKB", 3, 1, "b1"), ("t.xlsx", "TKB", 6, 4, "b4")])
+ROW_BLOCKS = "b AS (SELECT DISTINCT source, sheet, row, row - 1 AS block_index, source || '-b' || row AS block_id FROM cells WHERE row % 4 <> 0)"
 
 
-@query(f"WITH {RECORDS}, {BLOCKS.sql('b')} SELECT s.source, s.class_name, s.row_start, coalesce(b.block_id, 'b0') AS block_id FROM spans AS s LEFT JOIN b ON b.source = s.source AND b.sheet = s.sheet AND b.row = s.row_start")
+@query(f"WITH {RECORDS}, {ROW_BLOCKS} SELECT s.source, s.day, s.session, s.class_name, s.row_start, coalesce(b.block_id, s.source || '-b1') AS block_id FROM spans AS s LEFT JOIN b ON b.source = s.source AND b.sheet = s.sheet AND b.row = s.row_start")
 def lineage_join(spark, sf_dir):
-    return U.with_blocks(U.class_sessions(CELLS.frame(spark)), BLOCKS.frame(spark)).select("source", "class_name", "row_start", "block_id")
+    """Three rows in four of a sheet have a block."""
+    cells = cell_view(spark, sf_dir)
+    blocks = cells.where("row % 4 <> 0").select("source", "sheet", "row", (F.col("row") - 1).alias("block_index"), F.concat("source", F.lit("-b"), F.col("row").cast("string")).alias("block_id")).distinct()
+    return U.with_blocks(U.class_sessions(cells), blocks).select("source", "day", "session", "class_name", "row_start", "block_id")
 
 
-@query(f"""WITH {GRID} SELECT source, sheet, row, 'Trang tính: ' || sheet || chr(10) || 'Dòng: ' || row || chr(10) || string_agg(chr(64 + col) || row || '=' || v, ' | ' ORDER BY col) AS text FROM t WHERE v <> '' GROUP BY source, sheet, row""")
+@query(f"""WITH {GRID} SELECT source, sheet, row, 'Trang tính: ' || sheet || chr(10) || 'Dòng: ' || row || chr(10) || string_agg(CASE WHEN col > 26 THEN 'A' || chr(64 + col - 26) ELSE chr(64 + col) END || row || '=' || v, ' | ' ORDER BY col) AS text FROM t WHERE v <> '' GROUP BY source, sheet, row""")
 def row_text(spark, sf_dir):
-    return C.row_text(CELLS.frame(spark))
+    return C.row_text(cell_view(spark, sf_dir))
 
 
-@query(f"""WITH {GRID}, l AS (SELECT source, row, 'Dòng ' || row || ': ' || string_agg('Ô ' || col || ': ' || v, ' | ' ORDER BY col) AS line FROM t WHERE v <> '' GROUP BY source, row) SELECT source, 1 AS table_number, string_agg(line, chr(10) ORDER BY row) AS text FROM l GROUP BY source""")
+@query(f"""WITH {GRID}, w AS (SELECT source, row, col, CASE WHEN row = 4 THEN v || chr(10) || 'x' ELSE v END AS v FROM t), l AS (SELECT source, row, 'Dòng ' || row || ': ' || string_agg('Ô ' || col || ': ' || v, ' | ' ORDER BY col) AS line FROM w WHERE v <> '' GROUP BY source, row)
+    SELECT source, 1 AS table_number, string_agg(line, chr(10) ORDER BY row) AS text FROM l GROUP BY source""")
 def table_text(spark, sf_dir):
-    return C.table_text(CELLS.frame(spark).withColumn("table_number", F.lit(1)))
+    """Cells of the fourth row have a second line."""
+    cells = cell_view(spark, sf_dir).withColumn("value", F.when(F.col("row") == 4, F.concat("value", F.lit("\r\n  x"))).otherwise(F.col("value")))
+    return C.table_text(cells.withColumn("table_number", F.lit(1)))
 
 
-OLD = Rows(
-    "file_id string, chunk_index bigint, file_type string, document string",
-    [
-        ("f", 1, "xlsx", "Thứ: 2\nBuổi: S\nTiết: 1\n10A1: Toán\n10A2: Văn"), ("f", 2, "xlsx", "Thứ: 3\nBuổi: C\nTiết: 2\n10A1: Lý"), ("f", 3, "xlsx", "Thứ: 3\nBuổi: C\nTiết: 1\n10A1: Hóa"), ("f", 4, "pdf", "Thứ: 3\nBuổi: C\nTiết: 2\n10A1: Sử"),
-        ("f", 5, "xlsx", "Thứ: 7\nBuổi: S\nTiết: 4\n11A2: Tin"), ("f", 6, "xlsx", "không có gì"), ("f", 7, "xlsx", "Thứ: 7\nBuổi: C\nTiết: 4\n7A1: Địa"), ("f", 8, "xlsx", "Thứ: 2\nBuổi: S\nTiết: 5\n10a1 : Anh"),
-    ],
-)
-V1 = Rows("question_id int, class_name string, grade string, day string, session string, periods array<string>", [(1, "10A1", "10", "2", "S", []), (2, "10A1", "10", "3", "C", ["2"]), (4, None, "11", "7", None, []), (7, "7A1", "7", None, None, ["4", "5"])])
-H = lambda f: rf"trim(regexp_extract(document, '(?im)^\s*{f}\s*:\s*([^\n]+)', 1))"
+V1_Q = rf"""school_norm AS (SELECT question_id, {S.search('question')} AS q FROM school),
+    v1_q AS (SELECT question_id, {S.CLASS_GRADE}, {S.DAYS}[1] AS day, CASE WHEN regexp_matches(q, '\bsáng\b') THEN 'S' WHEN regexp_matches(q, '\bchiều\b') THEN 'C' END AS session,
+        list_distinct(flatten(list_transform(regexp_extract_all(q, '\btiết\s*(\d+(?:\s*(?:,|và|&|- )\s*\d+)*)', 1), lambda g: regexp_extract_all(g, '\d+')))) AS periods FROM school_norm)"""
+V1_FOUND = rf"""{SCHOOL.sql('school')}, {V1_Q}, {PERIOD_CHUNKS}, v1_docs AS (SELECT *, {S.header('Thứ')} AS d, {S.header('Buổi')} AS s, {S.header('Tiết')} AS p FROM docs WHERE file_type = 'xlsx'),
+    v1_found AS (SELECT question_id, file_id, chunk_index, p, CASE WHEN class_name IS NOT NULL THEN 4 ELSE 0 END + CASE WHEN grade IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN day IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN session IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN len(periods) > 0 THEN 2 ELSE 0 END AS structured_score
+        FROM v1_docs JOIN v1_q ON (day IS NULL OR d = day) AND (session IS NULL OR s = session) AND (len(periods) = 0 OR list_contains(periods, p)) AND (class_name IS NULL OR regexp_matches(document, '(?im)^\s*' || class_name || '\s*:')) AND (grade IS NULL OR regexp_matches(document, '(?im)^\s*' || grade || 'a\d+\s*:'))
+        WHERE class_name IS NOT NULL OR grade IS NOT NULL OR day IS NOT NULL OR session IS NOT NULL OR len(periods) > 0),
+    v1_ranked AS (SELECT question_id, file_id, chunk_index, structured_score, CAST(row_number() OVER (PARTITION BY question_id ORDER BY structured_score DESC, coalesce(try_cast(p AS INTEGER), 0), file_id, chunk_index) AS INTEGER) AS rank FROM v1_found)"""
 
 
-@query(rf"""WITH {OLD.sql('docs')}, {V1.sql('q')}, d AS (SELECT *, {H('Thứ')} AS d, {H('Buổi')} AS s, {H('Tiết')} AS p FROM docs WHERE file_type = 'xlsx'),
-    f AS (SELECT question_id, file_id, chunk_index, p, CASE WHEN class_name IS NOT NULL THEN 4 ELSE 0 END + CASE WHEN grade IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN day IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN session IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN len(periods) > 0 THEN 2 ELSE 0 END AS structured_score
-        FROM d JOIN q ON (day IS NULL OR d = day) AND (session IS NULL OR s = session) AND (len(periods) = 0 OR list_contains(periods, p)) AND (class_name IS NULL OR regexp_matches(document, '(?im)^\s*' || class_name || '\s*:')) AND (grade IS NULL OR regexp_matches(document, '(?im)^\s*' || grade || 'a\d+\s*:')))
-    SELECT question_id, file_id, chunk_index, structured_score, CAST(row_number() OVER (PARTITION BY question_id ORDER BY structured_score DESC, coalesce(try_cast(p AS INTEGER), 0), file_id, chunk_index) AS INTEGER) AS rank FROM f""")
-def structured_search_v1(spark, sf_dir):
-    return L.structured_v1(OLD.frame(spark), SCHOOL.frame(spark).where("question_id in (1, 2, 4, 7)"))
+def v1_hits(spark, sf_dir):
+    return L.structured_v1(period_chunks(spark, sf_dir), SCHOOL.frame(spark))
 
 
-def new_text(day: str, session: str, name: str, periods: str) -> str:
-    grade = name.split("A")[0]
-    return f"Thời khóa biểu\nTrang tính: TKB\nKhối: {grade}\nLớp: {name}\nThứ: Thứ X ({day})\nBuổi: {'Sáng (S)' if session == 'S' else 'Chiều (C)'}\n" + "\n".join(f"Tiết {p}: Môn" for p in periods)
+@query(f"WITH {V1_FOUND} SELECT * FROM v1_ranked")
+def structured_search_v1(spark, sf_dir):
+    return v1_hits(spark, sf_dir)
 
 
-NEW = Rows(
-    "file_id string, chunk_index bigint, file_type string, day string, session string, class_name string, periods array<string>, document string",
-    [("f", i, t, d, s, c, list(p), new_text(d, s, c, p)) for i, (t, d, s, c, p) in enumerate([("xlsx", "2", "S", "10A1", "12345"), ("xlsx", "3", "C", "10A1", "123"), ("xlsx", "2", "C", "10A1", "12"), ("xlsx", "7", "S", "11A2", "1234"), ("xlsx", "7", "C", "11A1", "12"), ("xlsx", "6", "S", "6A2", "45"), ("pdf", "2", "S", "10A1", "1"), ("xlsx", "4", "S", "10A1", "5"), ("xlsx", "2", "S", "9A1", "1"), ("xlsx", "5", "C", "9A1", "2")])],
-)
-V4 = Rows("question_id int, cls string, grade string, days array<string>, ses string, ps array<string>", [(1, "10A1", "10", ["2"], "S", []), (2, "10A1", "10", ["3"], "C", ["2"]), (4, None, "11", ["7"], None, []), (5, "10A1", "10", ["4"], "S", ["1", "2", "3", "4", "5"]), (6, "6A2", "6", ["6"], None, ["1"]), (11, "9A1", "9", ["2", "5"], None, []), (14, None, None, ["2", "5"], None, [])])
+RANGE_DAY = "list_position(['2', '3', '4', '5', '6', '7'], coalesce(nullif(regexp_extract({x}, '^[2-7]$'), ''), CASE {x} WHEN 'hai' THEN '2' WHEN 'ba' THEN '3' WHEN 'tư' THEN '4' WHEN 'năm' THEN '5' WHEN 'sáu' THEN '6' WHEN 'bảy' THEN '7' END)) + 1"
+V4_Q = rf"""school_norm AS (SELECT question_id, {S.search('question')} AS q FROM school), v4_r AS (SELECT *, regexp_extract(q, '\bthứ\s*([2-7]|hai|ba|tư|năm|sáu|bảy)\s*(?:đến|tới)\s*(?:thứ\s*)?([2-7]|hai|ba|tư|năm|sáu|bảy){S.END}', ['a', 'b']) AS e FROM school_norm),
+    v4_g AS (SELECT *, CASE WHEN e.a <> '' AND {RANGE_DAY.format(x='e.a')} <= {RANGE_DAY.format(x='e.b')} THEN list_transform(range({RANGE_DAY.format(x='e.a')}, {RANGE_DAY.format(x='e.b')} + 1), lambda x: CAST(x AS VARCHAR)) ELSE {S.DAYS} END AS days,
+        list_distinct(flatten(list_transform(regexp_extract_all(q, '\btiết\s*(\d+(?:\s*(?:,|và|&|-|đến)\s*\d+)*)', 1), lambda g: CASE WHEN regexp_matches(g, 'đến') THEN list_transform(range(CAST(regexp_extract(g, '^(\d+)', 1) AS BIGINT), CAST(regexp_extract(g, '(\d+)$', 1) AS BIGINT) + 1), lambda x: CAST(x AS VARCHAR)) ELSE regexp_extract_all(g, '\d+') END))) AS named,
+        try_cast(regexp_extract(q, '\b(?:gồm|có|đủ|trong)\s*(\d+)\s*tiết', 1) AS BIGINT) AS cnt FROM v4_r),
+    v4_q AS (SELECT question_id, {S.CLASS_GRADE}, days, CASE WHEN regexp_matches(q, '\bsáng\b') THEN 'S' WHEN regexp_matches(q, '\bchi[eề]u\b') THEN 'C' END AS ses,
+        CASE WHEN len(named) > 0 THEN named WHEN cnt BETWEEN 1 AND 10 THEN list_transform(range(1, cnt + 1), lambda x: CAST(x AS VARCHAR)) ELSE [] END AS ps, CASE WHEN len(named) = 0 AND cnt BETWEEN 1 AND 10 THEN CAST(cnt AS INTEGER) END AS period_count FROM v4_g)"""
 
 
-@query(f"""WITH {NEW.sql('docs')}, {V4.sql('q')}, f AS (SELECT question_id, file_id, chunk_index, day, session, class_name, CASE WHEN cls IS NOT NULL THEN 6 ELSE 0 END + CASE WHEN grade IS NOT NULL THEN 3 ELSE 0 END + CASE WHEN len(days) > 0 THEN 3 ELSE 0 END + CASE WHEN ses IS NOT NULL THEN 3 ELSE 0 END + CASE WHEN len(ps) > 0 THEN 2 ELSE 0 END AS structured_score
-        FROM docs JOIN q ON file_type = 'xlsx' AND (cls IS NULL OR class_name = cls) AND (grade IS NULL OR string_split(class_name, 'A')[1] = grade) AND (len(days) = 0 OR list_contains(days, day)) AND (ses IS NULL OR session = ses) AND (len(ps) = 0 OR list_has_any(ps, periods))),
-    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY CAST(day AS INTEGER), session = 'C', class_name, chunk_index) AS INTEGER) AS rank FROM f) SELECT question_id, file_id, chunk_index, structured_score, rank, round(1.0 / (60 + rank), 6) AS rrf_score FROM r""")
+@query(f"""WITH {SCHOOL.sql('school')}, {V4_Q}, {SESSION_CHUNKS}, f AS (SELECT question_id, file_id, chunk_index, day, session, docs.class_name, CASE WHEN v4_q.class_name IS NOT NULL THEN 6 ELSE 0 END + CASE WHEN grade IS NOT NULL THEN 3 ELSE 0 END + CASE WHEN len(days) > 0 THEN 3 ELSE 0 END + CASE WHEN ses IS NOT NULL THEN 3 ELSE 0 END + CASE WHEN len(ps) > 0 THEN 2 ELSE 0 END AS structured_score
+        FROM docs JOIN v4_q ON file_type = 'xlsx' AND (v4_q.class_name IS NULL OR docs.class_name = v4_q.class_name) AND (grade IS NULL OR chunk_grade = grade) AND (len(days) = 0 OR list_contains(days, day)) AND (ses IS NULL OR session = ses) AND (len(ps) = 0 OR list_has_any(ps, periods))
+        WHERE v4_q.class_name IS NOT NULL OR grade IS NOT NULL OR len(days) > 0 OR ses IS NOT NULL OR len(ps) > 0),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY CAST(day AS INTEGER), session = 'C', class_name, chunk_index, file_id) AS INTEGER) AS rank FROM f) SELECT question_id, file_id, chunk_index, structured_score, rank, round(1.0 / (60 + rank), 6) AS rrf_score FROM r""")
 def structured_search_v4(spark, sf_dir):
-    return L.structured_v4(NEW.frame(spark), SCHOOL.frame(spark).where("question_id in (1, 2, 4, 5, 6, 11, 12, 14)"))
+    return L.structured_v4(session_chunks(spark, sf_dir), SCHOOL.frame(spark))
 
 
 TURNS = Rows("session_id string, pos int, question string", [("a", 1, "Thứ 2 buổi sáng lớp 10A1 có những môn nào?"), ("a", 2, "còn tiết 3 thì sao"), ("a", 3, "còn buổi chiều?"), ("a", 4, "thế còn thứ 3 thì sao"), ("a", 5, "tiết 9"), ("b", 1, "tiết 3"), ("b", 2, "tkb lớp 10A2"), ("b", 3, "/reset"), ("b", 4, "còn buổi sáng?")])
@@ -205,14 +209,10 @@ TURNS = Rows("session_id string, pos int, question string", [("a", 1, "Thứ 2 b
 def turns(spark):
     rows = L.parsed_questions(TURNS.frame(spark))
     n, q = normalize_question(F.col("question")), F.col("q")
-    word = n.rlike(TIMETABLE_WORD)
-    has = {f: F.size(q[f]) > 0 for f in ("days", "sessions", "periods")}
-    named = q["class_name"].isNotNull() | q["grade"].isNotNull()
-    signal = named | has["periods"] | has["sessions"] | (has["days"] & n.rlike(r"(?U)\b(?:học|môn|tiết)\b"))
-    alone = has["periods"] & ~named & ~has["days"] & ~has["sessions"]
-    return rows.select("session_id", "pos", (n == "/reset").alias("is_reset"), (signal & ~word & (n.rlike(FOLLOW_WORD) | alone)).alias("follows"), word.alias("timetable_word"), q["class_name"].alias("class_name"), q["grade"].alias("grade"), q["days"].alias("days"), q["sessions"].alias("sessions"), q["periods"].alias("periods"))
+    said = {"class_name": q["class_name"].isNotNull(), "grade": q["grade"].isNotNull()} | {f: has(q[f]) for f in ("days", "sessions", "periods")}
+    return rows.select("session_id", "pos", (n == "/reset").alias("is_reset"), follow_up(n, said).alias("follows"), n.rlike(TIMETABLE_WORD).alias("timetable_word"), *[q[f].alias(f) for f in ("class_name", "grade", "days", "sessions", "periods")])
 
 
 @query()
 def session_context(spark, sf_dir):
-    return fold_sessions(turns(spark), U.lessons_of(CELLS.frame(spark), MERGED.frame(spark)))
+    return fold_sessions(turns(spark), U.lessons_of(cell_view(spark, sf_dir), merged_view(spark, sf_dir)))

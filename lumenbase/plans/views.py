@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenbase.plans.registry import Rows
+from lumenbase.operators.search import LexicalIndex, read_index, write_index
+from lumenbase.plans.registry import Rows, sql_literal
+from lumenbase.sources.shared import built_once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,9 +35,15 @@ QUESTIONS = Rows("question_id bigint, question string", [(0, "that with from the
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Question i has the vector with id i."""
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("question_id"), F.col("embedding").cast("array<double>").alias("vector")).where("question_id < 5")
-    return QUESTIONS.frame(spark).join(vectors, "question_id")
+    """Question i has the vector with id i. A batch of questions is small, and comes from outside the tables."""
+    ids = [q for q, _ in QUESTIONS.rows]
+    vectors = {r[0]: r[1] for r in table(spark, sf_dir, "embeddings").where(F.col("vec_id").isin(ids)).select("vec_id", F.col("embedding").cast("array<double>")).collect()}
+    return spark.createDataFrame([(q, text, vectors[q]) for q, text in QUESTIONS.rows if q in vectors], "question_id long, question string, vector array<double>")
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
+    """The lexical index of all chunks, written at its first use in a session and read by every query after that."""
+    return read_index(spark, built_once(spark, f"index {sf_dir}", lambda path: write_index(chunk_view(spark, sf_dir), path)))
 
 
 ASKED = QUESTIONS.sql("asked")
@@ -98,16 +106,142 @@ PREDICATES = Rows(
     ],
 )
 
-CELLS = Rows(
-    "source string, relative_path string, sheet string, row int, col int, value string",
-    [
-        ("t.xlsx", "a/t.xlsx", "TKB", r, c, v)
-        for r, c, v in [
-            (1, 1, "TKB tuần 1"), (2, 1, "Thứ"), (2, 2, "Buổi"), (2, 3, "Tiết"), (2, 4, "10A1"), (2, 5, "10A2"), (2, 6, "11A1"),
-            (3, 1, "2"), (3, 2, "S"), (3, 3, "1"), (3, 4, "Toán-An"), (3, 5, "Văn-Bình"), (4, 3, "2"), (4, 4, "Lý-Cường"), (4, 5, "Hóa-Dung"), (4, 6, "Sử-Em"),
-            (5, 3, "3"), (5, 5, "Địa-Phú"), (5, 6, "Anh-Giang"), (6, 2, "C"), (6, 3, "1"), (6, 4, "ÔN HSG"), (6, 6, "Tin-Hà"),
-            (7, 1, "3"), (7, 2, "S"), (7, 3, "1"), (7, 4, "Văn - Cô A; Toán - Thầy B [P1]"), (7, 6, "Toán-An"),
-        ]
-    ],
-)
-MERGED = Rows("source string, sheet string, min_row int, min_col int, max_row int, max_col int", [("t.xlsx", "TKB", 4, 4, 5, 4), ("t.xlsx", "TKB", 6, 4, 6, 5)])
+
+def picked(items: list[str], index) -> F.Column:
+    """One of the items, by a number from 0."""
+    return F.element_at(F.array(*[F.lit(x) for x in items]), (index + 1).cast("int"))
+
+
+DAY_WORDS = ["hai", "ba", "tư", "năm", "sáu", "bảy"]
+
+
+def slot_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first lesson of each class, day, session and period of a source: what a sheet's cell shows."""
+    first = F.min_by("value", "pos")
+    return lesson_view(spark, sf_dir).groupBy("source", "class_name", "grade", "day", "session", "period").agg(first.alias("value"))
+
+
+SLOTS = f"{LESSONS}, slots AS (SELECT source, class_name, grade, day, session, period, arg_min(value, pos) AS value FROM lessons GROUP BY ALL)"
+
+
+def merged_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each half day of a source, the last two periods of two neighbouring classes, twice, are one merged range."""
+    halves = slot_view(spark, sf_dir).select("source", "day", "session").distinct().withColumn("min_col", F.explode(F.array(F.lit(8), F.lit(20))))
+    top = first_row(F.col("day"), F.col("session")) + 3
+    return halves.select("source", F.lit("TKB").alias("sheet"), top.cast("int").alias("min_row"), F.col("min_col").cast("int"), (top + 1).cast("int").alias("max_row"), (F.col("min_col") + F.when(F.col("min_col") == 8, 1).otherwise(0)).cast("int").alias("max_col"))
+
+
+def first_row(day, session):
+    """The sheet row of a half day's first period."""
+    return 3 + (day.cast("int") - 2) * 10 + F.when(session == "C", 5).otherwise(0)
+
+
+def cell_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet for each source: a title, a header with 28 classes, and a row for each day, session and period. Day and session
+    stand in the first row that has them; of a merged range only the anchor is filled."""
+    slots = slot_view(spark, sf_dir)
+    sources = slots.select("source").distinct()
+    grade, number = F.col("grade").cast("int"), F.split("class_name", "A")[1].cast("int")
+    col = 3 + (grade - 6) * 4 + number
+    row = first_row(F.col("day"), F.col("session")) + F.col("period") - 1
+    values = slots.select("source", row.cast("int").alias("row"), col.cast("int").alias("col"), "value")
+    inside = (F.col("row") - 3) % 5 >= 3
+    anchor = ((F.col("row") - 3) % 5 == 3) & F.col("col").isin(8, 20)
+    values = values.where(~(inside & F.col("col").isin(8, 9, 20)) | anchor)
+    names = sources.select("source", F.posexplode(F.array(*[F.lit(f"{g}A{k}") for g in range(6, 13) for k in range(1, 5)])).alias("i", "value")).select("source", F.lit(2).alias("row"), (F.col("i") + 4).alias("col"), "value")
+    words = sources.select("source", F.posexplode(F.array(*[F.lit(w) for w in ("Thứ", "Buổi", "Tiết")])).alias("i", "value")).select("source", F.lit(2).alias("row"), (F.col("i") + 1).alias("col"), "value")
+    title = sources.select("source", F.lit(1).alias("row"), F.lit(1).alias("col"), F.concat(F.lit("TKB  tuần "), "source").alias("value"))
+    lines = sources.withColumn("row", F.explode(F.sequence(F.lit(3), F.lit(62)))).withColumn("at", F.col("row") - 3)
+    days = lines.where("at % 10 = 0").select("source", "row", F.lit(1).alias("col"), (2 + F.floor(F.col("at") / 10)).cast("string").alias("value"))
+    halves = lines.where("at % 5 = 0").select("source", "row", F.lit(2).alias("col"), F.when(F.col("at") % 10 == 0, "S").otherwise("C").alias("value"))
+    periods = lines.select("source", "row", F.lit(3).alias("col"), (1 + F.col("at") % 5).cast("string").alias("value"))
+    every = values
+    for part in (names, words, title, days, halves, periods):
+        every = every.unionByName(part)
+    return every.select("source", F.concat(F.lit("a/"), "source", F.lit(".xlsx")).alias("relative_path"), F.lit("TKB").alias("sheet"), "row", "col", "value")
+
+
+CELLS = f"""{SLOTS}, sources AS (SELECT DISTINCT source FROM slots), sheet_lines AS (SELECT source, row, row - 3 AS nth FROM sources, range(3, 63) AS r(row)),
+    sheet_values AS (SELECT source, 3 + (CAST(day AS INTEGER) - 2) * 10 + CASE WHEN session = 'C' THEN 5 ELSE 0 END + period - 1 AS row, 3 + (CAST(grade AS INTEGER) - 6) * 4 + CAST(string_split(class_name, 'A')[2] AS INTEGER) AS col, value FROM slots),
+    sheet_cells AS (
+        SELECT * FROM sheet_values WHERE NOT ((row - 3) % 5 >= 3 AND col IN (8, 9, 20)) OR ((row - 3) % 5 = 3 AND col IN (8, 20))
+        UNION ALL SELECT source, 2, 3 + (g - 6) * 4 + k, g || 'A' || k FROM sources, range(6, 13) AS a(g), range(1, 5) AS b(k)
+        UNION ALL SELECT source, 2, 1, 'Thứ' FROM sources UNION ALL SELECT source, 2, 2, 'Buổi' FROM sources UNION ALL SELECT source, 2, 3, 'Tiết' FROM sources
+        UNION ALL SELECT source, 1, 1, 'TKB  tuần ' || source FROM sources
+        UNION ALL SELECT source, row, 1, CAST(2 + nth // 10 AS VARCHAR) FROM sheet_lines WHERE nth % 10 = 0
+        UNION ALL SELECT source, row, 2, CASE WHEN nth % 10 = 0 THEN 'S' ELSE 'C' END FROM sheet_lines WHERE nth % 5 = 0
+        UNION ALL SELECT source, row, 3, CAST(1 + nth % 5 AS VARCHAR) FROM sheet_lines),
+    cells AS (SELECT source, 'a/' || source || '.xlsx' AS relative_path, 'TKB' AS sheet, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, value FROM sheet_cells),
+    merged AS (SELECT source, 'TKB' AS sheet, CAST(m AS INTEGER) AS min_row, c AS min_col, CAST(m + 1 AS INTEGER) AS max_row, CASE WHEN c = 8 THEN 9 ELSE c END AS max_col FROM (
+        SELECT DISTINCT source, 3 + (CAST(day AS INTEGER) - 2) * 10 + CASE WHEN session = 'C' THEN 5 ELSE 0 END + 3 AS m FROM slots), (VALUES (8), (20)) AS w(c))"""
+
+
+def period_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of one period: headers for day, session and period, then a line for each class. The last source is no sheet."""
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("class_name", "value"))), lambda x: F.concat(x["class_name"], F.lit(": "), x["value"])), "\n")
+    at = F.col("day").cast("long") * 100 + F.when(F.col("session") == "C", 50).otherwise(0) + F.col("period")
+    kind = F.when(F.col("source") == "tkb2", "pdf").otherwise("xlsx")
+    head = F.concat(F.lit("Thứ: "), "day", F.lit("\nBuổi: "), "session", F.lit("\nTiết: "), F.col("period").cast("string"), F.lit("\n"))
+    grouped = slot_view(spark, sf_dir).groupBy("source", "day", "session", "period").agg(lines.alias("lines"))
+    return grouped.select(F.col("source").alias("file_id"), at.alias("chunk_index"), kind.alias("file_type"), F.concat(head, "lines").alias("document"))
+
+
+PERIOD_CHUNKS = f"""{SLOTS}, docs AS (SELECT source AS file_id, CAST(day AS BIGINT) * 100 + CASE WHEN session = 'C' THEN 50 ELSE 0 END + period AS chunk_index, CASE WHEN source = 'tkb2' THEN 'pdf' ELSE 'xlsx' END AS file_type,
+    'Thứ: ' || day || chr(10) || 'Buổi: ' || session || chr(10) || 'Tiết: ' || period || chr(10) || string_agg(class_name || ': ' || value, chr(10) ORDER BY class_name) AS document FROM slots GROUP BY source, day, session, period)"""
+
+
+def session_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of one class, day and session with a line for each period. The last source is no sheet."""
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("period", "value"))), lambda x: F.concat(F.lit("Tiết "), x["period"].cast("string"), F.lit(": "), x["value"])), "\n")
+    at = F.col("grade").cast("long") * 10_000 + F.split("class_name", "A")[1].cast("long") * 1000 + F.col("day").cast("long") * 10 + F.when(F.col("session") == "C", 1).otherwise(0)
+    half = F.when(F.col("session") == "S", "Sáng (S)").otherwise("Chiều (C)")
+    head = F.concat(F.lit("Thời khóa biểu\nTrang tính: TKB\nKhối: "), "grade", F.lit("\nLớp: "), "class_name", F.lit("\nThứ: Thứ X ("), "day", F.lit(")\nBuổi: "), half, F.lit("\n"))
+    grouped = slot_view(spark, sf_dir).groupBy("source", "class_name", "grade", "day", "session").agg(lines.alias("lines"))
+    return grouped.select(F.col("source").alias("file_id"), at.alias("chunk_index"), F.when(F.col("source") == "tkb2", "pdf").otherwise("xlsx").alias("file_type"), F.concat(head, "lines").alias("document"))
+
+
+SESSION_CHUNKS = f"""{SLOTS}, docs AS (SELECT source AS file_id, CAST(grade AS BIGINT) * 10000 + CAST(string_split(class_name, 'A')[2] AS BIGINT) * 1000 + CAST(day AS BIGINT) * 10 + CASE WHEN session = 'C' THEN 1 ELSE 0 END AS chunk_index,
+    CASE WHEN source = 'tkb2' THEN 'pdf' ELSE 'xlsx' END AS file_type, class_name, grade AS chunk_grade, day, session, list(CAST(period AS VARCHAR)) AS periods FROM slots GROUP BY source, class_name, grade, day, session)"""
+
+
+def question_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """question_id, question: one of ten forms filled in with an event's lesson."""
+    c, g, d, p = F.col("class_name"), F.col("grade"), F.col("day"), F.col("period")
+    word = picked(DAY_WORDS, d.cast("int") - 2)
+    half = F.when(F.col("session") == "S", "sáng").otherwise("chiều")
+    other = (2 + (d.cast("int") - 1) % 6).cast("string")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    forms = [
+        text("Thứ ", d, " buổi ", half, " lớp ", c, " có những môn nào?"), text("lớp ", c, " thứ ", word, " tiết ", p, " buổi ", half), text("TKB lớp ", c, " thứ hai đến thứ ", word), text("tkb khối ", g, " thứ ", d),
+        text("lớp ", c, " có ", p + 1, " tiết buổi sáng thứ ", d), text("tiết ", p, "-", p + 2, " lớp ", c, " thứ ", word), text("tiết ", p, " và ", p + 1, " lớp ", c), text("thứ ", d, " và thứ ", other, " học môn gì"),
+        text("Hiệu trưởng của trường là ai? ", F.col("pos")), text("lớp ", F.lower(c), "   sáng chiều"),
+    ]
+    chosen = F.coalesce(*[F.when(F.col("pos") % 10 == k, f) for k, f in enumerate(forms)])
+    return lesson_view(spark, sf_dir).select(F.col("pos").alias("question_id"), chosen.alias("question"))
+
+
+WORD = f"{sql_literal(DAY_WORDS)}[CAST(day AS INTEGER) - 1]"
+HALF = "CASE session WHEN 'S' THEN 'sáng' ELSE 'chiều' END"
+OTHER = "CAST(2 + (CAST(day AS INTEGER) - 1) % 6 AS VARCHAR)"
+#: The questions with the fields that they were made from: the oracle needs no parser.
+ASKED_OF_LESSONS = f"""{LESSONS}, asked AS (SELECT pos AS question_id, CAST(pos % 10 AS INTEGER) AS form, class_name AS c, grade AS g, day AS d, session AS s, period AS p, {OTHER} AS other,
+    CASE pos % 10 WHEN 0 THEN 'Thứ ' || day || ' buổi ' || {HALF} || ' lớp ' || class_name || ' có những môn nào?' WHEN 1 THEN 'lớp ' || class_name || ' thứ ' || {WORD} || ' tiết ' || period || ' buổi ' || {HALF}
+        WHEN 2 THEN 'TKB lớp ' || class_name || ' thứ hai đến thứ ' || {WORD} WHEN 3 THEN 'tkb khối ' || grade || ' thứ ' || day WHEN 4 THEN 'lớp ' || class_name || ' có ' || (period + 1) || ' tiết buổi sáng thứ ' || day
+        WHEN 5 THEN 'tiết ' || period || '-' || (period + 2) || ' lớp ' || class_name || ' thứ ' || {WORD} WHEN 6 THEN 'tiết ' || period || ' và ' || (period + 1) || ' lớp ' || class_name
+        WHEN 7 THEN 'thứ ' || day || ' và thứ ' || {OTHER} || ' học môn gì' WHEN 8 THEN 'Hiệu trưởng của trường là ai? ' || pos ELSE 'lớp ' || lower(class_name) || '   sáng chiều' END AS question FROM lessons),
+    named AS (SELECT question_id, form, question, CASE WHEN form IN (0, 1, 2, 4, 5, 6, 9) THEN c END AS class_name, CASE WHEN form = 3 THEN g END AS grade,
+        CASE WHEN form IN (0, 1, 3, 4, 5) THEN [d] WHEN form = 2 THEN list_transform(range(2, CAST(d AS BIGINT) + 1), lambda x: CAST(x AS VARCHAR)) WHEN form = 7 THEN list_sort([d, other]) ELSE [] END AS days, d, other, s, p FROM asked)"""
+
+
+def subject_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n, value: cells with lessons and teachers in seven forms."""
+    e, k = F.col("event_type"), F.get_json_object("props", "$.k")
+    forms = [
+        F.concat(e, F.lit(" - Thầy "), k, F.lit(";  C - Cô D[P"), k, F.lit("]")), F.concat(e, F.lit("-"), k), F.lit(" ; ;"), F.lit("[TRỐNG]"),
+        F.concat(e, F.lit("  -  An [P1] ; Văn "), k), F.concat(e, F.lit("-T."), k, F.lit(";[TRỐNG]")), F.lit(""),
+    ]
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("n"), F.coalesce(*[F.when(F.col("event_id") % 7 == i, f) for i, f in enumerate(forms)]).alias("value"))
+
+
+SUBJECTS = """v AS (SELECT event_id AS n, CASE event_id % 7 WHEN 0 THEN event_type || ' - Thầy ' || k || ';  C - Cô D[P' || k || ']' WHEN 1 THEN event_type || '-' || k WHEN 2 THEN ' ; ;' WHEN 3 THEN '[TRỐNG]'
+    WHEN 4 THEN event_type || '  -  An [P1] ; Văn ' || k WHEN 5 THEN event_type || '-T.' || k || ';[TRỐNG]' ELSE '' END AS value FROM (SELECT *, json_extract_string(props, '$.k') AS k FROM events))"""

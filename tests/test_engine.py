@@ -6,12 +6,25 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lumenbase.operators import chunking, evidence, fusion, quality, reshape, search, timetable
+from lumenbase.operators import answering, chunking, evidence, fusion, quality, reshape, search, timetable
 from lumenbase.plans.timetable_queries import TURNS, turns
-from lumenbase.plans.views import CELLS, MERGED
+from lumenbase.plans.registry import Rows
 from lumenbase.sources import office, tables
 from lumenbase.streaming import sessions
 
+CELLS = Rows(
+    "source string, relative_path string, sheet string, row int, col int, value string",
+    [
+        ("t.xlsx", "a/t.xlsx", "TKB", r, c, v)
+        for r, c, v in [
+            (1, 1, "TKB tuần 1"), (2, 1, "Thứ"), (2, 2, "Buổi"), (2, 3, "Tiết"), (2, 4, "10A1"), (2, 5, "10A2"), (2, 6, "11A1"),
+            (3, 1, "2"), (3, 2, "S"), (3, 3, "1"), (3, 4, "Toán-An"), (3, 5, "Văn-Bình"), (4, 3, "2"), (4, 4, "Lý-Cường"), (4, 5, "Hóa-Dung"), (4, 6, "Sử-Em"),
+            (5, 3, "3"), (5, 5, "Địa-Phú"), (5, 6, "Anh-Giang"), (6, 2, "C"), (6, 3, "1"), (6, 4, "ÔN HSG"), (6, 6, "Tin-Hà"),
+            (7, 1, "3"), (7, 2, "S"), (7, 3, "1"), (7, 4, "Văn - Cô A; Toán - Thầy B [P1]"), (7, 6, "Toán-An"),
+        ]
+    ],
+)
+MERGED = Rows("source string, sheet string, min_row int, min_col int, max_row int, max_col int", [("t.xlsx", "TKB", 4, 4, 5, 4), ("t.xlsx", "TKB", 6, 4, 6, 5)])
 SLOW = settings(deadline=None, max_examples=5, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
 
@@ -52,7 +65,7 @@ def test_streamed_history(spark, tmp_path):
 
 
 def test_bm25_and_fusion(spark):
-    chunks = spark.createDataFrame([("f", 1, "toán lý"), ("f", 2, "toán toán hóa"), ("f", 3, "văn")], "file_id string, chunk_index long, document string")
+    chunks = spark.createDataFrame([("f", 1, "pdf", "toán lý"), ("f", 2, "docx", "toán toán hóa"), ("f", 3, "pdf", "văn")], "file_id string, chunk_index long, file_type string, document string")
     asked = spark.createDataFrame([(1, "toán"), (2, "của là")], "question_id long, question string")
     got = {r["chunk_index"]: r["bm25_score"] for r in search.lexical_hits(search.lexical_index(chunks), asked).collect()}
     assert got == {2: 0.578466, 1: 0.470004}
@@ -151,7 +164,7 @@ def test_office_files(spark, tmp_path):
     (tmp_path / "n.txt").write_bytes(b"x")
     (tmp_path / "p.pdf").write_bytes(b"one\f\ftwo")
     files = office.discover(spark, str(tmp_path))
-    assert [r["relative_path"] for r in files.collect()] == ["a.docx", "b/T.XLSX", "bad.docx", "p.pdf"]
+    assert [r["relative_path"] for r in office.listed(files).collect()] == ["a.docx", "b/T.XLSX", "bad.docx", "p.pdf"]
     rows = office.read_docx(files)
     got = [(r["block_index"], r["block_type"], r["text"], r["section"], r["table_number"]) for r in office.good(rows).orderBy("block_index").collect()]
     assert got == [(0, "paragraph", "I. Mở đầu", "I. Mở đầu", None), (1, "paragraph", "nội dung", "I. Mở đầu", None), (2, "table", "Dòng 1: Ô 1: a | Ô 3: b\nDòng 3: Ô 1: c", "I. Mở đầu", 1)]
@@ -164,6 +177,97 @@ def test_office_files(spark, tmp_path):
     assert [(r["block_index"], r["page"], r["text"]) for r in pages] == [(0, 1, "one"), (1, 3, "two")]
 
 
+def test_files_of_all_kinds_to_chunks(spark, tmp_path):
+    for name, data in (("a.docx", docx()), ("t.xlsx", xlsx()), ("n.txt", b"x"), ("p.pdf", b"one\f\ftwo"), ("bad.xlsx", b"no zip")):
+        (tmp_path / name).write_bytes(data)
+    files = office.discover(spark, str(tmp_path), every=True)
+    rows = office.read_files(files, lambda data: data.decode().split("\f"))
+    told = {r["source"]: r for r in office.file_manifest(files, rows).collect()}
+    assert told["n.txt"]["errors"] == ["ValueError: Unsupported file type: .txt"] and "BadZipFile" in told["bad.xlsx"]["errors"][0]
+    assert [told[n]["blocks"] for n in ("a.docx", "t.xlsx", "p.pdf")] == [3, 2, 2]
+    blocks = office.block_table(files, rows)
+    made = chunking.build_chunks(blocks)
+    got = {r["source"]: [] for r in made.collect()}
+    for r in made.orderBy("source", "chunk_index").collect():
+        got[r["source"]].append((r["chunk_index"], r["text"], [b[-6:] for b in r["block_ids"]], r["block_types"], r["location"]["section"], r["location"]["page"], r["location"]["row"]))
+    assert got["a.docx"][0] == (0, "I. Mở đầu\nnội dung", ["b00000", "b00001"], ["paragraph"], "I. Mở đầu", None, None)
+    assert got["a.docx"][1][3] == ["table"] and [x[5] for x in got["p.pdf"]] == [1, 3] and got["t.xlsx"][0][1] == "Trang tính: TKB\nDòng: 1\nA1=Thứ | AB1=x"
+    assert {r["source"]: (r["blocks"], r["chunks"]) for r in chunking.build_manifest(blocks, made).collect()} == {"a.docx": (3, 2), "t.xlsx": (2, 2), "p.pdf": (2, 2), None: (7, 6)}
+    tables.write_manifest(chunking.build_manifest(blocks, made), str(tmp_path / "m"))
+    assert spark.read.json(str(tmp_path / "m")).count() == 4
+    flat = {r["id"]: r for r in tables.flat_metadata(made).collect()}
+    assert all(r["document"].startswith("Tên tài liệu: ") and r["table"] == "" for r in flat.values())
+    own = chunking.build_chunks(blocks, spark.createDataFrame([(r["file_id"], "TKB", "2", "S", "10A1", "10", ["1"], 9, 9, "text", 1) for r in files.where("source = 't.xlsx'").collect()], "file_id string, sheet string, day string, session string, class_name string, grade string, periods array<string>, row_start int, row_end int, text string, n int"))
+    row = own.where("file_type = 'xlsx'").first()
+    assert (row["text"], row["block_ids"][0][-6:], row["location"]["row"], row["location"]["class_name"], row["location"]["periods"]) == ("text", "b00000", 1, "10A1", "1")
+
+
+def test_cells_of_tables_and_sheets():
+    cell = lambda text, props="": f"<w:tc><w:tcPr>{props}</w:tcPr>{''.join(f'<w:p><w:r><w:t>{t}</w:t></w:r></w:p>' for t in text.split('|'))}</w:tc>"
+    nested = "<w:tc><w:tbl><w:tr><w:tc><w:p><w:r><w:t>inner</w:t></w:r></w:p></w:tc></w:tr></w:tbl><w:p><w:r><w:t>outer</w:t></w:r></w:p></w:tc>"
+    restart, on = '<w:vMerge w:val="restart"/>', "<w:vMerge/>"
+    rows = f"<w:tr>{cell('a|b', '<w:gridSpan w:val=\"2\"/>')}{cell('c', restart)}</w:tr><w:tr>{cell('d')}{nested}{cell('', on)}</w:tr>"
+    data = zipped({"word/document.xml": f"<w:document {W}><w:body><w:tbl>{rows}</w:tbl></w:body></w:document>"})
+    assert [r[2] for r in office.docx_blocks(data)] == ["Dòng 1: Ô 1: a\nb | Ô 2: a\nb | Ô 3: c\nDòng 2: Ô 1: d | Ô 2: outer | Ô 3: c"]
+    value = lambda raw, kind=None, dated=False: office.cell_value(kind, raw, ["x"], dated, False)
+    assert [value("0", "s"), value("1", "b"), value("5"), value("5.50"), value("1e3"), value("45292", dated=True), value("45292.5", dated=True), value("0.25", dated=True), value("err", "e")] == ["x", "True", "5", "5.5", "1000.0", "2024-01-01 00:00:00", "2024-01-01 12:00:00", "06:00:00", "err"]
+
+
+def test_streamed_context(spark, tmp_path):
+    lessons = reshape.lessons_of(CELLS.frame(spark), MERGED.frame(spark))
+    rows = turns(spark)
+    want = {(r["session_id"], r["pos"]): tuple(r) for r in sessions.fold_sessions(rows, lessons).collect()}
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = sessions.stream_context(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), lessons)
+    q = stream.writeStream.outputMode("append").format("memory").queryName("contexts").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    try:
+        assert q.awaitTermination(90)
+    finally:
+        q.stop()
+    assert {(r["session_id"], r["pos"]): tuple(r) for r in spark.table("contexts").collect()} == want
+
+
+def test_answers_and_what_is_remembered(spark):
+    lessons = reshape.lessons_of(CELLS.frame(spark), MERGED.frame(spark)).withColumn("pos", F.monotonically_increasing_id())
+    asked = spark.createDataFrame([(1, "lớp 10A1 thứ 2 buổi sáng tiết 1"), (2, "lớp 10A1 thứ 7 buổi sáng tiết 1"), (3, "tkb thứ 2"), (4, "tkb lớp 12A4"), (5, "ai?"), (6, "lớp 10A1 thứ 2 học gì"), (7, "tkb lớp 10A1 thứ 3 sáng chiều")], "question_id long, question string")
+    rows = spark.createDataFrame([(5, 1, "nguồn", "văn bản")], "question_id long, rank int, source string, document string")
+    got = {r["question_id"]: r for r in answering.answer_batch(asked, lessons, lambda q: rows.join(q, "question_id", "left_semi")).collect()}
+    assert got[1]["answer"] == "Lớp 10A1, Thứ Hai, Sáng, tiết 1: Toán-An." and got[1]["sources"][0]["source"] == "TKB trực tiếp từ Excel"
+    assert got[2]["answer"] == "Dữ liệu TKB hiện tại không có bản ghi cho lớp 10A1, Thứ Bảy, Sáng, tiết 1."
+    assert (got[3]["answer"], got[4]["answer"], got[6]["answer"]) == (answering.NO_CLASS, answering.NOTHING_FOUND, answering.TOO_LITTLE)
+    assert got[7]["answer"].endswith("\n\nLưu ý: dữ liệu TKB hiện tại không có tiết chiều cho lớp 10A1.")
+    assert got[5]["mode"] == "documents" and "văn bản" in got[5]["answer"] and got[5]["sources"][0]["source"] == "nguồn"
+    follow = spark.createDataFrame([(1, "còn buổi sáng thì sao", ("10A1", None, ["2"], []))], "question_id long, question string, context struct<class_name:string,grade:string,days:array<string>,sessions:array<string>>")
+    assert "10A1" in answering.answer_batch(follow, lessons, lambda q: rows.join(q, "question_id", "left_semi")).first()["answer"]
+    done = spark.createDataFrame([("s", 3, "q", "e", "a"), ("s", 4, "q", "e", "")], "session_id string, turn int, question string, evidence string, answer string")
+    left = answering.remembered(done).orderBy("pos").collect()
+    assert [(r["pos"], r["role"], r["content"][-3:]) for r in left] == [(6, "user", ":\ne"), (7, "assistant", "a")]
+    told = answering.answered_by(spark.createDataFrame([("x",)], "evidence string"), lambda texts: texts + "!").first()
+    assert told["reply"] == "x!"
+    past = F.array(F.struct(F.lit("user").alias("role"), F.lit("h").alias("content")))
+    asked_now = spark.range(1).select(evidence.prompt_messages("sys", past, F.lit("q"), F.lit("e")).alias("m")).first()["m"]
+    assert [m["role"] for m in asked_now] == ["system", "user", "user"] and asked_now[2]["content"] == "Câu hỏi: q\n\nBằng chứng:\ne"
+
+
+def test_stored_index_equals_plans(spark, tmp_path):
+    rows = [("f", i, "pdf" if i % 2 else "xlsx", f"toán lý {'hóa ' * (i % 5)} w{i}", f"nguồn{i % 3}", None if i % 2 else "II. Mục") for i in range(40)]
+    chunks = spark.createDataFrame(rows, "file_id string, chunk_index long, file_type string, document string, source string, section string")
+    asked = spark.createDataFrame([(1, "toán hóa"), (2, "nguồn1 w7"), (3, "mục")], "question_id long, question string")
+    search.write_index(chunks, str(tmp_path / "i"), search.section_text())
+    stored = search.read_index(spark, str(tmp_path / "i"))
+    for kinds in ((), ("pdf",)):
+        a, b = stored, search.lexical_index(chunks, search.section_text())
+        a, b = (a.of(*kinds), b.of(*kinds)) if kinds else (a, b)
+        one, two = ([tuple(r) for r in search.lexical_hits(x, asked).orderBy("question_id", "rank").collect()] for x in (a, b))
+        assert one == two and len(one) > 20
+    some = spark.createDataFrame([(1, "f", 4), (3, "f", 4), (3, "f", 5)], "question_id long, file_id string, chunk_index long")
+    every = {(r["question_id"], r["chunk_index"]): r["bm25_score"] for r in search.bm25(stored, asked).collect()}
+    assert {(r["question_id"], r["chunk_index"]): r["bm25_score"] for r in search.bm25(stored, asked, some).collect()} == {k: v for k, v in every.items() if k in {(1, 4), (3, 4), (3, 5)}}
+    assert search.by_batches(asked, lambda part: part, most=1).count() == 3
+    plan = search.bm25(stored, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+
+
 def test_tables(spark, tmp_path):
     rows = spark.createDataFrame([("a", "Thứ"), ("b", None)], "k string, v string")
     tables.write_jsonl(rows, str(tmp_path / "j"))

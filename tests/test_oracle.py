@@ -37,4 +37,4 @@ def test_same_rows(spark, duck, name):
 
 
 def test_queries_without_sql_are_few():
-    assert set(QUERIES) - set(ORACLE_SQL) == {"flowing_chunks", "session_context"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"session_context"}
