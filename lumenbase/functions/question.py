@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenbase.functions.text import DAY_NAMES, looked_up, normalize_question, normalize_search, sessions_in
@@ -92,7 +92,11 @@ def wants_table(q: Column, named_class: Column, days: Column, sessions: Column,
 def parse_engine(text: Column, context: Column | None = None) -> Column:
     """struct<class_name, grade, days, sessions, periods, mode, explicit_fields>. `context`: a struct of class_name, grade,
     days and sessions that a follow-up question inherits, field by field; periods are never inherited."""
-    q = normalize_question(text)
+    return engine_of(normalize_question(text), context)
+
+
+def engine_of(q: Column, context: Column | None = None) -> Column:
+    """parse_engine() of a text that is normalised already."""
     named_class = F.upper(found(CLASS, q))
     grade = F.when(named_class.isNull(), found(GRADE, q))
     days, sessions = days_in(q), sessions_in(q)
@@ -112,7 +116,11 @@ def parse_engine(text: Column, context: Column | None = None) -> Column:
 
 def is_timetable_question(text: Column, has_context: Column | None = None) -> Column:
     """Whether the timetable answers the question; with a context, also a mere follow-up word."""
-    q = normalize_question(text)
+    return routed_of(normalize_question(text), has_context)
+
+
+def routed_of(q: Column, has_context: Column | None = None) -> Column:
+    """is_timetable_question() of a text that is normalised already."""
     direct = q.rlike(TIMETABLE_WORD) | q.rlike(CLASS) | q.rlike(GRADE) | q.rlike(r"(?U)\btiết\s*\d+\b") | q.rlike(r"(?U)\bbuổi\s+(?:sáng|chiều)\b") | (has(days_in(q)) & q.rlike(LESSON_WORD))
     return direct if has_context is None else direct | (has_context & q.rlike(CONTEXT_WORD))
 
@@ -134,7 +142,11 @@ def numbers(c: Column) -> Column:
 
 def parse_chunk_v1(text: Column) -> Column:
     """struct<class_name, grade, day, session, periods>: one day, one session, periods as a list of texts."""
-    q = normalize_search(text)
+    return chunk_v1_of(normalize_search(text))
+
+
+def chunk_v1_of(q: Column) -> Column:
+    """parse_chunk_v1() of a text that is normalised already."""
     named, grade = chunk_class(q)
     session = F.when(q.rlike(r"(?U)\bsáng\b"), F.lit("S")).when(q.rlike(r"(?U)\bchiều\b"), F.lit("C"))
     periods = F.array_distinct(F.flatten(F.transform(listed(q, ",|và|&|- "), numbers)))
@@ -143,7 +155,11 @@ def parse_chunk_v1(text: Column) -> Column:
 
 def parse_chunk_v4(text: Column) -> Column:
     """struct<class_name, grade, days, day, session, periods, period_count>."""
-    q = normalize_search(text)
+    return chunk_v4_of(normalize_search(text))
+
+
+def chunk_v4_of(q: Column) -> Column:
+    """parse_chunk_v4() of a text that is normalised already."""
     named, grade = chunk_class(q)
     days = days_in(q)
     session = F.when(q.rlike(r"(?U)\bsáng\b|\bb[uù]ổi\s+s[aá]ng\b"), F.lit("S")).when(q.rlike(r"(?U)\bchi[eề]u\b"), F.lit("C"))
@@ -167,3 +183,12 @@ def parse_question(text: Column, dialect: str = "engine", context: Column | None
     if dialect == "engine":
         return parse_engine(text, context)
     return {"chunk_v1": parse_chunk_v1, "chunk_v4": parse_chunk_v4}[dialect](text)
+
+
+def with_parsed(df: DataFrame, dialect: str = "engine", text: str = "question", context: Column | None = None, name: str = "q") -> DataFrame:
+    """df with the parsed text. The normalised text is a column of its own for the time, so that it is made once a row."""
+    if dialect == "engine":
+        norm, parse = normalize_question(F.col(text)), engine_of(F.col("normalised"), context)
+    else:
+        norm, parse = normalize_search(F.col(text)), {"chunk_v1": chunk_v1_of, "chunk_v4": chunk_v4_of}[dialect](F.col("normalised"))
+    return df.withColumn("normalised", norm).withColumn(name, parse).drop("normalised")

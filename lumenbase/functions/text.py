@@ -75,9 +75,10 @@ def normalize_question(c: Column) -> Column:
 
 
 def normalize_search(c: Column) -> Column:
-    """As normalize_question, but with a space for whatever is no letter, digit or underscore; one space may be left at
-    either end."""
-    return one_space(F.regexp_replace(straight_quotes(strip(F.lower(nfc(c)))), r"(?U)[^\w\sÀ-ỹđĐ]", " "))
+    """As normalize_question, but with a space for each run of what is no letter, digit or underscore; one space may be left
+    at either end. ASCII texts take the quicker classes."""
+    text = straight_quotes(strip(F.lower(nfc(c))))
+    return F.when(c.rlike("[^\\x00-\\x7f]"), F.regexp_replace(text, r"(?U)[[^\wÀ-ỹđĐ]\u1680]+", " ")).otherwise(F.regexp_replace(text, r"\W+", " "))
 
 
 def tokens(c: Column) -> Column:

@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenbase.functions.question import is_timetable_question, parse_engine
-from lumenbase.functions.text import DAY_DISPLAY, SESSION_DISPLAY, format_subject, looked_up
+from lumenbase.functions.question import engine_of, routed_of
+from lumenbase.functions.text import DAY_DISPLAY, SESSION_DISPLAY, format_subject, looked_up, normalize_question
 from lumenbase.operators import evidence as E
 from lumenbase.operators import timetable as L
 
@@ -65,11 +65,12 @@ def answer_batch(questions: DataFrame, lessons: DataFrame, retrieve: Callable[[D
     the questions that the timetable doesn't answer: question_id, rank, source, document and places. `answer`: a column over
     pieces and evidence; by default the evidence itself stands in for a language model."""
     context = F.col("context") if "context" in questions.columns else None
-    routed = questions.withColumn("timetable", is_timetable_question(F.col("question"), None if context is None else context.isNotNull()))
-    parsed = routed.where("timetable").select("question_id", parse_engine(F.col("question"), context).alias("q"))
+    norm = F.col("normalised")
+    routed = questions.withColumn("normalised", normalize_question(F.col("question"))).withColumn("timetable", routed_of(norm, None if context is None else context.isNotNull()))
+    parsed = routed.where("timetable").select("question_id", engine_of(norm, context).alias("q"))
     direct = F.array(F.struct(F.lit(DIRECT[0]).alias("source"), F.lit(DIRECT[1]).alias("location")))
     by_table = timetable_messages(lessons, parsed).select("question_id", F.lit("timetable").alias("mode"), "answer", direct.alias("sources"))
-    others = routed.where(~F.col("timetable")).drop("timetable")
+    others = routed.where(~F.col("timetable")).drop("timetable", "normalised")
     rows = retrieve(others)
     told = E.answers(others, E.packed(E.evidence_pieces(rows)), answer)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("n", "source", "location"))), lambda x: F.struct(x["source"].alias("source"), x["location"].alias("location")))

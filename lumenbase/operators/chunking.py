@@ -14,6 +14,11 @@ FIRST_SECTION = "Phần mở đầu"
 
 
 def pack_lines(text: Column, most: int | Column = MAX_CHARS) -> Column:
+    """pack_clean() of any text."""
+    return pack_clean(clean_text(text), most)
+
+
+def pack_clean(clean: Column, most: int | Column = MAX_CHARS) -> Column:
     """array<string>: the cleaned text's lines packed in order into parts of at most `most` characters, line breaks counted;
     a longer line is a part of its own. A fold, for where a part ends depends on where the last one did."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("now"))
@@ -23,15 +28,15 @@ def pack_lines(text: Column, most: int | Column = MAX_CHARS) -> Column:
         done = F.when(s["now"].isNull() | fits, s["done"]).otherwise(F.concat(s["done"], F.array(s["now"])))
         return F.struct(done.alias("done"), F.when(fits, F.concat(s["now"], F.lit("\n"), line)).otherwise(line).alias("now"))
 
-    lines = F.filter(F.split(clean_text(text), "\n"), lambda x: x != "")
+    lines = F.filter(F.split(clean, "\n"), lambda x: x != "")
     return F.aggregate(lines, start, step, lambda s: F.when(s["now"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["now"]))))
 
 
-def block_parts(block_type: Column, text: Column, most: int = MAX_CHARS, most_table: int = MAX_TABLE_CHARS) -> Column:
-    """array<string>: a table or a text within its bound whole, else packed up to that bound; nothing for an empty text."""
-    clean = clean_text(text)
+def block_parts(block_type: Column, clean: Column, most: int = MAX_CHARS, most_table: int = MAX_TABLE_CHARS) -> Column:
+    """array<string>: a table or a text within its bound whole, else packed up to that bound; nothing for an empty text. clean:
+    the text as clean_text() gives it, best a column of its own."""
     bound = F.when(block_type == "table", most_table).otherwise(most)
-    return F.when(clean == "", F.array().cast("array<string>")).when(F.length(clean) <= bound, F.array(clean)).otherwise(pack_lines(text, bound))
+    return F.when(clean == "", F.array().cast("array<string>")).when(F.length(clean) <= bound, F.array(clean)).otherwise(pack_clean(clean, bound))
 
 
 def running_section(blocks: DataFrame, by: str = "file_id", order: str = "block_index") -> DataFrame:
@@ -54,7 +59,8 @@ def renumbered(rows: DataFrame, by: str = "file_id", order: str = "pos") -> Data
 
 def paged_chunks(blocks: DataFrame) -> DataFrame:
     """file_id, block_index, part, text: each page's parts."""
-    return blocks.select("file_id", "block_index", F.posexplode(block_parts(F.col("block_type"), F.col("text"))).alias("part", "text"))
+    clean = blocks.select("file_id", "block_index", "block_type", clean_text(F.col("text")).alias("clean"))
+    return clean.select("file_id", "block_index", F.posexplode(block_parts(F.col("block_type"), F.col("clean"))).alias("part", "text"))
 
 
 def flowing_chunks(blocks: DataFrame, most: int = MAX_CHARS) -> DataFrame:
@@ -64,7 +70,7 @@ def flowing_chunks(blocks: DataFrame, most: int = MAX_CHARS) -> DataFrame:
     A table stands alone; a heading and a change of section begin a chunk, and so does a part that would not fit. What fits
     depends on all before it in the file, so each file is folded in order, by one Python call for a batch of files."""
     clean = blocks.withColumn("clean", clean_text(F.col("text"))).withColumn("kind", F.when(F.col("block_type") == "table", "table").when(is_heading(F.col("clean")), "heading").otherwise("text"))
-    parts = F.when(F.col("kind") == "heading", F.array("clean")).otherwise(block_parts(F.col("block_type"), F.col("text")))
+    parts = F.when(F.col("kind") == "heading", F.array("clean")).otherwise(block_parts(F.col("block_type"), F.col("clean")))
     parts = clean.select("file_id", "block_index", "block_type", "section", "kind", F.posexplode(parts).alias("part", "text"))
 
     def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

@@ -57,7 +57,7 @@ def document_first_evidence(vectors: DataFrame, index: LexicalIndex, questions:
     index; questions: question_id, question, vector; semantic, lexical: the corpus-wide hit lists."""
     docs = document_rank(semantic, lexical)
     chosen = by_batches(questions, lambda asked: vectors.join(F.broadcast(docs.join(asked.select("question_id", "vector"), "question_id").select("question_id", "file_id", "document_rank", "vector")), "file_id"))
-    local = chosen.select("question_id", *KEY, "document", "document_rank", F.round(cosine(F.col("embedding"), F.col("vector")), PLACES).alias("semantic_score_local"))
+    local = chosen.select("question_id", *KEY, "document", "document_rank", F.coalesce(F.round(cosine(F.col("embedding"), F.col("vector")), PLACES), F.lit(0.0)).alias("semantic_score_local"))
     local = local.join(bm25(index, questions, local), ["question_id", *KEY], "left").withColumn("bm25_score", F.coalesce("bm25_score", F.lit(0.0)))
     in_doc = Window.partitionBy("question_id", "file_id")
     local = local.withColumn("semantic_rank_local", F.row_number().over(in_doc.orderBy(F.desc("semantic_score_local"), "chunk_index")))

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,7 +38,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    """Null if one of the two has no direction."""
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
 
 
 def ranked(hits: DataFrame, score: str, top: int) -> DataFrame:
@@ -48,17 +51,35 @@ def ranked(hits: DataFrame, score: str, top: int) -> DataFrame:
 def semantic_hits(vectors: DataFrame, questions: DataFrame, top: int = 100, file_types: tuple[str, ...] | None = PROSE) -> DataFrame:
     """question_id, file_id, chunk_index, document, semantic_score, distance, rank. vectors: KEY, file_type, document,
     embedding; questions: question_id, vector. The file type is filtered before any arithmetic; exact, in place of an
-    approximate index."""
+    approximate index. A zero vector is no hit."""
     rows = vectors if file_types is None else vectors.where(F.col("file_type").isin(*file_types))
     score = F.round(cosine(F.col("embedding"), F.col("vector")), PLACES)
 
     def hits(asked: DataFrame) -> DataFrame:
         scored = rows.join(asked.select("question_id", "vector"), F.size("embedding") == F.size("vector"))
-        return ranked(scored.select("question_id", *KEY, "document", score.alias("semantic_score")), "semantic_score", top)
+        return ranked(scored.select("question_id", *KEY, "document", score.alias("semantic_score")).where("semantic_score is not null"), "semantic_score", top)
 
     return by_batches(questions, hits).withColumn("distance", F.round(1 - F.col("semantic_score"), PLACES))
 
 
+def approximate_hits(vectors: DataFrame, questions: DataFrame, top: int = 100, file_types: tuple[str, ...] | None = PROSE, tables: int = 8, width: float = 0.5, reach: float = 1.0, seed: int = 5) -> DataFrame:
+    """semantic_hits() from an index of random projections (locality-sensitive hashing of the unit vectors): only rows that
+    share a bucket of some table with the question and lie within `reach` of it are scored. More tables and wider buckets find
+    more. Rows must have one length; a null or zero vector takes no part."""
+    rows = vectors if file_types is None else vectors.where(F.col("file_type").isin(*file_types))
+
+    def unit(df: DataFrame, column: str) -> DataFrame:
+        c = F.col(column).cast("array<double>")
+        norm = F.sqrt(dot(c, c))
+        return df.where(norm > 0).withColumn("unit", array_to_vector(F.transform(c, lambda x: F.when(norm > 0, x).otherwise(0.0) / F.when(norm > 0, norm).otherwise(1.0))))
+
+    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=seed).fit(unit(rows, "embedding"))
+    near = model.approxSimilarityJoin(unit(rows, "embedding"), unit(questions.select("question_id", "vector"), "vector"), reach, "gap")
+    score = F.round(1 - F.col("gap") * F.col("gap") / 2, PLACES)
+    found = near.select("datasetB.question_id", *[f"datasetA.{c}" for c in (*KEY, "document")], score.alias("semantic_score"))
+    return ranked(found, "semantic_score", top).withColumn("distance", F.round(1 - F.col("semantic_score"), PLACES))
+
+
 def similarities(vectors: DataFrame, questions: DataFrame) -> DataFrame:
     """question_id, KEY, similarity of every row of vectors with every question."""
     score = F.round(cosine(F.col("embedding"), F.col("vector")), PLACES)
@@ -105,12 +126,12 @@ def section_text() -> Column:
 
 
 def write_index(chunks: DataFrame, path: str, text: Column | None = None) -> None:
-    """Write rows, postings (ordered by term, so that a scan for some terms skips files and row groups), document frequencies
-    and statistics below `path`, by file type. Texts are normalised once, and postings counted once."""
+    """Write rows, postings (in each file ordered by term, so that a scan for some terms skips row groups), document
+    frequencies and statistics below `path`, by file type. Texts are normalised once, and postings counted once."""
     spark = chunks.sparkSession
     indexed_rows(chunks, text).write.partitionBy("file_type").parquet(f"{path}/rows")
     rows = spark.read.parquet(f"{path}/rows")
-    tables_of(rows)[0].repartitionByRange("term").sortWithinPartitions("term").write.partitionBy("file_type").parquet(f"{path}/postings")
+    tables_of(rows)[0].sortWithinPartitions("term").write.partitionBy("file_type").parquet(f"{path}/postings")
     postings = spark.read.parquet(f"{path}/postings")
     postings.groupBy("file_type", "term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{path}/terms")
     tables_of(rows)[2].write.parquet(f"{path}/stats")

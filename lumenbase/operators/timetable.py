@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenbase.functions.question import parse_chunk_v1, parse_chunk_v4, parse_engine
+from lumenbase.functions.question import with_parsed
 from lumenbase.functions.text import (
     CLASS_NAME,
     DAY_DISPLAY,
@@ -98,7 +98,7 @@ def missing_sessions(found: DataFrame, parsed: DataFrame) -> DataFrame:
 
 def parsed_questions(questions: DataFrame) -> DataFrame:
     """question_id, question, q."""
-    return questions.withColumn("q", parse_engine(F.col("question")))
+    return with_parsed(questions)
 
 
 def answer_questions(lessons: DataFrame, parsed: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ def lesson_records(lessons: DataFrame) -> DataFrame:
 
 def structured_v1(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     """question_id, KEY, structured_score, rank over texts with a line for each of day, session, period and class."""
-    parsed = questions.select("question_id", parse_chunk_v1(F.col("question")).alias("q"))
+    parsed = with_parsed(questions, "chunk_v1").select("question_id", "q")
     q = F.col("q")
     said = q["class_name"].isNotNull() | q["grade"].isNotNull() | q["day"].isNotNull() | q["session"].isNotNull() | (F.size(q["periods"]) > 0)
     doc = F.col("document")
@@ -161,7 +161,7 @@ def structured_v1(chunks: DataFrame, questions: DataFrame) -> DataFrame:
 def structured_v4(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     """question_id, KEY, structured_score, rank, rrf_score over texts of one class, day and session with a line a period.
     The order is that of the timetable, whatever the score."""
-    parsed = questions.select("question_id", parse_chunk_v4(F.col("question")).alias("q"))
+    parsed = with_parsed(questions, "chunk_v4").select("question_id", "q")
     q, doc = F.col("q"), F.col("document")
     said = q["class_name"].isNotNull() | q["grade"].isNotNull() | (F.size(q["days"]) > 0) | q["session"].isNotNull() | (F.size(q["periods"]) > 0)
     text = {f: F.coalesce(header_value(doc, n), F.lit("")) for f, n in (("cls", "Lớp"), ("grade", "Khối"), ("day", "Thứ"), ("ses", "Buổi"))}

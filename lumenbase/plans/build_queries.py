@@ -14,8 +14,9 @@ from lumenbase.plans import search_queries as Q
 from lumenbase.plans import sql as S
 from lumenbase.plans import timetable_queries as H
 from lumenbase.plans.registry import query
-from lumenbase.plans.views import BLOCKS, LESSONS, SCHOOL, block_view, cell_view, lesson_view, questions, vector_view
-from lumenbase.sources.shared import kept
+from lumenbase.plans.views import BLOCKS, LESSONS, SCHOOL, block_view, cell_view, lesson_view, questions, table, vector_view
+from lumenbase.sources.shared import built_once, kept
+from lumenbase.sources.tables import embedded, read_jsonl, read_vectors, write_jsonl, write_vectors
 from lumenbase.sources.tables import flat_metadata as flat
 
 HEADING = r"regexp_matches(text, '(?i)^[IVXLC]+[.)]\s+')"
@@ -101,6 +102,22 @@ def sheet_chunks(spark, sf_dir):
     return made.select("id", "source", "chunk_index", "block_ids", "block_types", *[f"location.{f}" for f in ("sheet", "row", "row_start", "row_end", "day", "session", "class_name", "grade", "periods")])
 
 
+@query(f"WITH {TYPED} SELECT id, file_id, file_type, retrieval_text AS document, 64 AS dims, retrieval_text <> '' AS unit FROM made")
+def vector_table(spark, sf_dir):
+    """Chunks embedded by the stand-in encoder, written as the vector table and read back; text has a unit vector."""
+    path = built_once(spark, f"vectors {sf_dir}", lambda at: write_vectors(embedded(flat(C.build_chunks(typed_blocks(spark, sf_dir)))), at))
+    rows, norm = read_vectors(spark, path), X.dot(F.col("embedding"), F.col("embedding"))
+    return rows.select("id", "file_id", "file_type", "document", F.size("embedding").alias("dims"), (F.abs(norm - 1) < 1e-5).alias("unit"))
+
+
+@query("SELECT doc_id, source, n_chars, text FROM documents")
+def jsonl_scan(spark, sf_dir):
+    """Documents written as JSON Lines and scanned again, with line breaks and quotes in them."""
+    columns = ("doc_id", "source", "n_chars", "text")
+    path = built_once(spark, f"jsonl {sf_dir}", lambda at: write_jsonl(table(spark, sf_dir, "documents").select(*columns), at))
+    return read_jsonl(spark, path, "doc_id long, source string, n_chars long, text string")
+
+
 def retrieve(spark, sf_dir):
     """Document-first evidence for a batch of questions with vectors."""
     vectors, index = vector_view(spark, sf_dir), Q.prose(spark, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenbase.functions import text as T
-from lumenbase.functions.question import is_timetable_question, parse_question
+from lumenbase.functions.question import routed_of, with_parsed
 from lumenbase.operators import chunking as C
 from lumenbase.operators import quality as Q
 from lumenbase.operators.evidence import in_service, valid_question
@@ -21,8 +21,9 @@ def clean_text(spark, sf_dir):
 
 @query(f"SELECT doc_id, {S.search('text')} AS norm, len({S.terms(S.search('text'))}) AS n_terms, array_to_string({S.terms(S.search('text'))}, ' ') AS terms FROM documents")
 def normalize_tokens(spark, sf_dir):
-    t = T.tokens(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", T.normalize_search(F.col("text")).alias("norm"), F.size(t).cast("long").alias("n_terms"), F.array_join(t, " ").alias("terms"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.normalize_search(F.col("text")).alias("norm"))
+    rows = rows.withColumn("t", T.tokens_of(F.col("norm")))
+    return rows.select("doc_id", "norm", F.size("t").cast("long").alias("n_terms"), F.array_join("t", " ").alias("terms"))
 
 
 @query(f"SELECT conv_id, turn, {S.question('text')} AS norm FROM conversations")
@@ -130,14 +131,14 @@ P = "CASE form WHEN 1 THEN [p] WHEN 4 THEN range(1, p + 2) WHEN 5 THEN range(p,
     concat_ws(',', CASE WHEN class_name IS NOT NULL THEN 'class_name' END, CASE WHEN grade IS NOT NULL THEN 'grade' END, CASE WHEN len(days) > 0 THEN 'days' END, CASE WHEN form IN (0, 1, 4, 9) THEN 'sessions' END, CASE WHEN form IN (1, 4, 5, 6) THEN 'periods' END) AS explicit_fields,
     CASE WHEN form IN (1, 6, 8) THEN 'lookup' ELSE 'timetable' END AS mode FROM named""")
 def parse_question_engine(spark, sf_dir):
-    rows = question_view(spark, sf_dir).select("question_id", parse_question(F.col("question")).alias("q"))
+    rows = with_parsed(question_view(spark, sf_dir))
     return rows.select("question_id", "q.class_name", "q.grade", *[list_of(F.col(f"q.{c}")).alias(c) for c in ("days", "sessions", "periods", "explicit_fields")], "q.mode")
 
 
 @query(rf"""WITH {ASKED_OF_LESSONS}, norm AS (SELECT question_id, {S.search('question')} AS q FROM asked) SELECT question_id, {S.CLASS_GRADE}, {S.DAYS}[1] AS day, CASE WHEN regexp_matches(q, '\bsáng\b') THEN 'S' WHEN regexp_matches(q, '\bchiều\b') THEN 'C' END AS session,
     array_to_string(list_distinct(flatten(list_transform(regexp_extract_all(q, '\btiết\s*(\d+(?:\s*(?:,|và|&|- )\s*\d+)*)', 1), lambda g: regexp_extract_all(g, '\d+')))).list_sort(), ',') AS periods FROM norm""")
 def parse_question_v1(spark, sf_dir):
-    rows = question_view(spark, sf_dir).select("question_id", parse_question(F.col("question"), "chunk_v1").alias("q"))
+    rows = with_parsed(question_view(spark, sf_dir), "chunk_v1")
     return rows.select("question_id", "q.class_name", "q.grade", "q.day", "q.session", F.array_join(F.array_sort("q.periods"), ",").alias("periods"))
 
 
@@ -145,15 +146,15 @@ def parse_question_v1(spark, sf_dir):
     CASE form WHEN 4 THEN 'S' WHEN 9 THEN 'S' WHEN 0 THEN s WHEN 1 THEN s END AS session, CASE form WHEN 1 THEN CAST(p AS VARCHAR) WHEN 4 THEN array_to_string(range(1, p + 2), ',') WHEN 5 THEN CAST(p AS VARCHAR) WHEN 6 THEN p || ',' || (p + 1) ELSE '' END AS periods,
     CASE WHEN form = 4 THEN p + 1 END AS period_count FROM named""")
 def parse_question_v4(spark, sf_dir):
-    rows = question_view(spark, sf_dir).select("question_id", parse_question(F.col("question"), "chunk_v4").alias("q"))
+    rows = with_parsed(question_view(spark, sf_dir), "chunk_v4")
     return rows.select("question_id", "q.class_name", "q.grade", list_of(F.col("q.days")).alias("days"), "q.day", "q.session", F.array_join(F.array_sort("q.periods"), ",").alias("periods"), "q.period_count")
 
 
 @query(f"WITH {ASKED_OF_LESSONS} SELECT question_id, form <> 8 AS timetable, form <> 8 AS with_context FROM named")
 def route_question(spark, sf_dir):
     """With a context, words for going on count too; no form has such a word alone."""
-    q = F.col("question")
-    return question_view(spark, sf_dir).select("question_id", is_timetable_question(q).alias("timetable"), is_timetable_question(q, F.lit(True)).alias("with_context"))
+    rows = question_view(spark, sf_dir).withColumn("norm", T.normalize_question(F.col("question")))
+    return rows.select("question_id", routed_of(F.col("norm")).alias("timetable"), routed_of(F.col("norm"), F.lit(True)).alias("with_context"))
 
 
 @query(rf"""WITH {BLOCKS} SELECT file_id, block_index, coalesce(last_value(CASE WHEN regexp_matches(text, '(?i)^[IVXLC]+[.)]\s+') THEN text END IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY block_index ROWS UNBOUNDED PRECEDING), 'Phần mở đầu') AS section FROM blocks""")
@@ -171,14 +172,16 @@ LINES = f"string_split({S.clean('text')}, chr(10))"
 
 @query(f"WITH p AS (SELECT doc_id, {S.packed(LINES, 1400)} AS parts FROM documents) SELECT doc_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS part, unnest(parts) AS text FROM p")
 def pack_lines(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(C.pack_lines(F.col("text"))).alias("part", "text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.clean_text(F.col("text")).alias("clean"))
+    return rows.select("doc_id", F.posexplode(C.pack_clean(F.col("clean"))).alias("part", "text"))
 
 
 @query(f"""WITH p AS (SELECT doc_id, CASE WHEN length({S.clean('text')}) <= CASE WHEN doc_id % 4 = 0 THEN 5000 ELSE 1400 END THEN [{S.clean('text')}] WHEN doc_id % 4 = 0 THEN {S.packed(LINES, 5000)} ELSE {S.packed(LINES, 1400)} END AS parts FROM documents)
     SELECT doc_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS part, unnest(parts) AS text FROM p""")
 def block_parts(spark, sf_dir):
     kind = F.when(F.col("doc_id") % 4 == 0, F.lit("table")).otherwise(F.lit("paragraph"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(C.block_parts(kind, F.col("text"))).alias("part", "text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", kind.alias("kind"), T.clean_text(F.col("text")).alias("clean"))
+    return rows.select("doc_id", F.posexplode(C.block_parts(F.col("kind"), F.col("clean"))).alias("part", "text"))
 
 
 @query(f"WITH {CHUNKS} SELECT file_id, chunk_index AS pos, row_number() OVER (PARTITION BY file_id ORDER BY chunk_index) - 1 AS chunk_index FROM chunks")

@@ -10,8 +10,16 @@ from lumenbase.plans.registry import Rows, sql_literal
 from lumenbase.sources.shared import built_once
 
 
+#: A row group is read by one task; below this size for each core a table is dealt over all cores.
+SMALL = 32 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table as it is read; a small one whose rows cost much (texts, and lessons made from events) over all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) if name in ("documents", "events") else None
+    return df.repartition(cores) if size is not None and size < SMALL * cores else df
 
 
 def chunk_view(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,7 +143,7 @@ def stream_context(turns: DataFrame, lessons: DataFrame, most_slots: int = 200_0
 
 def stream_history(messages: DataFrame, most: int = HISTORY, idle_ms: int | None = None) -> DataFrame:
     """A stream of (session_id, pos, role, content) to (session_id, history): after each trigger the last `most` messages
-    of each session that got one. With `idle_ms`, sessions idle for so long are forgotten; such a stream runs on by itself,
+    of each session that got one. If the stream has a column is_reset, such a row empties the session's history. With `idle_ms`, sessions idle for so long are forgotten; such a stream runs on by itself,
     for it must look at the clock."""
     state = "history array<struct<pos:int,role:string,content:string>>"
 
@@ -152,8 +152,10 @@ def stream_history(messages: DataFrame, most: int = HISTORY, idle_ms: int | None
             held.remove()
             return
         old = [tuple(x) for x in held.get[0]] if held.exists else []
-        new = [(int(r.pos), r.role, r.content) for b in batches for r in b.itertuples()]
-        rows = sorted(old + new)[-most:]
+        new = pd.concat(list(batches)).sort_values("pos")
+        if "is_reset" in new.columns and new["is_reset"].any():
+            old, new = [], new[new["pos"] > new.loc[new["is_reset"], "pos"].max()]
+        rows = sorted(old + [(int(r.pos), r.role, r.content) for r in new.itertuples()])[-most:]
         held.update((rows,))
         if idle_ms:
             held.setTimeoutDuration(idle_ms)

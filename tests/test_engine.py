@@ -53,7 +53,8 @@ def test_session_turns(spark):
 
 def test_streamed_history(spark, tmp_path):
     ddl = "session_id string, pos int, role string, content string"
-    spark.createDataFrame([(s, k, "user", f"m{k}") for s in "ab" for k in range(5)], ddl).write.parquet(str(tmp_path / "in"))
+    ddl += ", is_reset boolean"
+    spark.createDataFrame([(s, k, "user", f"m{k}", (s, k) == ("b", 2)) for s in "ab" for k in range(5)], ddl).write.parquet(str(tmp_path / "in"))
     stream = sessions.stream_history(spark.readStream.schema(ddl).parquet(str(tmp_path / "in")), 3)
     q = stream.writeStream.outputMode("update").format("memory").queryName("histories").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     try:
@@ -61,7 +62,7 @@ def test_streamed_history(spark, tmp_path):
     finally:
         q.stop()
     got = {r["session_id"]: [m["content"] for m in r["history"]] for r in spark.table("histories").collect()}
-    assert got == {"a": ["m2", "m3", "m4"], "b": ["m2", "m3", "m4"]}
+    assert got == {"a": ["m2", "m3", "m4"], "b": ["m3", "m4"]}
 
 
 def test_bm25_and_fusion(spark):
@@ -268,6 +269,20 @@ def test_stored_index_equals_plans(spark, tmp_path):
     assert "CartesianProduct" not in plan
 
 
+def test_approximate_hits_find_what_is_near(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(20, 16))
+    rows = [("f", i, "pdf", f"d{i}", (centres[i % 20] + 0.1 * rng.normal(size=16)).tolist()) for i in range(400)] + [("f", 900, "pdf", "zero", [0.0] * 16), ("f", 901, "xlsx", "other", centres[0].tolist())]
+    vectors = spark.createDataFrame(rows, "file_id string, chunk_index long, file_type string, document string, embedding array<double>")
+    asked = spark.createDataFrame([(k, centres[k].tolist()) for k in range(5)], "question_id long, vector array<double>")
+    exact = {(r["question_id"], r["chunk_index"]): r["semantic_score"] for r in search.semantic_hits(vectors, asked, 10).collect()}
+    got = {(r["question_id"], r["chunk_index"]): r["semantic_score"] for r in search.approximate_hits(vectors, asked, 10).collect()}
+    assert len(set(got) & set(exact)) >= 0.9 * len(exact)
+    assert all(abs(s - exact[k]) < 1e-5 for k, s in got.items() if k in exact)
+
+
 def test_tables(spark, tmp_path):
     rows = spark.createDataFrame([("a", "Thứ"), ("b", None)], "k string, v string")
     tables.write_jsonl(rows, str(tmp_path / "j"))
