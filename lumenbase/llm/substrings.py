@@ -7,14 +7,18 @@ its source coordinates. Equal windows have equal minimizers, so they can only me
 each piece:
 
 * a minimizer that stands in one piece of the corpus only: nothing in it repeats (most pieces end here);
-* an equal piece starts earlier: each of its windows repeats, and the piece is removed whole;
+* an equal piece starts earlier: each of its windows repeats. Such pieces that follow each other in a text, and whose first
+  occurrences follow each other in one source, are one path without a branch and are compacted to one span. Each span is
+  looked up at both of its coordinates, its own and its source's, and removed when the words there have the same SHA-256;
+  if they had not, the query would end;
 * the first of its kind, but the minimizer has other pieces too (the ends of a repeated passage, where texts branch), or
   the piece repeats within itself: its windows are hashed one by one (128 bits) from the text at its source coordinates,
   and the earliest start of each decides.
 
 Earlier means: smaller doc_id, or in the same document an earlier start. Windows are judged on the input. Joins run on
 hashes that any number of documents may share; what is needed of such a group is its count or its minimum, which combine
-before the shuffle, and joins with its other rows can be split.
+before the shuffle. A minimizer that holds more than a thousandth of all pieces, of which there are less than a thousand, is
+dealt over several tasks in the joins.
 
 Two pieces count as equal if their minimizers are and two independent 64-bit hashes of the whole word sequence are: one from
 the words' hashes, one of the words' bytes as the source has them. Two windows are equal if both of their 64-bit hashes are.
@@ -32,8 +36,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lumenbase.llm.common import batch_of, discard, forget_caches, gram_hashes, keyed, materialize, mixed, pairs, utf8, word_hashes
+from lumenbase.llm.common import batch_of, discard, forget_caches, gram_hashes, keyed, materialize, mixed, pairs, release_later, utf8, word_hashes
 
 PIECES = pa.schema([("a", pa.int64()), ("v", pa.int64()), ("w", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("folded", pa.bool_())])
 PIECES_DDL = "a long, v long, w long, doc_id long, start int, n int, folded boolean"
@@ -96,22 +101,49 @@ def pieces_of(texts: DataFrame, size: int, k: int) -> DataFrame:
     return texts.mapInArrow(cut, PIECES_DDL)
 
 
+SALTS = 16
+
+
 def settled(texts: DataFrame, size: int, k: int) -> DataFrame:
-    """doc_id, start, n, whole: pieces that go whole, and those whose windows must be looked at."""
-    pieces = pieces_of(texts, size, k)
-    counts = pieces.select("a", F.when(F.col("folded"), 2).otherwise(1).alias("c")).groupBy("a").agg(F.sum("c").alias("c"))
-    kept = materialize(pieces.join(counts.where("c > 1").select("a"), "a"), "pieces")
-    variants = kept.groupBy("a").agg(((F.min("v") < F.max("v")) | (F.min("w") < F.max("w"))).alias("branches"), F.max("folded").alias("any_folded"))
-    first = kept.groupBy("a", "v", "w").agg(F.min(F.struct("doc_id", "start")).alias("first"))
-    firsts = first.join(variants, "a").select("a", "v", "w", "first", (F.col("branches") | F.col("any_folded")).alias("open"))
-    whole = F.struct("doc_id", "start") != F.col("first")
-    out = materialize(kept.join(firsts, ["a", "v", "w"]).where(whole | F.col("open")).select("doc_id", "start", "n", whole.alias("whole")), "settled")
-    discard(kept)
+    """doc_id, start, n, whole, source (doc_id and start of the first equal piece): pieces that go whole, and those whose
+    windows must be looked at."""
+    pieces = materialize(pieces_of(texts, size, k), "cut")
+    counts = materialize(pieces.select("a", F.when(F.col("folded"), 2).otherwise(1).alias("c")).groupBy("a").agg(F.sum("c").alias("c")).where("c > 1"), "counts")
+    hot = F.broadcast(counts.where(F.col("c") * 1000 > pieces.count()).select("a", F.lit(True).alias("hot")))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt")
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = pieces.join(hot, "a", "left").select(*PIECES.names, salt)
+    kept = materialize(dealt.join(counts.select("a").join(hot, "a", "left").select("a", F.explode(salts).alias("salt")), ["a", "salt"]), "pieces")
+    variants = kept.groupBy("a").agg(F.min("v").alias("v0"), F.max("v").alias("v1"), F.min("w").alias("w0"), F.max("w").alias("w1"), F.max("folded").alias("any_folded"))
+    variants = variants.select("a", ((F.col("v0") < F.col("v1")) | (F.col("w0") < F.col("w1")) | F.col("any_folded")).alias("open"))
+    first = kept.groupBy("a", "v", "w").agg(F.min(F.struct("doc_id", "start")).alias("source"))
+    firsts = first.join(variants, "a").join(hot, "a", "left").select("a", "v", "w", "source", "open", F.explode(salts).alias("salt"))
+    whole = F.struct("doc_id", "start") != F.col("source")
+    out = materialize(kept.join(firsts, ["a", "v", "w", "salt"]).where(whole | F.col("open")).select("doc_id", "start", "n", whole.alias("whole"), "source"), "settled")
+    discard(pieces, counts, kept)
     return out
 
 
-def by_document(marks: DataFrame) -> DataFrame:
-    """One row per document: its marks as (start, n), no more than it has windows."""
+def compacted(whole: DataFrame) -> DataFrame:
+    """doc_id, start, n, src_doc, src_start: pieces that follow each other, in their text and in one source, as one span."""
+    order = Window.partitionBy("doc_id").orderBy("start")
+    shift = F.col("src_start") - F.col("start")
+    rows = whole.select("doc_id", "start", "n", F.col("source.doc_id").alias("src_doc"), F.col("source.start").alias("src_start")).withColumn("shift", shift)
+    goes_on = (F.lag(F.col("start") + F.col("n")).over(order) == F.col("start")) & (F.lag("src_doc").over(order) == F.col("src_doc")) & (F.lag("shift").over(order) == F.col("shift"))
+    path = F.sum(F.when(goes_on, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("path", path).groupBy("doc_id", "path").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"), F.min("src_doc").alias("src_doc"), F.min("src_start").alias("src_start")).drop("path")
+
+
+def by_document(marks: DataFrame, most: int = 1 << 14) -> DataFrame:
+    """doc_id and an array of its marks (start, n), about `most` at a time: a document that many others repeat has a row for
+    each such part."""
+    parts = marks.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / most).alias("parts")).where("parts > 1")
+    dealt = marks.join(parts, "doc_id", "left").withColumn("part", F.pmod(F.xxhash64("start", "n"), F.coalesce("parts", F.lit(1))))
+    return dealt.groupBy("doc_id", "part").agg(F.collect_list(F.struct("start", "n")).alias("marks")).drop("part")
+
+
+def merged_marks(marks: DataFrame) -> DataFrame:
+    """One row per document: its marks, no more than it has windows."""
     return marks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
 
 
@@ -129,31 +161,49 @@ def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(start, n)
 
 
-def open_windows(texts: DataFrame, opened: DataFrame, size: int) -> DataFrame:
-    """h1, h2, doc_id, start of each window of the open pieces."""
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32())])
+LOOKED = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+
+
+def looked_up(texts: DataFrame, marks: DataFrame, size: int) -> DataFrame:
+    """h1, h2, doc_id, start, n from the texts at source coordinates. Of a mark with n > 0: two hashes of each of its n windows,
+    with n 0; of one with n < 0: the first 128 bits of the SHA-256 of the words of its -n windows, with its own n."""
 
     def look(batches):
         for b in batches:
             out = []
             for (doc, text), (start, n) in zip(pairs(b), marked_places(b.column(2)), strict=True):
-                at = spread(start, n)
-                both = [span_hashes(word_hashes(text, seed), at, at + size).view(np.int64) for seed in (0, 1)]
-                out.append((*both, np.full(len(at), doc), at.astype(np.int32)))
+                if (n > 0).any():
+                    at = spread(start[n > 0], n[n > 0])
+                    both = [span_hashes(word_hashes(text, seed), at, at + size).view(np.int64) for seed in (0, 1)]
+                    out.append((*both, np.full(len(at), doc), at.astype(np.int32), np.zeros(len(at), np.int32)))
+                spans = np.flatnonzero(n < 0)
+                if len(spans):
+                    words = text.split()
+                    digests = b"".join(hashlib.sha256(b" ".join(words[start[i] : start[i] - n[i] + size - 1])).digest()[:16] for i in spans)
+                    two = np.frombuffer(digests, "<i8").reshape(-1, 2)
+                    out.append((two[:, 0], two[:, 1], np.full(len(spans), doc), start[spans].astype(np.int32), n[spans].astype(np.int32)))
             if out:
-                yield batch_of(schema, [np.concatenate(c) for c in zip(*out, strict=True)])
+                yield batch_of(LOOKED, [np.concatenate(c) for c in zip(*out, strict=True)])
 
-    return texts.join(by_document(opened), "doc_id").select("doc_id", "text", "marks").mapInArrow(look, "h1 long, h2 long, doc_id long, start int")
+    return texts.join(by_document(marks), "doc_id").select("doc_id", "text", "marks").mapInArrow(look, "h1 long, h2 long, doc_id long, start int, n int")
 
 
 def repeated_windows(texts: DataFrame, size: int, k: int) -> DataFrame:
     """doc_id, start, n: runs of windows whose word sequence also starts earlier."""
     found = settled(texts, size, k)
-    windows = materialize(open_windows(texts, found.where("not whole"), size), "windows")
+    spans = materialize(compacted(found.where("whole")), "spans")
+    own = spans.select("doc_id", "start", (-F.col("n")).alias("n"))
+    sources = spans.select(F.col("src_doc").alias("doc_id"), F.col("src_start").alias("start"), (-F.col("n")).alias("n"))
+    looked = materialize(looked_up(texts, found.where("not whole").select("doc_id", "start", "n").unionByName(own.unionByName(sources).distinct()), size), "windows")
+    windows, digests = looked.where("n = 0"), looked.where("n < 0").select("doc_id", "start", (-F.col("n")).alias("n"), F.struct("h1", "h2").alias("d"))
     first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
     later = windows.join(first, ["h1", "h2"]).where(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", F.lit(1).alias("n"))
-    out = materialize(found.where("whole").select("doc_id", "start", "n").unionByName(later), "repeats")
-    discard(found, windows)
+    there = digests.select(F.col("doc_id").alias("src_doc"), F.col("start").alias("src_start"), "n", F.col("d").alias("src_d"))
+    both = spans.join(digests, ["doc_id", "start", "n"], "left").join(there, ["src_doc", "src_start", "n"], "left")
+    checked = F.when(F.coalesce(F.col("d") == F.col("src_d"), F.lit(False)), F.col("start")).otherwise(F.raise_error(F.lit("a repeated span isn't what stands at its source")).cast("int"))
+    out = materialize(both.select("doc_id", checked.alias("start"), "n").unionByName(later), "repeats")
+    release_later(texts.sparkSession, out.stored_at)
+    discard(found, spans, looked)
     return out
 
 
@@ -171,7 +221,7 @@ def kept_words(text: bytes | None, start: np.ndarray, n: np.ndarray, size: int)
 def cleaned(docs: DataFrame, finish, schema: pa.Schema, ddl: str, size: int, k: int, id_col: str, text_col: str) -> DataFrame:
     """finish(text, kept words, number of words) gives the columns after doc_id."""
     texts = utf8(keyed(docs, id_col, text_col))
-    marks = by_document(repeated_windows(texts, size, k))
+    marks = merged_marks(repeated_windows(texts, size, k))
 
     def clean(batches):
         for b in batches:
@@ -194,7 +244,7 @@ def removal_digests(docs: DataFrame, size: int = 20, k: int = 6, id_col: str = "
 def remove_repeats(docs: DataFrame, size: int = 20, k: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows and columns of docs, each text with its kept words joined by one space; a text that loses nothing stays as
     it is. Of rows with a repeated id the one with the smallest non-null text stays."""
-    marks = by_document(repeated_windows(utf8(keyed(docs, id_col, text_col)), size, k))
+    marks = merged_marks(repeated_windows(utf8(keyed(docs, id_col, text_col)), size, k))
     others = [c for c in docs.columns if c not in (id_col, text_col)]
     names = [f"c{i}" for i in range(len(others))]
     row = F.struct(F.col(text_col).isNull().alias("none"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(n) for c, n in zip(others, names, strict=True)])

@@ -25,6 +25,53 @@ def corpus():
     return rows
 
 
+def kept_by_brute_force(rows, words=5, share=80):
+    """The documents whose id is the smallest of their component, over all pairs."""
+    sets = {}
+    for i, text in rows:
+        w = (text or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} - {()}
+    up = {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= share * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    return {i for i in sets if root(i) == i}
+
+
+def cleaned_by_brute_force(rows, size=20):
+    """Each text without the words of windows that start earlier too."""
+    words = {i: (t or "").split(" ") for i, t in rows}
+    seen, out = set(), {}
+    for i in sorted(words):
+        w, gone = words[i], set()
+        for k in range(len(w) - size + 1):
+            window = tuple(w[k : k + size])
+            if window in seen:
+                gone |= set(range(k, k + size))
+            seen.add(window)
+        out[i] = " ".join(x for k, x in enumerate(w) if k not in gone)
+    return out
+
+
+def test_stages_equal_brute_force(spark, docs):
+    rows = [r for r in corpus() if r[0] is not None and r[1] and r[1][0].isalpha()]
+    long = " ".join(rows[k][1] for k in range(60))
+    rows += [(500, long, "en"), (501, long + " end", "en"), (502, "other " + long[: len(long) // 2], "en"), (503, " ".join(["same"] * 3000), "en")]
+    two = corpus_pipeline.STAGES[1][1](spark, docs(rows), "")
+    kept = {r["doc_id"]: r["text"] for r in two.collect()}
+    assert set(kept) == kept_by_brute_force([(i, t) for i, t, _ in rows])
+    three = {r["doc_id"]: r["text"] for r in corpus_pipeline.STAGES[2][1](spark, two, "").collect()}
+    assert three == cleaned_by_brute_force(kept.items())
+
+
 def test_stages_in_order(spark, docs):
     frame, rows = docs(corpus()), corpus()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "substring_dedup", "packing"]

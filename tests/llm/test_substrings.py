@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from lumenbase.llm.substrings import remove_repeats, removal_digests
+from lumenbase.llm.substrings import by_document, compacted, remove_repeats, removal_digests
 
 
 def brute(rows, size):
@@ -89,3 +89,16 @@ def test_columns_stay(docs):
     assert remove_repeats(frame).columns == frame.columns
     assert {i: r["text"] for i, r in got.items()} == {i: (t if want[i][1] == 0 else b" ".join(want[i][2]).decode()) for i, t in rows}
     assert all(r["marks"]["a"] == i and r["start"] == 1 and r["lang"] == "en" for i, r in got.items())
+
+
+def test_spans_follow_their_source(spark):
+    rows = [(5, 0, 3, (1, 10)), (5, 3, 4, (1, 13)), (5, 7, 2, (2, 17)), (5, 9, 1, (2, 19)), (5, 12, 1, (2, 22)), (6, 0, 3, (1, 10)), (6, 3, 4, (1, 14))]
+    frame = spark.createDataFrame(rows, "doc_id long, start int, n int, source struct<doc_id:long,start:int>")
+    got = sorted((r["doc_id"], r["start"], r["n"], r["src_doc"], r["src_start"]) for r in compacted(frame).collect())
+    assert got == [(5, 0, 7, 1, 10), (5, 7, 3, 2, 17), (5, 12, 1, 2, 22), (6, 0, 3, 1, 10), (6, 3, 4, 1, 14)]
+
+
+def test_a_document_that_many_repeat_is_looked_up_in_parts(spark):
+    marks = spark.createDataFrame([(1, k, 1) for k in range(100)] + [(2, 0, 3)], "doc_id long, start int, n int")
+    got = by_document(marks, most=10).collect()
+    assert sum(len(r["marks"]) for r in got) == 101 and sum(r["doc_id"] == 1 for r in got) > 5
