@@ -40,17 +40,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: later plans start from the files, not from df's lineage. The
-    shuffle files of the write go as soon as it ends."""
+def write_once(df: DataFrame, path: str, **options: str) -> None:
+    """Write df as Parquet; the shuffle files of the write go as soon as it ends."""
     spark = df.sparkSession
-    path, before = fresh_path(spark, name), spark.conf.get(CLEANUP, None)
+    before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    stored = spark.read.schema(df.schema).parquet(path)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: later plans start from the files, not from df's lineage."""
+    path = fresh_path(df.sparkSession, name)
+    write_once(df, path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
     stored.stored_at = path
     return stored
 

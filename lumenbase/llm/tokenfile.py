@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenbase.llm.common import batch_of, forget_caches, fresh_path, keyed, pairs, partitions_for, release_later, tokenizer_file
+from lumenbase.llm.common import batch_of, forget_caches, fresh_path, keyed, pairs, partitions_for, release_later, tokenizer_file, write_once
 from lumenbase.llm.encoders import encoder
 
 SHARDS = "part int, first_doc long, n_docs long, n_ids long, data binary"
@@ -172,7 +172,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
 
     base = keyed(docs, id_col, text_col)
     ordered = base.repartitionByRange(partitions_for(base), "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(shards, SHARDS).write.option("compression", "none").parquet(path)
+    write_once(ordered.mapInArrow(shards, SHARDS), path, compression="none")
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenbase.llm.common import fresh_path, release_later
+from lumenbase.llm.common import discard, fresh_path, materialize, release_later, write_once
 
 CRLF = "\r\n"
 #: Fixed value: the standard's profile of a revisit with an identical payload.
@@ -52,24 +52,25 @@ def header_block(page_id: Column, url: Column, kind: Column, refers_to: Column,
 
 
 def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100, date: str = "1970-01-01T00:00:00Z") -> None:
-    """Write `path`/payloads and `path`/headers. `date`: the WARC-Date of all records, for the pages have none of their own. A payload moves once, for its first page; headers never carry it."""
+    """Write `path`/payloads and `path`/headers. A payload moves once, for its first page; headers never carry it. `date`: the
+    WARC-Date of all records, for the pages have none of their own."""
     rows = one_row_per_page(pages, id_col, url_col, html_col)
     heads = rows.select("page_id", "url", digest(F.col("payload")).alias("digest"), F.octet_length("payload").cast("long").alias("length"), F.md5("payload").alias("second"))
-    spark = pages.sparkSession
-    heads.write.parquet(f"{path}/digests")
-    heads = spark.read.schema(heads.schema).parquet(f"{path}/digests")
+    heads = materialize(heads, "digests")
     first = heads.groupBy("digest").agg(F.min("page_id").alias("first"), F.min("length").alias("shortest"), F.max("length").alias("longest"), F.min("second").alias("low"), F.max("second").alias("high"))
     same = (F.col("shortest") == F.col("longest")) & (F.col("low") == F.col("high"))
     first = first.select("digest", F.when(same, F.col("first")).otherwise(F.raise_error(F.concat(F.lit("different payloads share the digest "), "digest"))).alias("first"))
     revisit = (F.col("length") >= least) & (F.col("page_id") != F.col("first"))
     kind = F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))
     records = heads.join(first, "digest").select("page_id", "url", kind.alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"), "digest", "length")
-    records.select(
+    records = records.select(
         "page_id", "url", "record_type", "refers_to", "digest",
         header_block(F.col("page_id"), F.col("url"), F.col("record_type"), F.col("refers_to"), F.col("digest"), F.col("length"), date).alias("header"),
-    ).write.parquet(f"{path}/headers")
+    )
+    write_once(records, f"{path}/headers")
     owners = first.select(F.col("first").alias("page_id"), "digest")
-    rows.select("page_id", "payload").join(owners, "page_id").select("digest", F.octet_length("payload").cast("long").alias("length"), "payload").write.parquet(f"{path}/payloads")
+    write_once(rows.select("page_id", "payload").join(owners, "page_id").select("digest", F.octet_length("payload").cast("long").alias("length"), "payload"), f"{path}/payloads")
+    discard(heads)
 
 
 def checked_payloads(spark: SparkSession, path: str) -> DataFrame:

@@ -47,3 +47,8 @@ def test_empty_table_and_null_ids(docs, spark):
     assert round_trip_digests(docs([])).collect() == []
     rows = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
     assert [(r["doc_id"], r["data"]) for r in decode_documents(rows).orderBy("doc_id").collect()] == [(1, None), (2, b"")]
+
+
+def test_other_columns_may_have_clashing_names(docs):
+    frame = docs([(1, "a b"), (2, None)]).selectExpr("*", "1 as block", "2 as bucket", "'x' as data", "3 as kind", "4 as n_tokens")
+    assert {r["doc_id"]: r["n_tokens"] for r in round_trip_digests(frame).collect()} == {1: 2, 2: 0}

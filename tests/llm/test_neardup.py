@@ -75,6 +75,11 @@ def test_odd_rows(docs):
     assert sorted(map(tuple, near_duplicates(docs(twice), words=2).collect())) == [(1, 1, 1, True), (2, 1, 1, False)]
 
 
+def test_other_columns_may_have_clashing_names(docs):
+    frame = docs([(1, "a b c"), (2, "a b c"), (3, None)]).selectExpr("*", "1 as sig", "2 as k1", "3 as rep", "4 as component_id", "true as kept")
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(frame, words=2).collect()) == [(1, 1, True), (2, 1, False), (3, 3, True)]
+
+
 def test_exactly_at_the_bound(docs):
     eight = " ".join(f"w{i}" for i in range(9))  # eight shingles of two words
     check(docs, [(1, eight + " x"), (2, eight + " y"), (3, eight), (4, eight + " x y")])

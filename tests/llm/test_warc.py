@@ -36,7 +36,8 @@ def test_round_trip(spark):
         assert head.startswith(b"WARC/1.1\r\n") and fields["WARC-Record-ID"] == f"<urn:page:{i}>"
         want = html[i] if r["record_type"] == "response" else b""
         assert body == want + b"\r\n\r\n" and int(fields["Content-Length"]) == len(want)
-        assert ("WARC-Refers-To" in fields) == (r["record_type"] == "revisit")
+        assert ("WARC-Refers-To" in fields) == ("WARC-Profile" in fields) == (r["record_type"] == "revisit")
+        assert fields["WARC-Date"] == "1970-01-01T00:00:00Z"
     assert spark.read.parquet(f"{path}/payloads").count() == len(set(html.values()))
 
 
@@ -64,5 +65,10 @@ def test_a_changed_header_is_noticed(spark, old, new, error):
         read_back(spark, path).collect()
 
 
+def test_very_long_payloads(spark):
+    rows = [(1, "u", "é" * 3_000_000), (2, "v", "é" * 3_000_000), (3, "w", "x" * 5_000_000)]
+    assert sorted(map(tuple, archive(pages(spark, rows)).collect())) == brute(rows)
+
+
 def test_empty(spark):
     assert archive(pages(spark, [])).collect() == []
