@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenbase.llm.common import materialize
+from lumenbase.llm.common import discard, materialize
 from lumenbase.llm.langid import fit_languages, identify
 from lumenbase.llm.neardup import near_duplicates
 from lumenbase.llm.packing import pack_documents
@@ -50,9 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage. That one has read its documents when it returns, so the stages' tables go then."""
+    docs, between = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, f"stage-{name}")
+            between.append(docs)
+    discard(*between)
     return docs
