@@ -12,6 +12,7 @@ from lumenbase.functions.question import engine_of, routed_of
 from lumenbase.functions.text import DAY_DISPLAY, SESSION_DISPLAY, format_subject, looked_up, normalize_question
 from lumenbase.operators import evidence as E
 from lumenbase.operators import timetable as L
+from lumenbase.sources.shared import kept
 
 #: What the timetable says where it has no table.
 NO_CLASS = "Mình chưa xác định được lớp cần tra thời khóa biểu."
@@ -28,11 +29,10 @@ def slot_text(day: Column, session: Column, period: Column) -> Column:
 def timetable_messages(lessons: DataFrame, parsed: DataFrame) -> DataFrame:
     """question_id, ok, answer of each question. parsed: question_id, q. Kinds and their order are answer_questions()'s."""
     q = F.col("q")
-    kinds = L.answer_questions(lessons, parsed).select("question_id", "ok", "type")
-    named = parsed.where("q.class_name is not null or q.grade is not null")
-    rows = L.deduped(L.candidates(lessons, named), "question_id")
+    rows = kept(L.table_lessons(lessons, parsed), "table-lessons")  # read by three steps
+    kinds = L.answer_questions(lessons, parsed, rows).select("question_id", "ok", "type")
     tables = L.tables(rows).select("question_id", "table")
-    gaps = L.missing_sessions(rows, named)
+    gaps = L.missing_sessions(rows, parsed)
     first = L.lookup(lessons, parsed).groupBy("question_id").agg(F.min_by(F.struct("value", "ambiguity"), "pos").alias("slot"))
     joined = parsed.join(kinds, "question_id").join(tables, "question_id", "left").join(gaps, "question_id", "left").join(first, "question_id", "left")
     where = slot_text(q["days"][0], q["sessions"][0], q["periods"][0])
@@ -67,7 +67,7 @@ def answer_batch(questions: DataFrame, lessons: DataFrame, retrieve: Callable[[D
     context = F.col("context") if "context" in questions.columns else None
     norm = F.col("normalised")
     routed = questions.withColumn("normalised", normalize_question(F.col("question"))).withColumn("timetable", routed_of(norm, None if context is None else context.isNotNull()))
-    parsed = routed.where("timetable").select("question_id", engine_of(norm, context).alias("q"))
+    parsed = kept(routed.where("timetable").select("question_id", engine_of(norm, context).alias("q")), "parsed")
     direct = F.array(F.struct(F.lit(DIRECT[0]).alias("source"), F.lit(DIRECT[1]).alias("location")))
     by_table = timetable_messages(lessons, parsed).select("question_id", F.lit("timetable").alias("mode"), "answer", direct.alias("sources"))
     others = routed.where(~F.col("timetable")).drop("timetable", "normalised")

@@ -101,12 +101,17 @@ def parsed_questions(questions: DataFrame) -> DataFrame:
     return with_parsed(questions)
 
 
-def answer_questions(lessons: DataFrame, parsed: DataFrame) -> DataFrame:
+def table_lessons(lessons: DataFrame, parsed: DataFrame) -> DataFrame:
+    """The lessons of each question's table, once each; questions without class and grade get none."""
+    return deduped(candidates(lessons, parsed.where("q.class_name is not null or q.grade is not null")), "question_id")
+
+
+def answer_questions(lessons: DataFrame, parsed: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """question_id, ok, type, n_rows, first_value. In this order: a table without class or grade fails; a single slot is
     looked up; a table mode gives the table; class, day, session and period together give a table; else too little is
     known."""
-    named = parsed.where("q.class_name is not null or q.grade is not null")  # others get no table
-    rows = deduped(candidates(lessons, named), "question_id").groupBy("question_id").agg(F.count(F.lit(1)).alias("table_rows"))
+    found = table_lessons(lessons, parsed) if found is None else found
+    rows = found.groupBy("question_id").agg(F.count(F.lit(1)).alias("table_rows"))
     slots = lookup(lessons, parsed).groupBy("question_id").agg(F.count(F.lit(1)).alias("slot_rows"), F.min_by("value", "pos").alias("slot_value"))
     q = F.col("q")
     joined = parsed.join(rows, "question_id", "left").join(slots, "question_id", "left").withColumn("t", F.coalesce("table_rows", F.lit(0))).withColumn("s", F.coalesce("slot_rows", F.lit(0)))

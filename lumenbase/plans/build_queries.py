@@ -97,7 +97,7 @@ def sheet_chunks(spark, sf_dir):
     location = F.struct(*[F.lit(None).cast(k).alias(f) for f, k in (("page", "int"), ("section", "string"), ("item_index", "int"), ("style", "string"), ("table_number", "int"))], "sheet", "row")
     index = F.col("row") - 1
     blocks = texts.select(numbered_id(F.col("source"), "b", index).alias("id"), F.col("source").alias("file_id"), "source", F.col("source").alias("relative_path"), F.lit("xlsx").alias("file_type"), index.alias("block_index"), F.lit("row").alias("block_type"), "text", location.alias("location"))
-    records = U.class_sessions(cells).withColumn("file_id", F.col("source"))
+    records = kept(U.class_sessions(cells).withColumn("file_id", F.col("source")), "records")
     made = shown(C.build_chunks(blocks, records))
     return made.select("id", "source", "chunk_index", "block_ids", "block_types", *[f"location.{f}" for f in ("sheet", "row", "row_start", "row_end", "day", "session", "class_name", "grade", "periods")])
 
