@@ -115,7 +115,7 @@ def cosine(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (x * q).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum(1)))
 
 
-def nearest(vectors: DataFrame, chosen: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", cells: int | None = None, probe: float = 0.75, groups: int = 16, rerank: int = 160, sample: int = 16_384, block: int = 8_192) -> DataFrame:
+def nearest(vectors: DataFrame, chosen: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", cells: int | None = None, probe: float = 0.85, groups: int = 16, rerank: int = 160, sample: int = 16_384, block: int = 8_192) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found for each chosen row. `cells`: by default the root of the rows,
     halved, 1024 at most; `probe`: the share of cells that a query visits."""
     spark = vectors.sparkSession
