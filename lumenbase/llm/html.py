@@ -7,14 +7,19 @@ text is the region of the article, and all of its lines are returned, short and
 
 Markup is evidence beside the ratios:
 
-* what can't be an article's text by its element, role or state is never a line: scripts, styles, menus, page headers,
-  footers, asides, forms, hidden elements; of a header inside the article only headings stay;
-* a word of class or id, such as `sidebar` or `share`, divides the ratios of what is inside by ten, so that it must stand out
-  all the more to be in the cluster; what isn't is left out of the region too. The word says nothing if it is negated
-  (`has-sidebar`, `no-comments`) or the element holds the page's first heading or half of the cluster by ratio alone.
-  Readers' comments, adverts and notices on cookies go however large they are;
+* what shows no text of its own, or is hidden, is never a line: scripts, styles, controls, drawings;
+* an element that is a menu, page header, footer, aside, form or dialog, or has such a role, goes as a whole; of a header inside
+  the article only headings stay. A word of class or id on a container, such as `sidebar` or `share`, divides the ratios of
+  what is inside by ten, so that it must stand out all the more to be in the cluster; what isn't is left out of the region
+  too. Readers' comments, adverts and notices on cookies go however large they are. A word says nothing if it is negated
+  (`has-sidebar`, `no-comments`), and of a paragraph only words for adverts and cookies do;
+* no element or word is believed of what holds the article: from the outermost inwards, the cluster found without any markup
+  tells how much prose stands inside and how much stands free of markup outside. An element is the article's wrapper if eight
+  times the prose outside is less than what it holds, or if it holds the page's first heading and no prose is free before
+  it, or, for a word of layout, half of all prose that isn't in comments, adverts or notices;
 * an <article> or <main> around the region, or an <article> within it that holds most of the cluster, completes the region;
-  without one, headings right beside the region do.
+  without one, the element around the region's first heading is the region if no element beside it holds more of the cluster
+  (which says nothing if it holds every line of the page), and headings right beside the region complete it.
 
 Defined results: null, empty or textless html gives the empty text; unclosed and crossed elements are closed as far as the
 next end tag demands; character references are decoded, unknown ones stay as they are; white space (also a line break
@@ -36,18 +41,23 @@ from lumenbase.llm.common import batch_of, keyed
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
-DROPPED = frozenset("head script style noscript template svg math iframe object canvas audio video nav footer aside form button select textarea fieldset dialog menu map".split())
-DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+#: They hold no text of an article; they stand within lines and don't end them.
+DROPPED = frozenset("head script style noscript template svg math iframe object canvas audio video button select textarea map".split())
+APART = frozenset("nav header footer aside form fieldset dialog menu".split())
+APART_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 LAYOUT_WORDS = frozenset(
     "promo promotion nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside widget banner notice notices notification popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations toolbar pagination pager copyright masthead topbar skip".split()
 )
-STRICT_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr comment comments disqus reply replies respond".split())
+ADVERT_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr".split())
+READER_WORDS = frozenset("comment comments disqus reply replies respond".split())
 NEGATED, FREE = frozenset("has no with without not non".split()), "free"
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 REGIONS = ("article", "main")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+")
+TEXT_BLOCKS = frozenset("p blockquote pre figure figcaption dd dt td th tr tbody thead".split())
 SIGMA, REACH = 1.0, 3
+PROSE, WRAPS = 140, 8  # how much prose a wrapper holds at least, and how many times what stands free outside
 
 
 @dataclass
@@ -56,7 +66,7 @@ class Element:
     number: int
     dropped: bool
     heading_only: bool
-    said: str  # "", "layout" or "strict": what a word of class or id says
+    said: str  # what a word of class or id says ("", "layout" or "strict"), or "apart" for an element that stands apart
 
 
 @dataclass
@@ -65,19 +75,20 @@ class Line:
     tags: int
     linked: int
     inside: tuple[int, ...]  # the regions around it, from the outermost
-    said: tuple[tuple[int, str], ...]  # the elements around it of which a word says something
+    said: tuple[tuple[int, str], ...]  # the elements around it of which markup says something, from the outermost
     heading: bool
 
 
-def what_words_say(names: str) -> str:
-    """Of class names and ids in lower case: 'strict' before 'layout' before ''. A name may negate its words."""
+def what_words_say(names: str, block: bool) -> str:
+    """Of class names and ids in lower case: 'strict' before 'layout' before ''. A name may negate its words; a block of text
+    isn't a region, and only words for adverts and cookies say something of it."""
     found = ""
     for name in names.split():
         words = SPLIT.split(name)
         if NEGATED.isdisjoint(words) and FREE not in words:
-            if not STRICT_WORDS.isdisjoint(words):
+            if not ADVERT_WORDS.isdisjoint(words) or not block and not READER_WORDS.isdisjoint(words):
                 return "strict"
-            if not LAYOUT_WORDS.isdisjoint(words):
+            if not block and not LAYOUT_WORDS.isdisjoint(words):
                 found = "layout"
     return found
 
@@ -104,10 +115,21 @@ class Reader(HTMLParser):
             self.tags = 0
         self.said, self.linked = [], 0
 
-    def dropped(self, tag: str, attrs: dict) -> bool:
-        if tag in DROPPED or tag == "header" and not any(e.tag in REGIONS for e in self.open):
-            return True
-        return (attrs.get("role") or "").lower() in DROPPED_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(HIDDEN.search(attrs.get("style") or ""))
+    def said_of(self, tag: str, attrs: dict) -> str:
+        if tag in INLINE or tag in HEADINGS or tag in ("html", "body"):
+            return ""
+        if tag in APART or (attrs.get("role") or "").lower() in APART_ROLES:
+            return "apart"
+        return what_words_say(f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower(), tag in TEXT_BLOCKS)
+
+    @staticmethod
+    def hidden(attrs: dict) -> bool:
+        return "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(HIDDEN.search(attrs.get("style") or ""))
+
+    def ends_line(self, tag: str) -> bool:
+        """Whether a tag is a block's; within what is dropped none is."""
+        up = self.open[-1] if self.open else None
+        return tag not in INLINE and tag not in DROPPED and not (up is not None and up.dropped and not up.heading_only)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
@@ -117,16 +139,16 @@ class Reader(HTMLParser):
             if tag == "hr":
                 self.flush()
             return
-        if tag not in INLINE:
+        if self.ends_line(tag):
             self.flush()
             if any(e.tag == "p" for e in self.open[-4:]):  # a block ends an open paragraph
                 self.close_to("p")
         up = self.open[-1] if self.open else None
         kept_heading = up is not None and up.heading_only and tag in HEADINGS
         named = dict(attrs)
-        dropped = (up is not None and up.dropped and not kept_heading) or self.dropped(tag, named)
-        said = "" if dropped or tag in ("html", "body") else what_words_say(f"{named.get('class') or ''} {named.get('id') or ''}".lower())
-        inner_header = tag == "header" and not dropped
+        dropped = (up is not None and up.dropped and not kept_heading) or tag in DROPPED or self.hidden(named)
+        inner_header = tag == "header" and not dropped and any(e.tag in REGIONS for e in self.open)
+        said = "" if dropped or inner_header else self.said_of(tag, named)
         self.count += 1
         if tag not in INLINE and tag != "p" and tag not in HEADINGS and not dropped:
             self.regions[self.count] = tag
@@ -137,7 +159,7 @@ class Reader(HTMLParser):
         self.tags += 1
         if tag == "br":
             self.said.append(" ")
-        elif tag not in INLINE:
+        elif self.ends_line(tag):
             self.flush()
 
     def close_to(self, tag: str) -> None:
@@ -149,7 +171,7 @@ class Reader(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        if tag not in INLINE:
+        if self.ends_line(tag):
             self.flush()
         if any(e.tag == tag for e in reversed(self.open)):
             self.close_to(tag)
@@ -193,23 +215,31 @@ def total(lines: list[Line]) -> int:
 
 
 def believed(lines: list[Line]) -> dict[int, str]:
-    """The elements of which a word of class or id is to be believed."""
+    """The elements of which markup is to be believed, and what it says."""
     said = dict(s for x in lines for s in x.said)
     if not said:
         return said
-    top = next((x for x in lines if x.heading), None)
-    strict = [any(kind == "strict" for _, kind in x.said) for x in lines]
-    large = [x for x, good, no in zip(lines, content_cluster(lines, [1.0] * len(lines)), strict, strict=True) if good and not no]
-    held: dict[int, int] = {}
-    for x in large:
-        for number, _ in x.said:
-            held[number] = held.get(number, 0) + len(x.text)
-    whole = {n for n, _ in top.said} if top is not None else set()
-    return {n: kind for n, kind in said.items() if n not in whole and (kind == "strict" or 2 * held.get(n, 0) < total(large) or not large)}
-
-
-def region_of(lines: list[Line], cluster: list[Line], regions: dict[int, str]) -> int | None:
-    """The element whose lines are the article; None for the whole page."""
+    good = content_cluster(lines, [1.0] * len(lines))
+    prose = [0 if x.heading or not inside else len(x.text) - x.linked for x, inside in zip(lines, good, strict=True)]
+    top = next((k for k, x in enumerate(lines) if x.heading), -1)
+    marked = [{n for n, _ in x.said} for x in lines]
+    wrappers: set[int] = set()
+    for element in sorted(said):  # outer elements have smaller numbers
+        inside = [element in m for m in marked]
+        free = [w if not here and m <= wrappers else 0 for w, here, m in zip(prose, inside, marked, strict=True)]
+        held = sum(w for w, here in zip(prose, inside, strict=True) if here)
+        first = inside.index(True)
+        if held >= PROSE and WRAPS * sum(free) < held or top >= 0 and inside[top] and said[element] != "apart" and not any(free[:first]) or said[element] == "apart" and top >= 0 and inside[top] and held and not any(free):
+            wrappers.add(element)
+        elif said[element] == "layout":
+            loose = [w if all(kind == "layout" for _, kind in x.said) else 0 for w, x in zip(prose, lines, strict=True)]
+            if sum(loose) and 2 * sum(w for w, here in zip(loose, inside, strict=True) if here) >= sum(loose):
+                wrappers.add(element)
+    return {n: kind for n, kind in said.items() if n not in wrappers}
+
+
+def region_of(lines: list[Line], cluster: list[Line], regions: dict[int, str], told: bool) -> int | None:
+    """The element whose lines are the article; None for the whole page. told: whether the ratios set lines apart at all."""
     weight: dict[int, int] = {}
     around: dict[int, tuple[int, ...]] = {}
     for x in cluster:
@@ -224,6 +254,13 @@ def region_of(lines: list[Line], cluster: list[Line], regions: dict[int, str]) -
             return near[-1]
         if inner := [r for r in weight if regions[r] == tag and 2 * weight[r] > whole and around[r][: len(chain)] == chain]:
             return max(inner, key=lambda r: (weight[r], -r))
+    top = next((x for x in lines if x.heading and (region is None or region in x.inside)), None)
+    for r in reversed(top.inside if top is not None and told else ()):
+        if r == region:
+            break
+        others = [w for o, w in weight.items() if o not in top.inside and r not in around[o] and (region is None or region in around[o])]
+        if weight.get(r, 0) >= max(others, default=whole):
+            return r
     for up in reversed(chain[:-1]):
         beside = [x for x in lines if up in x.inside and region not in x.inside]
         if not beside or not all(x.heading for x in beside):
@@ -235,11 +272,13 @@ def region_of(lines: list[Line], cluster: list[Line], regions: dict[int, str]) -
 def main_text(page: str | None) -> str:
     lines, regions = read_lines(page or "")
     trusted = believed(lines)
+    told = not all(content_cluster(lines, [1.0] * len(lines))) if lines else False
+    lines = [x for x in lines if not any(trusted.get(n) == "apart" for n, _ in x.said)]
     factors = [0.1 if any(n in trusted for n, _ in x.said) else 1.0 for x in lines]
     strict = [any(trusted.get(n) == "strict" for n, _ in x.said) for x in lines]
     good = content_cluster(lines, factors) if lines else []
     kept = [x for x, inside, f, no in zip(lines, good, factors, strict, strict=True) if not no and (inside or f == 1)]
-    region = region_of(kept, [x for x, inside, no in zip(lines, good, strict, strict=True) if inside and not no], regions)
+    region = region_of(kept, [x for x, inside, no in zip(lines, good, strict, strict=True) if inside and not no], regions, told)
     return "\n".join(x.text for x in kept if region is None or region in x.inside)
 
 

@@ -1,4 +1,5 @@
 import os
+import re
 from html.parser import HTMLParser
 
 import pytest
@@ -135,3 +136,46 @@ def test_agrees_with_the_tree_of_every_page(spark):
     got = {r["page_id"]: r["text"] for r in extract_pages(pages).collect()}
     want = {r["page_id"]: "\n".join(t for t in (" ".join(x.split()) for x in article_blocks(Tree(r["html"] or "").root)) if t) for r in pages.collect()}
     assert got == want
+
+
+MENU = "<ul>" + "".join(f"<li><a href=/{k}>Menu {k}</a></li>" for k in range(9)) + "</ul>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<form id="aspnetForm" action="/"><div>{MENU}</div><div class="content">{BODY}</div></form>', f'<div class="ad-wrapper"><article>{BODY}</article></div>', f'<div class="page consent-given"><article>{BODY}</article></div>',
+        f'<article class="post sponsored">{BODY}</article>', f'<div class="page consent-given"><div class="text">{BODY}</div><div class="cookie-notice">{LONG}</div></div>',
+        f'<form><div class="ad-wrapper"><div class="sponsored">{BODY}<div class="ad">{LONG}</div></div><section class="comments"><p>{LONG * 9}</p></section></div></form>',
+        f'<article>{BODY}<form><h3>Leave a reply</h3><p>{LONG * 2}</p><input></form></article>', f'<div role="form"><article>{BODY}</article></div>',
+    ],
+)
+def test_what_wraps_the_article_is_no_boilerplate(page):
+    assert main_text(f"<html><body>{MENU}{page}<footer>Foot</footer></body></html>").split("\n") == WANTED
+
+
+def test_the_title_before_a_sponsored_article():
+    assert main_text(f'<h1>Title</h1><article class="post sponsored"><p>{LONG * 3}</p><p>Short.</p></article><footer>Foot</footer>').split("\n")[-2:] == [(LONG * 3).strip(), "Short."]
+
+
+def test_paragraphs_named_reply_and_controls_within_a_line():
+    assert main_text(f'<article><p>{LONG * 2}</p><p class="reply">He replied.</p><p class="ad">Buy now</p></article>').split("\n") == [(LONG * 2).strip(), "He replied."]
+    assert main_text("<p>Press <button>OK</button> now, <svg><text>x</text></svg>or <map><area></map>later<script>x</script>.</p>") == "Press now, or later."
+
+
+def test_no_article_no_text():
+    assert main_text(f"<nav>{MENU}</nav><aside><p>Teaser</p></aside><form><h3>Subscribe</h3><input></form><footer><p>Foot</p></footer>") == ""
+
+
+TABLES = "/root/testdata/sf0.01/pages.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(TABLES), reason="no test tables")
+def test_pages_stripped_of_markup_depend_on_the_cluster(spark, monkeypatch):
+    """Without the article's tag, classes, ids and roles, the ratios find the text that the tag marks; without them, fewer."""
+    rows = {r["page_id"]: r["html"] for r in spark.read.parquet(TABLES.replace("sf0.01", "sf0.1") if os.path.exists(TABLES.replace("sf0.01", "sf0.1")) else TABLES).collect() if r["html"]}
+    want = {i: "\n".join(t for t in (" ".join(x.split()) for x in article_blocks(Tree(h).root)) if t) for i, h in rows.items()}
+    bare = {i: re.sub(r"\s(class|id|role)=\"[^\"]*\"", "", re.sub(r"(</?)(article|nav|header|footer|aside|form)\b", r"\1div", h)) for i, h in rows.items()}
+    right = sum(main_text(h) == want[i] for i, h in bare.items())
+    monkeypatch.setattr(html, "content_cluster", lambda lines, factors: [True] * len(lines))
+    assert right >= 0.985 * len(rows) and right > sum(main_text(h) == want[i] for i, h in bare.items())
