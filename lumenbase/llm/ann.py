@@ -2,11 +2,12 @@
 
 The centroids and the codebooks are fitted on a bounded sample (`sample` rows, chosen by a hash of the id); every row is
 indexed: its cell, and one byte for each group of components of its residual. A query probes the cells whose centroids are
-nearest. Within them its asymmetric distance table (the products of its components with all codewords) scores every code,
-the best `rerank` are kept, and those are scored again on the original vectors, in double precision.
+nearest. The codes of a cell are scored for the queries that probe it, and for no others, by their asymmetric distance tables
+(the products of their components with all codewords); the best `rerank` are kept, and those are scored again on the original
+vectors, in double precision.
 
-The index lies in the shared folder as rows (cell, vec_id, codes), in the partitions of the input, so a cell that holds a
-third of all rows is spread like any other. Queries go over it in blocks of bounded size.
+The index lies in the shared folder as rows (cell, vec_id, codes), sorted by cell within the partitions of the input, so a cell
+that holds a third of all rows is spread like any other. Queries go over it in blocks of bounded size, dealt to their cells.
 
 Defined results: vectors that are null, zero or hold a null or non-finite component take no part; a shorter vector counts
 as padded with zeros; a query is never its own neighbour; fewer candidates than k are all returned; rows with a null id are
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenbase.llm.common import batch_of, lasting
-from lumenbase.llm.vectors import best, candidates_of, matrix, query_blocks, top, vectors_of, widened
+from lumenbase.llm.vectors import best, matrix, query_blocks, top, vectors_of, widened
 
 CODED = pa.schema([("cell", pa.int32()), ("vec_id", pa.int64()), ("codes", pa.binary())])
 NEAR = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -103,7 +104,46 @@ def build_index(rows: DataFrame, model: Quantiser) -> DataFrame:
             cell, codes = shared.value.code(x) if len(x) else (np.zeros(0, np.int64), np.zeros((0, 1), np.uint8))
             yield batch_of(CODED, [pa.array(cell.astype(np.int32)), b.column(0).to_numpy()[at[some]], [c.tobytes() for c in codes]])
 
-    return lasting(rows.mapInArrow(code, "cell int, vec_id long, codes binary"), "ivf")
+    return lasting(rows.mapInArrow(code, "cell int, vec_id long, codes binary").sortWithinPartitions("cell"), "ivf")
+
+
+def probed_cells(model: Quantiser, q: np.ndarray, probe: float, held: np.ndarray, least: int) -> list[np.ndarray]:
+    """Of each cell, the places of the queries that probe it: those to which it is among the nearest `probe` of all cells, or
+    among the nearest that hold `least` rows between them. held: how many rows each cell holds."""
+    order = np.argsort((model.cells**2).sum(1)[None] - 2 * q @ model.cells.T, axis=1)
+    before = np.cumsum(held[order], axis=1) - held[order]
+    query, place = np.nonzero((np.arange(order.shape[1]) < np.ceil(probe * order.shape[1])) | (before < least))
+    cell = order[query, place]
+    at = np.argsort(cell, kind="stable")
+    return np.split(query[at], np.searchsorted(cell[at], np.arange(1, order.shape[1])))
+
+
+class Lists:
+    """The best entries so far of each query, and the score that a new one must reach."""
+
+    def __init__(self, queries: int, keep: int):
+        self.keep, self.least = keep, np.full(queries, -np.inf)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size, self.most = 0, max(4 * keep * queries, 1 << 16)
+
+    def add(self, query: np.ndarray, score: np.ndarray, vec_id: np.ndarray) -> None:
+        """score: rows x queries; query: places of the queries."""
+        row, column = np.nonzero(score >= self.least[query][None])
+        self.parts.append((query[column], score[row, column].astype(np.float64), vec_id[row]))
+        self.size += len(row)
+        if self.size > self.most:
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        query, score, vec_id = (np.concatenate(c) for c in zip(*self.parts, strict=True)) if self.parts else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        at = best(query, score, vec_id, self.keep)
+        self.parts = [(query[at], score[at], vec_id[at])]
+        self.size = len(at)
+        full = np.bincount(query[at], minlength=len(self.least)) >= self.keep
+        lowest = np.full(len(self.least), np.inf)
+        np.minimum.at(lowest, query[at], score[at])
+        self.least[full] = lowest[full]
+        return self.parts[0]
 
 
 def cosine(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -115,18 +155,20 @@ def cosine(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (x * q).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum(1)))
 
 
-def nearest(vectors: DataFrame, chosen: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", cells: int | None = None, probe: float = 0.85, groups: int = 16, rerank: int = 160, sample: int = 16_384, block: int = 8_192) -> DataFrame:
-    """query_id, rank, vec_id, score of the k nearest found for each chosen row. `cells`: by default the root of the rows,
-    halved, 1024 at most; `probe`: the share of cells that a query visits."""
+def nearest(vectors: DataFrame, chosen: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", cells: int | None = None, probe: float = 0.55, groups: int = 16, rerank: int = 160, sample: int = 16_384, block: int = 8_192) -> DataFrame:
+    """query_id, rank, vec_id, score of the k nearest found for each chosen row. `cells`: by default three times
+    the root of the rows, 1024 at most; `probe`: the share of cells that a query probes."""
     spark = vectors.sparkSession
     rows = vectors_of(vectors, id_col, vector_col)
     none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    cells = cells or max(1, min(1024, round(rows.count() ** 0.5 / 2)))
+    cells = cells or max(1, min(1024, round(3 * rows.count() ** 0.5)))
     model = fit_quantiser(rows, cells, groups, sample)
     if model is None:
         return none
     index = build_index(rows, model)
     shared_model = spark.sparkContext.broadcast(model)
+    counts = index.groupBy("cell").count().toArrow()  # a number for each cell
+    held = np.bincount(counts.column(0).to_numpy(), counts.column(1).to_numpy(), len(model.cells))
     found = None
     for all_ids, all_queries in query_blocks(rows, chosen, block):
         some, scaled = unit(all_queries)
@@ -137,32 +179,22 @@ def nearest(vectors: DataFrame, chosen: Column, k: int = 5, id_col: str = "vec_i
         def probed(batches, shared=shared):
             model, (ids, _, q) = shared_model.value, shared.value
             q = widened(q, model.dim)[:, : model.dim]
-            n = max(1, int(np.ceil(probe * len(model.cells))))
-            order = np.argsort((model.cells**2).sum(1)[None] - 2 * q @ model.cells.T, axis=1)[:, :n]
-            visits = np.zeros((len(model.cells), len(ids)), bool)
-            visits[order.ravel(), np.repeat(np.arange(len(ids)), n)] = True
-            base = (model.cells @ q.T).astype(np.float32)
-            held = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
+            asking, tables, base = probed_cells(model, q, probe, held, rerank + 1), model.tables(q), (model.cells @ q.T).astype(np.float32)
+            lists = Lists(len(ids), rerank)
             for b in batches:
                 cell, vec = b.column(0).to_numpy(), b.column(1).to_numpy()
                 codes = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(len(vec), -1)
-                for c in range(0, len(ids), 512):
-                    mine = slice(c, c + 512)
-                    score = base[:, mine][cell]
-                    for g, t in enumerate(model.tables(q[mine])):
-                        score += t[codes[:, g]]
-                    score[~visits[:, mine][cell] | (vec[:, None] == ids[None, mine])] = -np.inf
-                    column, row = candidates_of(score, rerank)
-                    s = score[row, column]
-                    real = s > -np.inf
-                    new = ids[mine][column[real]], s[real].astype(np.float64), vec[row[real]]
-                    keep = best(*new, rerank)
-                    held = [np.concatenate([x, y[keep]]) for x, y in zip(held, new, strict=True)]
-                if len(held[0]) > 2 * rerank * len(ids):
-                    keep = best(*held, rerank)
-                    held = [x[keep] for x in held]
-            keep = best(*held, rerank)
-            yield batch_of(NEAR, [held[0][keep], held[2][keep], held[1][keep]])
+                starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else []
+                for at, to in zip(starts, [*starts[1:], len(cell)], strict=True):
+                    for mine in np.split(asking[cell[at]], range(512, len(asking[cell[at]]), 512)):
+                        score = np.tile(base[cell[at], mine], (to - at, 1))
+                        for g, t in enumerate(tables):
+                            score += t[:, mine][codes[at:to, g]]
+                        score[vec[at:to, None] == ids[mine][None]] = -np.inf
+                        lists.add(mine, score, vec[at:to])
+            query, score, vec = lists.settle()
+            real = score > -np.inf
+            yield batch_of(NEAR, [ids[query[real]], vec[real], score[real]])
 
         listed = top(index.mapInArrow(probed, NEAR_DDL), rerank).select("query_id", "vec_id")
 

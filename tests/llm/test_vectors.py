@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenbase.llm.ann import nearest
+from lumenbase.llm.ann import fit_quantiser, nearest, probed_cells, unit
 from lumenbase.llm.topk import exact_top
 
 DDL = "vec_id long, embedding array<float>, label int, rank int"
@@ -102,14 +102,37 @@ def test_scores_of_the_largest_doubles(spark):
     assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == want
 
 
-@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
-def test_recall_on_the_embeddings(spark):
-    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_and_visits_on_the_embeddings(spark, sf):
+    if not os.path.isdir(f"/root/testdata/{sf}"):
+        pytest.skip("no test tables")
+    table = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
     got = nearest(table, F.col("vec_id") % 50 == 0).collect()
     rows = [(r["vec_id"], r["embedding"]) for r in table.collect()]
-    want = {q: cosines(rows, q) for q in {r["query_id"] for r in got}}
-    best = {q: set(sorted(w, key=lambda i: (-w[i], i))[:5]) for q, w in want.items()}
-    assert len(got) == 50 and sum(r["vec_id"] in best[r["query_id"]] for r in got) >= 0.9 * len(got)
+    x = {i: np.array(v, np.float32).astype(float) for i, v in rows if usable(v) and any(v)}
+    ids, all_of = np.array(sorted(x)), unit(np.stack([x[i] for i in sorted(x)]))[1]
+    asked = np.flatnonzero(ids % 50 == 0)
+    s = all_of[asked] @ all_of.T
+    s[np.arange(len(asked)), asked] = -9
+    best = {ids[q]: set(ids[np.lexsort((ids, -s[k]))[:5]]) for k, q in enumerate(asked)}
+    assert len(got) == 5 * len(best) and sum(r["vec_id"] in best[r["query_id"]] for r in got) >= 0.9 * len(got)
+    model = fit_quantiser(table.where("embedding is not null"), round(3 * len(ids) ** 0.5), 16, 16_384)
+    cell = model.code(all_of)[0]
+    scored = sum(len(q) * int((cell == c).sum()) for c, q in enumerate(probed_cells(model, all_of[asked], 0.55, np.bincount(cell, minlength=len(model.cells)), 161)))
+    assert scored <= 0.65 * len(asked) * len(ids)
+
+
+def test_clustered_rows_need_few_cells(spark):
+    rng = np.random.default_rng(9)
+    middle = rng.normal(size=(20, 16)) * 6
+    rows = [(i, (middle[i % 20] + rng.normal(size=16)).tolist()) for i in range(1200)]
+    frame = table(spark, rows).repartition(3)
+    got = nearest(frame, F.col("vec_id") % 50 == 0, cells=20, probe=0.1).collect()
+    want = {q: sorted(w, key=lambda i: (-w[i], i))[:5] for q in range(0, 1200, 50) for w in [cosines(rows, q)]}
+    assert sum(r["vec_id"] in want[r["query_id"]] for r in got) >= 0.9 * len(got) == 0.9 * 5 * 24
+    model, x = fit_quantiser(frame, 20, 16, 16_384), unit(np.array([v for _, v in rows], np.float32).astype(float))[1]
+    held = np.bincount(model.code(x)[0], minlength=20)
+    assert sum(len(q) * n for q, n in zip(probed_cells(model, x[::50], 0.1, held, 161), held, strict=True)) <= 0.25 * 24 * 1200
 
 
 def test_repeated_ids_count_once(spark):
