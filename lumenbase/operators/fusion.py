@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenbase.operators.search import KEY, PLACES, LexicalIndex, bm25, by_batches, cosine
+from lumenbase.operators.lexical import LexicalIndex, bm25
+from lumenbase.operators.search import KEY, PLACES, by_batches, cosine
+from lumenbase.sources.shared import kept
 
 #: The constants of the rank fusion.
 RRF_K, STRUCTURED_K, STRUCTURED_WEIGHT = 60, 20, 2.0
@@ -54,11 +56,13 @@ def document_rank(semantic: DataFrame, lexical: DataFrame, top: int = DOCUMENT_T
 
 def document_first_evidence(vectors: DataFrame, index: LexicalIndex, questions: DataFrame, semantic: DataFrame, lexical: DataFrame, top: int = FINAL_TOP) -> DataFrame:
     """The evidence rows of each question. vectors: KEY, document, embedding of the prose chunks; index: their lexical
-    index; questions: question_id, question, vector; semantic, lexical: the corpus-wide hit lists."""
+    index; questions: question_id, question, vector; semantic, lexical: the corpus-wide hit lists. The keys of the chosen
+    documents' chunks are written once, for three steps read them, and so are the evidence's, before their texts are joined."""
     docs = document_rank(semantic, lexical)
     chosen = by_batches(questions, lambda asked: vectors.join(F.broadcast(docs.join(asked.select("question_id", "vector"), "question_id").select("question_id", "file_id", "document_rank", "vector")), "file_id"))
-    local = chosen.select("question_id", *KEY, "document", "document_rank", F.coalesce(F.round(cosine(F.col("embedding"), F.col("vector")), PLACES), F.lit(0.0)).alias("semantic_score_local"))
-    local = local.join(bm25(index, questions, local), ["question_id", *KEY], "left").withColumn("bm25_score", F.coalesce("bm25_score", F.lit(0.0)))
+    score = F.coalesce(F.round(cosine(F.col("embedding"), F.col("vector")), PLACES), F.lit(0.0))
+    keys = kept(chosen.select("question_id", *KEY, "document_rank", score.alias("semantic_score_local")), "chosen")
+    local = keys.join(bm25(index, questions, keys), ["question_id", *KEY], "left").withColumn("bm25_score", F.coalesce("bm25_score", F.lit(0.0)))
     in_doc = Window.partitionBy("question_id", "file_id")
     local = local.withColumn("semantic_rank_local", F.row_number().over(in_doc.orderBy(F.desc("semantic_score_local"), "chunk_index")))
     matched = F.col("bm25_score") > 0
@@ -66,14 +70,15 @@ def document_first_evidence(vectors: DataFrame, index: LexicalIndex, questions:
     local_rrf = reciprocal(F.col("semantic_rank_local"), SEMANTIC_WEIGHT) + F.when(matched, reciprocal(F.col("lexical_rank_local"), LEXICAL_WEIGHT) + AGREEMENT / (RRF_K + 1)).otherwise(0.0)
     local = local.withColumn("rrf_score", F.round(local_rrf, PLACES))
     place = F.row_number().over(in_doc.orderBy(F.desc("rrf_score"), "semantic_rank_local", F.coalesce("lexical_rank_local", F.lit(LAST))))
-    kept = local.withColumn("n", place).where(F.col("n") <= PER_DOCUMENT).drop("n")
+    best = local.withColumn("n", place).where(F.col("n") <= PER_DOCUMENT).drop("n")
     for name, hits in (("semantic_rank_global", semantic), ("lexical_rank_global", lexical)):
-        kept = kept.join(hits.select("question_id", *KEY, F.col("rank").alias(name)), ["question_id", *KEY], "left")
+        best = best.join(hits.select("question_id", *KEY, F.col("rank").alias(name)), ["question_id", *KEY], "left")
     s, lx = F.col("semantic_rank_global"), F.col("lexical_rank_global")
     whole = F.coalesce(reciprocal(s, SEMANTIC_WEIGHT), F.lit(0.0)) + F.coalesce(reciprocal(lx, LEXICAL_WEIGHT), F.lit(0.0)) + F.when(s.isNotNull() & lx.isNotNull(), AGREEMENT / (RRF_K + 1)).otherwise(0.0)
-    kept = kept.withColumn("global_rrf_score", F.round(whole, PLACES))
-    kept = kept.withColumn("final_score", F.round(2 * F.col("global_rrf_score") + F.col("rrf_score") + 0.02 / F.col("document_rank"), PLACES))
-    return gated(kept, top)
+    best = best.withColumn("global_rrf_score", F.round(whole, PLACES))
+    best = best.withColumn("final_score", F.round(2 * F.col("global_rrf_score") + F.col("rrf_score") + 0.02 / F.col("document_rank"), PLACES))
+    rows = kept(gated(best, top), "evidence")  # a few rows a question; only now their texts
+    return vectors.select(*KEY, "document").join(rows, list(KEY)).select("question_id", *KEY, "document", *[c for c in rows.columns if c not in ("question_id", *KEY)])
 
 
 def gated(kept: DataFrame, top: int) -> DataFrame:

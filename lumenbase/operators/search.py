@@ -1,4 +1,4 @@
-"""Vector and lexical search for batches of questions.
+"""Vector search for batches of questions.
 
 A batch of questions is a small frame with a `question_id`; every window and group carries that key. Questions are counted
 once where they come in; beyond BATCH they are worked off in parts of that size, so what derives from a part (its terms, its
@@ -8,19 +8,19 @@ and ties go to the smaller (file_id, chunk_index)."""
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenbase.functions.text import normalize_search, tokens, tokens_of
-
-K1, B = 1.5, 0.75
 PLACES = 6
+SLACK = 10.0 ** (1 - PLACES)
 KEY = ("file_id", "chunk_index")
 PROSE, STRUCTURED = ("pdf", "docx"), ("xlsx",)
 BATCH = 5_000
@@ -48,16 +48,86 @@ def ranked(hits: DataFrame, score: str, top: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
+class BestLists:
+    """The best rows so far of each question of a batch: largest rounded score first, ties to the smaller key."""
+
+    def __init__(self, asked: int, top: int):
+        self.top, self.least = top, np.full(asked, -np.inf)
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size, self.most = 0, max(4 * top * asked, 1 << 16)
+
+    def add(self, question: np.ndarray, score: np.ndarray, *key: np.ndarray) -> None:
+        self.parts.append((question, score, *key))
+        self.size += len(question)
+        if self.size > self.most:
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, ...]:
+        if not self.parts:
+            return ()
+        question, score, *key = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        order = np.lexsort((*key[::-1], -np.round(score, PLACES), question))
+        q = question[order]
+        first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+        order = order[np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)])) < self.top]
+        self.parts = [tuple(c[order] for c in (question, score, *key))]
+        self.size = len(order)
+        full = np.bincount(question[order], minlength=len(self.least)) >= self.top
+        lowest = np.full(len(self.least), np.inf)
+        np.minimum.at(lowest, question[order], score[order])
+        self.least[full] = lowest[full]
+        return self.parts[0]
+
+
+def units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(places, directions) of an Arrow list column's rows that have one, all of the column's first length."""
+    sizes = np.asarray(pc.list_value_length(column).fill_null(-1))
+    at = np.flatnonzero(sizes > 0)
+    x = np.array(column.take(pa.array(at)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)).reshape(len(at), -1) if len(at) else np.zeros((0, 0))
+    norm = np.sqrt((x * x).sum(1))
+    good = np.isfinite(norm) & (norm > 0)
+    return at[good], x[good] / norm[good, None]
+
+
+def scored_blocks(rows: DataFrame, asked: pa.Table, top: int) -> DataFrame:
+    """question_id, KEY, semantic_score: each task's `top` best rows for each question. A block of rows meets all questions as
+    one product of matrices. The product over the first half of the dimensions comes first; by Cauchy-Schwarz the other half
+    adds at most the product of the halves' norms, and rows that can't reach any question's list that way go no further."""
+    ids, (places, q) = asked.column(0).to_numpy(), units(asked.column(1).combine_chunks())
+    shared = rows.sparkSession.sparkContext.broadcast((ids[places], q))
+
+    def best(batches):
+        ids, q = shared.value
+        half = q.shape[1] // 2
+        rest = np.sqrt((q[:, half:] ** 2).sum(1))
+        lists = BestLists(len(ids), top)
+        for b in batches:
+            at, x = units(b.column(2))
+            if not len(at) or x.shape[1] != q.shape[1]:
+                continue
+            most = x[:, :half] @ q[:, :half].T + np.sqrt((x[:, half:] ** 2).sum(1))[:, None] * rest[None]
+            able = np.flatnonzero((most >= lists.least[None] - SLACK).any(1))
+            score = x[able] @ q.T
+            row, question = np.nonzero(score >= lists.least[None] - SLACK)
+            files = np.array(b.column(0).to_pylist(), dtype=str)
+            lists.add(question, score[row, question], files[at[able[row]]], b.column(1).to_numpy()[at[able[row]]])
+        found = lists.settle()
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(ids[found[0]]), pa.array(found[2]), pa.array(found[3]), pa.array(found[1])], names=["question_id", *KEY, "semantic_score"])
+
+    return rows.select(*KEY, "embedding").mapInArrow(best, "question_id long, file_id string, chunk_index long, semantic_score double")
+
+
 def semantic_hits(vectors: DataFrame, questions: DataFrame, top: int = 100, file_types: tuple[str, ...] | None = PROSE) -> DataFrame:
-    """question_id, file_id, chunk_index, document, semantic_score, distance, rank. vectors: KEY, file_type, document,
-    embedding; questions: question_id, vector. The file type is filtered before any arithmetic; exact, in place of an
-    approximate index. A zero vector is no hit."""
+    """question_id, file_id, chunk_index, semantic_score, distance, rank. vectors: KEY, file_type, embedding (all of one
+    length); questions: question_id, vector. The file type is filtered before any arithmetic; exact, in place of an
+    approximate index. A null or zero vector, or one of another length, is no hit. A batch of questions is collected as a
+    matrix; no row is made for a pair that no task's best list holds."""
     rows = vectors if file_types is None else vectors.where(F.col("file_type").isin(*file_types))
-    score = F.round(cosine(F.col("embedding"), F.col("vector")), PLACES)
 
-    def hits(asked: DataFrame) -> DataFrame:
-        scored = rows.join(asked.select("question_id", "vector"), F.size("embedding") == F.size("vector"))
-        return ranked(scored.select("question_id", *KEY, "document", score.alias("semantic_score")).where("semantic_score is not null"), "semantic_score", top)
+    def hits(batch: DataFrame) -> DataFrame:
+        found = scored_blocks(rows, batch.select(F.col("question_id").cast("long"), "vector").where("size(vector) > 0").toArrow(), top)
+        return ranked(found.withColumn("semantic_score", F.round("semantic_score", PLACES)), "semantic_score", top)
 
     return by_batches(questions, hits).withColumn("distance", F.round(1 - F.col("semantic_score"), PLACES))
 
@@ -84,106 +154,3 @@ def similarities(vectors: DataFrame, questions: DataFrame) -> DataFrame:
     """question_id, KEY, similarity of every row of vectors with every question."""
     score = F.round(cosine(F.col("embedding"), F.col("vector")), PLACES)
     return by_batches(questions, lambda asked: vectors.join(asked.select("question_id", "vector"), F.size("embedding") == F.size("vector")).select("question_id", *KEY, score.alias("similarity")))
-
-
-@dataclass(frozen=True)
-class LexicalIndex:
-    """What BM25 reads. rows: KEY, file_type, document, norm, n_terms; postings: file_type, KEY, n_terms, term, tf; terms:
-    file_type, term, df; stats: file_type, n_chunks, n_terms."""
-
-    rows: DataFrame
-    postings: DataFrame
-    terms: DataFrame
-    stats: DataFrame
-
-    def of(self, *file_types: str) -> LexicalIndex:
-        """The part of some file types, with statistics of its own."""
-        return LexicalIndex(*(t.where(F.col("file_type").isin(*file_types)) for t in (self.rows, self.postings, self.terms, self.stats)))
-
-
-def indexed_rows(chunks: DataFrame, text: Column | None = None) -> DataFrame:
-    """The chunks with norm, terms and n_terms. text: what is searched, by default the document."""
-    text = F.col("document") if text is None else text
-    return chunks.withColumn("norm", normalize_search(text)).withColumn("terms", tokens_of(F.col("norm"))).withColumn("n_terms", F.size("terms"))
-
-
-def tables_of(rows: DataFrame) -> list[DataFrame]:
-    """Postings, document frequencies and statistics of indexed rows."""
-    each = rows.select("file_type", *KEY, "n_terms", F.explode("terms").alias("term"))
-    postings = each.groupBy("file_type", *KEY, "n_terms", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return [postings, postings.groupBy("file_type", "term").agg(F.count(F.lit(1)).alias("df")), rows.groupBy("file_type").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n_terms").alias("n_terms"))]
-
-
-def lexical_index(chunks: DataFrame, text: Column | None = None) -> LexicalIndex:
-    """The index of chunks as plans, for a single use; write_index() for more."""
-    rows = indexed_rows(chunks, text)
-    return LexicalIndex(rows.drop("terms"), *tables_of(rows))
-
-
-def section_text() -> Column:
-    """What the corpus-wide search looks at: source, section and document."""
-    return F.concat_ws("\n", "source", F.nullif(F.coalesce("section", F.lit("")), F.lit("")), "document")
-
-
-def write_index(chunks: DataFrame, path: str, text: Column | None = None) -> None:
-    """Write rows, postings (in each file ordered by term, so that a scan for some terms skips row groups), document
-    frequencies and statistics below `path`, by file type. Texts are normalised once, and postings counted once."""
-    spark = chunks.sparkSession
-    indexed_rows(chunks, text).write.partitionBy("file_type").parquet(f"{path}/rows")
-    rows = spark.read.parquet(f"{path}/rows")
-    tables_of(rows)[0].sortWithinPartitions("term").write.partitionBy("file_type").parquet(f"{path}/postings")
-    postings = spark.read.parquet(f"{path}/postings")
-    postings.groupBy("file_type", "term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{path}/terms")
-    tables_of(rows)[2].write.parquet(f"{path}/stats")
-
-
-def read_index(spark: SparkSession, path: str) -> LexicalIndex:
-    tables = {t: spark.read.parquet(f"{path}/{t}") for t in ("rows", "postings", "terms", "stats")}
-    return LexicalIndex(tables["rows"].drop("terms"), tables["postings"], tables["terms"], tables["stats"])
-
-
-def corpus_stats(index: LexicalIndex) -> DataFrame:
-    """n_chunks, avg_terms: one row. Chunks without a term count."""
-    return index.stats.agg(F.sum("n_chunks").alias("n_chunks"), (F.sum("n_terms") / F.sum("n_chunks")).alias("avg_terms"))
-
-
-def question_terms(questions: DataFrame) -> DataFrame:
-    """question_id, terms (each once), phrase: the terms longer than two characters joined, if there are two at least."""
-    asked = questions.withColumn("asked", tokens(F.col("question")))
-    long = F.filter("asked", lambda t: F.length(t) > 2)
-    return asked.select("question_id", F.array_distinct("asked").alias("terms"), F.when(F.size(long) >= 2, F.array_join(long, " ")).alias("phrase"))
-
-
-def phrase_hits(index: LexicalIndex, asked: DataFrame) -> DataFrame:
-    """question_id, KEY of the chunks whose text holds a question's phrase, which may begin and end within words."""
-    return index.rows.join(F.broadcast(asked.where("phrase is not null").select("question_id", "phrase")), F.col("norm").contains(F.col("phrase"))).select("question_id", *KEY)
-
-
-def bm25(index: LexicalIndex, questions: DataFrame, rows: DataFrame | None = None) -> DataFrame:
-    """question_id, KEY, bm25_score over 0. Statistics are the whole index's; `rows` (question_id, KEY) restricts what is
-    scored, before anything is. A question's phrase in the text adds one, also without a matching term."""
-
-    def scores(batch: DataFrame) -> DataFrame:
-        asked = question_terms(batch)
-        terms = F.broadcast(asked.select("question_id", F.explode("terms").alias("term")))
-        found, texts = index.postings.join(terms, "term"), index
-        if rows is not None:
-            found = found.join(rows.select("question_id", *KEY).distinct(), ["question_id", *KEY], "left_semi")
-            texts = LexicalIndex(index.rows.join(rows.select(*KEY).distinct(), list(KEY), "left_semi"), index.postings, index.terms, index.stats)
-        df = index.terms.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
-        df = F.broadcast(df.crossJoin(F.broadcast(corpus_stats(index))))  # a row for each term asked for; the statistics are one row
-        idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        norm = F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / F.col("avg_terms"))
-        parts = found.join(df, "term").select("question_id", *KEY, (idf * F.col("tf") * (K1 + 1) / norm).alias("part"))
-        bonus = phrase_hits(texts, asked).withColumn("part", F.lit(1.0))
-        if rows is not None:
-            bonus = bonus.join(rows.select("question_id", *KEY).distinct(), ["question_id", *KEY], "left_semi")
-        return parts.unionByName(bonus).groupBy("question_id", *KEY).agg(F.round(F.sum("part"), PLACES).alias("bm25_score")).where("bm25_score > 0")
-
-    return by_batches(questions, scores)
-
-
-def lexical_hits(index: LexicalIndex, questions: DataFrame, top: int = 100) -> DataFrame:
-    """question_id, file_id, chunk_index, document, bm25_score, rank."""
-    best = ranked(bm25(index, questions), "bm25_score", top)
-    return best.join(index.rows.select(*KEY, "document"), list(KEY)).select("question_id", *KEY, "document", "bm25_score", "rank")

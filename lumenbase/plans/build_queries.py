@@ -8,6 +8,7 @@ from lumenbase.functions.text import numbered_id
 from lumenbase.operators import answering as A
 from lumenbase.operators import chunking as C
 from lumenbase.operators import fusion as R
+from lumenbase.operators import lexical as B
 from lumenbase.operators import reshape as U
 from lumenbase.operators import search as X
 from lumenbase.plans import search_queries as Q
@@ -105,7 +106,7 @@ def sheet_chunks(spark, sf_dir):
 @query(f"WITH {TYPED} SELECT id, file_id, file_type, retrieval_text AS document, 64 AS dims, retrieval_text <> '' AS unit FROM made")
 def vector_table(spark, sf_dir):
     """Chunks embedded by the stand-in encoder, written as the vector table and read back; text has a unit vector."""
-    path = built_once(spark, f"vectors {sf_dir}", lambda at: write_vectors(embedded(flat(C.build_chunks(typed_blocks(spark, sf_dir)))), at))
+    path = built_once(spark, "vectors", [f"{sf_dir}/documents.parquet"], lambda at: write_vectors(embedded(flat(C.build_chunks(typed_blocks(spark, sf_dir)))), at))
     rows, norm = read_vectors(spark, path), X.dot(F.col("embedding"), F.col("embedding"))
     return rows.select("id", "file_id", "file_type", "document", F.size("embedding").alias("dims"), (F.abs(norm - 1) < 1e-5).alias("unit"))
 
@@ -114,7 +115,7 @@ def vector_table(spark, sf_dir):
 def jsonl_scan(spark, sf_dir):
     """Documents written as JSON Lines and scanned again, with line breaks and quotes in them."""
     columns = ("doc_id", "source", "n_chars", "text")
-    path = built_once(spark, f"jsonl {sf_dir}", lambda at: write_jsonl(table(spark, sf_dir, "documents").select(*columns), at))
+    path = built_once(spark, "jsonl", [f"{sf_dir}/documents.parquet"], lambda at: write_jsonl(table(spark, sf_dir, "documents").select(*columns), at))
     return read_jsonl(spark, path, "doc_id long, source string, n_chars long, text string")
 
 
@@ -123,7 +124,7 @@ def retrieve(spark, sf_dir):
     vectors, index = vector_view(spark, sf_dir), Q.prose(spark, sf_dir)
 
     def run(asked):
-        semantic, lexical = kept(X.semantic_hits(vectors, asked), "semantic"), kept(X.lexical_hits(index, asked), "lexical")
+        semantic, lexical = kept(X.semantic_hits(vectors, asked), "semantic"), kept(B.lexical_hits(index, asked), "lexical")
         rows = R.document_first_evidence(vectors.where(F.col("file_type").isin(*X.PROSE)), index, asked, semantic, lexical)
         return rows.select("question_id", "rank", F.col("file_id").alias("source"), "document")
 

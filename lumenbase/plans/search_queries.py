@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lumenbase.operators import evidence as E
 from lumenbase.operators import fusion as R
+from lumenbase.operators import lexical as B
 from lumenbase.operators import search as X
 from lumenbase.plans import sql as S
 from lumenbase.plans import timetable_queries as H
@@ -43,7 +44,7 @@ def both_lists(spark, sf_dir):
     """(vectors, index, questions, semantic hits, lexical hits) of the prose chunks. The two lists, a few hundred rows a
     question, are written, for every later step reads them."""
     vectors, asked, index = vector_view(spark, sf_dir), questions(spark, sf_dir), prose(spark, sf_dir)
-    return vectors.where(F.col("file_type").isin(*X.PROSE)), index, asked, kept(X.semantic_hits(vectors, asked), "semantic"), kept(X.lexical_hits(index, asked), "lexical")
+    return vectors.where(F.col("file_type").isin(*X.PROSE)), index, asked, kept(X.semantic_hits(vectors, asked), "semantic"), kept(B.lexical_hits(index, asked), "lexical")
 
 
 @query(f"WITH {CHUNKS}, {VECTORS}, {ASKED}, {STATED}, {SEMANTIC} SELECT question_id, file_id, chunk_index, semantic_score, CAST(rank AS INTEGER) AS rank, round(1 - semantic_score, 6) AS distance FROM semantic")
@@ -58,17 +59,17 @@ def cosine_unfiltered(spark, sf_dir):
 
 @query(f"WITH {CHUNKS}, {ASKED}, {lexical('lex', PROSE)} SELECT n AS n_chunks, round(avgdl, 6) AS avg_terms FROM lex_stats")
 def bm25_index_stats(spark, sf_dir):
-    return X.corpus_stats(prose(spark, sf_dir)).select("n_chunks", F.round("avg_terms", 6).alias("avg_terms"))
+    return B.corpus_stats(prose(spark, sf_dir)).select("n_chunks", F.round("avg_terms", 6).alias("avg_terms"))
 
 
 @query(f"WITH {CHUNKS}, {ASKED}, {lexical('lex', PROSE)} SELECT question_id, file_id, chunk_index, bm25_score, CAST(rank AS INTEGER) AS rank FROM lex")
 def bm25_topk(spark, sf_dir):
-    return X.lexical_hits(prose(spark, sf_dir), questions(spark, sf_dir)).drop("document")
+    return B.lexical_hits(prose(spark, sf_dir), questions(spark, sf_dir)).drop("document")
 
 
 @query(f"WITH {CHUNKS}, {ASKED}, {lexical('lex', 'true', 30)} SELECT question_id, file_id, chunk_index, bm25_score, CAST(rank AS INTEGER) AS rank FROM lex")
 def bm25_all_types(spark, sf_dir):
-    return X.lexical_hits(stored_index(spark, sf_dir), questions(spark, sf_dir), 30).drop("document")
+    return B.lexical_hits(stored_index(spark, sf_dir), questions(spark, sf_dir), 30).drop("document")
 
 
 @query(f"WITH {CHUNKS}, {ASKED}, {lexical('lex', PROSE)} SELECT question_id, file_id, chunk_index, bm25_score FROM lex_score WHERE contains(file_id, CAST(question_id AS VARCHAR))")
@@ -77,7 +78,7 @@ def bm25_candidates_only(spark, sf_dir):
     index = prose(spark, sf_dir)
     numbers = questions(spark, sf_dir).select("question_id")
     rows = index.rows.select(*X.KEY).join(F.broadcast(numbers), F.col("file_id").contains(F.col("question_id").cast("string")))
-    return X.bm25(index, questions(spark, sf_dir), rows)
+    return B.bm25(index, questions(spark, sf_dir), rows)
 
 
 SECTIONED = "chunks AS (SELECT source AS file_id, doc_id AS chunk_index, 'pdf' AS file_type, concat_ws(chr(10), source, CASE WHEN doc_id % 3 = 0 THEN 'II. ' || lang ELSE NULL END, text) AS document FROM documents)"
@@ -88,13 +89,13 @@ def bm25_source_section(spark, sf_dir):
     """The index over source, section and document, as the corpus-wide search has it."""
     section = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("II. "), "lang"))
     rows = table(spark, sf_dir, "documents").select("source", section.alias("section"), F.col("source").alias("file_id"), F.col("doc_id").alias("chunk_index"), F.lit("pdf").alias("file_type"), F.col("text").alias("document"))
-    index = X.read_index(spark, built_once(spark, f"sectioned {sf_dir}", lambda path: X.write_index(rows, path, X.section_text())))
-    return X.lexical_hits(index, questions(spark, sf_dir)).drop("document")
+    index = B.read_index(spark, built_once(spark, "sectioned", [f"{sf_dir}/documents.parquet"], lambda path: B.write_index(rows, path, B.section_text())))
+    return B.lexical_hits(index, questions(spark, sf_dir)).drop("document")
 
 
 @query(f"WITH {CHUNKS}, {ASKED}, {lexical('lex', PROSE)} SELECT question_id, file_id, chunk_index FROM lex_index JOIN lex_q ON contains(norm, phrase)")
 def bm25_phrase_bonus(spark, sf_dir):
-    return X.phrase_hits(prose(spark, sf_dir), X.question_terms(questions(spark, sf_dir)))
+    return B.phrase_hits(prose(spark, sf_dir), B.question_terms(questions(spark, sf_dir)))
 
 
 BOTH = f"WITH {CHUNKS}, {VECTORS}, {ASKED}, {STATED}, {SEMANTIC}, {lexical('lex', PROSE)}"

@@ -5,21 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenbase.operators.search import LexicalIndex, read_index, write_index
+from lumenbase.operators.lexical import LexicalIndex, read_index, write_index
 from lumenbase.plans.registry import Rows, sql_literal
 from lumenbase.sources.shared import built_once
 
 
-#: A row group is read by one task; below this size for each core a table is dealt over all cores.
-SMALL = 32 << 20
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table as it is read; a small one whose rows cost much (texts, and lessons made from events) over all cores."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) if name in ("documents", "events") else None
-    return df.repartition(cores) if size is not None and size < SMALL * cores else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def chunk_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +43,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
     """The lexical index of all chunks, written at its first use in a session and read by every query after that."""
-    return read_index(spark, built_once(spark, f"index {sf_dir}", lambda path: write_index(chunk_view(spark, sf_dir), path)))
+    return read_index(spark, built_once(spark, "index", [f"{sf_dir}/documents.parquet"], lambda path: write_index(chunk_view(spark, sf_dir), path)))
 
 
 ASKED = QUESTIONS.sql("asked")

@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lumenbase.operators import answering, chunking, evidence, fusion, quality, reshape, search, timetable
+from lumenbase.operators import answering, chunking, evidence, fusion, lexical, quality, reshape, search, timetable
 from lumenbase.plans.timetable_queries import TURNS, turns
 from lumenbase.plans.registry import Rows
 from lumenbase.sources import office, tables
@@ -68,7 +68,7 @@ def test_streamed_history(spark, tmp_path):
 def test_bm25_and_fusion(spark):
     chunks = spark.createDataFrame([("f", 1, "pdf", "toán lý"), ("f", 2, "docx", "toán toán hóa"), ("f", 3, "pdf", "văn")], "file_id string, chunk_index long, file_type string, document string")
     asked = spark.createDataFrame([(1, "toán"), (2, "của là")], "question_id long, question string")
-    got = {r["chunk_index"]: r["bm25_score"] for r in search.lexical_hits(search.lexical_index(chunks), asked).collect()}
+    got = {r["chunk_index"]: r["bm25_score"] for r in lexical.lexical_hits(lexical.lexical_index(chunks), asked).collect()}
     assert got == {2: 0.578466, 1: 0.470004}
     ddl = "question_id long, file_id string, chunk_index long, rank int"
     semantic = spark.createDataFrame([(1, "f", i, i) for i in (1, 2, 3)], ddl)
@@ -254,19 +254,19 @@ def test_stored_index_equals_plans(spark, tmp_path):
     rows = [("f", i, "pdf" if i % 2 else "xlsx", f"toán lý {'hóa ' * (i % 5)} w{i}", f"nguồn{i % 3}", None if i % 2 else "II. Mục") for i in range(40)]
     chunks = spark.createDataFrame(rows, "file_id string, chunk_index long, file_type string, document string, source string, section string")
     asked = spark.createDataFrame([(1, "toán hóa"), (2, "nguồn1 w7"), (3, "mục")], "question_id long, question string")
-    search.write_index(chunks, str(tmp_path / "i"), search.section_text())
-    stored = search.read_index(spark, str(tmp_path / "i"))
+    lexical.write_index(chunks, str(tmp_path / "i"), lexical.section_text())
+    stored = lexical.read_index(spark, str(tmp_path / "i"))
     for kinds in ((), ("pdf",)):
-        a, b = stored, search.lexical_index(chunks, search.section_text())
+        a, b = stored, lexical.lexical_index(chunks, lexical.section_text())
         a, b = (a.of(*kinds), b.of(*kinds)) if kinds else (a, b)
-        one, two = ([tuple(r) for r in search.lexical_hits(x, asked).orderBy("question_id", "rank").collect()] for x in (a, b))
+        one, two = ([tuple(r) for r in lexical.lexical_hits(x, asked).orderBy("question_id", "rank").collect()] for x in (a, b))
         assert one == two and len(one) > 20
     some = spark.createDataFrame([(1, "f", 4), (3, "f", 4), (3, "f", 5)], "question_id long, file_id string, chunk_index long")
-    every = {(r["question_id"], r["chunk_index"]): r["bm25_score"] for r in search.bm25(stored, asked).collect()}
-    assert {(r["question_id"], r["chunk_index"]): r["bm25_score"] for r in search.bm25(stored, asked, some).collect()} == {k: v for k, v in every.items() if k in {(1, 4), (3, 4), (3, 5)}}
+    every = {(r["question_id"], r["chunk_index"]): r["bm25_score"] for r in lexical.bm25(stored, asked).collect()}
+    assert {(r["question_id"], r["chunk_index"]): r["bm25_score"] for r in lexical.bm25(stored, asked, some).collect()} == {k: v for k, v in every.items() if k in {(1, 4), (3, 4), (3, 5)}}
     assert search.by_batches(asked, lambda part: part, most=1).count() == 3
-    plan = search.bm25(stored, asked)._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan
+    plan = lexical.bm25(stored, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
 def test_approximate_hits_find_what_is_near(spark):
