@@ -90,11 +90,16 @@ def survivors(index: GramIndex, needles: DataFrame, rarest: int = RAREST) -> Dat
     return met.groupBy("question_id", *index.key).agg(F.count(F.lit(1)).alias("met"), F.first("needed").alias("needed")).where(F.col("met") >= F.col("needed")).select("question_id", *index.key)
 
 
-def holding(index: GramIndex, texts: DataFrame, text: Column, needles: DataFrame, rarest: int = RAREST) -> DataFrame:
-    """question_id, key of the texts that hold each needle. texts: the key, `part` (part_of the key, best a partition column)
-    and what `text` reads. The survivors are written, so that their parts are known before any text is read."""
+def holding(index: GramIndex, texts: DataFrame, text: Column, needles: DataFrame, rarest: int = RAREST, carry: tuple[str, ...] = ()) -> DataFrame:
+    """question_id, key and `carry` of the texts that hold each needle; an empty needle has none. texts: the key, `part`
+    (part_of the key, best a partition column), what `text` reads, and `carry`. The survivors are written, so that their parts
+    are known before any text is read; without survivors none is."""
     asked = needles.where(F.col("phrase").isNotNull() & (F.col("phrase") != "")).select("question_id", "phrase")
     left = kept(survivors(index, asked, rarest), "survivors").withColumn("part", part_of(index.key))
     parts = [r[0] for r in left.select("part").distinct().collect()]  # PARTS numbers at most
-    found = texts.where(F.col("part").isin(parts)).select("part", *index.key, text.alias("held")).join(left, ["part", *index.key])
-    return found.join(F.broadcast(asked), "question_id").where(F.col("held").contains(F.col("phrase"))).select("question_id", *index.key)
+    columns = ["question_id", *index.key, *carry]
+    if not parts:
+        kinds = {f.name: f.dataType.simpleString() for f in [*left.schema, *texts.schema]}
+        return texts.sparkSession.createDataFrame([], ", ".join(f"{c} {kinds[c]}" for c in columns))
+    found = texts.where(F.col("part").isin(parts)).select("part", *index.key, *carry, text.alias("held")).join(left, ["part", *index.key])
+    return found.join(F.broadcast(asked), "question_id").where(F.col("held").contains(F.col("phrase"))).select(columns)

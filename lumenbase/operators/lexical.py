@@ -128,6 +128,12 @@ def read_index(spark: SparkSession, path: str) -> LexicalIndex:
     return LexicalIndex(placed(rows.drop("terms"), slots), blocks, terms, stats, read_grams(spark, f"{path}/grams", KEY), stats)
 
 
+def sizes(index: LexicalIndex) -> DataFrame:
+    """file_type, chunks, terms, postings, longest: how many chunks, distinct terms and postings, and the largest frequency."""
+    by_type = index.blocks.groupBy("file_type").agg(F.count_distinct("term").alias("terms"), F.sum("n").alias("postings"), F.max(F.array_max(F.transform("entries", lambda e: e["tf"]))).cast("long").alias("longest"))
+    return index.stats.select("file_type", F.col("n_chunks").alias("chunks")).join(by_type, "file_type")
+
+
 def corpus_stats(index: LexicalIndex) -> DataFrame:
     """n_chunks, avg_terms: one row. Chunks without a term count."""
     return index.stats.agg(F.sum("n_chunks").alias("n_chunks"), (F.sum("n_terms") / F.sum("n_chunks")).alias("avg_terms"))
@@ -207,7 +213,7 @@ def pruned(index: LexicalIndex, batch: DataFrame, top: int) -> Pruned:
     reads it: its terms, and the chunks with a phrase."""
     asked = question_terms(batch)
     terms = kept(weighted_terms(index, asked), "terms")
-    bonus = kept(phrase_hits(index, asked).join(index.rows.select(*KEY, *PLACE), list(KEY)), "phrases")
+    bonus = kept(holding(index.grams, index.rows, F.col("norm"), asked, carry=PLACE), "phrases")
     heads = index.blocks.join(F.broadcast(terms), "term").select("question_id", *PLACE, (F.col("idf") * F.col("most") * F.col("stretch")).alias("most"))
     lifted = bonus.select("question_id", *PLACE).distinct().withColumn("most", F.lit(1.0))
     bounds = heads.unionByName(lifted).groupBy("question_id", *PLACE).agg(F.sum("most").alias("bound"))

@@ -8,6 +8,7 @@ from lumenbase.operators import evidence as E
 from lumenbase.operators import fusion as R
 from lumenbase.operators import lexical as B
 from lumenbase.operators import search as X
+from lumenbase.operators.grams import holding
 from lumenbase.plans import sql as S
 from lumenbase.plans import timetable_queries as H
 from lumenbase.plans.registry import query
@@ -98,6 +99,26 @@ def bm25_phrase_bonus(spark, sf_dir):
     return B.phrase_hits(prose(spark, sf_dir), B.question_terms(questions(spark, sf_dir)))
 
 
+@query(f"""WITH {CHUNKS}, n AS (SELECT file_type, file_id, chunk_index, {S.terms(S.search('document'))} AS terms FROM chunks),
+    p AS (SELECT file_type, file_id, chunk_index, term, count(*) AS tf FROM (SELECT file_type, file_id, chunk_index, unnest(terms) AS term FROM n) GROUP BY ALL)
+    SELECT file_type, (SELECT count(*) FROM n AS m WHERE m.file_type = p.file_type) AS chunks, count(DISTINCT term) AS terms, count(*) AS postings, max(tf) AS longest FROM p GROUP BY file_type""")
+def lexical_index(spark, sf_dir):
+    """What the stored index holds; the first query of a session that asks for the index builds it."""
+    return B.sizes(stored_index(spark, sf_dir))
+
+
+NEEDLES = "needles AS (SELECT item_id AS question_id, substring(text, 3, 11) AS phrase FROM benchmark)"
+
+
+@query(f"WITH {CHUNKS}, {NEEDLES}, i AS (SELECT *, {S.search('document')} AS norm FROM chunks) SELECT question_id, count(*) AS n, min(chunk_index) AS first_chunk FROM i JOIN needles ON contains(norm, phrase) GROUP BY question_id")
+def substring_search(spark, sf_dir):
+    """A piece of each benchmark passage, cut through words, sought in the normalised text of every chunk."""
+    index = stored_index(spark, sf_dir)
+    needles = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.substring("text", 3, 11).alias("phrase"))
+    found = X.by_batches(needles, lambda batch: holding(index.grams, index.rows, F.col("norm"), batch))
+    return found.groupBy("question_id").agg(F.count(F.lit(1)).alias("n"), F.min("chunk_index").alias("first_chunk"))
+
+
 BOTH = f"WITH {CHUNKS}, {VECTORS}, {ASKED}, {STATED}, {SEMANTIC}, {lexical('lex', PROSE)}"
 
 
