@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenbase.functions.text import clean_text, is_heading, numbered_id, retrieval_text
+from lumenbase.sources.shared import kept
 
 MAX_CHARS, MAX_TABLE_CHARS = 1400, 5000
 FIRST_SECTION = "Phần mở đầu"
@@ -63,34 +63,59 @@ def paged_chunks(blocks: DataFrame) -> DataFrame:
     return clean.select("file_id", "block_index", F.posexplode(block_parts(F.col("block_type"), F.col("clean"))).alias("part", "text"))
 
 
+def last_fitting(rows: DataFrame, by: list[str], reach: Column, end: Column) -> DataFrame:
+    """by, place, fitting: the greatest place of the same group whose `end` is at most the row's `reach`; null if there is none.
+    A range search as one sort: ends and reaches are put in one order, and each reach takes the last end before it."""
+    ends = rows.select(*by, F.col("place").alias("at"), F.lit(None).cast("long").alias("place"), end.alias("value"), F.lit(0).alias("asks"))
+    asks = rows.select(*by, F.lit(None).cast("long").alias("at"), F.col("place").cast("long").alias("place"), reach.alias("value"), F.lit(1).alias("asks"))
+    before = Window.partitionBy(*by).orderBy("value", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    return ends.withColumn("at", F.col("at").cast("long")).unionByName(asks).withColumn("fitting", F.max("at").over(before)).where("asks = 1").select(*by, "place", "fitting")
+
+
+def greedy_starts(rows: DataFrame, by: list[str], most: int) -> DataFrame:
+    """by, place: where each part of a greedy packing begins, group by group; the place behind a group's last row, where no part
+    begins any more, may be among them. rows: by, place, size (one more than the row's
+    characters), upto (sum of the sizes up to it).
+
+    From each row follows where the next part would begin if one began there. The starts are the rows reached from a group's
+    first one; they are found by pointer doubling, for which a group of n parts needs log2(n) joins and no task holds a
+    group."""
+    before = F.col("upto") - F.col("size")
+    fitting = last_fitting(rows, by, before + most + 1, F.col("upto"))
+    jumps = kept(fitting.select(*by, "place", (F.greatest(F.coalesce("fitting", F.lit(0)), F.col("place")) + 1).alias("to")), "jumps")
+    sizes = rows.groupBy(*by).agg(F.min("place").cast("long").alias("place"), F.sum("size").alias("size"))
+    starts, longest = sizes.select(*by, "place"), sizes.agg(F.max("size")).first()[0] or 0
+    reached, parts = 1, 2 * longest // most + 2  # two parts that follow each other are longer than one may be
+    while reached < parts:
+        further = starts.join(jumps, [*by, "place"]).select(*by, F.col("to").alias("place"))
+        starts, reached = kept(starts.unionByName(further), "starts"), 2 * reached
+        if reached < parts:
+            jumps = kept(jumps.join(jumps.select(*by, F.col("place").alias("to"), F.col("to").alias("beyond")), [*by, "to"]).select(*by, "place", F.col("beyond").alias("to")), "jumps")
+    return starts
+
+
 def flowing_chunks(blocks: DataFrame, most: int = MAX_CHARS) -> DataFrame:
     """file_id, n, block_indexes, block_types, text of flowing documents. blocks: file_id, block_index, block_type, section,
     text.
 
     A table stands alone; a heading and a change of section begin a chunk, and so does a part that would not fit. What fits
-    depends on all before it in the file, so each file is folded in order, by one Python call for a batch of files."""
+    depends on all before it up to the last such break. Stretches between breaks that are short enough are a chunk; the
+    starts within longer ones are found by greedy_starts()."""
     clean = blocks.withColumn("clean", clean_text(F.col("text"))).withColumn("kind", F.when(F.col("block_type") == "table", "table").when(is_heading(F.col("clean")), "heading").otherwise("text"))
     parts = F.when(F.col("kind") == "heading", F.array("clean")).otherwise(block_parts(F.col("block_type"), F.col("clean")))
     parts = clean.select("file_id", "block_index", "block_type", "section", "kind", F.posexplode(parts).alias("part", "text"))
-
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out, texts, indexes, types, section, size = [], [], [], set(), None, 0
-        ordered = rows.sort_values(["block_index", "part"])
-        for r in ordered.itertuples():
-            alone = r.kind == "table"
-            if texts and (alone or types == {"table"} or r.kind == "heading" or section != r.section or size + 1 + len(r.text) > most):
-                out.append((key[0], len(out), indexes, sorted(types), "\n".join(texts)))
-                texts, indexes, types, size = [], [], set(), 0
-            section = r.section if not texts else section
-            size += len(r.text) + (1 if texts else 0)
-            texts.append(r.text)
-            indexes.append(r.block_index)
-            types.add(r.block_type)
-        if texts:
-            out.append((key[0], len(out), indexes, sorted(types), "\n".join(texts)))
-        return pd.DataFrame(out, columns=["file_id", "n", "block_indexes", "block_types", "text"])
-
-    return parts.groupBy("file_id").applyInPandas(fold, "file_id string, n int, block_indexes array<int>, block_types array<string>, text string")
+    order = Window.partitionBy("file_id").orderBy("block_index", "part")
+    sofar, whole = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("file_id", "stretch")
+    last = F.lag("kind").over(order)
+    breaks = last.isNull() | (last == "table") | F.col("kind").isin("table", "heading") | ~F.lag("section").over(order).eqNullSafe(F.col("section"))
+    rows = parts.withColumn("place", F.row_number().over(order)).withColumn("break", breaks).withColumn("size", F.length("text") + 1)
+    rows = rows.withColumn("stretch", F.sum(F.col("break").cast("int")).over(sofar)).withColumn("upto", F.sum("size").over(sofar))
+    rows = kept(rows.withColumn("long", F.sum("size").over(whole) - 1 > most).drop("kind", "section", "part"), "parts")
+    starts = greedy_starts(rows.where("long"), ["file_id", "stretch"], most).select("file_id", "stretch", F.col("place").cast("int").alias("place"), F.lit(True).alias("starts"))
+    begun = rows.join(starts, ["file_id", "stretch", "place"], "left").withColumn("begins", F.col("break") | F.coalesce("starts", F.lit(False)))
+    numbered = begun.withColumn("n", (F.sum(F.col("begins").cast("int")).over(Window.partitionBy("file_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int"))
+    held = numbered.groupBy("file_id", "n").agg(F.array_sort(F.collect_list(F.struct("place", "block_index", "text"))).alias("held"), F.sort_array(F.collect_set("block_type")).alias("block_types"))
+    return held.select("file_id", "n", F.col("held.block_index").alias("block_indexes"), "block_types", F.array_join("held.text", "\n").alias("text"))
 
 
 def whole_blocks(blocks: DataFrame) -> DataFrame:
