@@ -24,6 +24,7 @@ from lumenbase.functions.text import (
     sheet_session,
     sheet_session_display,
 )
+from lumenbase.operators.intervals import points_in_ranges
 
 SHEET = ["source", "sheet"]
 HEADER_WORDS = ("Thứ", "Buổi", "Tiết")
@@ -66,9 +67,8 @@ def processed_ranges(cells: DataFrame, merged: DataFrame, headers: DataFrame, cl
     text = clean_cell(F.col("value"))
     anchors = cells.select(*SHEET, F.col("row").alias("min_row"), F.col("col").alias("min_col"), text.alias("value")).where("value <> ''")
     below = merged.join(headers, SHEET).where(F.col("max_row") > F.col("header_row")).join(anchors, [*SHEET, "min_row", "min_col"])
-    covered = F.col("c.col").between(F.col("m.min_col"), F.col("m.max_col"))
-    joined = below.alias("m").join(classes.alias("c"), (F.col("m.source") == F.col("c.source")) & (F.col("m.sheet") == F.col("c.sheet")) & covered)
-    return joined.groupBy(*[F.col(f"m.{c}") for c in (*SHEET, "min_row", "min_col", "max_row", "max_col", "header_row", "value")]).agg(F.count(F.lit(1)).alias("n_classes"))
+    joined = points_in_ranges(classes.select(*SHEET, "col"), below, SHEET, "col", "min_col", "max_col")
+    return joined.groupBy(*SHEET, "min_row", "min_col", "max_row", "max_col", "header_row", "value").agg(F.count(F.lit(1)).alias("n_classes"))
 
 
 def number(c: str):
@@ -78,22 +78,21 @@ def number(c: str):
 def merged_lessons(ranges: DataFrame, context: DataFrame, classes: DataFrame) -> DataFrame:
     """Every class and every numbered period inside a range gets its whole text. Day and session come from the range's top
     row, else from its first row that has them."""
-    inside = [F.col("r.source") == F.col("x.source"), F.col("r.sheet") == F.col("x.sheet"), F.col("x.row").between(F.col("r.min_row"), F.col("r.max_row"))]
-    rows = ranges.alias("r").join(context.alias("x"), inside).select("r.*", F.col("x.row").alias("row"), "x.day", "x.session", number("period_text").alias("period"))
+    rows = points_in_ranges(context.select(*SHEET, "row", "day", "session", number("period_text").alias("period")), ranges, SHEET, "row", "min_row", "max_row")
     each = Window.partitionBy(*SHEET, "min_row", "min_col")
     named = F.col("day").isNotNull() & F.col("session").isNotNull()
     first = F.min_by(F.struct("day", "session"), F.when(named, F.col("row"))).over(each)
     rows = rows.withColumn("at", first).where("period is not null and at is not null")
-    pairs = rows.alias("r").join(classes.alias("c"), (F.col("r.source") == F.col("c.source")) & (F.col("r.sheet") == F.col("c.sheet")) & F.col("c.col").between(F.col("r.min_col"), F.col("r.max_col")))
+    pairs = points_in_ranges(classes.select(*SHEET, "col", "class_name"), rows, SHEET, "col", "min_col", "max_col")
     kind = F.when(F.col("n_classes") == 1, F.lit("merged_single_class")).otherwise(F.lit("merged_group"))
-    return pairs.select("r.source", "r.sheet", "c.class_name", F.col("r.at.day").alias("day"), F.col("r.at.session").alias("session"), "r.period", "r.value", kind.alias("source_type"), F.struct(F.lit(0), "r.min_row", "r.min_col", "c.col", "r.row").alias("pos"))
+    return pairs.select("source", "sheet", "class_name", F.col("at.day").alias("day"), F.col("at.session").alias("session"), "period", "value", kind.alias("source_type"), F.struct(F.lit(0), "min_row", "min_col", "col", "row").alias("pos"))
 
 
 def cell_lessons(cells: DataFrame, ranges: DataFrame, context: DataFrame, classes: DataFrame) -> DataFrame:
     """Filled class cells with day, session and numbered period that lie in no processed range."""
     filled = cells.withColumn("value", clean_cell(F.col("value"))).where("value <> ''").join(classes, [*SHEET, "col"])
-    inside = [F.col("f.source") == F.col("r.source"), F.col("f.sheet") == F.col("r.sheet"), F.col("f.row").between(F.col("r.min_row"), F.col("r.max_row")), F.col("f.col").between(F.col("r.min_col"), F.col("r.max_col"))]
-    free = filled.alias("f").join(ranges.alias("r"), inside, "left_anti")
+    within = F.col("p.col").between(F.col("r.min_col"), F.col("r.max_col"))
+    free = points_in_ranges(filled, ranges, SHEET, "row", "min_row", "max_row", "left_anti", within)
     placed = free.join(context, [*SHEET, "row"]).withColumn("period", number("period_text")).where("day is not null and session is not null and period is not null")
     return placed.select(*SHEET, "class_name", "day", "session", "period", "value", F.lit("cell").alias("source_type"), F.struct(F.lit(1), F.col("row").alias("min_row"), F.lit(0).alias("min_col"), F.col("col"), F.col("row")).alias("pos"))
 

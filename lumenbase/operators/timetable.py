@@ -19,6 +19,7 @@ from lumenbase.functions.text import (
     names_grade,
     period_lines,
 )
+from lumenbase.operators.intervals import positions
 from lumenbase.operators.search import KEY, STRUCTURED, by_batches
 
 DEDUPE = ["source", "sheet", "class_name", "day", "session", "period", "value"]
@@ -30,6 +31,11 @@ def lesson_order() -> list[Column]:
     return [F.col("day").cast("int"), F.when(F.col("session") == "S", 0).otherwise(1), F.col("period"), F.col("class_name"), F.col("pos")]
 
 
+def load_order(lessons: DataFrame) -> DataFrame:
+    """With `position`: where a lesson stands in the order in which a timetable is loaded, class first."""
+    return positions(lessons, "class_name", F.col("day").cast("int"), F.when(F.col("session") == "S", 0).otherwise(1), "period", "source", "pos")
+
+
 def deduped(lessons: DataFrame, *by: str) -> DataFrame:
     """The first, by pos, of lessons that agree in DEDUPE (and `by`)."""
     first = Window.partitionBy(*by, *DEDUPE).orderBy("pos")

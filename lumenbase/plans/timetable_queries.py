@@ -70,6 +70,11 @@ def missing_sessions(spark, sf_dir):
     return L.missing_sessions(found(spark, sf_dir), parsed(spark))
 
 
+@query(f"WITH {LESSONS} SELECT pos, row_number() OVER (ORDER BY class_name, CAST(day AS INTEGER), session <> 'S', period, source, pos) AS position FROM lessons")
+def lesson_load_order(spark, sf_dir):
+    return L.load_order(lesson_view(spark, sf_dir)).select("pos", "position")
+
+
 @query(f"WITH {LESSONS} SELECT pos, {DAY} AS day_name, {SESSION} AS session_name, value AS subject FROM lessons")
 def lesson_display(spark, sf_dir):
     rows = lesson_view(spark, sf_dir).withColumn("sheet", F.col("pos").cast("string"))
