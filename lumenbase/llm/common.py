@@ -142,14 +142,18 @@ def is_scan(df: DataFrame) -> bool:
     return True
 
 
+def input_bytes(df: DataFrame) -> int:
+    """The estimated size of the files that df reads."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    read = [leaves.apply(k) for k in range(leaves.length())]
+    return sum(int(str(x.stats().sizeInBytes())) for x in read if x.nodeName().split()[0] in ("LogicalRelation", "Relation"))
+
+
 def partitions_for(df: DataFrame, each: int = 128 << 20) -> int:
-    """How many partitions a shuffle of df should have: spark.sql.shuffle.partitions, or more where df is a scan of files and
-    its estimated size asks for it, so that tasks stay alike as tables grow."""
+    """How many partitions a shuffle of df should have: spark.sql.shuffle.partitions, or more where the size of the files that
+    df reads, in whatever plan, asks for it, so that tasks stay alike as tables grow."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if not is_scan(df):
-        return least
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(least, min(-(-size // each), 200_000))
+    return max(least, min(-(-input_bytes(df) // each), 200_000))
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -158,13 +162,22 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
 
 
+def each_id_once(rows: DataFrame, id_name: str, value_name: str) -> DataFrame:
+    """Of repeated ids the smallest non-null value. A scan of the ids tells which are repeated; only their rows are grouped,
+    all others stay in their partitions (unless more ids are repeated than can be broadcast)."""
+    repeated = rows.groupBy(id_name).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(id_name)
+    if repeated.isEmpty():
+        return rows
+    ids = lasting(repeated, "repeated-ids")
+    grouped = rows.join(ids, id_name, "left_semi").groupBy(id_name).agg(F.min(value_name).alias(value_name))
+    return rows.join(ids, id_name, "left_anti").unionByName(grouped)
+
+
 def keyed(df: DataFrame, id_col: str, value_col: str | Column, id_name: str = "doc_id", value_name: str = "text") -> DataFrame:
-    """(id, value) with one row per non-null id. Rows whose id is null have no identity and are left out; of repeated ids
-    the smallest non-null value counts. Values are moved only if an id does repeat, which a scan of the ids tells."""
+    """(id, value) with one row per non-null id (see each_id_once). Rows whose id is null have no identity and are left out."""
     bound_batches(df.sparkSession)
-    base = df.select(F.col(id_col).cast("long").alias(id_name), (F.col(value_col) if isinstance(value_col, str) else value_col).alias(value_name)).where(F.col(id_name).isNotNull())
-    repeated = base.groupBy(id_name).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
-    return base.groupBy(id_name).agg(F.min(value_name).alias(value_name)) if repeated else base
+    value = F.col(value_col) if isinstance(value_col, str) else value_col
+    return each_id_once(df.select(F.col(id_col).cast("long").alias(id_name), value.alias(value_name)).where(F.col(id_name).isNotNull()), id_name, value_name)
 
 
 def utf8(df: DataFrame, value_name: str = "text") -> DataFrame:

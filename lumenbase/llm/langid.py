@@ -191,11 +191,14 @@ def fold(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
 
 
-def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, **options) -> LanguageModel:
-    """Train on at most `per_language` labelled rows of each language outside fold 0, chosen by a hash of the id (a bounded
-    sample; per_language is its bound). Only ids and labels are ranked; texts are read for the chosen rows alone."""
+def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, languages: int = 256, **options) -> LanguageModel:
+    """Train on at most `per_language` labelled rows of each of the `languages` most frequent labels outside fold 0, chosen by a
+    hash of the id (a bounded sample; the two parameters are its bound). Only ids and labels are ranked; texts are read for the
+    chosen rows alone."""
     names = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     labelled = names.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 0))
+    frequent = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
+    labelled = labelled.join(F.broadcast(frequent), "lang", "left_semi")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = labelled.select("doc_id", "lang").withColumn("r", rank).where(F.col("r") <= per_language).select("doc_id")
     rows = labelled.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select("doc_id", "text", "lang").collect()

@@ -8,11 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenbase.llm.common import release as release_tables
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the tables that results of these queries read; how many."""
+    return release_tables(spark)
+
+
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenbase.llm.html import extract_pages
 

@@ -13,15 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenbase.llm.common import bound_batches
+from lumenbase.llm.common import bound_batches, each_id_once
 
 
 def vectors_of(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, embedding), one row per non-null id; of repeated ids the smallest non-null vector counts."""
     bound_batches(df.sparkSession)
     base = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding")).where(F.col("vec_id").isNotNull())
-    repeated = base.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
-    return base.groupBy("vec_id").agg(F.min("embedding").alias("embedding")) if repeated else base
+    return each_id_once(base, "vec_id", "embedding")
 
 
 def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

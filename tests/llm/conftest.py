@@ -11,3 +11,12 @@ def docs(spark):
         return spark.createDataFrame([(r[0], r[1], r[2] if len(r) > 2 else "en", "src0", len(r[1] or "")) for r in rows], TEXTS)
 
     return make
+
+
+@pytest.fixture(autouse=True)
+def stored_tables(request):
+    yield
+    if "spark" in request.fixturenames:
+        from lumenbase.llm.common import release
+
+        release(request.getfixturevalue("spark"))
