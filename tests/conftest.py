@@ -24,3 +24,13 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(autouse=True)
+def kept_tables(request):
+    """What a test's results kept in the shared folder goes with the test."""
+    yield
+    if "spark" in request.fixturenames:
+        from lumenbase.sources.shared import release
+
+        release(request.getfixturevalue("spark"))
