@@ -11,7 +11,7 @@ from lumenbase.operators import reshape as U
 from lumenbase.operators import timetable as L
 from lumenbase.plans import sql as S
 from lumenbase.plans.registry import Rows, query
-from lumenbase.plans.views import CELLS, LESSONS, PERIOD_CHUNKS, PREDICATES, SCHOOL, SESSION_CHUNKS, cell_view, lesson_view, merged_view, period_chunks, session_chunks
+from lumenbase.plans.views import CELLS, LESSONS, PERIOD_CHUNKS, PREDICATES, SCHOOL, SESSION_CHUNKS, cell_view, lesson_view, merged_view, period_chunks, session_chunks, table
 from lumenbase.streaming.sessions import fold_sessions
 
 P = PREDICATES.sql("p")
@@ -212,12 +212,76 @@ TURNS = Rows("session_id string, pos int, question string", [("a", 1, "Thứ 2 b
 
 
 def turns(spark):
-    rows = L.parsed_questions(TURNS.frame(spark))
-    n, q = normalize_question(F.col("question")), F.col("q")
-    said = {"class_name": q["class_name"].isNotNull(), "grade": q["grade"].isNotNull()} | {f: has(q[f]) for f in ("days", "sessions", "periods")}
-    return rows.select("session_id", "pos", (n == "/reset").alias("is_reset"), follow_up(n, said).alias("follows"), n.rlike(TIMETABLE_WORD).alias("timetable_word"), *[q[f].alias(f) for f in ("class_name", "grade", "days", "sessions", "periods")])
+    return read_turns(TURNS.frame(spark))
 
 
-@query()
+def read_turns(rows):
+    """Turns with what their questions say, as fold_sessions takes them. rows: session_id, pos, question."""
+    n, q = normalize_question(F.col("question")), F.col("q")
+    said = {"class_name": q["class_name"].isNotNull(), "grade": q["grade"].isNotNull()} | {f: has(q[f]) for f in ("days", "sessions", "periods")}
+    return L.parsed_questions(rows).select("session_id", "pos", (n == "/reset").alias("is_reset"), follow_up(n, said).alias("follows"), n.rlike(TIMETABLE_WORD).alias("timetable_word"), *[q[f].alias(f) for f in ("class_name", "grade", "days", "sessions", "periods")])
+
+
+#: A turn's question, and what it says: reset, goes on, names the timetable, class, grade, days, sessions, periods.
+TURN_FORMS = [
+    ("Thứ {d} buổi sáng lớp {c} có những môn nào?", "false, false, false, c, NULL, [d], ['S'], []"),
+    ("còn tiết {p} thì sao", "false, true, false, NULL, NULL, [], [], [p]"),
+    ("còn buổi chiều?", "false, true, false, NULL, NULL, [], ['C'], []"),
+    ("thế còn thứ {d} thì sao", "false, false, false, NULL, NULL, [d], [], []"),
+    ("tiết {p}", "false, true, false, NULL, NULL, [], [], [p]"),
+    ("tkb lớp {c}", "false, false, true, c, NULL, [], [], []"),
+    ("/reset", "true, false, false, NULL, NULL, [], [], []"),
+    ("tkb khối {g} thứ {d}", "false, false, true, NULL, g, [d], [], []"),
+    ("lớp {c} thứ {d} tiết {p} buổi chiều", "false, false, false, c, NULL, [d], ['C'], [p]"),
+    ("TKB lớp {c} thứ hai đến thứ tư", "false, false, true, c, NULL, ['2', '3', '4'], [], []"),
+]
+TURN_VALUES = """SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(turn AS INTEGER) AS pos, CAST((conv_id * 3 + turn * 7 + turn * turn) % 10 AS INTEGER) AS form, CAST(2 + (conv_id + turn) % 6 AS VARCHAR) AS d, CAST(6 + conv_id % 7 AS VARCHAR) AS g,
+        CAST(1 + (conv_id + turn) % 5 AS INTEGER) AS p, (6 + conv_id % 7) || 'A' || (1 + (conv_id // 7 + turn // 4) % 4) AS c FROM conversations"""
+SAID_FIELDS = "is_reset, follows, timetable_word, class_name, grade, days, sessions, periods"
+TOLD = " UNION ALL ".join(f"SELECT t.session_id, t.pos, s.* FROM t, LATERAL (SELECT {values}) AS s({SAID_FIELDS}) WHERE form = {k}" for k, (_, values) in enumerate(TURN_FORMS))
+
+#: Turn after turn of every session at once. What a follow-up asks for is joined with the slots that fit, and whether there are
+#: any decides which context the next turn finds.
+SESSIONS = f"""RECURSIVE t AS ({TURN_VALUES}), told AS ({TOLD}), {LESSONS}, slots AS (SELECT DISTINCT class_name AS sc, grade AS sg, day AS sd, session AS ss, period AS sp FROM lessons),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY pos) AS n FROM told),
+    state AS (
+        SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS INTEGER) AS pos, false AS ok, CAST(0 AS BIGINT) AS n_rows, CAST(NULL AS VARCHAR) AS class_name, CAST(NULL AS VARCHAR) AS grade,
+               CAST(NULL AS VARCHAR) AS day, CAST(NULL AS VARCHAR) AS session, CAST(NULL AS INTEGER) AS period FROM numbered
+        UNION ALL
+        SELECT session_id, n, pos, hits > 0, hits,
+               CASE WHEN is_reset THEN NULL WHEN hits > 0 THEN coalesce(ac, class_name) ELSE class_name END, CASE WHEN is_reset THEN NULL WHEN hits > 0 THEN coalesce(ag, grade) ELSE grade END,
+               CASE WHEN is_reset THEN NULL WHEN hits > 0 AND len(ad) = 1 THEN ad[1] WHEN hits > 0 AND len(ad) > 1 THEN NULL ELSE day END,
+               CASE WHEN is_reset THEN NULL WHEN hits > 0 AND len(ase) = 1 THEN ase[1] WHEN hits > 0 AND len(ase) > 1 THEN NULL ELSE session END,
+               CASE WHEN is_reset THEN NULL WHEN hits > 0 AND len(ap) = 1 THEN ap[1] WHEN hits > 0 AND len(ap) > 1 THEN NULL ELSE period END
+        FROM (
+            SELECT session_id, n, pos, is_reset, class_name, grade, day, session, period, ac, ag, ad, ase, ap, CASE WHEN able THEN found ELSE 0 END AS hits
+            FROM (SELECT asked.*, NOT is_reset AND (tword OR len(ad) > 1 OR len(ase) > 1 OR len(ap) > 1 OR (ac IS NOT NULL AND len(ap) = 0 AND (len(ad) > 0) = (len(ase) > 0))
+                         OR (ac IS NOT NULL AND len(ad) > 0 AND len(ase) > 0 AND len(ap) > 0)) AS able, count(sc) AS found
+            FROM (
+                SELECT b.session_id, m.n, m.pos, m.is_reset, m.timetable_word AS tword, b.class_name, b.grade, b.day, b.session, b.period,
+                       CASE WHEN m.follows THEN coalesce(m.class_name, b.class_name) ELSE m.class_name END AS ac, CASE WHEN m.follows THEN coalesce(m.grade, b.grade) ELSE m.grade END AS ag,
+                       CASE WHEN len(m.days) = 0 AND m.follows AND b.day IS NOT NULL THEN [b.day] ELSE m.days END AS ad,
+                       CASE WHEN len(m.sessions) = 0 AND m.follows AND b.session IS NOT NULL THEN [b.session] ELSE m.sessions END AS ase, m.periods AS ap
+                FROM state AS b JOIN numbered AS m ON m.session_id = b.session_id AND m.n = b.n + 1
+            ) AS asked LEFT JOIN slots ON (CASE WHEN ac IS NOT NULL THEN sc = ac WHEN ag IS NOT NULL THEN sg = ag ELSE false END)
+                 AND (len(ad) = 0 OR list_contains(ad, sd)) AND (len(ase) = 0 OR list_contains(ase, ss)) AND (len(ap) = 0 OR list_contains(ap, sp))
+            GROUP BY ALL)
+        )
+    )"""
+
+
+def turn_view(spark, sf_dir):
+    """A question for each message of each conversation: one of ten forms, filled in from the ids."""
+    conv, turn = F.col("conv_id"), F.col("turn")
+    grade = (6 + conv % 7).cast("string")
+    name = F.concat(grade, F.lit("A"), (1 + (F.floor(conv / 7) + F.floor(turn / 4)) % 4).cast("string"))
+    filled = {"d": (2 + (conv + turn) % 6).cast("string"), "g": grade, "p": (1 + (conv + turn) % 5).cast("string"), "c": name}
+    question = F.element_at(F.array(*[F.lit(text) for text, _ in TURN_FORMS]), ((conv * 3 + turn * 7 + turn * turn) % 10 + 1).cast("int"))
+    for k, value in filled.items():
+        question = F.replace(question, F.lit("{" + k + "}"), value)
+    return table(spark, sf_dir, "conversations").select(conv.cast("string").alias("session_id"), turn.cast("int").alias("pos"), question.alias("question"))
+
+
+@query(f"WITH {SESSIONS} SELECT session_id, pos, ok, CAST(n_rows AS INTEGER) AS n_rows, class_name, grade, day, session, period FROM state WHERE n > 0")
 def session_context(spark, sf_dir):
-    return fold_sessions(turns(spark), U.lessons_of(cell_view(spark, sf_dir), merged_view(spark, sf_dir)))
+    return fold_sessions(read_turns(turn_view(spark, sf_dir)), lesson_view(spark, sf_dir))
