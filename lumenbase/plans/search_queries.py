@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from lumenbase.operators import evidence as E
 from lumenbase.operators import fusion as R
 from lumenbase.operators import lexical as B
+from lumenbase.operators import proximity as G
 from lumenbase.operators import search as X
 from lumenbase.operators.grams import holding
 from lumenbase.plans import sql as S
 from lumenbase.plans import timetable_queries as H
 from lumenbase.plans.registry import query
-from lumenbase.plans.views import ASKED, CHUNKS, VECTORS, chunk_view, questions, stored_index, table, vector_view
+from lumenbase.plans.views import ASKED, CHUNKS, VECTORS, chunk_view, questions, stored_graph, stored_index, table, vector_view
 from lumenbase.sources.shared import built_once, kept
 
 PROSE = "file_type IN ('pdf', 'docx')"
@@ -58,6 +59,12 @@ def cosine_unfiltered(spark, sf_dir):
     return X.semantic_hits(vector_view(spark, sf_dir), questions(spark, sf_dir), 30, None).drop("document", "distance")
 
 
+@query()
+def graph_neighbours(spark, sf_dir):
+    """The ten nearest vectors of each question's, found in the stored graph; tests compare them with all exact scores."""
+    return G.nearest(G.met_rows(stored_graph(spark, sf_dir), questions(spark, sf_dir)))
+
+
 @query(f"WITH {CHUNKS}, {ASKED}, {lexical('lex', PROSE)} SELECT n AS n_chunks, round(avgdl, 6) AS avg_terms FROM lex_stats")
 def bm25_index_stats(spark, sf_dir):
     return B.corpus_stats(prose(spark, sf_dir)).select("n_chunks", F.round("avg_terms", 6).alias("avg_terms"))
@@ -107,6 +114,17 @@ def lexical_index(spark, sf_dir):
     return B.sizes(stored_index(spark, sf_dir))
 
 
+MANY = "asked AS (SELECT item_id AS question_id, array_to_string(string_split(text, ' ')[2:7], ' ') AS question FROM benchmark)"
+
+
+@query(f"WITH {CHUNKS}, {MANY}, {lexical('lex', 'true', 10)} SELECT question_id, file_id, chunk_index, bm25_score, CAST(rank AS INTEGER) AS rank FROM lex")
+def bm25_benchmark(spark, sf_dir):
+    """A question from each benchmark passage, six of its words, over the chunks of all types."""
+    words = F.slice(F.split("text", " "), 2, 6)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.array_join(words, " ").alias("question"))
+    return B.lexical_hits(stored_index(spark, sf_dir), asked, 10)
+
+
 NEEDLES = "needles AS (SELECT item_id AS question_id, substring(text, 3, 11) AS phrase FROM benchmark)"
 
 

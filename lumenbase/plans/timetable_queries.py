@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenbase.functions.question import TIMETABLE_WORD, follow_up, has
+from lumenbase.functions.question import TIMETABLE_WORD, follow_up, has, routed_of
 from lumenbase.functions.text import normalize_question
 from lumenbase.operators import chunking as C
 from lumenbase.operators import reshape as U
@@ -285,3 +285,10 @@ def turn_view(spark, sf_dir):
 @query(f"WITH {SESSIONS} SELECT session_id, pos, ok, CAST(n_rows AS INTEGER) AS n_rows, class_name, grade, day, session, period FROM state WHERE n > 0")
 def session_context(spark, sf_dir):
     return fold_sessions(read_turns(turn_view(spark, sf_dir)), lesson_view(spark, sf_dir))
+
+
+@query(f"WITH t AS ({TURN_VALUES}) SELECT session_id, pos, form NOT IN (3, 6) AS timetable, form NOT IN (3, 6) OR form = 3 AND pos > 0 AS with_context FROM t")
+def route_turns(spark, sf_dir):
+    """Which turns the timetable answers; a mere word for going on is enough after the first turn."""
+    rows, n = turn_view(spark, sf_dir), normalize_question(F.col("question"))
+    return rows.select("session_id", "pos", routed_of(n).alias("timetable"), routed_of(n, F.col("pos") > 0).alias("with_context"))

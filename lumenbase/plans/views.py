@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenbase.operators.lexical import LexicalIndex, read_index, write_index
+from lumenbase.operators.proximity import ProximityGraph, read_graph, write_graph
 from lumenbase.plans.registry import Rows, sql_literal
 from lumenbase.sources.shared import built_once
 
@@ -46,6 +47,12 @@ def stored_index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
     return read_index(spark, built_once(spark, "index", [f"{sf_dir}/documents.parquet"], lambda path: write_index(chunk_view(spark, sf_dir), path)))
 
 
+def stored_graph(spark: SparkSession, sf_dir: str) -> ProximityGraph:
+    """The proximity graph of all vectors, written at its first use in a session."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return read_graph(spark, built_once(spark, "graph", [f"{sf_dir}/embeddings.parquet"], lambda path: write_graph(rows, path)))
+
+
 ASKED = QUESTIONS.sql("asked")
 
 
