@@ -12,7 +12,11 @@ from lumenbase.sources.shared import built_once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table as it is read. A row group is read by one task: where the texts (or the events that lessons are made of) come in
+    fewer splits than there are cores, they are dealt over all cores; a table of a cluster's size has more splits than that."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in ("documents", "events") and df.rdd.getNumPartitions() < cores else df
 
 
 def chunk_view(spark: SparkSession, sf_dir: str) -> DataFrame:
