@@ -94,8 +94,8 @@ def counted_rows(rows: DataFrame) -> DataFrame:
 
 
 def lexical_index(chunks: DataFrame, text: Column | None = None) -> LexicalIndex:
-    """The index of chunks as plans, for a single use; write_index() for more."""
-    rows = indexed_rows(chunks, text).withColumn("part", part_of(KEY))
+    """The index of chunks as plans over the rows, which are normalised and written once; write_index() for more uses."""
+    rows = kept(indexed_rows(chunks, text).withColumn("part", part_of(KEY)), "rows")
     rows = placed(rows, slots_of(rows))
     blocks, postings = blocks_of(rows), gram_rows(rows, KEY, F.col("norm"))
     stats = counted_rows(rows)

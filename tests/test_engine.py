@@ -72,8 +72,8 @@ def test_bm25_and_fusion(spark):
     assert got == {2: 0.578466, 1: 0.470004}
     ddl = "question_id long, file_id string, chunk_index long, rank int"
     semantic = spark.createDataFrame([(1, "f", i, i) for i in (1, 2, 3)], ddl)
-    lexical = spark.createDataFrame([(1, "f", 2, 1), (1, "f", 4, 2)], ddl)
-    got = [(r["chunk_index"], r["rrf_score"]) for r in fusion.rrf(semantic, lexical).orderBy("rank").collect()]
+    words = spark.createDataFrame([(1, "f", 2, 1), (1, "f", 4, 2)], ddl)
+    got = [(r["chunk_index"], r["rrf_score"]) for r in fusion.rrf(semantic, words).orderBy("rank").collect()]
     assert got == [(2, 0.032523), (1, 0.016393), (4, 0.016129), (3, 0.015873)] or got == [(2, 0.032522), (1, 0.016393), (4, 0.016129), (3, 0.015873)]
 
 
