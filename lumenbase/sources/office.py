@@ -1,7 +1,8 @@
 """Files of office documents: discovery, and blocks and cells of DOCX and XLSX, read with the standard library.
 
-One row in is one file; a file that can't be read gives an error and leaves the others alone. PDF pages come from an
-extractor that the caller passes, for none is part of the environment."""
+One row in is one file; a file that can't be read gives an error and leaves the others alone. XML is read as a stream: what is
+held of it is one paragraph, table or row, beside a workbook's shared strings. PDF pages come from an extractor that the
+caller passes, for none is part of the environment."""
 
 from __future__ import annotations
 
@@ -12,6 +13,7 @@ from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 from functools import reduce
 from io import BytesIO
+from typing import IO
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -73,17 +75,40 @@ def table_rows(table: ET.Element) -> Iterator[list[str]]:
         yield texts
 
 
-def docx_blocks(data: bytes) -> Iterator[tuple]:
+def archive(data: bytes | IO[bytes]) -> zipfile.ZipFile:
+    return zipfile.ZipFile(BytesIO(data) if isinstance(data, bytes) else data)
+
+
+def ended(xml: IO[bytes], parent: str, *others: str) -> Iterator[ET.Element]:
+    """The elements right below a parent, and the others wherever they stand, each as it ends. What has been given is
+    forgotten when the next one is asked for."""
+    above: list[ET.Element] = []
+    for event, e in ET.iterparse(xml, ("start", "end")):
+        if event == "start":
+            above.append(e)
+            continue
+        above.pop()
+        below = bool(above) and above[-1].tag == parent and parent not in [x.tag for x in above[:-1]]
+        if below or e.tag in others:
+            yield e
+            above[-1].remove(e)
+
+
+def docx_blocks(data: bytes | IO[bytes]) -> Iterator[tuple]:
     """Paragraphs and tables in document order, with the running section, style and table number."""
-    with zipfile.ZipFile(BytesIO(data)) as z:
-        body = ET.fromstring(z.read("word/document.xml")).find(f"{W}body")
+    with archive(data) as z:
         names = {}
         if "word/styles.xml" in z.namelist():
             for s in ET.fromstring(z.read("word/styles.xml")).iter(f"{W}style"):
                 name = s.find(f"{W}name")
                 names[s.get(f"{W}styleId")] = name.get(f"{W}val") if name is not None else None
+        with z.open("word/document.xml") as xml:
+            yield from item_blocks(ended(xml, f"{W}body"), names)
+
+
+def item_blocks(items: Iterator[ET.Element], names: dict[str, str | None]) -> Iterator[tuple]:
     section, tables, index = FIRST_SECTION, 0, 0
-    for item, e in enumerate((x for x in (body if body is not None else ()) if x.tag in (f"{W}p", f"{W}tbl")), 1):
+    for item, e in enumerate((x for x in items if x.tag in (f"{W}p", f"{W}tbl")), 1):
         if e.tag == f"{W}p":
             text = clean(paragraph_text(e))
             if not text:
@@ -154,31 +179,37 @@ def rich_text(e: ET.Element) -> str:
     return "".join(t.text or "" for part in (e, *e.findall(f"{S}r")) for t in part.findall(f"{S}t"))
 
 
-def xlsx_sheets(data: bytes) -> Iterator[tuple[str, list[tuple[int, int, str]], list[tuple[int, int, int, int]]]]:
-    """(sheet, cells as (row, col, text), merged ranges as (first row, first col, last row, last col))."""
-    with zipfile.ZipFile(BytesIO(data)) as z:
+def xlsx_parts(data: bytes | IO[bytes]) -> Iterator[tuple[str, list[tuple[int, int, str]], tuple[int, int, int, int] | None]]:
+    """(sheet, the filled cells of a row as (row, col, text), None) for each row, and (sheet, [], (first row, first col, last
+    row, last col)) for each merged range, in the order of the file."""
+    with archive(data) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
-            shared = [rich_text(si) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).findall(f"{S}si")]
+            with z.open("xl/sharedStrings.xml") as xml:
+                shared = [rich_text(si) for si in ended(xml, f"{S}sst") if si.tag == f"{S}si"]
         targets = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         book, dated = ET.fromstring(z.read("xl/workbook.xml")), date_styles(z)
         told = book.find(f"{S}workbookPr")
         from_1904 = told is not None and told.get("date1904") in ("1", "true")
         for sheet in book.iter(f"{S}sheet"):
             target = targets[sheet.get(f"{R}id")].lstrip("/")
-            root = ET.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}"))
-            cells, at_row = [], 0
-            for row in root.iter(f"{S}row"):
-                at_row, at_col = int(row.get("r") or at_row + 1), 0
-                for c in row.findall(f"{S}c"):
-                    at_row, at_col = position(c.get("r")) if c.get("r") else (at_row, at_col + 1)
-                    v, kind, style = c.find(f"{S}v"), c.get("t"), int(c.get("s") or 0)
-                    if kind == "inlineStr" and c.find(f"{S}is") is not None:
-                        cells.append((at_row, at_col, rich_text(c.find(f"{S}is"))))
-                    elif v is not None and v.text is not None:
-                        cells.append((at_row, at_col, cell_value(kind, v.text, shared, style < len(dated) and dated[style], from_1904)))
-            merged = [(*position(a), *position(b)) for a, _, b in (m.get("ref").partition(":") for m in root.iter(f"{S}mergeCell")) if b]
-            yield sheet.get("name"), cells, merged
+            at_row = 0
+            with z.open(target if target.startswith("xl/") else f"xl/{target}") as xml:
+                for e in ended(xml, f"{S}sheetData", f"{S}mergeCell"):
+                    if e.tag == f"{S}mergeCell":
+                        first, _, last = e.get("ref").partition(":")
+                        if last:
+                            yield sheet.get("name"), [], (*position(first), *position(last))
+                        continue
+                    cells, at_row, at_col = [], int(e.get("r") or at_row + 1), 0
+                    for c in e.findall(f"{S}c"):
+                        at_row, at_col = position(c.get("r")) if c.get("r") else (at_row, at_col + 1)
+                        v, kind, style = c.find(f"{S}v"), c.get("t"), int(c.get("s") or 0)
+                        if kind == "inlineStr" and c.find(f"{S}is") is not None:
+                            cells.append((at_row, at_col, rich_text(c.find(f"{S}is"))))
+                        elif v is not None and v.text is not None:
+                            cells.append((at_row, at_col, cell_value(kind, v.text, shared, style < len(dated) and dated[style], from_1904)))
+                    yield sheet.get("name"), cells, None
 
 
 def each_file(files: DataFrame, kinds: tuple[str, ...], read: Callable[[bytes], Iterator[tuple]], ddl: str) -> DataFrame:
@@ -219,11 +250,11 @@ def read_pdf(files: DataFrame, pages: Callable[[bytes], list[str]]) -> DataFrame
 
 def read_cells(files: DataFrame) -> DataFrame:
     """sheet, row, col, value of every filled cell."""
-    return each_file(files, ("xlsx", "xlsm"), lambda d: ((s, r, c, v) for s, cells, _ in xlsx_sheets(d) for r, c, v in cells), "sheet string, row int, col int, value string")
+    return each_file(files, ("xlsx", "xlsm"), lambda d: ((s, r, c, v) for s, cells, _ in xlsx_parts(d) for r, c, v in cells), "sheet string, row int, col int, value string")
 
 
 def read_merged(files: DataFrame) -> DataFrame:
-    return each_file(files, ("xlsx", "xlsm"), lambda d: ((s, *m) for s, _, merged in xlsx_sheets(d) for m in merged), "sheet string, min_row int, min_col int, max_row int, max_col int")
+    return each_file(files, ("xlsx", "xlsm"), lambda d: ((s, *m) for s, _, m in xlsx_parts(d) if m), "sheet string, min_row int, min_col int, max_row int, max_col int")
 
 
 def good(rows: DataFrame) -> DataFrame:
@@ -236,19 +267,25 @@ def file_manifest(files: DataFrame, rows: DataFrame) -> DataFrame:
     return files.select("file_id", "source", "relative_path", "file_type", F.sha1("content").alias("content_sha1")).join(told, "file_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(0))).withColumn("errors", F.coalesce("errors", F.array().cast("array<string>")))
 
 
-def sheet_rows(data: bytes) -> Iterator[tuple]:
-    """A block for each row of each sheet that holds something: its cells as 'A1=v | B1=v' under sheet and row."""
+def sheet_rows(data: bytes | IO[bytes]) -> Iterator[tuple]:
+    """A block for each row of each sheet that holds something: its cells as 'A1=v | B1=v' under sheet and row. Rows come in the
+    order of the file, which is by their numbers."""
     index = 0
-    for name, cells, _ in xlsx_sheets(data):
-        rows: dict[int, list[str]] = {}
-        for r, c, v in cells:
-            if v := clean(v):
-                rows.setdefault(r, []).append(f"{letters(c)}{r}={v}")
-        for r in sorted(rows):
-            yield index, "row", f"Trang tính: {name}\nDòng: {r}\n{' | '.join(rows[r])}", None, None, None, None, None, name, r
+    for name, cells, _ in xlsx_parts(data):
+        if block := row_block(name, cells):
+            yield index, *block
             index += 1
 
 
+def row_block(sheet: str, cells: list[tuple[int, int, str]]) -> tuple | None:
+    """The block of a row but for its index; None where no cell has a text."""
+    filled = [(r, c, v) for r, c, v in ((r, c, clean(v)) for r, c, v in cells) if v]
+    if not filled:
+        return None
+    row, line = filled[0][0], " | ".join(f"{letters(c)}{r}={v}" for r, c, v in filled)
+    return "row", f"Trang tính: {sheet}\nDòng: {row}\n{line}", None, None, None, None, None, sheet, row
+
+
 def letters(col: int) -> str:
     out = ""
     while col:
