@@ -54,26 +54,38 @@ def scope(spark: SparkSession) -> Iterator[None]:
         delete(spark, mine)
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df written once and read back, so that the steps after it don't compute it again."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder; what is written there goes with the scope, or with release()."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     mine = SCOPE.get()
     (KEPT.setdefault(spark.sparkContext.applicationId, []) if mine is None else mine).append(path)
+    return path
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written once and read back, so that the steps after it don't compute it again."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def state_of(spark: SparkSession, paths: Iterable[str]) -> str:
-    """Names, lengths and times of the files at the paths: another state is another table."""
-    found = []
+def files_of(spark: SparkSession, paths: Iterable[str]) -> Iterator:
+    """The status of each file at the paths."""
     for each in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(each)
         files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
         while files.hasNext():
-            f = files.next()
-            found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
-    return "\n".join(sorted(found))
+            yield files.next()
+
+
+def bytes_of(spark: SparkSession, paths: Iterable[str]) -> int:
+    return sum(f.getLen() for f in files_of(spark, paths))
+
+
+def state_of(spark: SparkSession, paths: Iterable[str]) -> str:
+    """Names, lengths and times of the files at the paths: another state is another table."""
+    return "\n".join(sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files_of(spark, paths)))
 
 
 def built_once(spark: SparkSession, name: str, sources: Iterable[str], build: Callable[[str], None]) -> str:

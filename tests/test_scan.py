@@ -1,9 +1,11 @@
 """The office data source, and tables clustered for lookups."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from lumenbase.sources import office, scan
+from lumenbase.sources import clustered, office, scan
 from tests.test_engine import docx, xlsx
 
 
@@ -86,3 +88,62 @@ def test_a_fault_in_the_middle_leaves_no_rows_of_the_file(spark, tmp_path):
     (tmp_path / "t.xlsx").write_bytes(data)
     got = scan.scan(spark, str(tmp_path)).groupBy("kind").agg(F.count("*").alias("n")).collect()
     assert sorted((r["kind"], r["n"]) for r in got) == [("error", 1), ("file", 1)]
+
+
+def made(spark, tmp_path, name="one", buckets=8):
+    """A thousand rows, a third of them of one key, and some without a key."""
+    key = F.when(F.col("n") % 3 == 0, "hot").when(F.col("n") % 50 == 1, None).otherwise(F.concat(F.lit("k"), (F.col("n") % 40).cast("string")))
+    rows = spark.range(1000).withColumnRenamed("id", "n").select(key.alias("file_id"), "n", (F.col("n") * 2).alias(f"{name}_value"))
+    clustered.write_clustered(rows, str(tmp_path / name), "file_id", "n", buckets=buckets, parts=4)
+    return rows, clustered.read_clustered(spark, str(tmp_path / name))
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lookup_opens_the_buckets_of_its_key(spark, tmp_path):
+    rows, stored = made(spark, tmp_path, buckets=32)
+    as_set = lambda df: sorted(map(str, df.select("file_id", "n", "one_value").collect()))
+    assert as_set(stored.rows) == as_set(rows)
+    for wanted in (["k7"], ["hot"], [None], ["k7", None, "absent"], ["absent"], []):
+        test = F.col("file_id").isin(*[w for w in wanted if w]) if any(wanted) else F.lit(False)
+        got = clustered.lookup(stored, wanted)
+        assert as_set(got) == as_set(rows.where(test | F.col("file_id").isNull() if None in wanted else test)), wanted
+    hot = clustered.lookup(stored, ["hot"]).select(F.input_file_name()).distinct().count()
+    assert hot > 1  # a key with a third of the rows isn't one task
+    places = spark.range(4).select(F.pmod(F.hash(clustered.place_of(F.lit("k7"), F.col("id"))), F.lit(32)).alias("b"))
+    buckets = {r.b for r in places.collect()}
+    want, others = as_set(clustered.lookup(stored, ["k7"])), 0
+    for file in (tmp_path / "one" / "rows").glob("part-*"):
+        if int(re.search(r"_(\d{5})\.", file.name).group(1)) not in buckets:
+            file.write_bytes(b"x" * file.stat().st_size)
+            others += 1
+    assert others > 20 and as_set(clustered.lookup(stored, ["k7"])) == want  # none of the others was opened
+    with pytest.raises(Exception, match="(?i)parquet"):
+        stored.rows.collect()
+
+
+@pytest.mark.parametrize("partitions", ["4", "40"])
+def test_a_join_leaves_clustered_rows_where_they_are(spark, tmp_path, partitions):
+    rows, stored = made(spark, tmp_path)
+    keys = spark.createDataFrame([("k7",), ("k7",), ("hot",), (None,)], "file_id string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        chosen = clustered.of_keys(stored, keys)
+        assert sorted(r.n for r in chosen.collect()) == sorted(r.n for r in rows.where("file_id in ('k7', 'hot')").collect())
+        table_side = plan(clustered.of_keys(stored, keys)).split("FileScan")[0]
+        assert "SortMergeJoin" in table_side and "Exchange" not in table_side  # the clustered scan stands first
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert clustered.of_keys(stored, keys.limit(0)).count() == 0
+
+
+def test_an_empty_table_is_clustered(spark, tmp_path):
+    rows, _ = made(spark, tmp_path)
+    clustered.write_clustered(rows.limit(0), str(tmp_path / "none"), "file_id", "n", buckets=2)
+    stored = clustered.read_clustered(spark, str(tmp_path / "none"))
+    assert stored.rows.count() == clustered.lookup(stored, ["hot"]).count() == 0
