@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
 HISTORY = 12
@@ -66,13 +67,13 @@ def inherited(said: dict, context: dict) -> dict:
 
 
 def answered(asked: dict, slots: dict[str, list[tuple]]) -> int:
-    """The number of facts that an effective predicate finds; 0 where it can't be answered. slots: those of a class, and of a
-    grade, by its name."""
+    """The number of facts that an effective predicate finds; 0 where it can't be answered. slots: (day, session, period, number
+    of facts) of a class, and of a grade, by its name."""
     days, sessions, periods = (list(asked.get(k) if asked.get(k) is not None else ()) for k in ("days", "sessions", "periods"))
     named = asked.get("class_name") or asked.get("grade")
     if not named:
         return 0
-    hits = sum((not days or d in days) and (not sessions or s in sessions) and (not periods or p in periods) for d, s, p in slots.get(named, ()))
+    hits = sum(n for d, s, p, n in slots.get(named, ()) if (not days or d in days) and (not sessions or s in sessions) and (not periods or p in periods))
     several = any(len(x) > 1 for x in (days, sessions, periods))
     if asked["timetable_word"] or several or (asked.get("class_name") and not periods and bool(days) == bool(sessions)):
         return hits
@@ -99,12 +100,19 @@ def fold(rows: pd.DataFrame, context: dict, slots: dict[str, list[tuple]]) -> It
 FOLDED_COLUMNS = [part.split()[0] for part in FOLDED.split(", ")]
 
 
-def slots_of(turns: DataFrame, lessons: DataFrame) -> DataFrame:
-    """session_id, name, day, session, period: the slots of every class and grade that a session names. A context holds only
-    what its session said, so no turn can ask for others."""
+def counted_slots(lessons: DataFrame) -> DataFrame:
+    """name, d, s, p, n: of each class and each grade, how many facts a day, session and period have. A name has no more rows
+    than a week has periods."""
     slots = lessons.select("class_name", "grade", F.col("day").alias("d"), F.col("session").alias("s"), F.col("period").alias("p")).distinct()
-    parts = [turns.where(F.col(c).isNotNull()).select("session_id", F.col(c).alias("name")).distinct().join(slots, F.col("name") == slots[c]).select("session_id", "name", "d", "s", "p") for c in ("class_name", "grade")]
-    return parts[0].unionByName(parts[1])
+    named = slots.select(F.explode(F.array("class_name", "grade")).alias("name"), "d", "s", "p").where("name is not null")
+    return named.groupBy("name", "d", "s", "p").agg(F.count(F.lit(1)).alias("n"))
+
+
+def slots_of(turns: DataFrame, lessons: DataFrame) -> DataFrame:
+    """session_id and the counted slots of every class and grade that a session names. A context holds only what its session
+    said, so no turn can ask for others."""
+    named = turns.select("session_id", F.explode(F.array("class_name", "grade")).alias("name")).where("name is not null").distinct()
+    return named.join(counted_slots(lessons), "name").select("session_id", "name", "d", "s", "p", "n")
 
 
 def fold_sessions(turns: DataFrame, lessons: DataFrame) -> DataFrame:
@@ -113,52 +121,108 @@ def fold_sessions(turns: DataFrame, lessons: DataFrame) -> DataFrame:
     so a session is folded in order, together with the slots that its classes and grades have."""
 
     def run(key: tuple, rows: pd.DataFrame, slots: pd.DataFrame) -> pd.DataFrame:
-        by_name = {n: list(zip(g["d"], g["s"], g["p"], strict=True)) for n, g in slots.groupby("name")}
+        by_name = {n: list(zip(g["d"], g["s"], g["p"], g["n"], strict=True)) for n, g in slots.groupby("name")}
         return pd.DataFrame(list(fold(rows, {}, by_name)), columns=FOLDED_COLUMNS)
 
     return turns.groupBy("session_id").cogroup(slots_of(turns, lessons).withColumn("of", F.concat("session_id", F.lit(""))).drop("session_id").groupBy("of")).applyInPandas(run, FOLDED)
 
 
-def stream_context(turns: DataFrame, lessons: DataFrame, most_slots: int = 200_000) -> DataFrame:
+MESSAGE = "pos int, role string, content string"
+NO_PERIOD = -1  # stands in the state for a slot without a period; no question asks for it
+
+
+class Remembering(StatefulProcessor):
+    """What both streams share: with `idle_ms`, the state of a session that has been silent for so long is cleared."""
+
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms
+
+    def awaited(self, timers) -> None:
+        """Moves the session's timer to the end of its time from now on."""
+        if self.idle_ms:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.idle_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class ContextOf(Remembering):
+    """A session's context, and the counted slots of the names that it has said."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.context = handle.getValueState("context", CONTEXT_DDL)
+        self.slots = handle.getMapState("slots", "name string", "d array<string>, s array<string>, p array<int>, n array<long>")
+
+    def clear(self) -> None:
+        self.context.clear()
+        self.slots.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        turns = pd.concat(list(rows))
+        held = self.context.get() if self.context.exists() else None
+        context = {k: v for k, v in zip(CONTEXT, held or (), strict=False) if v is not None}
+        for x in (x for told in turns["told"] for x in told):
+            self.slots.updateValue((x["name"],), tuple(np.asarray(x[c]).tolist() for c in "dspn"))
+        by_name = {name: list(zip(*slots, strict=True)) for (name,), slots in self.slots.iterator()}
+        out = list(fold(turns, context, by_name))
+        self.context.update(tuple(context.get(k) for k in CONTEXT))
+        self.awaited(timerValues)
+        yield pd.DataFrame(out, columns=FOLDED_COLUMNS).astype({"period": "Int32"})
+
+
+class HistoryOf(Remembering):
+    """The last messages of a session, as a list."""
+
+    def __init__(self, most: int, idle_ms: int | None):
+        super().__init__(idle_ms)
+        self.most = most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("history", MESSAGE)
+
+    def clear(self) -> None:
+        self.held.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        old = [tuple(x) for x in self.held.get()] if self.held.exists() else []
+        reset = -1
+        for new in rows:
+            if "is_reset" in new.columns and new["is_reset"].any():
+                reset = max(reset, int(new.loc[new["is_reset"], "pos"].max()))
+            both = old + [(int(r.pos), r.role, r.content) for r in new.itertuples()]
+            old = sorted(x for x in both if x[0] > reset)[-self.most :]
+        self.held.clear()
+        if old:
+            self.held.put(old)
+        self.awaited(timerValues)
+        yield pd.DataFrame({"session_id": [key[0]], "history": [[{"pos": p, "role": r, "content": c} for p, r, c in old]]})
+
+
+def stream_context(turns: DataFrame, lessons: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """A stream of turns, as fold_sessions takes them, to a row a turn with the context after it; a reset clears it. A trigger's
-    turns are folded in order of pos onto the session's state. The timetable's slots go to every worker, so their number is
-    checked: a school has some thousands."""
-    keys = lessons.select("class_name", "grade", "day", "session", "period").distinct().limit(most_slots + 1).collect()
-    if len(keys) > most_slots:
-        raise ValueError(f"more than {most_slots} timetable slots")
-    by_name: dict[str, list[tuple]] = {}
-    for c, g, *slot in keys:
-        for name in (c, g):
-            by_name.setdefault(name, []).append(tuple(slot))
-    shared = turns.sparkSession.sparkContext.broadcast(by_name)
-
-    def keep(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        context = {k: v for k, v in zip(CONTEXT, held.get, strict=True) if v is not None} if held.exists else {}
-        rows = list(fold(pd.concat(list(batches)), context, shared.value))
-        held.update(tuple(context.get(k) for k in CONTEXT))
-        yield pd.DataFrame(rows, columns=FOLDED_COLUMNS).astype({"period": "Int32"})
-
-    return turns.groupBy("session_id").applyInPandasWithState(keep, FOLDED, CONTEXT_DDL, "append", GroupStateTimeout.NoTimeout)
+    turns are folded in order of pos onto the session's state. A turn that names a class or grade brings its counted slots along,
+    by a join of the stream with the timetable, and the session keeps them for the turns that inherit the name. Needs the RocksDB
+    state store. With `idle_ms`, silent sessions are forgotten; such a stream runs on by itself, for it must look at the clock."""
+    slots = counted_slots(lessons).withColumn("p", F.coalesce("p", F.lit(NO_PERIOD)))
+    by_name = slots.groupBy("name").agg(F.collect_list(F.struct(*"dspn")).alias("x")).select("name", *(f"x.{c}" for c in "dspn"))
+    told = turns
+    for c in ("class_name", "grade"):
+        slots = by_name.select(F.col("name").alias(f"{c}_named"), F.struct("name", *"dspn").alias(f"{c}_slots"))
+        told = told.join(slots, F.col(c) == F.col(f"{c}_named"), "left").drop(f"{c}_named")
+    told = told.withColumn("told", F.array_compact(F.array("class_name_slots", "grade_slots"))).drop("class_name_slots", "grade_slots")
+    return told.groupBy("session_id").transformWithStateInPandas(ContextOf(idle_ms), FOLDED, "Append", "ProcessingTime" if idle_ms else "None")
 
 
 def stream_history(messages: DataFrame, most: int = HISTORY, idle_ms: int | None = None) -> DataFrame:
     """A stream of (session_id, pos, role, content) to (session_id, history): after each trigger the last `most` messages
-    of each session that got one. If the stream has a column is_reset, such a row empties the session's history. With `idle_ms`, sessions idle for so long are forgotten; such a stream runs on by itself,
-    for it must look at the clock."""
-    state = "history array<struct<pos:int,role:string,content:string>>"
-
-    def keep(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            held.remove()
-            return
-        old = [tuple(x) for x in held.get[0]] if held.exists else []
-        new = pd.concat(list(batches)).sort_values("pos")
-        if "is_reset" in new.columns and new["is_reset"].any():
-            old, new = [], new[new["pos"] > new.loc[new["is_reset"], "pos"].max()]
-        rows = sorted(old + [(int(r.pos), r.role, r.content) for r in new.itertuples()])[-most:]
-        held.update((rows,))
-        if idle_ms:
-            held.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame({"session_id": [key[0]], "history": [[{"pos": p, "role": r, "content": c} for p, r, c in rows]]})
-
-    return messages.groupBy("session_id").applyInPandasWithState(keep, f"session_id string, {state}", state, "update", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
+    of each session that got one. If the stream has a column is_reset, such a row empties the session's history of what came
+    before it. `idle_ms` and the state store: as for stream_context."""
+    return messages.groupBy("session_id").transformWithStateInPandas(HistoryOf(most, idle_ms), f"session_id string, history array<struct<{MESSAGE}>>", "Update", "ProcessingTime" if idle_ms else "None")

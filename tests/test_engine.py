@@ -1,4 +1,6 @@
 import io
+import os
+import time
 import zipfile
 
 import pytest
@@ -218,14 +220,35 @@ def test_streamed_context(spark, tmp_path):
     lessons = reshape.lessons_of(CELLS.frame(spark), MERGED.frame(spark))
     rows = turns(spark)
     want = {(r["session_id"], r["pos"]): tuple(r) for r in sessions.fold_sessions(rows, lessons).collect()}
-    rows.write.parquet(str(tmp_path / "in"))
-    stream = sessions.stream_context(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), lessons)
-    q = stream.writeStream.outputMode("append").format("memory").queryName("contexts").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    middle = rows.agg(F.percentile_approx("pos", 0.5)).first()[0]
+    for k, part in enumerate((F.col("pos") <= middle, F.col("pos") > middle)):  # the second trigger goes on from the state
+        rows.where(part).coalesce(1).write.parquet(str(tmp_path / "in" / f"k={k}"))
+        os.utime(next((tmp_path / "in" / f"k={k}").glob("*.parquet")), (1000 + k, 1000 + k))
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    q = sessions.stream_context(source, lessons).writeStream.outputMode("append").format("memory").queryName("contexts").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     try:
         assert q.awaitTermination(90)
     finally:
         q.stop()
     assert {(r["session_id"], r["pos"]): tuple(r) for r in spark.table("contexts").collect()} == want
+    assert any(n for _, _, ok, n, *_ in want.values() if ok)
+
+
+def test_silent_sessions_are_forgotten(spark, tmp_path):
+    ddl = "session_id string, pos int, role string, content string"
+    write = lambda k: spark.createDataFrame([("a", k, "user", f"m{k}")], ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    write(0)
+    stream = sessions.stream_history(spark.readStream.schema(ddl).parquet(str(tmp_path / "in")), 3, idle_ms=2000)
+    q = stream.writeStream.outputMode("update").format("memory").queryName("silent").option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="300 milliseconds").start()
+    try:
+        shown = lambda: {tuple(m["content"] for m in r["history"]) for r in spark.table("silent").collect()}
+        wait = lambda told: next((True for _ in range(120) if told in shown() or time.sleep(0.25)), False)
+        assert wait(("m0",))
+        time.sleep(6)
+        write(1)
+        assert wait(("m1",)) and ("m0", "m1") not in shown()
+    finally:
+        q.stop()
 
 
 def test_answers_and_what_is_remembered(spark):
