@@ -1,12 +1,17 @@
 """Approximate nearest neighbours by cosine: an inverted file of coarse centroids with product-quantised residuals.
 
 The centroids and the codebooks are fitted on a bounded sample (`sample` rows, chosen by a hash of the id); every row is
-indexed: its cell, and one byte for each group of components of its residual. A query probes the cells whose centroids are
-nearest. The codes of a cell are scored for the queries that probe it, and for no others, by their asymmetric distance tables
-(the products of their components with all codewords); the best `rerank` are kept, and those are scored again on the original
-vectors, in double precision.
+indexed: its cell, the length of its residual, and one byte for each group of components of the residual's direction. A query
+probes the cells whose centroids are nearest. The codes of a cell are scored for the queries that probe it, and for no others,
+by asymmetric distances |q-c|^2 - 2 (q-c)r + |r|^2 with the residual r that its codes stand for; the best `rerank` are kept,
+and those are scored again on the original vectors, in double precision. Lengths apart from directions, and differences from
+the centroid in place of products, leave errors that shrink with the neighbourhood: rows in a narrow cone are told apart like
+any others.
 
-The index lies in the shared folder as rows (cell, vec_id, codes), sorted by cell within the partitions of the input, so a cell
+How many cells a query probes and how many rows it reranks is measured: up to TRIED of the queries are compared with all rows
+on the original vectors, and the two bounds are such that each loses at most LOST of these true neighbours.
+
+The index lies in the shared folder as rows (cell, vec_id, size, codes), sorted by cell within the partitions of the input, so a cell
 that holds a third of all rows is spread like any other. Queries go over it in blocks of bounded size, dealt to their cells.
 
 Defined results: vectors that are null, zero or hold a null or non-finite component take no part; a shorter vector counts
@@ -25,9 +30,12 @@ from pyspark.sql import functions as F
 from lumenbase.llm.common import batch_of, lasting
 from lumenbase.llm.vectors import best, matrix, query_blocks, top, vectors_of, widened
 
-CODED = pa.schema([("cell", pa.int32()), ("vec_id", pa.int64()), ("codes", pa.binary())])
+CODED = pa.schema([("cell", pa.int32()), ("vec_id", pa.int64()), ("size", pa.float64()), ("codes", pa.binary())])
 NEAR = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 NEAR_DDL = "query_id long, vec_id long, score double"
+AHEAD = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
+TRIED, LOST = 256, 0.015
+BOOK_ROWS = 4096
 
 
 def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,18 +73,24 @@ class Quantiser:
     def dim(self) -> int:
         return self.cells.shape[1]
 
-    def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cell and codes of unit vectors."""
+    def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cell, codes and length of the residual of unit vectors."""
         cell = ((self.cells**2).sum(1) - 2 * x @ self.cells.T).argmin(1)
-        rest = x - self.cells[cell]
-        return cell, np.stack([((b * b).sum(1) - 2 * rest[:, g] @ b.T).argmin(1).astype(np.uint8) for g, b in zip(self.groups, self.books, strict=True)], axis=1)
+        way, size = directions(x - self.cells[cell])
+        return cell, np.stack([((b * b).sum(1) - 2 * way[:, g] @ b.T).argmin(1).astype(np.uint8) for g, b in zip(self.groups, self.books, strict=True)], axis=1), size
+
+    def decoded(self, codes: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The residuals that codes stand for."""
+        return np.concatenate([b[codes[:, j]] for j, b in enumerate(self.books)], axis=1) * size[:, None]
 
-    def tables(self, q: np.ndarray) -> list[np.ndarray]:
-        """The asymmetric tables: of each group, codewords x queries."""
-        return [(b @ q[:, g].T).astype(np.float32) for g, b in zip(self.groups, self.books, strict=True)]
 
+def directions(rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Residuals scaled to length 1, those without length left, and their lengths."""
+    size = np.sqrt((rest * rest).sum(1))
+    return rest / np.where(size > 0, size, 1)[:, None], size
 
-def fit_quantiser(rows: DataFrame, cells: int, groups: int, sample: int, seed: int = 11) -> Quantiser | None:
+
+def fit_quantiser(rows: DataFrame, cells: int, groups: int | None, sample: int, seed: int = 11) -> Quantiser | None:
     got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow().combine_chunks()
     if not got.num_rows:
         return None
@@ -87,13 +101,13 @@ def fit_quantiser(rows: DataFrame, cells: int, groups: int, sample: int, seed: i
         return None
     rng = np.random.default_rng(seed)
     c = centres(x, cells, rng)
-    rest = x - c[((c * c).sum(1) - 2 * x @ c.T).argmin(1)]
-    parts = [g for g in np.array_split(np.arange(x.shape[1]), groups) if len(g)]
-    return Quantiser(c, parts, [centres(rest[:, g], 256, rng) for g in parts])
+    way = directions(x - c[((c * c).sum(1) - 2 * x @ c.T).argmin(1)])[0][:BOOK_ROWS]
+    parts = [g for g in np.array_split(np.arange(x.shape[1]), groups or min(128, -(-x.shape[1] // 2))) if len(g)]
+    return Quantiser(c, parts, [centres(way[:, g], 256, rng) for g in parts])
 
 
 def build_index(rows: DataFrame, model: Quantiser) -> DataFrame:
-    """cell, vec_id, codes of every usable row, written to the shared folder."""
+    """cell, vec_id, size, codes of every usable row, written to the shared folder."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def code(batches):
@@ -101,16 +115,21 @@ def build_index(rows: DataFrame, model: Quantiser) -> DataFrame:
             at, x = matrix(b.column(1))
             some, x = unit(x)
             x = widened(x, shared.value.dim)[:, : shared.value.dim]
-            cell, codes = shared.value.code(x) if len(x) else (np.zeros(0, np.int64), np.zeros((0, 1), np.uint8))
-            yield batch_of(CODED, [pa.array(cell.astype(np.int32)), b.column(0).to_numpy()[at[some]], [c.tobytes() for c in codes]])
+            cell, codes, size = shared.value.code(x) if len(x) else (np.zeros(0, np.int64), np.zeros((0, 1), np.uint8), np.zeros(0))
+            yield batch_of(CODED, [pa.array(cell.astype(np.int32)), b.column(0).to_numpy()[at[some]], size, [c.tobytes() for c in codes]])
+
+    return lasting(rows.mapInArrow(code, "cell int, vec_id long, size double, codes binary").sortWithinPartitions("cell"), "ivf")
 
-    return lasting(rows.mapInArrow(code, "cell int, vec_id long, codes binary").sortWithinPartitions("cell"), "ivf")
+
+def cell_order(model: Quantiser, q: np.ndarray) -> np.ndarray:
+    """All cells of each query, the nearest first."""
+    return np.argsort((model.cells**2).sum(1)[None] - 2 * q @ model.cells.T, axis=1)
 
 
 def probed_cells(model: Quantiser, q: np.ndarray, probe: float, held: np.ndarray, least: int) -> list[np.ndarray]:
     """Of each cell, the places of the queries that probe it: those to which it is among the nearest `probe` of all cells, or
     among the nearest that hold `least` rows between them. held: how many rows each cell holds."""
-    order = np.argsort((model.cells**2).sum(1)[None] - 2 * q @ model.cells.T, axis=1)
+    order = cell_order(model, q)
     before = np.cumsum(held[order], axis=1) - held[order]
     query, place = np.nonzero((np.arange(order.shape[1]) < np.ceil(probe * order.shape[1])) | (before < least))
     cell = order[query, place]
@@ -118,6 +137,30 @@ def probed_cells(model: Quantiser, q: np.ndarray, probe: float, held: np.ndarray
     return np.split(query[at], np.searchsorted(cell[at], np.arange(1, order.shape[1])))
 
 
+def nearness(model: Quantiser, cell: int, rest: np.ndarray, size: np.ndarray, q: np.ndarray, reach: float) -> np.ndarray:
+    """rows x queries: the negative asymmetric distances of one cell's rows. reach: the longest residual of the cell. Rounded
+    far above what the order of a sum can change, so that equal rows score the same wherever they are."""
+    off = q - model.cells[cell]
+    far = (off * off).sum(1)
+    score = 2 * rest @ off.T
+    score -= (size * size)[:, None] + far[None]
+    grain = np.exp2(np.ceil(np.log2(np.maximum(far + reach * reach, 1e-290))) - 40)
+    return np.round(score / grain[None]) * grain[None]
+
+
+def scored_cells(batches, model: Quantiser, q: np.ndarray, asking: list[np.ndarray], reach: np.ndarray):
+    """(places of some of a cell's queries, ids of rows of that cell, rows x queries: nearness), until all are through."""
+    for b in batches:
+        cell, vec, size = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()
+        codes = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(len(vec), -1)
+        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else []
+        for at, to in zip(starts, [*starts[1:], len(cell)], strict=True):
+            rest = model.decoded(codes[at:to], size[at:to]) if len(asking[cell[at]]) else None
+            for mine in np.split(asking[cell[at]], range(512, len(asking[cell[at]]), 512)):
+                if len(mine):
+                    yield mine, vec[at:to], nearness(model, cell[at], rest, size[at:to], q[mine], reach[cell[at]])
+
+
 class Lists:
     """The best entries so far of each query, and the score that a new one must reach."""
 
@@ -155,9 +198,73 @@ def cosine(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (x * q).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum(1)))
 
 
-def nearest(vectors: DataFrame, chosen: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", cells: int | None = None, probe: float = 0.55, groups: int = 16, rerank: int = 160, sample: int = 16_384, block: int = 8_192) -> DataFrame:
+def true_neighbours(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of the queries, ids, unit vectors) of the k nearest of a few queries, by comparison with every row. Each task
+    gives its own best; the rest is a handful of rows."""
+    shared = rows.sparkSession.sparkContext.broadcast((ids, q))
+
+    def compared(batches):
+        ids, q = shared.value
+        lists = Lists(len(ids), k)
+        for b in batches:
+            at, x = matrix(b.column(1))
+            some, x = unit(x)
+            dim = max(x.shape[1], q.shape[1])
+            vec = b.column(0).to_numpy()[at[some]]
+            score = widened(x, dim) @ widened(q, dim).T
+            score[vec[:, None] == ids[None]] = -np.inf
+            lists.add(np.arange(len(ids)), score, vec)
+        query, score, vec = lists.settle()
+        real = score > -np.inf
+        yield batch_of(NEAR, [ids[query[real]], vec[real], score[real]])
+
+    found = top(rows.mapInArrow(compared, NEAR_DDL), k).select("query_id", "vec_id")
+    got = found.join(rows, "vec_id").select("query_id", "vec_id", "embedding").toArrow().combine_chunks()
+    column = got.column("embedding")
+    at, x = matrix(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
+    some, x = unit(x)
+    return np.searchsorted(ids, got.column("query_id").to_numpy()[at[some]]), got.column("vec_id").to_numpy()[at[some]], x
+
+
+def reaching(needed: np.ndarray) -> float:
+    """The bound that all but LOST of the measured needs keep to."""
+    return float(np.sort(needed)[max(0, int(np.ceil((1 - LOST) * len(needed))) - 1)])
+
+
+def measured(rows: DataFrame, index: DataFrame, model: Quantiser, held: np.ndarray, reach: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int, probe: float | None, rerank: int) -> tuple[float, int]:
+    """(probe, rerank): what finds the true neighbours of a sample of the queries; a given probe stays, and rerank is the least."""
+    query, vec, x = true_neighbours(rows, ids, q, k)
+    if not len(query):
+        return probe or 1.0, rerank
+    q = widened(q, model.dim)[:, : model.dim]
+    cell, codes, size = model.code(widened(x, model.dim)[:, : model.dim])
+    if probe is None:
+        place = np.argsort(cell_order(model, q), axis=1)[query, cell]
+        probe = (reaching(place) + 1) / len(model.cells)
+    rest = model.decoded(codes, size)
+    least = np.array([nearness(model, c, rest[i : i + 1], size[i : i + 1], q[p : p + 1], reach[c])[0, 0] for i, (c, p) in enumerate(zip(cell, query, strict=True))])
+    shared = rows.sparkSession.sparkContext.broadcast((model, ids, q, query, vec, least, probed_cells(model, q, probe, held, rerank + 1), reach))
+
+    def ahead(batches):
+        model, ids, q, query, vec, least, asking, reach = shared.value
+        n = np.zeros(len(query), np.int64)
+        for mine, rows_, score in scored_cells(batches, model, q, asking, reach):
+            column = np.full(len(ids), -1)
+            column[mine] = np.arange(len(mine))
+            pair = np.flatnonzero(column[query] >= 0)
+            s = score[:, column[query[pair]]]
+            before = (s > least[pair]) | ((s == least[pair]) & (rows_[:, None] < vec[pair]))
+            n[pair] += (before & (rows_[:, None] != ids[query[pair]])).sum(0)
+        yield batch_of(AHEAD, [np.arange(len(n)), n])
+
+    counted = index.mapInArrow(ahead, "pair long, n long").groupBy("pair").sum("n").toArrow()
+    return probe, max(rerank, int(reaching(counted.column(1).to_numpy())) + 1)
+
+
+def nearest(vectors: DataFrame, chosen: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", cells: int | None = None, probe: float | None = None, groups: int | None = None, rerank: int = 160, sample: int = 16_384, block: int = 8_192) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found for each chosen row. `cells`: by default three times
-    the root of the rows, 1024 at most; `probe`: the share of cells that a query probes."""
+    the root of the rows, 1024 at most; `probe`: the share of cells that a query probes, by default as measured; `rerank`: how
+    many rows are scored again at least, more if the sample of queries needs them; `groups`: of components, by default pairs."""
     spark = vectors.sparkSession
     rows = vectors_of(vectors, id_col, vector_col)
     none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -167,8 +274,16 @@ def nearest(vectors: DataFrame, chosen: Column, k: int = 5, id_col: str = "vec_i
         return none
     index = build_index(rows, model)
     shared_model = spark.sparkContext.broadcast(model)
-    counts = index.groupBy("cell").count().toArrow()  # a number for each cell
+    counts = index.groupBy("cell").agg(F.count(F.lit(1)), F.max("size")).toArrow()  # two numbers for each cell
     held = np.bincount(counts.column(0).to_numpy(), counts.column(1).to_numpy(), len(model.cells))
+    reach = np.zeros(len(model.cells))
+    reach[counts.column(0).to_numpy()] = counts.column(2).to_numpy()
+    tried = rows.where(chosen).orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRIED)
+    for ids, queries in query_blocks(tried, F.lit(True), TRIED):
+        some, scaled = unit(queries)
+        if len(some):
+            probe, rerank = measured(rows, index, model, held, reach, ids[some], scaled, k, probe, rerank)
+    probe, block = probe or 1.0, min(block, max(256, (1 << 21) // rerank))
     found = None
     for all_ids, all_queries in query_blocks(rows, chosen, block):
         some, scaled = unit(all_queries)
@@ -179,19 +294,10 @@ def nearest(vectors: DataFrame, chosen: Column, k: int = 5, id_col: str = "vec_i
         def probed(batches, shared=shared):
             model, (ids, _, q) = shared_model.value, shared.value
             q = widened(q, model.dim)[:, : model.dim]
-            asking, tables, base = probed_cells(model, q, probe, held, rerank + 1), model.tables(q), (model.cells @ q.T).astype(np.float32)
             lists = Lists(len(ids), rerank)
-            for b in batches:
-                cell, vec = b.column(0).to_numpy(), b.column(1).to_numpy()
-                codes = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(len(vec), -1)
-                starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else []
-                for at, to in zip(starts, [*starts[1:], len(cell)], strict=True):
-                    for mine in np.split(asking[cell[at]], range(512, len(asking[cell[at]]), 512)):
-                        score = np.tile(base[cell[at], mine], (to - at, 1))
-                        for g, t in enumerate(tables):
-                            score += t[:, mine][codes[at:to, g]]
-                        score[vec[at:to, None] == ids[mine][None]] = -np.inf
-                        lists.add(mine, score, vec[at:to])
+            for mine, vec, score in scored_cells(batches, model, q, probed_cells(model, q, probe, held, rerank + 1), reach):
+                score[vec[:, None] == ids[mine][None]] = -np.inf
+                lists.add(mine, score, vec)
             query, score, vec = lists.settle()
             real = score > -np.inf
             yield batch_of(NEAR, [ids[query[real]], vec[real], score[real]])

@@ -138,3 +138,22 @@ def test_clustered_rows_need_few_cells(spark):
 def test_repeated_ids_count_once(spark):
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.1]), (1, None), (2, [0.0, 1.0])]
     assert [r["vec_id"] for r in nearest(table(spark, rows), F.col("vec_id") == 0, 5).orderBy("rank").collect()] == [1, 2]
+
+
+@pytest.mark.parametrize("kind", ["offset", "narrow clusters", "many dimensions"])
+def test_recall_on_rows_that_lie_close_or_in_many_dimensions(spark, kind):
+    rng = np.random.default_rng(4)
+    if kind == "offset":
+        x = 1000 + rng.normal(size=(3000, 32))
+    elif kind == "narrow clusters":
+        x = rng.normal(size=(5, 32))[rng.integers(0, 5, 3000)] + 1e-3 * rng.normal(size=(3000, 32))
+    else:
+        x = rng.normal(size=(3000, 300))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = nearest(frame, F.col("vec_id") % 50 == 0).collect()
+    x = unit(x)[1]
+    asked = np.arange(0, 3000, 50)
+    s = x[asked] @ x.T
+    s[np.arange(60), asked] = -9
+    best = {q: set(np.argsort(-s[j], kind="stable")[:5].tolist()) for j, q in enumerate(asked.tolist())}
+    assert len(got) == 300 and sum(r["vec_id"] in best[r["query_id"]] for r in got) >= 0.95 * 300
