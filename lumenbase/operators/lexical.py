@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 from lumenbase.functions.text import normalize_search, tokens, tokens_of
 from lumenbase.operators.grams import GramIndex, dictionary_of, gram_rows, holding, part_of, read_grams, write_grams
 from lumenbase.operators.search import KEY, PLACES, SLACK, by_batches, ranked
+from lumenbase.operators.textscan import TextScan, holding_texts, matched_rows
 from lumenbase.sources.shared import kept
 
 K1, B = 1.5, 0.75
@@ -107,7 +108,7 @@ def section_text() -> Column:
     return F.concat_ws("\n", "source", F.nullif(F.coalesce("section", F.lit("")), F.lit("")), "document")
 
 
-def write_index(chunks: DataFrame, path: str, text: Column | None = None) -> None:
+def write_index(chunks: DataFrame, path: str, text: Column | None = None, grams: bool = True) -> None:
     """Write rows (by file type and part: texts are dealt once and normalised once), blocks (by file type and zone, in each file ordered by term, so that a scan for some
     terms skips row groups), document frequencies, statistics and grams below `path`."""
     spark = chunks.sparkSession
@@ -120,7 +121,8 @@ def write_index(chunks: DataFrame, path: str, text: Column | None = None) -> Non
     blocks_of(rows).sortWithinPartitions("file_type", "zone", "term").write.partitionBy("file_type", "zone").parquet(f"{path}/blocks")
     counted_terms(spark.read.parquet(f"{path}/blocks")).write.parquet(f"{path}/terms")
     counted_rows(rows).write.parquet(f"{path}/stats")
-    write_grams(rows, KEY, F.col("norm"), f"{path}/grams")
+    if grams:
+        write_grams(rows, KEY, F.col("norm"), f"{path}/grams")
 
 
 def read_index(spark: SparkSession, path: str) -> LexicalIndex:
@@ -134,8 +136,11 @@ def sizes(index: LexicalIndex) -> DataFrame:
     return index.stats.select("file_type", F.col("n_chunks").alias("chunks")).join(by_type, "file_type")
 
 
-def corpus_stats(index: LexicalIndex) -> DataFrame:
+def corpus_stats(index: LexicalIndex | TextScan) -> DataFrame:
     """n_chunks, avg_terms: one row. Chunks without a term count."""
+    if isinstance(index, TextScan):
+        n_terms = F.size(tokens_of(F.col("norm"))).alias("n_terms")
+        return index.rows.select(n_terms).agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("n_terms").alias("avg_terms"))
     return index.stats.agg(F.sum("n_chunks").alias("n_chunks"), (F.sum("n_terms") / F.sum("n_chunks")).alias("avg_terms"))
 
 
@@ -146,11 +151,17 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return asked.select("question_id", F.array_distinct("asked").alias("terms"), F.when(F.size(long) >= 2, F.array_join(long, " ")).alias("phrase"))
 
 
-def phrase_hits(index: LexicalIndex, asked: DataFrame) -> DataFrame:
+def phrase_hits(index: LexicalIndex | TextScan, asked: DataFrame) -> DataFrame:
     """question_id, KEY of the chunks whose text holds a question's phrase, which may begin and end within words."""
+    if isinstance(index, TextScan):
+        return holding_texts(index, asked)
     return holding(index.grams, index.rows, F.col("norm"), asked)
 
 
+def idf_of(n_chunks: Column) -> Column:
+    return F.log(1 + (n_chunks - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
+
 def weighted_terms(index: LexicalIndex, asked: DataFrame) -> DataFrame:
     """question_id, term, idf, avg_terms, stretch (the most that a part's longer average adds to a block's bound) for each term
     of a batch that the index has."""
@@ -158,7 +169,7 @@ def weighted_terms(index: LexicalIndex, asked: DataFrame) -> DataFrame:
     df = index.terms.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
     stats = corpus_stats(index)
     n_chunks, avg_terms = (stats.select(c).scalar() for c in ("n_chunks", "avg_terms"))
-    idf = F.log(1 + (n_chunks - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = idf_of(n_chunks)
     return df.join(terms, "term").select("question_id", "term", idf.alias("idf"), avg_terms.alias("avg_terms"), F.greatest(F.lit(1.0), avg_terms / index.average()).alias("stretch"))
 
 
@@ -170,14 +181,29 @@ def scored(parts: DataFrame) -> DataFrame:
     return parts.groupBy("question_id", *KEY).agg(F.round(F.sum("part"), PLACES).alias("bm25_score")).where("bm25_score > 0")
 
 
-def bm25(index: LexicalIndex, questions: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+def scanned_parts(scan: TextScan, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(question_id, KEY, tf, n_terms, idf, avg_terms; question_id, KEY of the phrases) of a batch's questions, from one scan.
+    Document frequencies are a row for each term of the batch."""
+    rows = matched_rows(scan, asked)
+    stats = rows.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("n_terms").alias("avg_terms"))
+    n_chunks, avg_terms = (stats.select(c).scalar() for c in ("n_chunks", "avg_terms"))
+    each = rows.select(*KEY, "n_terms", F.explode("hits").alias("hit")).select(*KEY, "n_terms", "hit.term", "hit.tf")
+    df = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms = asked.select("question_id", F.explode("terms").alias("term")).join(F.broadcast(df), "term")
+    weights = terms.select("question_id", "term", idf_of(n_chunks).alias("idf"), avg_terms.alias("avg_terms"))
+    return each.join(F.broadcast(weights), "term"), rows.select(F.explode("held").alias("question_id"), *KEY)
+
+
+def bm25(index: LexicalIndex | TextScan, questions: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """question_id, KEY, bm25_score over 0, of all chunks. Statistics are the whole index's; `rows` (question_id, KEY)
     restricts what is scored, before anything is. A question's phrase in the text adds one, also without a matching term."""
 
     def scores(batch: DataFrame) -> DataFrame:
         asked = question_terms(batch)
-        found = index.postings.join(F.broadcast(weighted_terms(index, asked)), "term")
-        bonus = phrase_hits(index, asked)
+        if isinstance(index, TextScan):
+            found, bonus = scanned_parts(index, asked)
+        else:
+            found, bonus = index.postings.join(F.broadcast(weighted_terms(index, asked)), "term"), phrase_hits(index, asked)
         if rows is not None:
             wanted = rows.select("question_id", *KEY).distinct()
             found, bonus = (t.join(wanted, ["question_id", *KEY], "left_semi") for t in (found, bonus))
@@ -225,10 +251,13 @@ def pruned(index: LexicalIndex, batch: DataFrame, top: int) -> Pruned:
     return Pruned(terms, bonus, left.select("question_id", *PLACE))
 
 
-def lexical_hits(index: LexicalIndex, questions: DataFrame, top: int = 100) -> DataFrame:
-    """question_id, file_id, chunk_index, bm25_score, rank: the rows of bm25() that rank best, without scoring the others."""
+def lexical_hits(index: LexicalIndex | TextScan, questions: DataFrame, top: int = 100) -> DataFrame:
+    """question_id, file_id, chunk_index, bm25_score, rank: the rows of bm25() that rank best; from an index, without scoring
+    the others."""
 
     def best(batch: DataFrame) -> DataFrame:
+        if isinstance(index, TextScan):
+            return ranked(bm25(index, batch), "bm25_score", top)
         plan = pruned(index, batch, top)
         return ranked(scores_in(index, plan.terms, plan.bonus, plan.open), "bm25_score", top)
 
