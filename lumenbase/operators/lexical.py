@@ -114,8 +114,8 @@ def write_index(chunks: DataFrame, path: str, text: Column | None = None, grams:
     spark = chunks.sparkSession
     spread = F.pmod(F.xxhash64("chunk_index"), F.lit(1 + int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     dealt = chunks.withColumn("part", part_of(KEY)).repartition("file_type", "part", spread)
-    indexed_rows(dealt, text).write.partitionBy("file_type", "part").parquet(f"{path}/rows")
-    rows = spark.read.parquet(f"{path}/rows")
+    indexed_rows(dealt, text).drop("terms").write.partitionBy("file_type", "part").parquet(f"{path}/rows")
+    rows = spark.read.parquet(f"{path}/rows").withColumn("terms", tokens_of(F.col("norm")))
     slots_of(rows).write.parquet(f"{path}/slots")
     rows = placed(rows, spark.read.parquet(f"{path}/slots"))
     blocks_of(rows).sortWithinPartitions("file_type", "zone", "term").write.partitionBy("file_type", "zone").parquet(f"{path}/blocks")
@@ -125,9 +125,14 @@ def write_index(chunks: DataFrame, path: str, text: Column | None = None, grams:
         write_grams(rows, KEY, F.col("norm"), f"{path}/grams")
 
 
-def read_index(spark: SparkSession, path: str) -> LexicalIndex:
+def read_index(spark: SparkSession, path: str, grams: bool = True) -> LexicalIndex:
+    """What write_index() wrote; without stored grams they are plans over the rows."""
     rows, slots, blocks, terms, stats = (spark.read.parquet(f"{path}/{t}") for t in ("rows", "slots", "blocks", "terms", "stats"))
-    return LexicalIndex(placed(rows.drop("terms"), slots), blocks, terms, stats, read_grams(spark, f"{path}/grams", KEY), stats)
+    rows = placed(rows, slots)
+    if grams:
+        return LexicalIndex(rows, blocks, terms, stats, read_grams(spark, f"{path}/grams", KEY), stats)
+    postings = gram_rows(rows, KEY, F.col("norm"))
+    return LexicalIndex(rows, blocks, terms, stats, GramIndex(postings, dictionary_of(postings), KEY), stats)
 
 
 def sizes(index: LexicalIndex) -> DataFrame:

@@ -47,8 +47,9 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
-    """The lexical index of all chunks, written at its first use in a session and read by every query after that."""
-    return read_index(spark, built_once(spark, "index", [f"{sf_dir}/documents.parquet"], lambda path: write_index(chunk_view(spark, sf_dir), path)))
+    """The lexical index of all chunks, written at its first use in a session. No query looks substrings up in it: it has no
+    stored grams."""
+    return read_index(spark, built_once(spark, "index", [f"{sf_dir}/documents.parquet"], lambda path: write_index(chunk_view(spark, sf_dir), path, grams=False)), grams=False)
 
 
 def stored_graph(spark: SparkSession, sf_dir: str) -> ProximityGraph:

@@ -44,3 +44,12 @@ def test_a_single_batch_writes_no_index(spark, name, monkeypatch):
     rows = QUERIES[name](spark, SF)
     rows.collect()
     assert shared.BUILT == {}
+
+
+def test_an_index_without_stored_grams(spark, tmp_path):
+    chunks = spark.createDataFrame([("f", 1, "pdf", "cặp đôi chung"), ("f", 2, "xlsx", "chung đôi")], "file_id string, chunk_index long, file_type string, document string")
+    lexical.write_index(chunks, str(tmp_path / "i"), grams=False)
+    assert not (tmp_path / "i" / "grams").exists()
+    index = lexical.read_index(spark, str(tmp_path / "i"), grams=False)
+    assert sorted(map(tuple, lexical.sizes(index).collect())) == [("pdf", 1, 3, 3, 1), ("xlsx", 1, 2, 2, 1)]
+    assert [r["chunk_index"] for r in lexical.phrase_hits(index, spark.createDataFrame([(1, "p đôi")], "question_id long, phrase string")).collect()] == [1]
