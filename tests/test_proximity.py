@@ -37,3 +37,13 @@ def test_few_rows_and_none(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(7, 1, 0.707107, 1), (7, 2, 0.707107, 2)]
     write_graph(spark.createDataFrame([], "id long, embedding array<float>"), str(tmp_path / "none"))
     assert nearest(met_rows(read_graph(spark, str(tmp_path / "none")), questions)).collect() == []
+
+
+def test_groups_of_copies_are_left_again(spark, tmp_path):
+    """Each of 120 groups has more copies than a row has neighbours; links out of a group lead to the others."""
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(120, 16)), 30, axis=0) + rng.normal(size=(3600, 16)) * 0.01
+    write_graph(spark.createDataFrame(list(enumerate(x.tolist())), "id long, embedding array<float>"), str(tmp_path / "g"))
+    questions = spark.createDataFrame([(g, x[30 * g].tolist()) for g in range(0, 120, 4)], "question_id long, vector array<double>")
+    got = nearest(met_rows(read_graph(spark, str(tmp_path / "g")), questions)).collect()
+    assert sum(r["id"] // 30 == r["question_id"] for r in got) >= 0.9 * 300
