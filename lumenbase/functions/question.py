@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenbase.functions.text import DAY_NAMES, looked_up, normalize_question, normalize_search, sessions_in
+from lumenbase.functions.text import DAY_NAMES, looked_up, normalize_question, normalize_search, sessions_of
 
 #: What the single form of a day may be called, by code.
 SINGLE_DAYS = {"2": "hai|2", "3": "ba|3", "4": "tư|4", "5": "năm|5", "6": "sáu|6", "7": "bảy|7"}
@@ -38,18 +38,27 @@ def single_days(q: Column) -> Column:
     return strings(*[F.when(q.rlike(rf"(?U)\bthứ\s*(?:{names})\b"), F.lit(code)) for code, names in SINGLE_DAYS.items()])
 
 
-def days_in(q: Column) -> Column:
-    """A range that does not run backwards gives all its days; otherwise the single days."""
+def day_ends(q: Column) -> dict[str, Column]:
+    """The codes of the two days that a range names, as numbers; null without a range."""
 
     def code(group: int) -> Column:
-        token = F.regexp_extract(q, DAY_RANGE, group)
+        token = F.when(q.contains("thứ"), F.regexp_extract(q, DAY_RANGE, group))
         return F.coalesce(looked_up(DAY_NAMES, token), F.nullif(token, F.lit(""))).cast("int")
 
-    first, last = code(1), code(2)
+    return {"first": code(1), "last": code(2)}
+
+
+def days_between(q: Column, ends: dict[str, Column]) -> Column:
+    first, last = ends["first"], ends["last"]
     spread = F.transform(F.sequence(F.least(first, last), last), lambda d: d.cast("string"))
     return F.when((first <= last).eqNullSafe(True), spread).otherwise(single_days(q))
 
 
+def days_in(q: Column) -> Column:
+    """A range that does not run backwards gives all its days; otherwise the single days."""
+    return days_between(q, day_ends(q))
+
+
 def engine_periods(q: Column) -> Column:
     """'tiết a' or a range from a to b (b at most 20), 1 to 20, each once."""
     pattern = F.lit(r"(?U)\btiết\s*(\d+)(?:\s*(?:-|–|—|đến|tới)\s*(\d+))?")
@@ -58,9 +67,13 @@ def engine_periods(q: Column) -> Column:
     return F.array_distinct(F.filter(F.flatten(runs), lambda n: n.between(1, 20)))
 
 
-def counted(q: Column, words: str, most: int) -> Column:
-    """1 to N of 'có N tiết' and the like, N at most `most`; else empty."""
-    n = F.regexp_extract(q, rf"(?U)\b(?:{words})\s*(?:toàn bộ\s*)?(\d+)\s*tiết\b", 1).try_cast("int")
+def count_said(q: Column, words: str) -> Column:
+    """N of 'có N tiết' and the like; null without it."""
+    return F.when(q.contains("tiết"), F.regexp_extract(q, rf"(?U)\b(?:{words})\s*(?:toàn bộ\s*)?(\d+)\s*tiết\b", 1).try_cast("int"))
+
+
+def counted(n: Column, most: int) -> Column:
+    """1 to N, N at most `most`; else empty."""
     return F.when(n.between(1, most), F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(n, F.lit(most))))).otherwise(F.array().cast("array<int>"))
 
 
@@ -95,12 +108,21 @@ def parse_engine(text: Column, context: Column | None = None) -> Column:
     return engine_of(normalize_question(text), context)
 
 
-def engine_of(q: Column, context: Column | None = None) -> Column:
-    """parse_engine() of a text that is normalised already."""
-    named_class = F.upper(found(CLASS, q))
-    grade = F.when(named_class.isNull(), found(GRADE, q))
-    days, sessions = days_in(q), sessions_in(q)
-    periods = if_empty(engine_periods(q), counted(q, "cả|gồm|có|đủ|trong", 20))
+def engine_parts(q: Column) -> dict[str, Column]:
+    """What engine_of() reads more than once, first step."""
+    return {"class": F.upper(found(CLASS, q)), "named": engine_periods(q), "count": count_said(q, "cả|gồm|có|đủ|trong"), "sessions": sessions_of(q), **day_ends(q)}
+
+
+def engine_lists(q: Column, p: dict[str, Column]) -> dict[str, Column]:
+    """The second step."""
+    grade = F.when(p["class"].isNull(), found(GRADE, q))
+    return {"class": p["class"], "sessions": p["sessions"], "grade": grade, "days": days_between(q, p), "periods": if_empty(p["named"], counted(p["count"], 20))}
+
+
+def engine_of(q: Column, context: Column | None = None, lists: dict[str, Column] | None = None) -> Column:
+    """parse_engine() of a text that is normalised already; `lists`: its engine_lists(), where they are columns of their own."""
+    lists = engine_lists(q, engine_parts(q)) if lists is None else lists
+    named_class, grade, days, sessions, periods = (lists[k] for k in ("class", "grade", "days", "sessions", "periods"))
     said = {"class_name": named_class.isNotNull(), "grade": grade.isNotNull(), "days": has(days), "sessions": has(sessions), "periods": has(periods)}
     explicit = strings(*[F.when(c, F.lit(n)) for n, c in said.items()])
     if context is not None:
@@ -125,10 +147,9 @@ def routed_of(q: Column, has_context: Column | None = None) -> Column:
     return direct if has_context is None else direct | (has_context & q.rlike(CONTEXT_WORD))
 
 
-def chunk_class(q: Column) -> tuple[Column, Column]:
-    """(class, grade): the grade of the class if there is one, else the grade named."""
-    named = F.upper(found(CLASS, q))
-    return named, F.coalesce(found("^(6|7|8|9|10|11|12)A", named), found(GRADE, q))
+def chunk_grade(q: Column, named: Column) -> Column:
+    """The grade of the class if there is one, else the grade named."""
+    return F.coalesce(found("^(6|7|8|9|10|11|12)A", named), found(GRADE, q))
 
 
 def listed(q: Column, pattern: str) -> Column:
@@ -145,12 +166,20 @@ def parse_chunk_v1(text: Column) -> Column:
     return chunk_v1_of(normalize_search(text))
 
 
-def chunk_v1_of(q: Column) -> Column:
+def chunk_v1_parts(q: Column) -> dict[str, Column]:
+    return {"class": F.upper(found(CLASS, q))}
+
+
+def chunk_v1_lists(q: Column, p: dict[str, Column]) -> dict[str, Column]:
+    return p
+
+
+def chunk_v1_of(q: Column, lists: dict[str, Column] | None = None) -> Column:
     """parse_chunk_v1() of a text that is normalised already."""
-    named, grade = chunk_class(q)
+    named = (chunk_v1_parts(q) if lists is None else lists)["class"]
     session = F.when(q.rlike(r"(?U)\bsáng\b"), F.lit("S")).when(q.rlike(r"(?U)\bchiều\b"), F.lit("C"))
     periods = F.array_distinct(F.flatten(F.transform(listed(q, ",|và|&|- "), numbers)))
-    return F.struct(named.alias("class_name"), grade.alias("grade"), F.get(single_days(q), F.lit(0)).alias("day"), session.alias("session"), periods.alias("periods"))
+    return F.struct(named.alias("class_name"), chunk_grade(q, named).alias("grade"), F.get(single_days(q), F.lit(0)).alias("day"), session.alias("session"), periods.alias("periods"))
 
 
 def parse_chunk_v4(text: Column) -> Column:
@@ -158,11 +187,8 @@ def parse_chunk_v4(text: Column) -> Column:
     return chunk_v4_of(normalize_search(text))
 
 
-def chunk_v4_of(q: Column) -> Column:
-    """parse_chunk_v4() of a text that is normalised already."""
-    named, grade = chunk_class(q)
-    days = days_in(q)
-    session = F.when(q.rlike(r"(?U)\bsáng\b|\bb[uù]ổi\s+s[aá]ng\b"), F.lit("S")).when(q.rlike(r"(?U)\bchi[eề]u\b"), F.lit("C"))
+def chunk_v4_parts(q: Column) -> dict[str, Column]:
+    """What chunk_v4_of() reads more than once, first step."""
 
     def opened(group: Column) -> Column:
         """A pair joined by 'đến' or a dash is a range; a backward one holds nothing."""
@@ -171,12 +197,24 @@ def chunk_v4_of(q: Column) -> Column:
         pair = (F.size(n) == 2) & group.rlike("-|đến")
         return F.when(pair & (first > last), F.array().cast("array<int>")).when(pair, F.sequence(F.least(first, last), F.greatest(first, last))).otherwise(n)
 
-    named_periods = F.array_distinct(F.transform(F.flatten(F.transform(listed(q, ",|và|&|-|đến"), opened)), lambda n: n.cast("string")))
-    count = counted(q, "gồm|có|đủ|trong", 10)
+    named = F.array_distinct(F.transform(F.flatten(F.transform(listed(q, ",|và|&|-|đến"), opened)), lambda n: n.cast("string")))
+    return {"class": F.upper(found(CLASS, q)), "named": named, "count": count_said(q, "gồm|có|đủ|trong"), **day_ends(q)}
+
+
+def chunk_v4_lists(q: Column, p: dict[str, Column]) -> dict[str, Column]:
+    """The second step."""
+    return {"class": p["class"], "named": p["named"], "days": days_between(q, p), "count": counted(p["count"], 10)}
+
+
+def chunk_v4_of(q: Column, lists: dict[str, Column] | None = None) -> Column:
+    """parse_chunk_v4() of a text that is normalised already."""
+    lists = chunk_v4_lists(q, chunk_v4_parts(q)) if lists is None else lists
+    named, named_periods, days, count = (lists[k] for k in ("class", "named", "days", "count"))
+    session = F.when(q.rlike(r"(?U)\bsáng\b|\bb[uù]ổi\s+s[aá]ng\b"), F.lit("S")).when(q.rlike(r"(?U)\bchi[eề]u\b"), F.lit("C"))
     by_count = ~has(named_periods) & has(count)
     periods = if_empty(named_periods, F.transform(count, lambda n: n.cast("string")))
     day = F.when(F.size(days) == 1, days[0])
-    return F.struct(named.alias("class_name"), grade.alias("grade"), days.alias("days"), day.alias("day"), session.alias("session"), periods.alias("periods"), F.when(by_count, F.size(count)).alias("period_count"))
+    return F.struct(named.alias("class_name"), chunk_grade(q, named).alias("grade"), days.alias("days"), day.alias("day"), session.alias("session"), periods.alias("periods"), F.when(by_count, F.size(count)).alias("period_count"))
 
 
 def parse_question(text: Column, dialect: str = "engine", context: Column | None = None) -> Column:
@@ -186,9 +224,15 @@ def parse_question(text: Column, dialect: str = "engine", context: Column | None
 
 
 def with_parsed(df: DataFrame, dialect: str = "engine", text: str = "question", context: Column | None = None, name: str = "q") -> DataFrame:
-    """df with the parsed text. The normalised text is a column of its own for the time, so that it is made once a row."""
-    if dialect == "engine":
-        norm, parse = normalize_question(F.col(text)), engine_of(F.col("normalised"), context)
-    else:
-        norm, parse = normalize_search(F.col(text)), {"chunk_v1": chunk_v1_of, "chunk_v4": chunk_v4_of}[dialect](F.col("normalised"))
-    return df.withColumn("normalised", norm).withColumn(name, parse).drop("normalised")
+    """df with the parsed text. The normalised text, and what the parser reads more than once, are columns of their own for the
+    time, so that each pattern is sought once a row: within one expression, branches would seek it again and again."""
+    parts, lists, parse = {"engine": (engine_parts, engine_lists, engine_of), "chunk_v1": (chunk_v1_parts, chunk_v1_lists, chunk_v1_of), "chunk_v4": (chunk_v4_parts, chunk_v4_lists, chunk_v4_of)}[dialect]
+    q = F.col("normalised")
+    out = df.withColumn("normalised", (normalize_question if dialect == "engine" else normalize_search)(F.col(text)))
+    steps = {}
+    for k, step in enumerate((parts, lists)):
+        made = step(q, steps) if k else step(q)
+        steps = {part: F.col(f"said_{k}_{part}") for part in made}
+        out = out.select(*df.columns, "normalised", *[c.alias(f"said_{k}_{part}") for part, c in made.items()])
+    parsed = parse(q, context, steps) if dialect == "engine" else parse(q, steps)
+    return out.withColumn(name, parsed).select(*[c for c in df.columns if c != name], name)

@@ -149,7 +149,11 @@ def sheet_session(c: Column) -> Column:
 
 def sessions_in(c: Column) -> Column:
     """Sessions that a question names, morning first; a bare s or c counts only if it is all there is."""
-    q = normalize_question(c)
+    return sessions_of(normalize_question(c))
+
+
+def sessions_of(q: Column) -> Column:
+    """sessions_in() of a text that is normalised already."""
     named = F.filter(F.array(F.when(q.rlike(r"(?U)\bs[aá]ng\b"), F.lit("S")), F.when(q.rlike(r"(?U)\bchi[eề]u\b"), F.lit("C"))), lambda x: x.isNotNull())
     return F.when(F.size(named) > 0, named).when(q.isin("s", "c"), F.array(F.upper(q))).otherwise(named)
 

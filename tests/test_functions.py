@@ -95,3 +95,13 @@ def test_follow_ups_inherit(spark):
     rows = spark.createDataFrame([(1, "còn tiết 3 thì sao", known), (2, "còn buổi chiều?", known), (3, "thế còn thứ 3 thì sao", known), (4, "tiết 3", None), (5, "tkb tiết 3", known)], ddl)
     got = [r["q"] for r in rows.select("n", P.parse_engine(F.col("v"), F.col("c")).alias("q")).orderBy("n").collect()]
     assert [(q["class_name"], q["days"], q["sessions"], q["periods"]) for q in got] == [("10A1", ["2"], ["S"], [3]), ("10A1", ["2"], ["C"], []), (None, ["3"], [], []), (None, [], [], [3]), (None, [], [], [3])]
+
+
+@pytest.mark.parametrize("dialect", ["engine", "chunk_v4"])
+def test_each_pattern_is_sought_once_a_row(spark, dialect):
+    rows = P.with_parsed(spark.createDataFrame([(1, "lớp 10A1 thứ hai đến thứ tư tiết 1-3 buổi sáng"), (2, None)], "n int, question string"), dialect).select("n", "q.*")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(x) for x in (r"A\d+)\b", "toàn bộ")] == [1, 1]
+    got = {r["n"]: r for r in rows.collect()}
+    assert got[1]["class_name"] == "10A1" and got[1]["days"] == ["2", "3", "4"] and got[2]["days"] == []
+    assert got[1]["periods"] == ([1, 2, 3] if dialect == "engine" else ["1"])  # the other dialect's text has no dash
