@@ -54,8 +54,9 @@ def document_rank(semantic: DataFrame, lexical: DataFrame, top: int = DOCUMENT_T
     return docs.withColumn("document_rank", F.row_number().over(order)).where(F.col("document_rank") <= top)
 
 
-def document_first_evidence(vectors: DataFrame, index: LexicalIndex, questions: DataFrame, semantic: DataFrame, lexical: DataFrame, top: int = FINAL_TOP) -> DataFrame:
-    """The evidence rows of each question. vectors: KEY, document, embedding of the prose chunks; index: their lexical
+def document_first_evidence(vectors: DataFrame, index: LexicalIndex, questions: DataFrame, semantic: DataFrame, lexical: DataFrame, top: int = FINAL_TOP, texts: DataFrame | None = None) -> DataFrame:
+    """The evidence rows of each question. vectors: KEY, document, embedding of the prose chunks; texts: KEY, document, where the
+    texts lie apart from the vectors, so that only the texts of the evidence are moved and not all to their vectors; index: their lexical
     index; questions: question_id, question, vector; semantic, lexical: the corpus-wide hit lists. The keys of the chosen
     documents' chunks are written once, for three steps read them, and so are the evidence's, before their texts are joined."""
     docs = document_rank(semantic, lexical)
@@ -78,7 +79,7 @@ def document_first_evidence(vectors: DataFrame, index: LexicalIndex, questions:
     best = best.withColumn("global_rrf_score", F.round(whole, PLACES))
     best = best.withColumn("final_score", F.round(2 * F.col("global_rrf_score") + F.col("rrf_score") + 0.02 / F.col("document_rank"), PLACES))
     rows = kept(gated(best, top), "evidence")  # a few rows a question; only now their texts
-    return vectors.select(*KEY, "document").join(rows, list(KEY)).select("question_id", *KEY, "document", *[c for c in rows.columns if c not in ("question_id", *KEY)])
+    return (vectors if texts is None else texts).select(*KEY, "document").join(rows, list(KEY)).select("question_id", *KEY, "document", *[c for c in rows.columns if c not in ("question_id", *KEY)])
 
 
 def gated(kept: DataFrame, top: int) -> DataFrame:

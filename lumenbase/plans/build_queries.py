@@ -15,7 +15,7 @@ from lumenbase.plans import search_queries as Q
 from lumenbase.plans import sql as S
 from lumenbase.plans import timetable_queries as H
 from lumenbase.plans.registry import query
-from lumenbase.plans.views import BLOCKS, LESSONS, SCHOOL, block_view, cell_view, lesson_view, questions, table, vector_view
+from lumenbase.plans.views import BLOCKS, LESSONS, SCHOOL, block_view, cell_view, chunk_view, lesson_view, questions, table, vector_view
 from lumenbase.sources.shared import built_once, kept
 from lumenbase.sources.tables import embedded, read_jsonl, read_vectors, write_jsonl, write_vectors
 from lumenbase.sources.tables import flat_metadata as flat
@@ -121,11 +121,11 @@ def jsonl_scan(spark, sf_dir):
 
 def retrieve(spark, sf_dir):
     """Document-first evidence for a batch of questions with vectors."""
-    vectors, index = vector_view(spark, sf_dir), Q.prose(spark, sf_dir)
+    vectors, chunks, index = vector_view(spark, sf_dir), chunk_view(spark, sf_dir), Q.prose(spark, sf_dir)
 
     def run(asked):
         semantic, lexical = kept(X.semantic_hits(vectors, asked), "semantic"), kept(B.lexical_hits(index, asked), "lexical")
-        rows = R.document_first_evidence(vectors.where(F.col("file_type").isin(*X.PROSE)), index, asked, semantic, lexical)
+        rows = R.document_first_evidence(vectors.where(F.col("file_type").isin(*X.PROSE)), index, asked, semantic, lexical, texts=chunks)
         return rows.select("question_id", "rank", F.col("file_id").alias("source"), "document")
 
     return run

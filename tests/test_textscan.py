@@ -53,3 +53,11 @@ def test_an_index_without_stored_grams(spark, tmp_path):
     index = lexical.read_index(spark, str(tmp_path / "i"), grams=False)
     assert sorted(map(tuple, lexical.sizes(index).collect())) == [("pdf", 1, 3, 3, 1), ("xlsx", 1, 2, 2, 1)]
     assert [r["chunk_index"] for r in lexical.phrase_hits(index, spark.createDataFrame([(1, "p đôi")], "question_id long, phrase string")).collect()] == [1]
+
+
+def test_texts_of_evidence_come_without_the_vectors(spark):
+    """The last step reads texts and the evidence's keys; no join of all texts with all vectors is left in it."""
+    from lumenbase.plans.search_queries import evidence
+
+    files = evidence(spark, "/root/testdata/sf0.001").inputFiles()
+    assert any("documents" in f for f in files) and not any("embeddings" in f for f in files)
