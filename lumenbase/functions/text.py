@@ -21,6 +21,8 @@ DAY_NAMES = {
 SESSION_DISPLAY = {"S": "Sáng", "C": "Chiều"}
 EMPTY_SLOT = "[TRỐNG]"
 CLASS_NAME = "(?:6|7|8|9|10|11|12)A[0-9]+"
+#: What (?U)\s matches.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def as_map(values: dict[str, str]) -> Column:
@@ -32,8 +34,8 @@ def looked_up(values: dict[str, str], key: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """White space of any kind off both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """White space of any kind off both ends. Trimmed, for a pattern would look at every character between the ends."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def one_space(c: Column) -> Column:
@@ -75,10 +77,10 @@ def normalize_question(c: Column) -> Column:
 
 
 def normalize_search(c: Column) -> Column:
-    """As normalize_question, but with a space for each run of what is no letter, digit or underscore; one space may be left
-    at either end. ASCII texts take the quicker classes."""
-    text = straight_quotes(strip(F.lower(nfc(c))))
-    return F.when(c.rlike("[^\\x00-\\x7f]"), F.regexp_replace(text, r"(?U)[[^\wÀ-ỹđĐ]\u1680]+", " ")).otherwise(F.regexp_replace(text, r"\W+", " "))
+    """As normalize_question, but with a space for each run of what is no letter, digit or underscore, quotes too; one space may
+    be left at either end. ASCII texts take the quicker classes."""
+    wide = F.regexp_replace(strip(F.lower(nfc(c))), r"(?U)[[^\wÀ-ỹđĐ]\u1680]+", " ")
+    return F.when(c.rlike("[^\\x00-\\x7f]"), wide).otherwise(F.regexp_replace(strip(F.lower(c)), r"\W+", " "))
 
 
 def tokens(c: Column) -> Column:

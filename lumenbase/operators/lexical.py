@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from lumenbase.functions.text import normalize_search, tokens, tokens_of
 from lumenbase.operators.grams import GramIndex, dictionary_of, gram_rows, holding, part_of, read_grams, write_grams
 from lumenbase.operators.search import KEY, PLACES, SLACK, by_batches, ranked
-from lumenbase.operators.textscan import TextScan, holding_texts, matched_rows
+from lumenbase.operators.textscan import TextScan, holding_texts, matched_rows, term_counts
 from lumenbase.sources.shared import kept
 
 K1, B = 1.5, 0.75
@@ -144,8 +144,7 @@ def sizes(index: LexicalIndex) -> DataFrame:
 def corpus_stats(index: LexicalIndex | TextScan) -> DataFrame:
     """n_chunks, avg_terms: one row. Chunks without a term count."""
     if isinstance(index, TextScan):
-        n_terms = F.size(tokens_of(F.col("norm"))).alias("n_terms")
-        return index.rows.select(n_terms).agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("n_terms").alias("avg_terms"))
+        return term_counts(index).agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("n_terms").alias("avg_terms"))
     return index.stats.agg(F.sum("n_chunks").alias("n_chunks"), (F.sum("n_terms") / F.sum("n_chunks")).alias("avg_terms"))
 
 

@@ -61,3 +61,30 @@ def test_texts_of_evidence_come_without_the_vectors(spark):
 
     files = evidence(spark, "/root/testdata/sf0.001").inputFiles()
     assert any("documents" in f for f in files) and not any("embeddings" in f for f in files)
+
+
+def test_latin_texts_are_normalised_as_arrays_of_bytes(spark):
+    """What a scan makes of texts, terms and counts, equals the Column expressions."""
+    from pyspark.sql import functions as F
+
+    from lumenbase.functions.text import STOPWORDS, normalize_search, tokens_of
+    from lumenbase.operators.textscan import bytes_of, normalised, read_once
+
+    rng = random.Random(8)
+    latin = [chr(c) for c in range(1, 0x180)]
+    mixed = [*latin, *" \t\n\xa0 ’`'ẮđĐΣİ́ 😀" * 6]
+    words = ["été", "straße", "überaus_lang1", "überaus_lang2", "ab", "x", *STOPWORDS[:3], "đôi", "abcdefgh", "abcdefghi"]
+    texts = [f"{a}{c}b {c}x{c}" for c in latin for a in ("", "a", " ", "Ω")] + [None, "", " ", "É", "É-é"]
+    texts += ["".join(rng.choice(pool) for _ in range(rng.randrange(14))) for pool in (latin, mixed) for _ in range(1500)]
+    texts += [rng.choice([" ", "\n", "!"]).join(rng.choice([*words, "ÉTÉ", "Đôi"]) for _ in range(rng.randrange(12))) for _ in range(500)]
+    rows = spark.createDataFrame([("f", i, "pdf", t) for i, t in enumerate(texts)], "file_id string, chunk_index long, file_type string, document string")
+    scan = text_scan(rows)
+    want = {r[0]: r[1:] for r in rows.select("chunk_index", normalize_search(F.col("document")).alias("n")).select("chunk_index", "n", tokens_of(F.col("n")).alias("t")).collect()}
+    got = {r["chunk_index"]: r["text"] for r in scan.rows.collect()}
+    data, offsets = normalised(*bytes_of(pa.array([got[i] for i in range(len(texts))])))
+    assert [data[a:b].tobytes().decode() for a, b in zip(offsets, offsets[1:], strict=False)] == [want[i][0] or "" for i in range(len(texts))]
+    seen = {r["chunk_index"]: r for r in read_once(scan.rows, {5: "b é"}, words).collect()}
+    for i, (norm, terms) in want.items():
+        assert seen[i]["n_terms"] == (None if terms is None else len(terms))
+        assert {h["term"]: h["tf"] for h in seen[i]["hits"]} == {w: terms.count(w) for w in words if terms and w in terms}
+        assert seen[i]["held"] == ([5] if norm and "b é" in norm else [])
