@@ -67,7 +67,8 @@ def letter(name: str, parts: pd.DataFrame) -> bytes:
 
 
 def write_files(rows: DataFrame, root: str, order: str, build: Callable[[str, pd.DataFrame], bytes]) -> None:
-    """A file below root for each value of `file`, whose rows are few, written by the task that has them."""
+    """A file below root for each value of `file`, whose rows are few, written by the task that has them. Rows are dealt over as
+    many tasks as a shuffle has: they are little to move, and much to write."""
 
     def put(group: pd.DataFrame) -> pd.DataFrame:
         name = group.file.iloc[0]
@@ -78,7 +79,8 @@ def write_files(rows: DataFrame, root: str, order: str, build: Callable[[str, pd
             out.write(data)
         return pd.DataFrame({"size": [len(data)]})
 
-    rows.groupBy("file").applyInPandas(put, "size long").agg(F.sum("size")).collect()
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartition(tasks, "file").groupBy("file").applyInPandas(put, "size long").agg(F.sum("size")).collect()
 
 
 @query(f"""WITH numbered AS (SELECT 'orders/w' || CAST(o_orderkey // {ORDERS} AS VARCHAR) || '.xlsx' AS file, *, CAST(row_number() OVER (PARTITION BY o_orderkey // {ORDERS} ORDER BY o_orderkey) AS INTEGER) AS n FROM orders),
@@ -97,10 +99,10 @@ def office_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells and merged ranges of workbooks and blocks of letters from one scan. The files are made of all orders and parts."""
     root = new_path(spark, "office")
     name = lambda folder, key, rows, suffix: F.concat(F.lit(folder), F.floor(F.col(key) / rows).cast("string"), F.lit(suffix)).alias("file")
-    write_files(table(spark, sf_dir, "orders").select(name("orders/w", "o_orderkey", ORDERS, ".xlsx"), "*"), root, "o_orderkey", workbook)
-    write_files(table(spark, sf_dir, "part").select(name("parts/d", "p_partkey", PARTS, ".docx"), "*"), root, "p_partkey", letter)
-    rows = scan.scan(spark, root, required="true")
-    wanted = rows.where(F.col("kind").isin("cell", "merged", "block", "error") & ~((F.col("kind") == "block") & (F.col("file_type") == "xlsx")))
+    write_files(table(spark, sf_dir, "orders").select(name("orders/w", "o_orderkey", ORDERS, ".xlsx"), "o_orderkey", "o_orderpriority", "o_totalprice", "o_orderdate", "o_orderstatus"), root, "o_orderkey", workbook)
+    write_files(table(spark, sf_dir, "part").select(name("parts/d", "p_partkey", PARTS, ".docx"), "p_partkey", "p_name", "p_type", "p_brand", "p_size"), root, "p_partkey", letter)
+    rows = scan.scan(spark, root, required="true", rowblocks="false")
+    wanted = rows.where(F.col("kind").isin("cell", "merged", "block", "error"))
     return wanted.select("kind", "relative_path", "section", "block_index", "sheet", "row", "col", "last_row", "last_col", F.coalesce("value", "text", "error").alias("value"))
 
 

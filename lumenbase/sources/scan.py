@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from datetime import datetime
+from itertools import islice
 from zipfile import BadZipFile
 
 import pyarrow as pa
@@ -28,6 +29,8 @@ from lumenbase.sources.office import ANY_BLOCKS, SUFFIXES, docx_blocks, row_bloc
 FILE = ("file_id", "source", "relative_path", "file_type", "size_bytes", "modified")
 BLOCK = tuple(part.split()[0] for part in ANY_BLOCKS.split(", "))
 DDL = f"kind string, file_id string, source string, relative_path string, file_type string, size_bytes long, modified timestamp, error string, {ANY_BLOCKS}, col int, value string, last_row int, last_col int"
+#: The columns that a file's rows differ in; a row of a file is a tuple of them.
+OWN = ("kind", "error", *BLOCK, "col", "value", "last_row", "last_col")
 ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "timestamp": pa.timestamp("us", "UTC")}
 SCHEMA = pa.schema([(name, ARROW[kind]) for name, kind in (part.split() for part in DDL.split(", "))])
 KINDS = ("file", "block", "cell", "merged", "error")
@@ -90,37 +93,44 @@ def dealt(files: Iterable[Found], most: int, opening: int) -> list[Files]:
     return [Files(x) for x in out]
 
 
-def rows_of(f: Found, data, kinds: set[str]) -> Iterator[dict]:
-    """What a file holds of the kinds, in one pass."""
+def own(**values) -> tuple:
+    return tuple(values.get(name) for name in OWN)
+
+
+def block_rows(blocks: Iterable[tuple]) -> Iterator[tuple]:
+    for row in blocks:
+        yield "block", None, *row, *[None] * (len(BLOCK) - len(row)), None, None, None, None
+
+
+def rows_of(f: Found, data, kinds: set[str], row_blocks: bool = True) -> Iterator[tuple]:
+    """What a file holds of the kinds, in one pass, as tuples of OWN; without row_blocks, workbooks give no blocks."""
     if f.file_type in ("docx", "xlsx", "xlsm") and f.size_bytes < END_RECORD:
         raise BadZipFile("File is not a zip file")
     if f.file_type == "docx":
-        for row in docx_blocks(data) if "block" in kinds else ():
-            yield {"kind": "block", **dict(zip(BLOCK, row, strict=False))}
+        yield from block_rows(docx_blocks(data) if "block" in kinds else ())
     elif f.file_type in ("xlsx", "xlsm"):
-        index = 0
+        index, blank = 0, own()
+        before, between = blank[2 : OWN.index("sheet")], blank[OWN.index("row") + 1 : OWN.index("col")]
         for sheet, cells, merged in xlsx_parts(data):
             if merged and "merged" in kinds:
-                yield {"kind": "merged", "sheet": sheet, **dict(zip(("row", "col", "last_row", "last_col"), merged, strict=True))}
+                yield own(kind="merged", sheet=sheet, **dict(zip(("row", "col", "last_row", "last_col"), merged, strict=True)))
             for r, c, v in cells if "cell" in kinds else ():
-                yield {"kind": "cell", "sheet": sheet, "row": r, "col": c, "value": v}
-            if "block" in kinds and (block := row_block(sheet, cells)):
-                yield {"kind": "block", **dict(zip(BLOCK, (index, *block), strict=True))}
+                yield "cell", None, *before, sheet, r, *between, c, v, None, None
+            if row_blocks and "block" in kinds and (block := row_block(sheet, cells)):
+                yield from block_rows([(index, *block)])
                 index += 1
     else:
         raise ValueError("no extractor for pdf" if f.file_type == "pdf" else f"Unsupported file type: .{f.file_type}")
 
 
-def batches_of(rows: Iterable[dict], f: Found, size: int = 4096) -> Iterator[pa.RecordBatch]:
-    told = {name: getattr(f, name) for name in FILE}
-    held: list[dict] = []
-    for row in rows:
-        held.append(told | row)
-        if len(held) == size:
-            yield pa.RecordBatch.from_pylist(held, SCHEMA)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_pylist(held, SCHEMA)
+def batches_of(rows: Iterable[tuple], f: Found, size: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Batches of a file's rows; what is the same in all of them isn't held row by row."""
+    rows, told = iter(rows), {name: pa.scalar(getattr(f, name), SCHEMA.field(name).type) for name in FILE}
+    while held := list(islice(rows, size)):
+        columns = {name: pa.repeat(value, len(held)) for name, value in told.items()}
+        for name, values in zip(OWN, zip(*held, strict=True), strict=True):
+            columns[name] = pa.array(values, SCHEMA.field(name).type)
+        yield pa.RecordBatch.from_arrays([columns[name] for name in SCHEMA.names], schema=SCHEMA)
 
 
 class OfficeReader(DataSourceReader):
@@ -129,7 +139,8 @@ class OfficeReader(DataSourceReader):
         self.every = options.get("every", "false").lower() == "true"
         self.required = options.get("required", "false").lower() == "true"
         self.most = int(options.get("partitionbytes", 16 << 20))
-        self.opening = int(options.get("openbytes", 1 << 20))
+        self.opening = int(options.get("openbytes", 1 << 18))
+        self.row_blocks = options.get("rowblocks", "true").lower() == "true"
         self.kinds = set(KINDS)
         self.tests: list[tuple[str, tuple | str]] = []  # (attribute, values or the beginning of one)
 
@@ -150,14 +161,14 @@ class OfficeReader(DataSourceReader):
     def read(self, partition: Files | None) -> Iterator[pa.RecordBatch]:
         for f in partition.files if partition else ():  # without any file, Spark still reads once
             if "file" in self.kinds:
-                yield from batches_of([{"kind": "file"}], f)
+                yield from batches_of([own(kind="file")], f)
             if self.kinds <= {"file"}:
                 continue
             try:
                 with self.opened(f) as data:
-                    whole = list(batches_of(rows_of(f, data, self.kinds), f))
+                    whole = list(batches_of(rows_of(f, data, self.kinds, self.row_blocks), f))
             except Exception as e:  # noqa: BLE001  any fault of one file is recorded, and the others go on
-                whole = list(batches_of([{"kind": "error", "error": f"{type(e).__name__}: {e}"}], f)) if "error" in self.kinds else []
+                whole = list(batches_of([own(kind="error", error=f"{type(e).__name__}: {e}")], f)) if "error" in self.kinds else []
             yield from whole
 
 
@@ -178,7 +189,7 @@ class PruningReader(OfficeReader):
 
 class OfficeSource(DataSource):
     """Options: path; every (files of other kinds too, each an error); required (no file at all is an error); partitionBytes and
-    openBytes, the sizes by which files are dealt; pruning, that the session answers filters (scan() sets it)."""
+    openBytes, the sizes by which files are dealt; rowBlocks (false: rows of workbooks give cells alone, no blocks); pruning, that the session answers filters (scan() sets it)."""
 
     @classmethod
     def name(cls) -> str:

@@ -147,3 +147,10 @@ def test_an_empty_table_is_clustered(spark, tmp_path):
     clustered.write_clustered(rows.limit(0), str(tmp_path / "none"), "file_id", "n", buckets=2)
     stored = clustered.read_clustered(spark, str(tmp_path / "none"))
     assert stored.rows.count() == clustered.lookup(stored, ["hot"]).count() == 0
+
+
+def test_rows_of_workbooks_without_blocks(folder, spark):
+    """Where only cells are asked for, no row of a workbook is put together as a block; all else stays."""
+    every, bare = (scan.scan(spark, folder, **options).select("kind", "relative_path", "row", "col", "value", "text") for options in ({}, {"rowblocks": "false"}))
+    want = [r for r in every.collect() if r["kind"] != "block" or not r["relative_path"].lower().endswith("xlsx")]
+    assert sorted(map(str, bare.collect())) == sorted(map(str, want)) and len(want) < every.count()
