@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -81,8 +82,13 @@ def answered(asked: dict, slots: dict[str, list[tuple]]) -> int:
 
 
 def fold(rows: pd.DataFrame, context: dict, slots: dict[str, list[tuple]]) -> Iterator[tuple]:
+    """folded() of a frame's rows."""
+    return folded(rows.sort_values("pos").to_dict("records"), context, slots)
+
+
+def folded(turns: list[dict], context: dict, slots: dict[str, list[tuple]]) -> Iterator[tuple]:
     """Turns in order: a reset clears the context; a question inherits, is answered, and on success changes the context."""
-    for r in rows.sort_values("pos").to_dict("records"):
+    for r in turns:
         if r["is_reset"]:
             context.clear()
             found = 0
@@ -98,6 +104,8 @@ def fold(rows: pd.DataFrame, context: dict, slots: dict[str, list[tuple]]) -> It
 
 
 FOLDED_COLUMNS = [part.split()[0] for part in FOLDED.split(", ")]
+FOLDED_TYPES = [{"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[part.split()[1]] for part in FOLDED.split(", ")]
+TURN = ("pos", "is_reset", "follows", "timetable_word", *CONTEXT)
 
 
 def counted_slots(lessons: DataFrame) -> DataFrame:
@@ -108,23 +116,41 @@ def counted_slots(lessons: DataFrame) -> DataFrame:
     return named.groupBy("name", "d", "s", "p").agg(F.count(F.lit(1)).alias("n"))
 
 
+def named_slots(lessons: DataFrame) -> DataFrame:
+    """name and its counted slots, as an array."""
+    return counted_slots(lessons).groupBy("name").agg(F.collect_list(F.struct(*"dspn")).alias("slots"))
+
+
 def slots_of(turns: DataFrame, lessons: DataFrame) -> DataFrame:
-    """session_id and the counted slots of every class and grade that a session names. A context holds only what its session
-    said, so no turn can ask for others."""
+    """session_id and, as an array, the names and counted slots of every class and grade that the session says and the timetable
+    has. A context holds only what its session said, so no turn can ask for others."""
     named = turns.select("session_id", F.explode(F.array("class_name", "grade")).alias("name")).where("name is not null").distinct()
-    return named.join(counted_slots(lessons), "name").select("session_id", "name", "d", "s", "p", "n")
+    return named.join(named_slots(lessons), "name").groupBy("session_id").agg(F.collect_list(F.struct("name", "slots")).alias("told"))
 
 
 def fold_sessions(turns: DataFrame, lessons: DataFrame) -> DataFrame:
     """One row a turn with the context after it. turns: session_id, pos, is_reset, follows, timetable_word and the parsed
     fields; lessons: class_name, grade, day, session, period. Whether a turn succeeds decides what the next one inherits,
-    so a session is folded in order, together with the slots that its classes and grades have."""
-
-    def run(key: tuple, rows: pd.DataFrame, slots: pd.DataFrame) -> pd.DataFrame:
-        by_name = {n: list(zip(g["d"], g["s"], g["p"], g["n"], strict=True)) for n, g in slots.groupby("name")}
-        return pd.DataFrame(list(fold(rows, {}, by_name)), columns=FOLDED_COLUMNS)
-
-    return turns.groupBy("session_id").cogroup(slots_of(turns, lessons).withColumn("of", F.concat("session_id", F.lit(""))).drop("session_id").groupBy("of")).applyInPandas(run, FOLDED)
+    so a session is folded in order, as one row with its turns and the slots that its classes and grades have; many sessions come
+    in a batch, for which a name's slots are read once."""
+    said = F.array_sort(F.collect_list(F.struct("pos", *(c for c in TURN if c != "pos"))))
+    rows = turns.groupBy(F.col("session_id").alias("of")).agg(said.alias("turns"))
+    rows = rows.join(slots_of(turns, lessons), F.col("of").eqNullSafe(F.col("session_id")), "left").select(F.col("of").alias("session_id"), "turns", "told")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            told = b.column("told").flatten()
+            first = {}
+            for i, name in enumerate(told.field("name").to_pylist()):
+                first.setdefault(name, i)
+            slots = {name: [tuple(x.values()) for x in told.field("slots")[i].as_py()] for name, i in first.items()}
+            out = []
+            for session, said in zip(b.column("session_id").to_pylist(), b.column("turns"), strict=True):
+                out += folded([{"session_id": session} | turn for turn in said.as_py()], {}, slots)
+            columns = zip(*out, strict=True) if out else [[] for _ in FOLDED_COLUMNS]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, FOLDED_TYPES, strict=True)], names=FOLDED_COLUMNS)
+
+    return rows.mapInArrow(run, FOLDED)
 
 
 MESSAGE = "pos int, role string, content string"
