@@ -141,12 +141,12 @@ def sheet_chunks(records: DataFrame, blocks: DataFrame) -> DataFrame:
     block = F.coalesce("own", "first")
     extra = F.struct("sheet", "row_start", "row_end", "day", "session", "class_name", "grade", F.array_join("periods", ",").alias("periods"))
     joined = records.join(own, ["file_id", "sheet", "row_start"], "left").join(first, "file_id")
-    return joined.select("file_id", (F.col("n") - 1).alias("n"), F.array(block["block_index"]).alias("block_indexes"), F.array(block["block_type"]).alias("block_types"), "text", extra.alias("extra"))
+    return joined.select("file_id", (F.col("n") - 1).alias("n"), F.array(block["block_index"]).alias("block_indexes"), F.array(block["block_type"]).alias("block_types"), clean_text(F.col("text")).alias("text"), extra.alias("extra"))
 
 
 def make_chunks(pieces: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The chunk table (schemas.CHUNKS) from pieces (file_id, n, block_indexes, block_types, text, and extra if they add to the
-    place): numbered from 0 in each file, with the blocks' ids, and the place of the first block, extended by what is extra."""
+    """The chunk table (schemas.CHUNKS) from pieces (file_id, n, block_indexes, block_types, text, which is clean, and extra if they
+    add to the place): numbered from 0 in each file, with the blocks' ids, and the place of the first block, extended by what is extra."""
     first = blocks.select("file_id", F.col("block_index").alias("at"), "source", "relative_path", "file_type", "location")
     joined = renumbered(pieces, "file_id", "n").withColumn("at", F.col("block_indexes")[0]).join(first, ["file_id", "at"])
     own = {f: F.col(f"location.{f}") for f in ("page", "section", "item_index", "style", "table_number", "sheet", "row")}
@@ -155,7 +155,7 @@ def make_chunks(pieces: DataFrame, blocks: DataFrame) -> DataFrame:
     if "extra" in pieces.columns:
         own["sheet"] = F.coalesce("extra.sheet", "location.sheet")
     location = F.struct(*[c.alias(f) for f, c in own.items()], *[c.cast(kinds.get(f, "string")).alias(f) for f, c in more.items()])
-    named = joined.withColumn("text", clean_text(F.col("text"))).withColumn("place", location)
+    named = joined.withColumn("place", location)
     return named.select(
         numbered_id(F.col("file_id"), "c", F.col("chunk_index")).alias("id"), "file_id", "source", "relative_path", "file_type", "chunk_index",
         F.transform("block_indexes", lambda i: numbered_id(F.col("file_id"), "b", i)).alias("block_ids"), F.array_sort(F.array_distinct("block_types")).alias("block_types"),

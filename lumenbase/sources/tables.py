@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,20 +40,16 @@ def flat_metadata(chunks: DataFrame) -> DataFrame:
 
 
 def hashed_embedding(texts: pd.Series, dim: int = 64) -> pd.Series:
-    """A unit vector from hashed words: a stand-in for a trained encoder, the same on every machine."""
-    import zlib
-
-    import numpy as np
-
-    def one(text: str | None) -> list[float]:
-        v = np.zeros(dim)
-        for w in (text or "").lower().split():
-            h = zlib.crc32(w.encode())
-            v[h % dim] += 1 if h & 65536 else -1
-        n = np.linalg.norm(v)
-        return (v / n if n else v).astype("float32").tolist()
-
-    return texts.map(one)
+    """A unit vector from hashed words: a stand-in for a trained encoder, the same on every machine. The words of all texts are
+    hashed and summed together."""
+    words = [" ".join((text or "").lower().split()).encode() for text in texts]
+    words = [w.split(b" ") if w else [] for w in words]
+    counts = np.array([len(w) for w in words], np.int64)
+    h = np.fromiter(map(zlib.crc32, chain.from_iterable(words)), np.int64, counts.sum())
+    at = np.repeat(np.arange(len(words)), counts) * dim + h % dim
+    v = np.bincount(at, np.where(h & 65536, 1.0, -1.0), len(words) * dim).reshape(-1, dim)
+    n = np.sqrt((v * v).sum(1, keepdims=True))
+    return pd.Series(list((v / np.where(n, n, 1)).astype(np.float32)), index=texts.index, dtype=object)
 
 
 def embedded(rows: DataFrame, encode: Callable[[pd.Series], pd.Series] = hashed_embedding) -> DataFrame:
