@@ -103,7 +103,7 @@ def token_pieces(docs: DataFrame, path: str, size: int, id_col: str, text_col: s
         enc = encoder(path)
         for b in batches:
             rows = []
-            for doc, ids in zip(b.column(0).to_pylist(), enc.encode_all(t for _, t in pairs(b)), strict=True):
+            for doc, ids in zip(b.column(0).to_pylist(), enc.encode_all(b.column(1)), strict=True):
                 ids += end
                 rows += [(doc, k, k * size, min(size, len(ids) // 4 - k * size), zlib.crc32(ids[4 * k * size : 4 * (k + 1) * size])) for k in range(-(-len(ids) // (4 * size)))]
             yield batch_of(schema, [list(c) for c in zip(*rows, strict=True)] or [[]] * 5)

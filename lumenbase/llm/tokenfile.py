@@ -160,7 +160,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
             return batch_of(schema, [[part], [docs_in[0]], [len(docs_in)], [held // 4], [write_shard(docs_in, ids_in)]])
 
         for b in batches:
-            for doc, ids in zip(b.column(0).to_pylist(), enc.encode_all(t for _, t in pairs(b)), strict=True):
+            for doc, ids in zip(b.column(0).to_pylist(), enc.encode_all(b.column(1)), strict=True):
                 docs_in.append(doc)
                 ids_in.append(ids + end)
                 held += len(ids_in[-1])

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -102,3 +103,29 @@ def test_rows_over_several_tasks_and_shards(spark, docs):
         assert start == at
         at += n
     assert [r[0] for r in got] == list(range(300))
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_a_batch_asks_the_model_once_for_each_word(monkeypatch, name):
+    enc, asked = TextEncoder(tokenizer_file(name)), []
+    learn = enc.learn
+    monkeypatch.setattr(enc, "learn", lambda parts: (asked.extend(parts), learn(parts)))
+    texts = ["so Größe Größe. Größe, Größe$$$ Größe.\nund Größe!!", None, "so Größe.", "", "und Größe%%%\tso Größe"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in enc.encode_all(pa.array(texts))]
+    assert got == [enc.whole(t or "") for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode_all(pa.array(texts))] == got
+    assert len(asked) == len(set(asked)) and sum("röße" in t for t in asked) == 1
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_batches_hold_the_librarys_ids(name):
+    enc = TextEncoder(tokenizer_file(name), keep=50)
+    bits = st.sampled_from([*"aBéßİŉſ1²½_.,'\n\t\x0b\x0c\x1c\x85\xa0\x00ÿ中́​", " ", " ", " ", "  ", "'s", "the", " the", "!!", "<|endoftext|>"])
+
+    @settings(deadline=None, max_examples=200)
+    @given(st.lists(st.none() | st.lists(bits, max_size=20).map("".join), max_size=6))
+    def same(texts):
+        got = enc.encode_all(pa.array(texts, pa.string()))
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [enc.whole(t or "") for t in texts]
+
+    same()
