@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,25 +20,33 @@ def pack_lines(text: Column, most: int | Column = MAX_CHARS) -> Column:
     return pack_clean(clean_text(text), most)
 
 
-def pack_clean(clean: Column, most: int | Column = MAX_CHARS) -> Column:
+def pack_clean(clean: Column, most: int | Column = MAX_CHARS, mark: str | None = None) -> Column:
     """array<string>: the cleaned text's lines packed in order into parts of at most `most` characters, line breaks counted;
-    a longer line is a part of its own. A fold, for where a part ends depends on where the last one did."""
+    a longer line is a part of its own. A fold, for where a part ends depends on where the last one did. mark: a character
+    that ends a part wherever it stands, and goes; whether a line fits is measured from the last one on."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("now"))
+    lines = F.filter(F.split(clean, "\n"), lambda x: x != "")
 
-    def step(s: Column, line: Column) -> Column:
-        fits = s["now"].isNotNull() & (F.length(s["now"]) + 1 + F.length(line) <= most)
-        done = F.when(s["now"].isNull() | fits, s["done"]).otherwise(F.concat(s["done"], F.array(s["now"])))
-        return F.struct(done.alias("done"), F.when(fits, F.concat(s["now"], F.lit("\n"), line)).otherwise(line).alias("now"))
+    def folded(tail: Callable[[Column], Column]) -> Column:
+        def step(s: Column, line: Column) -> Column:
+            fits = s["now"].isNotNull() & (F.length(tail(s["now"])) + 1 + F.length(line) <= most)
+            done = F.when(s["now"].isNull() | fits, s["done"]).otherwise(F.concat(s["done"], F.array(s["now"])))
+            return F.struct(done.alias("done"), F.when(fits, F.concat(s["now"], F.lit("\n"), line)).otherwise(line).alias("now"))
 
-    lines = F.filter(F.split(clean, "\n"), lambda x: x != "")
-    return F.aggregate(lines, start, step, lambda s: F.when(s["now"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["now"]))))
+        return F.aggregate(lines, start, step, lambda s: F.when(s["now"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["now"]))))
+
+    parts = folded(lambda now: now)
+    if mark is None:
+        return parts
+    cut = F.flatten(F.transform(folded(lambda now: F.substring_index(now, mark, -1)), lambda p: F.split(p, rf"\Q{mark}\E")))
+    return F.when(clean.contains(mark), cut).otherwise(parts)
 
 
-def block_parts(block_type: Column, clean: Column, most: int = MAX_CHARS, most_table: int = MAX_TABLE_CHARS) -> Column:
+def block_parts(block_type: Column, clean: Column, most: int = MAX_CHARS, most_table: int = MAX_TABLE_CHARS, mark: str | None = None) -> Column:
     """array<string>: a table or a text within its bound whole, else packed up to that bound; nothing for an empty text. clean:
-    the text as clean_text() gives it, best a column of its own."""
+    the text as clean_text() gives it, best a column of its own. mark: as in pack_clean()."""
     bound = F.when(block_type == "table", most_table).otherwise(most)
-    return F.when(clean == "", F.array().cast("array<string>")).when(F.length(clean) <= bound, F.array(clean)).otherwise(pack_clean(clean, bound))
+    return F.when(clean == "", F.array().cast("array<string>")).when(F.length(clean) <= bound, F.array(clean)).otherwise(pack_clean(clean, bound, mark))
 
 
 def running_section(blocks: DataFrame, by: str = "file_id", order: str = "block_index") -> DataFrame:
