@@ -33,9 +33,9 @@ def looked_up(values: dict[str, str], key: Column) -> Column:
     return F.try_element_at(as_map(values), key)
 
 
-def strip(c: Column, white: str = WHITE) -> Column:
+def strip(c: Column) -> Column:
     """White space of any kind off both ends. Trimmed, for a pattern would look at every character between the ends."""
-    return F.btrim(c, F.lit(white))
+    return F.btrim(c, F.lit(WHITE))
 
 
 def one_space(c: Column) -> Column:
@@ -53,7 +53,7 @@ def nfc(c: Column) -> Column:
 def clean_text(c: Column, white: str = WHITE) -> Column:
     """Composed; lines with runs of blanks as one, stripped of `white`, without empty ones; null gives the empty text."""
     lines = F.split(F.regexp_replace(F.coalesce(nfc(c), F.lit("")), "\r\n?", "\n"), "\n")
-    lines = F.transform(lines, lambda x: strip(F.regexp_replace(x, "[ \t]+", " "), white))
+    lines = F.transform(lines, lambda x: F.btrim(F.regexp_replace(x, "[ \t]+", " "), F.lit(white)))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
